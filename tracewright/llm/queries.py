@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat, mixing, url_filter
+from . import chat, decontaminate, mixing, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +24,25 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows.unionByName(extra))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op4_chat_format": op4_chat_format,
+        "op7_decontaminate": op7_decontaminate,
         "op9_url_filter": op9_url_filter,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
@@ -41,5 +50,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.ORACLE_SQL,
         "op4_chat_format": chat.ORACLE_SQL,
+        "op7_decontaminate": decontaminate.ORACLE_SQL,
         "op9_url_filter": url_filter.oracle_sql(),
     }
