@@ -47,23 +47,33 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     jump = staged(
         linked.select("tree", "node", F.col("p_node").alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
     )
-    jumps, limit = [jump], max(2, jump.count())
-    while (1 << (len(jumps) - 1)) < limit and jump.where(F.col("up").isNotNull()).limit(1).count():
-        near, far = jump.alias("near"), jump.alias("far")
+    # rows whose jump reached the root are done and take no part in later joins but as targets
+    done, jumps, limit = [jump.where(F.col("up").isNull())], [jump], max(2, jump.count())
+    while (1 << (len(jumps) - 1)) < limit:
+        near = jump.where(F.col("up").isNotNull())
+        if not near.limit(1).count():
+            break
+        far = near
+        for part in done:
+            far = far.unionByName(part)
+        near, far = near.alias("near"), far.alias("far")
         jump = staged(
-            near.join(far, (F.col("near.tree") == F.col("far.tree")) & (F.col("near.up") == F.col("far.node")), "left").select(
+            near.join(far, (F.col("near.tree") == F.col("far.tree")) & (F.col("near.up") == F.col("far.node"))).select(
                 "near.tree", "near.node", F.col("far.up").alias("up"),
-                (F.col("near.steps") + F.coalesce(F.col("far.steps"), F.lit(0))).alias("steps"),
-                (F.col("near.total") + F.coalesce(F.col("far.total"), F.lit(0.0))).alias("total"),
+                (F.col("near.steps") + F.col("far.steps")).alias("steps"), (F.col("near.total") + F.col("far.total")).alias("total"),
             )
         )
         jumps.append(jump)
+        done.append(jump.where(F.col("up").isNull()))
+    reached = done[0]
+    for part in done[1:]:
+        reached = reached.unionByName(part)
     parents = jumps[0].where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct()
-    leaves = jump.where(F.col("up").isNull()).join(parents, ["tree", "node"], "left_anti")
+    leaves = reached.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("steps")).desc(), "steps", "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     walked = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("depth"))
-    for k, hop in enumerate(jumps[:-1]):
+    for k, hop in enumerate(jumps):
         up = hop.where(F.col("up").isNotNull()).select("tree", "node", "up")
         walked = staged(walked)
         farther = walked.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
