@@ -77,23 +77,30 @@ class Tokens:
 def pack(hashes: np.ndarray, *columns: np.ndarray) -> bytes:
     """Sorted hashes as differences, and columns, in byte planes, compressed."""
     steps = np.diff(hashes, prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (steps, *columns)]
-    raw = b"".join(planes)
-    return len(hashes).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    return _planes(len(hashes), steps, *columns)
 
 
-def unpack(data: bytes, *kinds) -> list[np.ndarray]:
+def _planes(n: int, *columns: np.ndarray) -> bytes:
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(n, x.itemsize).T).tobytes() for x in columns)
+    return n.to_bytes(8, "little") + len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _columns(data: bytes, *kinds) -> list[np.ndarray]:
     n, size = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
     raw = np.frombuffer(pa.decompress(data[16:], size, "zstd", asbytes=True) if size else b"", np.uint8)
     out, at = [], 0
-    for kind in (np.uint64, *kinds):
+    for kind in kinds:
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
         at += n * width
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
     return out
 
 
+def unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    steps, *rest = _columns(data, np.uint64, *kinds)
+    return [np.cumsum(steps, dtype=np.uint64), *rest]
+
+
 def cuts(hashes: np.ndarray, counters: int) -> np.ndarray:
     """Where the ranges of the counters begin in sorted hashes."""
     edges = (np.arange(counters, dtype=object) * (1 << 64) // counters).astype(np.uint64)
@@ -120,27 +127,17 @@ def _answers(rows: pa.Table, kinds: tuple, totals) -> pa.Table:
     _, counts, first, where = _merged(parts)
     own = totals(counts, [np.concatenate([p[k] for p in parts])[first] for k in range(2, len(kinds) + 1)])
     ends = np.cumsum([len(p[0]) for p in parts])
-    packed = [pack(np.zeros(0, np.uint64)) if not len(p[0]) else _counts_packed(counts[where[e - len(p[0]) : e]]) for p, e in zip(parts, ends, strict=True)]
+    packed = [_planes(len(p[0]), counts[where[e - len(p[0]) : e]]) for p, e in zip(parts, ends, strict=True)]
     return pa.table({
         "block": rows.column("block").cast(pa.int32()), "counter": rows.column("counter").cast(pa.int32()),
         "packed": pa.array(packed, pa.binary()), "totals": pa.array([own] * rows.num_rows, pa.list_(pa.int64())),
     })
 
 
-def _counts_packed(counts: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes()
-    return len(counts).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
 def _answered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A block's counts in its own order, and the totals over all counters."""
-    out = []
-    order = np.argsort(rows.column("counter").to_numpy())
     packed = rows.column("packed").to_pylist()
-    for i in order.tolist():
-        n, size = int.from_bytes(packed[i][:8], "little"), int.from_bytes(packed[i][8:16], "little")
-        raw = np.frombuffer(pa.decompress(packed[i][16:], size, "zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view(np.uint64).astype(np.int64))
+    out = [_columns(packed[i], np.uint64)[0].astype(np.int64) for i in np.argsort(rows.column("counter").to_numpy()).tolist()]
     totals = np.array(rows.column("totals").to_pylist(), np.int64).sum(axis=0)
     return np.concatenate(out), totals
 
