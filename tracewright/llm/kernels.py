@@ -49,14 +49,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text, or one row."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes of text and ``rows`` rows, or one row."""
     _, at = utf8(column)
     low, n = 0, len(at) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
-        yield low, min(high, n)
-        low = min(high, n)
+        high = min(high, low + rows, n)
+        yield low, high
+        low = high
 
 
 class Words:

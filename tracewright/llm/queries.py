@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near_dedup, ngram_score, quality_rules, token_count, url_filter
+from . import chat, decontaminate, mixing, near_dedup, ngram_score, pii, quality_knn, quality_rules, token_count, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.document_components(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -28,6 +32,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows.unionByName(extra))
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=0, threshold=0.3)
+
+
 def op6_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_score.score_texts(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_near_dedup": op2_near_dedup,
+        "op3_pii": op3_pii,
         "op4_chat_format": op4_chat_format,
+        "op5_quality_knn": op5_quality_knn,
         "op6_ngram_score": op6_ngram_score,
         "op7_decontaminate": op7_decontaminate,
         "op8_token_count": op8_token_count,
