@@ -388,6 +388,18 @@ def _straggler_links(texts: DataFrame, many: DataFrame, links: DataFrame, width:
 
 
 def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The input rows without those whose component has a lesser id; columns stay as they are."""
-    kept = document_components(docs, id=id, text=text, width=width, percent=percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id).eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each component, that of the least id (null last); columns stay as they are.
+
+    Rows are told apart by a number of their own, so repeated and null ids are
+    no exception.  Rows without words are linked with nothing and stay.
+    """
+    columns = docs.columns
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = document_components(keyed, id="_row", text=text, width=width, percent=percent).select(F.col("doc_id").alias("_row"), "component_id")
+    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("component_id")
+    ranked = groups.join(shared, "component_id").join(keyed.select("_row", F.col(id).alias("own")), "_row")
+    first = F.min(F.struct(F.col("own").isNull().alias("x"), "own", "_row"))
+    stays = ranked.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    goes = staged(ranked.select("_row").join(stays, "_row", "left_anti"))
+    side = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
+    return keyed.join(side, "_row", "left_anti").select(*columns)
