@@ -5,7 +5,8 @@
     sets is one node, so exact copies cost one row however many there are.
 2.  The forest: tree ``t`` orders signatures from bin ``t * STRIDE`` on.  Nodes
     with a common prefix of ``depth`` values form a region.  A region of more
-    than REGION nodes is deepened, it alone, until its parts are small.
+    than REGION nodes is deepened, it alone, until its parts are small; it is
+    also dealt into parts that share a few pivots.
 3.  Inside a region, nodes whose whole signatures agree nearly as often as
     linked sets must are joined.  Components of these joins are candidate
     groups.
@@ -37,6 +38,7 @@ BINS, STRIDE = 128, 8
 TREES = BINS // STRIDE
 #: Nodes that meet in one region, at most; larger regions are deepened.
 REGION = 512
+PIVOTS = 6
 #: Common prefixes that are tried for a region, in values.
 DEEPEST = 64
 #: Four standard deviations of the estimate that a signature gives.
@@ -206,28 +208,31 @@ def _spanning(joined: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def region_rows(nodes: DataFrame, first_depth: int) -> DataFrame:
-    """(node, sign) -> (region, node, tree): the regions of two or more nodes, deepened where large.
+    """(node, sign) -> (region, node): the regions of two or more nodes.
 
-    Counts of regions are combined before their shuffle.  What is still large
-    at the greatest depth is nearly equal sets; they are dealt into parts by
-    node, each with the region's least node.
+    A region of more than REGION nodes is met in two ways.  It is deepened, so
+    that near neighbours meet; and it is dealt into parts by node, each with
+    the same PIVOTS nodes, so that a wide group of copies stays one group.
+    Counts and pivots are combined before their shuffle.
     """
     spread = nodes.select("node", F.concat("sign", "sign").alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    pivots = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(PIVOTS)]))
     depth, current, done = first_depth, spread.select("node", "tree", "ring"), []
     while True:
         region = F.xxhash64("tree", F.lit(depth), F.expr(f"substring(ring, tree * {2 * STRIDE} + 1, {2 * depth})"))
         placed = current.withColumn("region", region)
-        counts = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+        counts = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), pivots.alias("pivots")).where("n > 1")
+        counts = counts.withColumn("pivots", F.when(F.col("n") > REGION, F.col("pivots")))
         counted = staged(placed.select("node", "tree", "region").join(counts, "region"))
-        done.append(counted.where(F.col("n") <= REGION).select("region", "node", "tree"))
+        done.append(counted.where(F.col("n") <= REGION).select("region", "node"))
         large = counted.where(F.col("n") > REGION)
         if not large.limit(1).count():
             break
+        part = F.xxhash64("region", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / max(1, REGION // 2))))
+        dealt = large.select(part.alias("part"), "node", "pivots")
+        done.append(dealt.select(F.col("part").alias("region"), "node"))
+        done.append(dealt.select(F.col("part").alias("region"), "pivots").distinct().select("region", F.explode("pivots").alias("node")))
         if depth >= DEEPEST:
-            part = F.xxhash64("region", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (REGION // 2))))
-            parts = large.select(part.alias("region"), "node", "tree", "least").withColumnRenamed("region", "part")
-            done.append(parts.select(F.col("part").alias("region"), "node", "tree"))
-            done.append(parts.select(F.col("part").alias("region"), F.col("least").alias("node"), "tree").distinct())
             break
         current = large.select("node", "tree").join(nodes, "node").select("node", "tree", F.concat("sign", "sign").alias("ring"))
         depth += 2
@@ -345,7 +350,7 @@ def document_components(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     weights = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("weight") / PART_SHINGLES)).cast("int")
     dealt = members.join(weights, "component").withColumn("parts", parts)
-    part = lambda n: F.xxhash64("component", n)
+    part = lambda n: F.xxhash64("component", n.cast("int"))
     chosen = dealt.select(part(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("part"), "node", "doc_id", F.lit(False).alias("asks"))
     many = staged(dealt.where("parts > 1"))
     large = bool(many.limit(1).count())
@@ -383,7 +388,7 @@ def _straggler_links(texts: DataFrame, many: DataFrame, links: DataFrame, width:
     held = placed.join(counts, "component").select(
         "component", "node", "doc_id", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("k")
     )
-    pick = lambda df, asks: df.select(F.xxhash64("component", "k", "lot", F.lit(2)).alias("part"), "node", "doc_id", F.lit(asks).alias("asks"))
+    pick = lambda df, asks: df.select(F.xxhash64("component", F.col("k").cast("int"), F.col("lot").cast("int"), F.lit(2)).alias("part"), "node", "doc_id", F.lit(asks).alias("asks"))
     return _links(texts, pick(asking, True).unionByName(pick(held, False)), width, percent, partitions)
 
 
