@@ -23,7 +23,7 @@ def corpus(seed=5):
     return [*out, None, "", "  \n", "one", "One", "one two", "x " * 500, "x " * 500]
 
 
-@pytest.fixture(params=[{}, {"REGION": 6, "PART_SHINGLES": 300, "HUBS": 2, "BROADCAST_ROWS": 0, "DEEPEST": 12}], ids=["whole", "split"])
+@pytest.fixture(params=[{}, {"REGION": 6, "PART_SHINGLES": 300, "HUBS": 2, "BROADCAST_ROWS": 0, "DEEPEST": 6}], ids=["whole", "split"])
 def limits(request, monkeypatch):
     for k, v in request.param.items():
         monkeypatch.setattr(N, k, v)

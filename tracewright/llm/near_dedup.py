@@ -5,8 +5,8 @@
     sets is one node, so exact copies cost one row however many there are.
 2.  The forest: tree ``t`` orders signatures from bin ``t * STRIDE`` on.  Nodes
     with a common prefix of ``depth`` values form a region.  A region of more
-    than REGION nodes is deepened, it alone, until its parts are small; it is
-    also dealt into parts that share a few pivots.
+    than REGION nodes is deepened, it alone, until its parts are small; one that
+    stays large is dealt into parts that share a few pivots.
 3.  Inside a region, nodes whose whole signatures agree nearly as often as
     linked sets must are joined.  Components of these joins are candidate
     groups.
@@ -39,8 +39,8 @@ TREES = BINS // STRIDE
 #: Nodes that meet in one region, at most; larger regions are deepened.
 REGION = 512
 PIVOTS = 6
-#: Common prefixes that are tried for a region, in values.
-DEEPEST = 64
+#: Common prefix, in values, from which a large region is dealt out instead of deepened.
+DEEPEST = 16
 #: Four standard deviations of the estimate that a signature gives.
 MARGIN = 0.17
 #: Shingles of a candidate group that meet in one task, at most; larger groups are dealt into parts.
@@ -210,32 +210,32 @@ def _spanning(joined: np.ndarray) -> Iterator[tuple[int, int]]:
 def region_rows(nodes: DataFrame, first_depth: int) -> DataFrame:
     """(node, sign) -> (region, node): the regions of two or more nodes.
 
-    A region of more than REGION nodes is met in two ways.  It is deepened, so
-    that near neighbours meet; and it is dealt into parts by node, each with
-    the same PIVOTS nodes, so that a wide group of copies stays one group.
-    Counts and pivots are combined before their shuffle.
+    A region of more than REGION nodes is deepened.  What is still large at
+    DEEPEST agrees in so many values that it is one wide group of copies: it is
+    dealt into parts by node, each with the same PIVOTS nodes, so that the
+    group stays one.  Counts and pivots are combined before their shuffle.
     """
     spread = nodes.select("node", F.concat("sign", "sign").alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     pivots = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(PIVOTS)]))
     depth, current, done = first_depth, spread.select("node", "tree", "ring"), []
     while True:
+        last = depth >= DEEPEST
         region = F.xxhash64("tree", F.lit(depth), F.expr(f"substring(ring, tree * {2 * STRIDE} + 1, {2 * depth})"))
         placed = current.withColumn("region", region)
-        counts = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), pivots.alias("pivots")).where("n > 1")
-        counts = counts.withColumn("pivots", F.when(F.col("n") > REGION, F.col("pivots")))
+        counts = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *([pivots.alias("pivots")] if last else [])).where("n > 1")
         counted = staged(placed.select("node", "tree", "region").join(counts, "region"))
         done.append(counted.where(F.col("n") <= REGION).select("region", "node"))
         large = counted.where(F.col("n") > REGION)
         if not large.limit(1).count():
             break
-        part = F.xxhash64("region", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / max(1, REGION // 2))))
-        dealt = large.select(part.alias("part"), "node", "pivots")
-        done.append(dealt.select(F.col("part").alias("region"), "node"))
-        done.append(dealt.select(F.col("part").alias("region"), "pivots").distinct().select("region", F.explode("pivots").alias("node")))
-        if depth >= DEEPEST:
+        if last:
+            part = F.xxhash64("region", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / max(1, REGION // 2))))
+            dealt = large.select(part.alias("part"), "node", "pivots")
+            done.append(dealt.select(F.col("part").alias("region"), "node"))
+            done.append(dealt.select(F.col("part").alias("region"), "pivots").distinct().select("region", F.explode("pivots").alias("node")))
             break
         current = large.select("node", "tree").join(nodes, "node").select("node", "tree", F.concat("sign", "sign").alias("ring"))
-        depth += 2
+        depth += max(2, depth // 2)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
