@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 
@@ -148,7 +149,7 @@ def quote_key(text: Column) -> Column:
     return F.lower(collapsed(F.regexp_replace(folded, r"[*_`]", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFKC, for which Spark has no function."""
     import unicodedata

@@ -30,21 +30,32 @@ def digests(spark: SparkSession, where: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, where: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """One record per file, with its path; unreadable ones keep their text in a column of their own.
+    """One record per file, with its path; what is not one readable object keeps its text in a column of its own.
 
     The path orders records: files are read in no order.
     """
-    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", glob).json(where)
-    return rows.withColumn("file_path", F.col("_metadata.file_path"))
+    whole = spark.read.option("pathGlobFilter", glob).text(where, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    rows = whole.select("file_path", "value", parsed.alias("x"), is_object.alias("o"))
+    return rows.select("x.*", "file_path", "value", "o").withColumn(CORRUPT, F.when(~F.col("o"), F.col("value")).otherwise(F.col(CORRUPT))).drop("value", "o")
 
 
 def bad_record_files(spark: SparkSession, where: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """Paths of files with no record, several, or an unreadable one (an empty file gives no row at all)."""
-    rows = json_records(spark, where, schema, glob)
-    seen = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"))
+    """Paths of files that do not hold one readable record.  Scans skip files of no bytes: those are listed apart."""
+    held = json_records(spark, where, schema, glob).where(F.col(CORRUPT).isNull()).select(plain_path(F.col("file_path")).alias("path"))
     files = listing(spark, where, glob).select(plain_path(F.col("path")).alias("path"))
-    held = seen.select(plain_path(F.col("file_path")).alias("path"), "n", "bad")
-    return files.join(held, "path", "left").where(F.col("n").isNull() | (F.col("n") != 1) | (F.col("bad") > 0)).select("path")
+    unreadable = files.join(held, "path", "left_anti")
+    none = empty_files(spark, where, glob)
+    return unreadable.unionByName(spark.createDataFrame([(p,) for p in none], "path string")).distinct() if none else unreadable
+
+
+def empty_files(spark: SparkSession, where: str, glob: str) -> list[str]:
+    """Paths of files without a byte, from the file system's own listing."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{where}/{glob}")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [f.getPath().toUri().getPath() for f in found or [] if f.isFile() and f.getLen() == 0]
 
 
 def load_records(spark: SparkSession, where: str, schema: str, glob: str = "*.json", report: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def replace_json(df: DataFrame, where: str) -> None:
@@ -33,4 +34,4 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
 
 def metrics_json(summary: DataFrame) -> str:
     """A one-row summary as JSON; raw rows are no part of it."""
-    return json.dumps(json.loads(summary.toJSON().first()), indent=2, sort_keys=True)
+    return json.dumps(json.loads(summary.select(F.to_json(F.struct("*"))).first()[0]), indent=2, sort_keys=True)
