@@ -26,7 +26,7 @@ from .kernels import ALNUM, Words, slices, utf8
 
 WINDOW = 10
 #: Text of a shard, in bytes.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark text searched in one pass.  A larger benchmark is searched in
 #: several passes over the rows, so what is sent to executors stays bounded.
 PASS_BYTES = 8 << 20
