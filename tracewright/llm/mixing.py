@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 #: Rows of a source that one bucket of keys holds on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Lowest quality weight; bounds how uneven the key buckets can be.
 MIN_QUALITY = 0.25
 #: Fixed characters that count against a text's quality.
