@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, Words, slices, utf8
+from .staging import small_batches
 
 WINDOW = 10
 #: Text of a shard, in bytes.
@@ -261,6 +262,7 @@ def mark_benchmark(
     The input may not hold columns named n_words, spans or items: they are
     dropped first.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "spans", "items")
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .kernels import NON_SPACE, Words, chain, mix, slices, utf8
-from .staging import staged
+from .staging import small_batches, staged
 
 BINS, STRIDE = 128, 8
 TREES = BINS // STRIDE
@@ -332,6 +332,7 @@ def document_components(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     are ignored.  kept holds for all rows that bear the component's least id.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[id].dataType

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import NON_SPACE, Words, mix, slices, utf8
+from .staging import small_batches
 
 #: Text of a block, in bytes.
 BLOCK_BYTES = 12 << 20
@@ -212,6 +213,7 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", fold
     text; repeated rows count and score each; an empty table gives no rows; with
     no training text all tokens are unseen; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (fold != held_out).alias("train"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

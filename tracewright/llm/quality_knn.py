@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import NON_SPACE, Words, chain, slices, utf8
+from .staging import small_batches
 
 #: Labelled rows that the space and the votes come from, at most.
 MAX_LABELLED = 4000
@@ -152,6 +153,7 @@ def score_quality(
     not learned from; a null id folds as the empty text; repeated rows score
     alike; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     space = fit_space(docs, labels, id=id, text=text, label=label, folds=folds, held_out=held_out, limit=limit)
     rows = docs.select(F.col(id).alias("doc_id"), (fold_of(F.col(id), folds) == held_out).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import slices
+from .staging import small_batches
 
 #: Characters of a chunk, and of the overlap of two chunks at first.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -106,6 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id: str = "doc_id", te
     Cases: null and empty texts have no bytes and no tokens; repeated rows are
     counted alike; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
