@@ -73,3 +73,12 @@ def test_ids_agreement_and_status(spark):
 def test_schemas_parse(spark):
     for s in (schemas.CALL, schemas.JUDGE, schemas.INCIDENT, schemas.EVIDENCE, schemas.CATALOG, schemas.MESSAGE):
         assert spark.createDataFrame([], s).count() == 0
+
+
+def test_tiers_and_families(spark):
+    rows = spark.createDataFrame([("a", "mid"), ("a", "mid"), ("b", "mid"), ("b", "weak")], "run string, tier string")
+    assert E.single_tier(rows.where("run = 'a'"), ("run",)).first()["tier"] == "mid"
+    with pytest.raises(Exception, match="several tiers"):
+        E.single_tier(rows, ("run",)).collect()
+    families = {"m-": "m", "g-": "g"}
+    assert E.same_family("m-1", "m-2", families) and not E.same_family("m-1", "g-1", families) and not E.same_family("x", "x", families)

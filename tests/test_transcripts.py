@@ -119,3 +119,21 @@ def test_paths(spark):
     df = spark.createDataFrame([("/c/2026/07/20/a.jsonl",), ("/c/2026/07/01/b.jsonl",), ("/p/u-1/subagents/x/y.jsonl",)], "path string")
     assert [r[0] for r in R.since(df, "2026-07-10").collect()] == ["/c/2026/07/20/a.jsonl"]
     assert [r[0] for r in df.select(R.parent_session(df["path"])).collect()][2] == "u-1"
+
+
+def test_checkpoints_and_reruns(spark):
+    tool = lambda path: [{"name": "Edit", "input": json.dumps({"file_path": path, "new_string": "x"})}]
+    rows = [("s", i, f"t{i}", tool(f"/w/HANDOFF-{i % 3}.md")) for i in range(4)] + [("r", 1, "t", tool("/w/HANDOFF.md")), ("r", 2, "t", tool("/w/other.md"))]
+    df = spark.createDataFrame(rows, "path string, line_no long, ts string, tools array<struct<name:string,input:string>>")
+    assert [tuple(r) for r in G.checkpoint_cadence(df).collect()] == [("s", 4, 0, "t3", "/w/HANDOFF-0.md, /w/HANDOFF-1.md (+1 more)")]
+    events = spark.createDataFrame([("a", 1, True, False), ("a", 2, False, True), ("a", 3, True, False), ("b", 1, True, True)], "k string, n int, f boolean, g boolean")
+    from pyspark.sql import functions as F
+
+    assert sorted(map(tuple, G.rerun_pairs(events, "k", "n", F.col("f"), F.col("g")).collect())) == [("a", 2, 1), ("b", 1, 0)]
+
+
+def test_items_and_counts(spark):
+    items = spark.createDataFrame([(2, "b", "c2", "d2"), (1, "a", "c1", None)], "position int, id string, context string, diff string")
+    assert [(r["id"], r["text"]) for r in R.item_texts(items, 1).collect()] == [("a", "c1")]
+    files = spark.createDataFrame([("/r/x/mid/calls/baseline-1.json",), ("/r/x/mid/calls/baseline-2.json",), ("/r/x/mid/judge/treatment-1.json",), ("/r/readme",)], "path string")
+    assert sorted(map(tuple, R.arm_counts(files).collect())) == [("x/mid", "calls", "baseline", 2), ("x/mid", "judge", "treatment", 1)]

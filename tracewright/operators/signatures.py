@@ -141,3 +141,20 @@ def cadence(rows: DataFrame, key: str, ts: str, least_seconds: float) -> DataFra
     at = F.col(ts).cast("timestamp").cast("double")
     gap = at - F.lag(at).over(Window.partitionBy(key).orderBy(ts))
     return rows.withColumn("gap", gap).groupBy(key).agg(F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.count_if(F.col("gap") < least_seconds).alias("short_gaps"))
+
+
+def checkpoint_cadence(messages: DataFrame, least: int = 3) -> DataFrame:
+    """Sessions with at least ``least`` edits of checkpoint files: (session, n, first_line, last_ts, paths), two paths named."""
+    edits = authored(messages).where(F.col("file_path").rlike(P.CHECKPOINT_PATH)).dropDuplicates(["path", "line_no", "tool", "file_path"])
+    folded = edits.groupBy(F.col("path").alias("session")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"), F.max_by("ts", "line_no").alias("last_ts"), F.sort_array(F.collect_set("file_path")).alias("_paths")
+    )
+    shown = F.array_join(F.slice("_paths", 1, 2), ", ")
+    rest = F.when(F.size("_paths") > 2, F.format_string("%s (+%d more)", shown, F.size("_paths") - 2)).otherwise(shown)
+    return folded.where(F.col("n") >= least).select("session", "n", "first_line", "last_ts", rest.alias("paths"))
+
+
+def rerun_pairs(rows: DataFrame, key: str, order: str, failed: Column, again: Column) -> DataFrame:
+    """Per key: how often a failed row is followed at once by a row that tries again."""
+    following = F.lead(again).over(Window.partitionBy(key).orderBy(order))
+    return rows.select(key, (failed & F.coalesce(following, F.lit(False))).alias("_pair"), failed.alias("_failed")).groupBy(key).agg(F.count_if("_failed").alias("failed"), F.count_if("_pair").alias("rerun"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.signatures import rerun_pairs
 from .registry import query
 
 
@@ -51,3 +52,25 @@ def _(t):
 def _(t):
     joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name", F.year("o_orderdate").cast("long").alias("y")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("x18_rerun_pairs", "WITH e AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS following FROM events) SELECT user_id, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error' AND following = 'click') AS rerun FROM e GROUP BY user_id")
+def _(t):
+    return rerun_pairs(t("events"), "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "click")
+
+
+@query("x19_tumbling_hours", "SELECT event_type, (epoch_us(ts) // 3600000000) * 3600 AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(t):
+    w = t("events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select("event_type", F.unix_timestamp("window.start").alias("hour"), "n", "total")
+
+
+@query("x20_property_counts", "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x21_range_join", "SELECT p_partkey, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity BETWEEN p_size AND p_size + 10 GROUP BY p_partkey")
+def _(t):
+    near = F.col("l_quantity").between(F.col("p_size"), F.col("p_size") + 10)
+    return t("part").join(t("lineitem"), (F.col("l_partkey") == F.col("p_partkey")) & near, "left").groupBy("p_partkey").agg(F.count("l_orderkey").alias("n"))

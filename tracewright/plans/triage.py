@@ -56,7 +56,7 @@ def _(t):
     return O.recent(t("events").withColumn("day", F.to_date("ts")), "day", F.lit("2024-01-30").cast("date")).select("event_id")
 
 
-@query("x04_weekly_windows", "SELECT event_type, (epoch(ts)::BIGINT // 604800) * 604800 AS week, count(*) AS n FROM events GROUP BY ALL")
+@query("x04_weekly_windows", "SELECT event_type, (epoch_us(ts) // 604800000000) * 604800 AS week, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     w = t("events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "7 days")).agg(F.count(F.lit(1)).alias("n"))
     return w.select("event_type", F.unix_timestamp("window.start").alias("week"), "n")

@@ -169,3 +169,15 @@ def yaml_table(spark: SparkSession, text: str, schema: str, at: str | None = Non
 def first_items(rows: DataFrame, n: int, order: str) -> DataFrame:
     """The first n rows in the manifest's order."""
     return rows.orderBy(order).limit(n)
+
+
+def item_texts(items: DataFrame, max_items: int | None = None) -> DataFrame:
+    """(position, id, context, diff) -> the first items in the manifest's order, context and diff as one text."""
+    kept = items if max_items is None else first_items(items, max_items, "position")
+    return kept.select("position", "id", F.concat_ws("\n\n", "context", "diff").alias("text"))
+
+
+def arm_counts(files: DataFrame) -> DataFrame:
+    """Record files per run folder, kind and arm, from paths like …/run/tier/calls/arm-task.json."""
+    part = lambda k: F.regexp_extract("path", r"/([^/]+/[^/]+)/(calls|judge)/([^/-]+)-[^/]*$", k)
+    return files.select(part(1).alias("run"), part(2).alias("kind"), part(3).alias("arm")).where("kind <> ''").groupBy("run", "kind", "arm").agg(F.count(F.lit(1)).alias("n"))
