@@ -60,3 +60,16 @@ def test_empty_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{where}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark, folder):
+    where, *_ = folder
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{where}/documents.parquet").where("doc_id < 70")
+    for name in ("kept", "spans", "items", "n_words", "cuts", "component_id", "hits", "row", "size", "target", "node", "label"):
+        docs = docs.withColumn(name, F.lit(1))
+    for _, stage in P.STAGES[:-1]:
+        out = P.staged(stage(spark, docs, where))
+        assert out.columns == docs.columns and out.count() > 60
+    assert P.STAGES[-1][1](spark, docs, where).count() == docs.count()

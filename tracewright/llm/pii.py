@@ -206,10 +206,10 @@ def redact(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFr
     islands = each.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_place))
     merged = islands.groupBy("_row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank")).alias("kind"))
     last = F.coalesce(F.lag("end").over(Window.partitionBy("_row").orderBy("start")), F.lit(0).cast("long"))
-    cuts = merged.withColumn("last", last).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "last", "kind"))).alias("cuts"))
+    cuts = merged.withColumn("last", last).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "last", "kind"))).alias("_cuts"))
     body = F.col(text)
     pieces = F.transform(
-        "cuts", lambda c: F.concat(F.substring(body, (c["last"] + 1).cast("int"), (c["start"] - c["last"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
+        "_cuts", lambda c: F.concat(F.substring(body, (c["last"] + 1).cast("int"), (c["start"] - c["last"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
     )
-    tail = F.substring(body, (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.lit((1 << 31) - 1))
-    return keyed.join(cuts, "_row", "left").withColumn(text, F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(body)).select(*columns)
+    tail = F.substring(body, (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.lit((1 << 31) - 1))
+    return keyed.join(cuts, "_row", "left").withColumn(text, F.when(F.col("_cuts").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(body)).select(*columns)
