@@ -37,6 +37,19 @@ def test_spliced_counts_equal_the_library(library, chunk, overlap):
         assert counter.count_all([t]) == [library(t)]
 
 
+def test_pieces_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(C, "PIECES", 50)
+    with open(PATH, encoding="utf-8") as f:
+        counter = C.Counter(f.read())
+    rng = random.Random(5)
+    marks = ["a", "été", "naïve", "x×", "don't", "1", "22", "<|endoftext|>", ".", "!?", "—", "日本", "🙂", "\u00a0", "\u2003", "'s"]
+    spaces = ["", " ", "  ", "\n", " \n", "\n\n ", "\t", "\r\n", "\u00a0", "\u2003"]
+    for _ in range(300):
+        t = "".join(rng.choice(marks) + rng.choice(spaces) for _ in range(rng.randint(0, 40)))
+        assert counter.count_all([t, t + " end", t]) == [library(t), library(t + " end"), library(t)]
+    assert len(counter.known) + len(counter.seen) <= 50 + 200
+
+
 def test_table(spark, library):
     rows = [(1, "hello world"), (2, None), (3, ""), (3, ""), (None, "é " * 40000), (5, "<|endoftext|> x")]
     got = C.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, limit=3).collect()

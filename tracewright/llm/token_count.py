@@ -1,13 +1,14 @@
 """Token counts, with overlap resynchronisation for huge texts.
 
-A text up to CHUNK characters is encoded whole.  A longer one is encoded in
-chunks that overlap, with offsets.  Two neighbouring encodings are spliced at
-a stable boundary: a position where every split of the text, whatever stands
-before, must begin a new piece (after a visible ASCII character and before a
-space or line break, or between an ASCII letter and an ASCII digit).  Both
-encodings must have a token boundary there and must agree from there to the
-last stable boundary of the overlap; else the overlap is doubled, up to the
-rest of the text.
+A text up to CHUNK characters is cut at stable boundaries; pieces that a worker
+has met before are looked up, and the library encodes the rest.  A longer text
+is encoded in chunks that overlap, with offsets.  Two neighbouring encodings
+are spliced at a stable boundary: a position where every split of the text,
+whatever stands before, must begin a new piece (after a visible ASCII character
+and before a space or line break, or between an ASCII letter and an ASCII
+digit).  Both encodings must have a token boundary there and must agree from
+there to the last stable boundary of the overlap; else the overlap is doubled,
+up to the rest of the text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,11 @@ CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Text encoded in one call, in bytes.
 CALL_BYTES = 1 << 18
 
+#: Pieces that a worker remembers, about, and the length up to which it does.
+PIECES, PIECE_CHARS = 600_000, 64
+
+#: Before a space or line break, after a letter or another visible character.
+_CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?=[ \n])")
 _STABLE = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
@@ -42,12 +50,39 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
+        self.known: dict[str, int] = {}
+        self.seen: set[str] = set()
 
     def count_all(self, texts: list[str]) -> list[int]:
-        short = [t for t in texts if len(t) <= self.chunk]
-        counts = iter([len(e) for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)] if short else [])
+        counts = iter(self.count_pieces([t for t in texts if len(t) <= self.chunk]))
         return [next(counts) if len(t) <= self.chunk else self.count_long(t) for t in texts]
 
+    def count_pieces(self, texts: list[str]) -> list[int]:
+        """Counts as sums over the pieces between stable boundaries.
+
+        Known pieces are looked up.  New ones of a text are encoded together,
+        in their order: between two of them is a stable boundary still.  A piece
+        met again is encoded by itself once, and known from then on.
+        """
+        if len(self.known) + len(self.seen) > PIECES:
+            self.known.clear()
+            self.seen.clear()
+        totals, rest, again = [], [], []
+        for t in texts:
+            pieces = _CUT.split(t)
+            counts = list(map(self.known.get, pieces))
+            unknown = [p for p, c in zip(pieces, counts, strict=True) if c is None]
+            totals.append(sum(filter(None, counts)))
+            again.append([p for p in unknown if p in self.seen])
+            rest.append("".join([p for p in unknown if p not in self.seen]))
+            self.seen.update([p for p in unknown if len(p) <= PIECE_CHARS])
+        fresh = list(set(chain.from_iterable(again)))
+        self.known.update(zip(fresh, self._lengths(fresh), strict=True))
+        return [n + sum(map(self.known.__getitem__, a)) + r for n, a, r in zip(totals, again, self._lengths(rest), strict=True)]
+
+    def _lengths(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
     def _encode(self, text: str, start: int, end: int) -> tuple[list[int], list[int]]:
         """Ids of a part and the position in the text where each begins."""
         e = self.tokenizer.encode(text[start:end], add_special_tokens=False)
@@ -98,6 +133,12 @@ class Counter:
         return None
 
 
+@lru_cache(maxsize=2)
+def counter_of(content: str) -> Counter:
+    """A worker's counter; it outlives a task where workers are reused."""
+    return Counter(content)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, id: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every text.
 
@@ -114,7 +155,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id: str = "doc_id", te
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(content)
+        counter = counter_of(content)
         for batch in batches:
             for low, high in slices(batch.column(1), CALL_BYTES):
                 part = batch.slice(low, high - low)
