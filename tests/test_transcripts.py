@@ -30,7 +30,7 @@ def messages(spark, tmp_path_factory):
     two = [line("user", "hello", uuid="u9", ts="x"), line("user", "copied", uuid="u1")]
     (root / "one.jsonl").write_text("\n".join(one))
     (root / "two.jsonl").write_text("\r\n".join(two))
-    return R.claude_messages(R.json_lines(R.text_lines(spark, str(root)))).cache()
+    return R.transcript_messages(R.json_lines(R.text_lines(spark, str(root)))).cache()
 
 
 def test_line_numbers_and_bad_lines(spark, tmp_path):

@@ -97,7 +97,7 @@ def json_lines(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("line_no_valid", F.when(F.col("v").isNotNull(), number))
 
 
-def claude_messages(lines: DataFrame) -> DataFrame:
+def transcript_messages(lines: DataFrame) -> DataFrame:
     """Messages of transcripts whose lines are {type, timestamp, cwd, uuid, isSidechain, isMeta, message}.
 
     ``content`` is a text or a list of blocks; texts of blocks are joined by
