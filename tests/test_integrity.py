@@ -61,3 +61,13 @@ def test_evidence_streams_emit_new_keys_only(spark, tmp_path):
         assert got == [("failure|c|s|L1", "2026-07-01"), ("failure|c|s|L2", "2026-07-01"), ("failure|c|s|L3", "2026-07-02")]
     timed = spark.createDataFrame([("2026-07-01 00:00:00", "a")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert V.windowed_counts(timed, "ts", "k").count() == 1
+
+
+def test_every_document_is_graded(spark, tmp_path):
+    from tracewright.plans import registry
+
+    docs = [(i, f"heading {i}\na first line of document {i}\nmore") for i in range(1, 46)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    graded = registry.queries()["f26_citation_grades"](spark, str(tmp_path)).collect()
+    assert sorted(int(r["path"]) for r in graded) == list(range(1, 46))
+    assert sum(r["n"] for r in registry.queries()["a36_grade_tallies"](spark, str(tmp_path)).collect()) == 45

@@ -38,9 +38,9 @@ def _(t):
     return O.touched(before, after, "o_orderkey", ("o_orderstatus", "o_totalprice"))
 
 
-def _cites(t):
-    """One citation per benchmark document: a line's first characters, cited one to seven lines off."""
-    lines = O.line_rows(t("documents").where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("path"), "text"), "path", "text")
+def _cites(docs):
+    """One citation per document: a line's first characters, cited up to seven lines off."""
+    lines = O.line_rows(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), "path", "text")
     picked = lines.where("length(line) > 20").groupBy("path").agg(F.min(F.struct("line_no", "line")).alias("x"))
     n = F.col("path").cast("long")
     return lines, picked.select(F.concat(F.lit("c"), "path").alias("cite"), "path", (F.col("x.line_no") + F.when(n % 3 == 0, 0).otherwise(F.when(n % 3 == 1, 3).otherwise(7))).alias("line"), F.substring("x.line", 1, 18).alias("quote"))
@@ -51,19 +51,19 @@ _LINES = "l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls
 
 @query("f27_cited_lines", f"WITH {_LINES}, n AS (SELECT path, count(*) AS n FROM l GROUP BY path), w AS (SELECT cite, string_agg(l.line, ' ' ORDER BY line_no) AS win FROM c JOIN l USING (path) WHERE abs(line_no - ln) <= 5 GROUP BY cite) SELECT c.cite, c.path, ln AS line, CASE WHEN ln > n THEN 'out of range' WHEN NOT contains(trim(regexp_replace(coalesce(win, ''), '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'bad quote' ELSE 'ok' END AS status FROM c JOIN n USING (path) LEFT JOIN w USING (cite)")
 def _(t):
-    lines, cites = _cites(t)
+    lines, cites = _cites(t("documents").where("doc_id % 20 = 0"))  # as its SQL
     return O.check_ranges(cites, lines)
 
 
 @query("f26_citation_grades")
 def _(t):
-    lines, cites = _cites(t)
+    lines, cites = _cites(t("documents"))
     return O.grade_citations(cites, lines)
 
 
 @query("a36_grade_tallies")
 def _(t):
-    lines, cites = _cites(t)
+    lines, cites = _cites(t("documents"))
     return O.grade_tallies(O.grade_citations(cites, lines))
 
 
