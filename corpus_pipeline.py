@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each a table of documents to the next.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
-and returns a DataFrame.  All but the last return the columns of documents.
+and returns a DataFrame with the columns of documents; the last adds copies.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
-    return mixing.mix_sources(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
+    """Each document with the number of copies that the mix takes of it."""
+    return mixing.mix_documents(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
 def _recounted(docs: DataFrame) -> DataFrame:

@@ -68,3 +68,14 @@ def test_mix(spark, monkeypatch, bucket_rows):
 
 def test_empty_table(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_mixed_documents_keep_their_columns(spark):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(corpus())], "doc_id long, source string, text string, size int")
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == [*df.columns, "copies"]
+    rows = mixed.collect()
+    assert sorted((tuple(r)[:4] for r in rows), key=str) == sorted(map(tuple, df.collect()), key=str)
+    words = lambda t: len(re.findall(SPACED, t or ""))
+    taken = sorted(((r["doc_id"], r["source"], words(r["text"]) * r["copies"]) for r in rows), key=str)
+    assert taken == sorted(((r["doc_id"], r["source"], r["taken"]) for r in mixing.mix_sources(df).collect()), key=str)

@@ -73,3 +73,11 @@ def test_clashing_columns(spark, folder):
         out = P.staged(stage(spark, docs, where))
         assert out.columns == docs.columns and out.count() > 60
     assert P.STAGES[-1][1](spark, docs, where).count() == docs.count()
+
+
+def test_the_mix_holds_the_redacted_texts(spark, folder):
+    where, *_ = folder
+    out = P.run(spark, where)
+    assert out.columns == [*spark.read.parquet(f"{where}/documents.parquet").columns, "copies"]
+    text = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert "<EMAIL>" in text[130] and sum(r["copies"] for r in out.collect()) > 0

@@ -71,32 +71,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    *,
-    id: str = "doc_id",
-    source: str = "source",
-    text: str = "text",
-    weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5,
-    cap: float = 2.0,
-) -> DataFrame:
-    """Deal out ``share`` times all words over the sources.
-
-    Returns one row per input row: doc_id, source, size, source_size, target
-    (its source's), taken (words the mix takes, repeats counted: whole epochs
-    plus one more copy where the fraction reaches the document).
-
-    Cases: a null text has size 0; null sources form one source, ordered last;
-    a null id draws as the empty text; repeated ids share a key and are ordered
-    by size, so reruns agree; an empty table gives no rows; other columns are
-    ignored.  The document at the end of a budget is taken when that comes
-    nearer to the target.
-    """
+def _dealt(docs: DataFrame, id: str, source: str, text: str, weights: tuple[int, ...], share: float, cap: float, *also: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and the columns ``also`` of each input row."""
     size = word_count(F.col(text))
-    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.col(text).alias("_text"))
+    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.col(text).alias("_text"), *also)
     keyed = staged(
-        sized.select("doc_id", "source", "size", (-F.ln(uniform(F.col("doc_id"))) / symbol_quality(F.col("_text"), F.col("size"))).alias("key"))
+        sized.select(
+            "doc_id", "source", "size", (-F.ln(uniform(F.col("doc_id"))) / symbol_quality(F.col("_text"), F.col("size"))).alias("key"),
+            F.xxhash64("_text").alias("tie"), *also,
+        )
     )
     sizes = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
@@ -116,15 +99,60 @@ def mix_sources(
     based = placed.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     ends_here = (F.col("base") < F.col("rest")) & (F.col("base") + F.col("bucket_size") > F.col("rest"))
     decided = based.where(~ends_here).withColumn("once_more", F.col("base") < F.col("rest"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     ordered = based.where(ends_here).withColumn("once_more", 2 * prefix + F.col("size") <= 2 * F.col("rest"))
     return decided.unionByName(ordered).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("epochs") + F.col("once_more").cast("long"))).alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("once_more").cast("long")).alias("copies"), *also
     )
 
 
+def mix_sources(
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+) -> DataFrame:
+    """Deal out ``share`` times all words over the sources.
+
+    Returns one row per input row: doc_id, source, size, source_size, target
+    (its source's), taken (words the mix takes, repeats counted: whole epochs
+    plus one more copy where the fraction reaches the document).
+
+    Cases: a null text has size 0; null sources form one source, ordered last;
+    a null id draws as the empty text; repeated ids share a key and are ordered
+    by size, so reruns agree; an empty table gives no rows; other columns are
+    ignored.  The document at the end of a budget is taken when that comes
+    nearer to the target.
+    """
+    dealt = _dealt(docs, id, source, text, weights, share, cap)
+    return dealt.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_documents(
+    docs: DataFrame,
+    *,
+    id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+) -> DataFrame:
+    """The rows with ``copies``, how often the mix takes each; columns stay as they are.
+
+    A row that the mix leaves out has 0 copies.  ``mix_sources`` is the digest
+    of the same deal.  A column ``copies`` of the input is replaced.
+    """
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    copies = _dealt(keyed, id, source, text, weights, share, cap, "_row").select("_row", F.col("copies").alias("_copies"))
+    return keyed.join(copies, "_row").select(*[c for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
