@@ -71,3 +71,13 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    rows = [(i, f"please call +1 (269) 555-{1000 + i} today") for i in range(60)]
+    rows += [(100 + i, f"please call 555-01{10 + i}-77 today") for i in range(12)]
+    rows += [(200 + i, f"desk 555-01{10 + i}-77 rings") for i in range(12)]
+    rows += [(300, "desk 555-0999-77 rings"), (301, "item 555-0998-77 costs")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i] == "phone:12:23" for i in range(12))
+    assert got[300] == "phone:5:16" and got[301] == ""

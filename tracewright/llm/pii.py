@@ -125,26 +125,23 @@ def discovered(spans: DataFrame) -> DataFrame:
     """(surface, kind): candidate surfaces that the pattern graph takes for identifiers.
 
     Edges are distinct (pattern, instance) pairs, so repeated contexts count once.
+    Each round counts a pattern's support anew, over seeds and candidates of
+    high confidence, so what a round finds induces patterns for the next.
     """
     graph = staged(
         spans.select("kind", F.lower("surface").alias("surface"), F.explode(F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"))).alias("pattern"))
         .where("length(pattern) > 1")
         .distinct()
     )
-    seeds = graph.where("kind <> 'token'")
-    support = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
-    # only patterns with support can be worth anything: the rest of the graph takes no part
-    kinds = graph.join(support.select("pattern").distinct(), "pattern", "left_semi")
-    kinds = staged(kinds)
-    size = kinds.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    fixed = kinds.where("kind <> 'token'").select("pattern", "kind", F.lit(1.0).alias("score"))
-    open_ = kinds.where("kind = 'token'").select("pattern", "surface")
+    size = staged(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")))
+    fixed = graph.where("kind <> 'token'").select("pattern", "kind", F.lit(1.0).alias("score"))
+    open_ = graph.where("kind = 'token'").select("pattern", "surface")
     scores = None
     for _ in range(ROUNDS):
         known = fixed if scores is None else fixed.unionByName(open_.join(scores, "surface").select("pattern", "kind", "score"))
         worth = (
-            known.groupBy("pattern", "kind").agg(F.sum("score").alias("good"))
-            .join(support, ["pattern", "kind"]).join(size, "pattern")
+            known.groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.count_if(F.col("score") >= CONFIDENCE).alias("support"))
+            .where(F.col("support") >= SUPPORT).join(size, "pattern")
             .select("pattern", "kind", (F.col("good") / (F.col("size") + 1)).alias("worth"))
             .where(F.col("worth") >= PATTERN_WORTH)
         )
