@@ -57,3 +57,13 @@ def test_star_contraction(spark):
     edges = [("%03d" % i, "%03d" % (i + 1)) for i in range(40)] + [("900", "901"), ("901", "901"), ("000", "020")]
     got = dict(map(tuple, CC.connected_components(spark.createDataFrame(edges, "u string, v string")).collect()))
     assert got == {**{"%03d" % i: "000" for i in range(41)}, "900": "900", "901": "900"}
+
+
+def test_null_ids_are_linked_with_near_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    rows = [(1, near(3)), (None, near(3, 60)), (None, near(60, 120)), (2, near(60, 120, 180)), (None, "q r s t")]
+    want, _ = components([t for _, t in rows], 3, 85)
+    assert want[:4] == [0] * 4
+    got = sorted(map(tuple, N.document_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(1, 1, True), (None, 1, False), (None, 1, False), (2, 1, False), (None, None, True)], key=str)

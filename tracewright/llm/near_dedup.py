@@ -102,7 +102,7 @@ def _signed(width: int, text: int):
                     signs.append(signature(shingles).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sign"],
+                    names=["row", "n_shingles", "node", "sign"],
                 )
 
     return run
@@ -299,7 +299,7 @@ def _group_links(width: int, percent: int):
             k = low
             for a, b in slices(own):
                 for shingles in shingle_sets(own.slice(a, b - a), width):
-                    if len(shingles) and class_key(shingles) == names[k]:  # a repeated id may bring other texts
+                    if len(shingles) and class_key(shingles) == names[k]:
                         found[names[k]] = (shingles, bool(asks[k]) or found.get(names[k], (0, False))[1])
                     k += 1
             if len(found) < 2:
@@ -315,31 +315,22 @@ def _group_links(width: int, percent: int):
 
 
 def _links(texts: DataFrame, wanted: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
-    """wanted (part, node, doc_id, asks): read the texts again and link each part's sets."""
-    wanted = staged(wanted.withColumnRenamed("doc_id", "w_id"))
+    """wanted (part, node, row, asks): read the texts again and link each part's sets."""
+    wanted = staged(wanted.withColumnRenamed("row", "w_row"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    joined = texts.join(side, F.col("doc_id") == F.col("w_id")).select("part", "node", "asks", "text")
+    joined = texts.join(side, F.col("row") == F.col("w_row")).select("part", "node", "asks", "text")
     return joined.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(grouped("part", _group_links(width, percent)), "u binary, v binary")
 
 
-def document_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
-
-    Cases: null and empty texts have no shingles and are linked with nothing;
-    a null id takes part but names no component: its component_id is null where
-    it is alone, and it is kept only then; repeated rows are copies of each
-    other and share a component; an empty table gives no rows; other columns
-    are ignored.  kept holds for all rows that bear the component's least id.
-    """
-    spark = docs.sparkSession
+def _row_components(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(row, text), staged and of distinct rows -> row, n_shingles, component (null without words)."""
+    spark = texts.sparkSession
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = docs.schema[id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sign", T.BinaryType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sign", T.BinaryType())])
     signed = staged(texts.mapInArrow(_signed(width, 1), schema))
     nodes = staged(
-        signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "sign")).alias("x")).select("node", "doc_id", "x.*")
+        signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min(F.struct("n_shingles", "sign")).alias("x")).select("node", "row", "x.*")
     )
     regions = region_rows(nodes.select("node", "sign"), 4 if percent >= 85 else 3)
     signs = regions.join(nodes.select("node", "sign"), "node").select("region", "node", "sign")
@@ -347,12 +338,12 @@ def document_components(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
         signs.repartition(partitions, "region").sortWithinPartitions("region").mapInArrow(grouped("region", _region_joins(percent / 100 - MARGIN)), "u binary, v binary, hub binary")
     )
     groups = connected_components(joins.select("u", "v"))
-    members = staged(groups.join(nodes.select("node", "doc_id", "n_shingles"), "node").select("component", "node", "doc_id", "n_shingles"))
+    members = staged(groups.join(nodes.select("node", "row", "n_shingles"), "node").select("component", "node", "row", "n_shingles"))
     weights = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("weight") / PART_SHINGLES)).cast("int")
     dealt = members.join(weights, "component").withColumn("parts", parts)
     part = lambda n: F.xxhash64("component", n.cast("int"))
-    chosen = dealt.select(part(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("part"), "node", "doc_id", F.lit(False).alias("asks"))
+    chosen = dealt.select(part(F.pmod(F.xxhash64("node"), F.col("parts"))).alias("part"), "node", "row", F.lit(False).alias("asks"))
     many = staged(dealt.where("parts > 1"))
     large = bool(many.limit(1).count())
     if large:
@@ -360,14 +351,26 @@ def document_components(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
         rank = F.row_number().over(Window.partitionBy("component").orderBy(F.col("votes").desc(), "node"))
         hubs = many.join(votes, "node").withColumn("r", rank).where(F.col("r") <= HUBS)
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        shared = hubs.select("component", "node", "doc_id", every.alias("k")).select(part(F.col("k")).alias("part"), "node", "doc_id", F.lit(False).alias("asks"))
+        shared = hubs.select("component", "node", "row", every.alias("k")).select(part(F.col("k")).alias("part"), "node", "row", F.lit(False).alias("asks"))
         chosen = chosen.unionByName(shared).distinct()
     links = staged(_links(texts, chosen, width, percent, partitions))
     if large:
         links = links.unionByName(_straggler_links(texts, many, links, width, percent, partitions))
     exact = connected_components(links)
-    linked = signed.select("doc_id", "n_shingles", "node").join(exact, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    linked = staged(linked)
+    return signed.select("row", "n_shingles", "node").join(exact, "node", "left").select("row", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+
+def document_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row.
+
+    Cases: null and empty texts have no shingles and are linked with nothing;
+    a null id takes part but names no component: its component_id is null where
+    no row of its component has an id, and it is kept only then; repeated rows are copies of each
+    other and share a component; an empty table gives no rows; other columns
+    are ignored.  kept holds for all rows that bear the component's least id.
+    """
+    keyed = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")))
+    linked = staged(_row_components(keyed.select("row", "text"), width, percent).join(keyed.select("row", "doc_id"), "row"))
     least = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(least, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -384,12 +387,12 @@ def _straggler_links(texts: DataFrame, many: DataFrame, links: DataFrame, width:
     counts = outside.groupBy("component").agg(F.count(F.lit(1)).alias("outside"))
     lots = F.ceil(F.col("outside") / 2048).cast("int")
     asking = outside.join(counts, "component").select(
-        "component", "node", "doc_id", F.pmod(F.xxhash64("node", F.lit(1)), lots).alias("lot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")
+        "component", "node", "row", F.pmod(F.xxhash64("node", F.lit(1)), lots).alias("lot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")
     )
     held = placed.join(counts, "component").select(
-        "component", "node", "doc_id", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("k")
+        "component", "node", "row", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("k")
     )
-    pick = lambda df, asks: df.select(F.xxhash64("component", F.col("k").cast("int"), F.col("lot").cast("int"), F.lit(2)).alias("part"), "node", "doc_id", F.lit(asks).alias("asks"))
+    pick = lambda df, asks: df.select(F.xxhash64("component", F.col("k").cast("int"), F.col("lot").cast("int"), F.lit(2)).alias("part"), "node", "row", F.lit(asks).alias("asks"))
     return _links(texts, pick(asking, True).unionByName(pick(held, False)), width, percent, partitions)
 
 
@@ -401,11 +404,12 @@ def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "te
     """
     columns = docs.columns
     keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = document_components(keyed, id="_row", text=text, width=width, percent=percent).select(F.col("doc_id").alias("_row"), "component_id")
-    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("component_id")
-    ranked = groups.join(shared, "component_id").join(keyed.select("_row", F.col(id).alias("own")), "_row")
+    texts = keyed.select(F.col("_row").alias("row"), F.col(text).cast("string").alias("text"))
+    groups = staged(_row_components(texts, width, percent).where("component is not null").select(F.col("row").alias("_row"), "component"))
+    shared = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("component")
+    ranked = groups.join(shared, "component").join(keyed.select("_row", F.col(id).alias("own")), "_row")
     first = F.min(F.struct(F.col("own").isNull().alias("x"), "own", "_row"))
-    stays = ranked.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    stays = ranked.groupBy("component").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
     goes = staged(ranked.select("_row").join(stays, "_row", "left_anti"))
     side = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
     return keyed.join(side, "_row", "left_anti").select(*columns)
