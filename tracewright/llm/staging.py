@@ -4,36 +4,86 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary one where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a temporary folder serves a local session, as in tests;
+    on a cluster each executor would write to a disk of its own, so that is an
+    error.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all nodes share (master {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Tables staged within each open ``temporary`` block.
+_open: list[list[str]] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here.
 
     Any executor can read the result, so a lost executor costs nothing.  The
-    files go when the driver's JVM ends.
+    files go when an enclosing ``temporary`` block or the driver's JVM ends.
     """
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, system = _path(spark, where)
+    system.deleteOnExit(path)
+    if _open:
+        _open[-1].append(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go at the end; what is read from them must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for where in _open.pop():
+            path, system = _path(spark, where)
+            system.delete(path, True)
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fresh_name(columns: Iterable[str], base: str) -> str:
+    """``base``, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by their exact names, whatever characters these hold."""
+    return [named(c) for c in df.columns]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 #: Rows of a text table that one Arrow batch holds, at most.
 BATCH_ROWS = 1000
 
@@ -44,3 +94,11 @@ def small_batches(spark: SparkSession) -> None:
     rows = int(spark.conf.get(key))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """``df`` itself where it only selects from files, so that a task that runs again reads the same rows; else staged."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return df if plan.nodeName().startswith("Relation") or plan.nodeName() in ("LogicalRelation", "RelationV2") else staged(df)
