@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tracewright.llm import components as CC
@@ -23,23 +24,76 @@ def corpus(seed=5):
     return [*out, None, "", "  \n", "one", "One", "one two", "x " * 500, "x " * 500]
 
 
-@pytest.fixture(params=[{}, {"REGION": 6, "PART_SHINGLES": 300, "HUBS": 2, "BROADCAST_ROWS": 0, "DEEPEST": 6}], ids=["whole", "split"])
-def limits(request, monkeypatch):
-    for k, v in request.param.items():
-        monkeypatch.setattr(N, k, v)
+@pytest.fixture(params=[{}, {"region": 6, "part_shingles": 300}, {"region": 2, "part_shingles": 40}], ids=["whole", "split", "tiny"])
+def how(request, monkeypatch):
+    if request.param:
+        for k, v in {"HUBS": 2, "BROADCAST_ROWS": 0}.items():
+            monkeypatch.setattr(N, k, v)
+    return request.param
 
 
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_components_equal_all_pairs(spark, limits, width, percent):
+def test_components_equal_all_pairs(spark, how, width, percent):
     texts = corpus()
     want, sets = components(texts, width, percent)
-    got = N.document_components(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string"), width=width, percent=percent).collect()
+    got = N.document_components(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string"), width=width, percent=percent, **how).collect()
     assert len(got) == len(texts)
     for r in got:
         assert (r["component_id"], r["n_shingles"]) == (want[r["doc_id"]], len(sets[r["doc_id"]]))
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def family(n, seed=3):
+    """Distinct texts on one template, of which some pairs are near copies."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for i in range(n):
+        if i % 10 == 9:
+            copy = texts[-1].split()
+            for at in rng.sample(range(len(copy)), 5):  # a similarity of about 0.87
+                copy[at] = f"c{i}"
+            texts.append(" ".join(copy))
+        else:
+            texts.append(" ".join([*template, *(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(40, 90)))]))
+    return texts
+
+
+@pytest.mark.parametrize("region", [8, 2])
+def test_a_dense_family_loses_no_link(spark, monkeypatch, region):
+    """Regions cut to a few nodes drive the forest to its greatest depths; what it parts, the rarest shingles join."""
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    texts = family(400)
+    want, _ = components(texts, 3, 85)
+    pairs = sum(r != i for i, r in enumerate(want))
+    assert pairs >= 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.document_components(df, region=region, part_shingles=5000).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    alone = {r["doc_id"]: r["component_id"] for r in N.document_components(df, region=region, part_shingles=5000, fallback=False).collect()}
+    found = sum(alone[i] != i for i in range(len(texts)))
+    print(f"region {region}: the forest alone finds {found} of {pairs} links")
+
+
+def test_a_run_is_split_at_its_shortest_prefixes():
+    regions, dense = N.split_run(np.array([0, 3, 3, 9, 9, 3, 9] + [9] * 20), 4, 10)
+    assert not dense or all(b - a > 10 for a, b in dense)
+    assert all(b - a <= 16 for a, b in regions)
+    regions, dense = N.split_run(np.array([0] + [24] * 25), 4, 10)
+    assert regions == [(0, 10), (10, 20), (20, 26)] and dense == [(0, 26)]
+    order = np.array([[1] * 24, [1] * 20 + [2] * 4, [2] * 24, [2] * 24], np.uint16)
+    assert N.common_prefixes(np.array([0, 0, 0, 1]), order).tolist() == [-1, 20, 0, -1]
+
+
+def test_rare_elements_lose_no_link():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
+    sets += [np.union1d(s[rng.random(len(s)) < 0.9], rng.integers(0, 90, 2).astype(np.uint64)) for s in sets]
+    link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 70 * len(np.union1d(a, b))
+    want = {(i, j) for i in range(160) for j in range(160) if i != j and link(sets[i], sets[j])}
+    assert set(N.exact_joins(sets, 70, np.ones(160, bool))) == want and len(want) > 50
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t"), (2, "zz"), (2, "other words here now")]
     got = sorted(map(tuple, N.document_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)

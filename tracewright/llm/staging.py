@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -102,3 +103,16 @@ def repeatable(df: DataFrame) -> DataFrame:
     while plan.nodeName() in ("Project", "Filter") and plan.children().size() == 1:
         plan = plan.children().apply(0)
     return df if plan.nodeName().startswith("Relation") or plan.nodeName() in ("LogicalRelation", "RelationV2") else staged(df)
+
+
+def map_rows(docs: DataFrame, run, into: str, kind: T.DataType) -> DataFrame:
+    """``mapInArrow`` that keeps all columns and adds ``into``: ``run`` names its batches' columns c0, c1 and so on.
+
+    Columns go by position meanwhile, as mapInArrow cannot name all that Spark can.
+    """
+    if into != fresh_name(docs.columns, into):
+        raise ValueError(f"the input has a column {into}")
+    plain = [f"c{i}" for i in range(len(docs.columns) + 1)]
+    fields = [*docs.schema.fields, T.StructField(into, kind)]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, fields, strict=True)])
+    return docs.toDF(*plain[:-1]).mapInArrow(run, schema).toDF(*docs.columns, into)
