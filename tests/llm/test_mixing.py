@@ -54,7 +54,7 @@ def test_mix(spark, monkeypatch, bucket_rows):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
     for i, s, t in rows:
         n = size(t)
-        u = (int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5((hashlib.md5((t or "").encode()).hexdigest() if i is None else str(i)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         quality = max(0.25, 1 - sum(c in "#*$%&|<>" for c in t or "") / max(n, 1))
         order.setdefault(s, []).append((-math.log(u) / quality, i or 0, n, i))
     copies = {(r["doc_id"], r["size"]): r["taken"] for r in got}
@@ -66,6 +66,30 @@ def test_mix(spark, monkeypatch, bucket_rows):
             prefix += n
 
 
+def test_many_rows_that_are_alike_share_what_is_left(spark):
+    """A budget that ends among equal rows takes as many of them as fit, null ids among them."""
+    rows = [(None, "a", "x y z")] * 40 + [(7, "a", "x y z")] * 40 + [(i, "b", "p q " * 50) for i in range(3)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)).collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
+    copies = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["copies"] * len(r["text"].split())) for r in copies) == sorted((r["doc_id"] or -1, r["taken"]) for r in got)
+
+
+def test_many_sources(spark, monkeypatch):
+    """More sources than are broadcast, over several ranges."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    rng = random.Random(8)
+    rows = [(i, f"s{rng.randrange(60):02}", "w " * rng.randint(0, 50)) for i in range(500)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = targets(sizes)
+    assert len(got) == 500 and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
 def test_empty_table(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
 

@@ -7,9 +7,10 @@ filled with documents in the order of exponential keys ``-ln(u) / quality``,
 prefix-summed to the budget.
 
 No source is ever sorted in one task.  Keys fall into buckets that are monotone
-in the key and hold about BUCKET_ROWS rows each; bucket sums decide all
-buckets but the one in which a source's budget ends, and only that bucket's
-rows are ordered.
+in the key and hold about BUCKET_ROWS rows each; bucket sums, run up at two
+levels, tell the bucket in which a source's budget ends, and only that bucket's
+rows are ordered.  What comes of it is one row for each source, beside which
+each document is decided by its own key.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import columns_of, fresh_name, named, staged
 
 #: Rows of a source that one bucket of keys holds on average.
 BUCKET_ROWS = 512
+#: Sources whose goals are broadcast to the documents; beyond it the join is shuffled.
+BROADCAST_ROWS = 100_000
 #: Lowest quality weight; bounds how uneven the key buckets can be.
 MIN_QUALITY = 0.25
 #: Fixed characters that count against a text's quality.
@@ -46,65 +49,131 @@ def uniform(key: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def prefix_sums(rows: DataFrame, order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """The rows with each of ``sums`` taken over all rows before them in ``order``, which tells all rows apart.
+
+    Two levels: rows are dealt into ranges; each range sums within itself, and
+    the ranges' own sums, one row for each, are summed in one small task.
+    """
+    keys = [F.col(k) for k in order]
+    own = {n: f"{n}_own" for n in sums}
+    ranged = rows.withColumns({own[n]: c for n, c in sums.items()}).repartitionByRange(_partitions(rows), *keys)
+    ranged = staged(ranged.withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("below").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(F.col("range").alias("below")).agg(*[F.sum(c).alias(c) for c in own.values()])
+    bases = whole.select("below", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{n}_base") for n, c in own.items()])
+    inside = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(bases), F.col("range") == F.col("below"))  # as many rows as ranges
+    return joined.select(*rows.columns, *[(F.col(f"{n}_base") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in own.items()])
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """(source, n_docs, source_size) -> the same with ``target``.
 
     The bounded water level is closed-form: with sources ordered by the level
     at which they reach their cap, the level is the first one that its source
-    does not reach.  One row per source; the windows run over those rows alone.
+    does not reach.  Ranks and running sums have two levels, as sources may be
+    many.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    told = sizes.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "full": F.lit(cap) * F.col("source_size")})
+    ranked = prefix_sums(told, ("unnamed", "name"), {"rank": F.lit(1)})
     listed = F.array(*[F.lit(w) for w in weights])
-    rank = F.row_number().over(by_name)
-    weighed = sizes.withColumn("weight", F.element_at(listed, (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    full = F.lit(cap) * F.col("source_size")
-    order = [(full / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
-    below = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = (
-        F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum(full).over(below), F.lit(0.0))
-    ) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    leveled = weighed.withColumn("level", level).withColumn("reached", full / F.col("weight") >= F.col("level"))
-    water = F.min(F.when(F.col("reached"), F.struct(full / F.col("weight"), F.col("level")))).over(whole)["level"]
-    return leveled.withColumn("water", water).select(
-        "source", "n_docs", "source_size", F.coalesce(F.least(full, F.col("water") * F.col("weight")), full).alias("target")
+    weighed = ranked.withColumn("weight", F.element_at(listed, (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int")).cast("double"))
+    weighed = weighed.withColumn("full_at", F.col("full") / F.col("weight"))
+    summed = staged(prefix_sums(weighed, ("full_at", "unnamed", "name"), {"full_below": F.col("full"), "weight_below": F.col("weight")}))
+    whole = summed.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    level = (F.lit(share) * F.col("all_size") - F.col("full_below")) / (F.col("all_weight") - F.col("weight_below"))
+    leveled = summed.crossJoin(F.broadcast(whole)).withColumn("level", level)  # beside one row
+    water = leveled.where(F.col("full_at") >= F.col("level")).agg(F.min(F.struct("full_at", "level"))["level"].alias("water"))
+    return summed.crossJoin(F.broadcast(water)).select(  # beside one row
+        "source", "n_docs", "source_size", F.coalesce(F.least(F.col("full"), F.col("water") * F.col("weight")), F.col("full")).alias("target")
     )
 
 
-def _dealt(docs: DataFrame, id: str, source: str, text: str, weights: tuple[int, ...], share: float, cap: float, *also: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and the columns ``also`` of each input row."""
-    size = word_count(F.col(text))
-    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.col(text).alias("_text"), *also)
-    keyed = staged(
-        sized.select(
-            "doc_id", "source", "size", (-F.ln(uniform(F.col("doc_id"))) / symbol_quality(F.col("_text"), F.col("size"))).alias("key"),
-            F.xxhash64("_text").alias("tie"), *also,
-        )
-    )
+#: Orders the documents of a source; equal ones are alike in all that the mix reads.
+ORDER = ("key", "doc_id", "size", "tie")
+
+
+def _keyed(docs: DataFrame, id: str, source: str, text: str, *also: Column) -> DataFrame:
+    """doc_id, source, size, key, tie of each row, and the columns ``also``: all from the row itself."""
+    body, own = named(text).cast("string"), named(id)
+    digest = F.md5(F.coalesce(body, F.lit("")).cast("binary"))
+    # rows without an id draw by their text, so that they do not all draw alike
+    drawn = F.coalesce(own.cast("string"), digest)
+    sized = docs.select(
+        own.alias("doc_id"), named(source).cast("string").alias("source"), word_count(body).alias("size"), body.alias("_body"),
+        uniform(drawn).alias("_u"), F.xxhash64(body).alias("tie"), *also,
+    )
+    key = -F.ln(F.col("_u")) / symbol_quality(F.col("_body"), F.col("size"))
+    return sized.withColumn("key", key).drop("_body", "_u")
+
+
+def _bucket() -> Column:
+    """exp(-MIN_QUALITY * key) is monotone in the key and has a density of at most 1 / MIN_QUALITY."""
+    return F.floor((F.lit(1.0) - F.exp(F.lit(-MIN_QUALITY) * F.col("key"))) * F.col("buckets")).cast("long")
+
+
+def _beside(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with what is known of their source; a staged table of few sources is broadcast, a larger one joined by shuffle."""
+    own = by_source.withColumnRenamed("source", "_source")
+    side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    return rows.join(side, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+
+
+def _goals(keyed: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """One row for each source, staged: its target, its whole epochs, and where its last, fractional epoch ends.
+
+    Keys fall into buckets that are monotone in the key.  The sums of all
+    buckets tell ``cut_bucket``, in which the budget ends; only that bucket's
+    documents are ordered, to find ``cut``, the last one within the budget.
+    ``n_cut`` of the ``n_alike`` rows that equal the cut are in.
+    """
     sizes = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goals = targets.select(
-        F.col("source").alias("g_source"), "source_size", "target", epochs.alias("epochs"),
-        F.greatest(F.lit(1.0), F.ceil(F.col("n_docs") / BUCKET_ROWS)).alias("buckets"),
-    ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # exp(-MIN_QUALITY * key) is monotone in the key and has a density of at most 1 / MIN_QUALITY
-    bucket = F.floor((F.lit(1.0) - F.exp(F.lit(-MIN_QUALITY) * F.col("key"))) * F.col("buckets")).cast("long")
-    placed = keyed.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("bucket", bucket).drop("g_source", "buckets")
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = F.coalesce(
-        F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    bases = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "bucket_size", before.alias("base"))
-    based = placed.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    ends_here = (F.col("base") < F.col("rest")) & (F.col("base") + F.col("bucket_size") > F.col("rest"))
-    decided = based.where(~ends_here).withColumn("once_more", F.col("base") < F.col("rest"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    ordered = based.where(ends_here).withColumn("once_more", 2 * prefix + F.col("size") <= 2 * F.col("rest"))
-    return decided.unionByName(ordered).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("once_more").cast("long")).alias("copies"), *also
+    goals = staged(
+        source_targets(sizes, weights, share, cap)
+        .withColumn("epochs", epochs)
+        .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+        .withColumn("buckets", F.greatest(F.lit(1.0), F.ceil(F.col("n_docs") / BUCKET_ROWS)))
     )
+    placed = _beside(keyed.select("source", *ORDER), goals).withColumn("bucket", _bucket())
+    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    told = sums.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
+    summed = staged(prefix_sums(told, ("unnamed", "name", "bucket"), {"all_before": F.col("bucket_size")}))
+    starts = staged(summed.groupBy("source").agg(F.min("all_before").alias("source_before")))
+    based = _beside(_beside(summed.select("source", "bucket", "bucket_size", "all_before"), starts), goals.select("source", "rest"))
+    based = based.withColumn("base", F.col("all_before") - F.col("source_before"))
+    over = based.where(F.col("base") + F.col("bucket_size") > F.col("rest"))
+    ends = staged(over.groupBy("source").agg(F.min(F.struct("bucket", "base")).alias("x")).select("source", F.col("x.bucket").alias("cut_bucket"), "x.base"))
+    last = _beside(placed, ends).where(F.col("bucket") == F.col("cut_bucket"))
+    by_source, alike = Window.partitionBy("source"), Window.partitionBy("source", *ORDER)
+    prefix = F.col("base") + F.coalesce(F.sum("size").over(by_source.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = last.withColumn("prefix", prefix).withColumn("n_alike", F.count(F.lit(1)).over(alike)).withColumn("n_cut", F.row_number().over(alike.orderBy("prefix")))
+    within = counted.where(2 * F.col("prefix") + F.col("size") <= 2 * F.col("rest"))
+    cut = staged(within.groupBy("source").agg(F.max(F.struct(*ORDER, "n_cut", "n_alike")).alias("x")))
+    cut = cut.select("source", F.struct(*[F.col("x")[c].alias(c) for c in ORDER]).alias("cut"), "x.n_cut", "x.n_alike")
+    return staged(_beside(_beside(goals, ends.select("source", "cut_bucket"), "left"), cut, "left"))
+
+
+def _dealt(keyed: DataFrame, goals: DataFrame) -> DataFrame:
+    """``keyed`` with its source's goal and copies.
+
+    A row is decided by itself and its source's goal.  Only where a budget ends
+    among rows that are alike are those counted out, whichever comes first.
+    """
+    rows = _beside(keyed, goals)
+    own = F.struct(*ORDER)
+    below = (_bucket() < F.col("cut_bucket")) | F.coalesce(own <= F.col("cut"), F.lit(False))
+    out = rows.withColumn("once_more", F.coalesce(below, F.lit(False)))
+    if goals.where("n_cut < n_alike").limit(1).count():
+        split = F.coalesce(own.eqNullSafe(F.col("cut")) & (F.col("n_cut") < F.col("n_alike")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("source").orderBy("size"))
+        out = out.where(~split).unionByName(out.where(split).withColumn("once_more", nth <= F.col("n_cut")))
+    return out.withColumn("copies", F.col("epochs") + F.col("once_more").cast("long"))
 
 
 def mix_sources(
@@ -124,12 +193,14 @@ def mix_sources(
     plus one more copy where the fraction reaches the document).
 
     Cases: a null text has size 0; null sources form one source, ordered last;
-    a null id draws as the empty text; repeated ids share a key and are ordered
-    by size, so reruns agree; an empty table gives no rows; other columns are
-    ignored.  The document at the end of a budget is taken when that comes
-    nearer to the target.
+    a null id draws as the digest of its text; repeated ids share a key and are
+    ordered by size, then text, so reruns agree, and of rows alike in all of
+    these as many are taken as fit; a very long text is counted whole; an empty
+    table gives no rows; other columns are ignored.  The document at the end of
+    a budget is taken when that comes nearer to the target.
     """
-    dealt = _dealt(docs, id, source, text, weights, share, cap)
+    keyed = staged(_keyed(docs, id, source, text))
+    dealt = _dealt(keyed, _goals(keyed, weights, share, cap))
     return dealt.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -142,15 +213,19 @@ def mix_documents(
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
+    into: str = "copies",
 ) -> DataFrame:
-    """The rows with ``copies``, how often the mix takes each; columns stay as they are.
+    """The rows with ``into``, how often the mix takes each; columns stay as they are, so ``into`` must be none of them.
 
     A row that the mix leaves out has 0 copies.  ``mix_sources`` is the digest
-    of the same deal.  A column ``copies`` of the input is replaced.
+    of the same deal, and its cases hold.  Texts are not shuffled: the keys are
+    worked out again beside the whole rows.
     """
-    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    copies = _dealt(keyed, id, source, text, weights, share, cap, "_row").select("_row", F.col("copies").alias("_copies"))
-    return keyed.join(copies, "_row").select(*[c for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+    if into != fresh_name(docs.columns, into):
+        raise ValueError(f"the input has a column {into}")
+    goals = _goals(staged(_keyed(docs, id, source, text)), weights, share, cap)
+    dealt = _dealt(_keyed(docs, id, source, text, F.struct(*columns_of(docs)).alias("whole")), goals)
+    return dealt.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns], F.col("copies").alias(into))
 
 
 ORACLE_SQL = r"""
@@ -160,7 +235,7 @@ WITH d AS (
   FROM documents),
 k AS (
   SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
          / greatest(0.25, 1.0 - symbols / greatest(size, 1)) AS key
   FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
