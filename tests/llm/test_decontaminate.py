@@ -53,8 +53,11 @@ def test_equals_brute_force(spark, monkeypatch, drop_short, pass_bytes):
         texts.setdefault(i, t)
     for r in marked:
         n, hit, owners = brute(texts[r["doc_id"]], items)
-        spans = {k for s in r["spans"] for k in range(s["first"], s["last"] + 1)}
-        assert (r["n_words"], spans, sorted(r["items"])) == (n, hit, owners)
+        assert r["items"] == 1  # a column of the input
+        m = r["marks"]
+        spans = {k for s in m["spans"] for k in range(s["first"], s["last"] + 1)}
+        assert (m["n_words"], spans, sorted(m["items"])) == (n, hit, owners)
+        assert texts[r["doc_id"]] is not None or r["text"] is None
         if not drop_short:
             w = re.findall(WORD, lower(texts[r["doc_id"]]))
             assert re.findall(WORD, lower(r["text"])) == [x for k, x in enumerate(w) if k not in hit]

@@ -62,17 +62,53 @@ def test_empty_documents(spark, folder, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
-def test_clashing_columns(spark, folder):
+NAMES = (
+    "kept", "KEPT_", "spans", "items", "n_words", "rules", "marks", "_row", "_cuts", "cuts", "component_id", "component", "hits", "row", "size", "target", "node",
+    "label", "copies", "key", "tie", "whole", "source_size", "number", "block", "a.b", "with space",
+)
+
+
+def test_clashing_columns_keep_their_values(spark, folder):
+    """Columns of the names that operators use inside, each with values of its own, come through every stage."""
     where, *_ = folder
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{where}/documents.parquet").where("doc_id < 70")
-    for name in ("kept", "spans", "items", "n_words", "cuts", "component_id", "hits", "row", "size", "target", "node", "label"):
-        docs = docs.withColumn(name, F.lit(1))
-    for _, stage in P.STAGES[:-1]:
-        out = P.staged(stage(spark, docs, where))
-        assert out.columns == docs.columns and out.count() > 60
-    assert P.STAGES[-1][1](spark, docs, where).count() == docs.count()
+    docs = spark.read.parquet(f"{where}/documents.parquet").where("doc_id < 70 or doc_id >= 120")
+    mine = lambda k, name: f"{name}-{k}"
+    docs = docs.withColumns({name: F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")) for name in NAMES})
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, where)
+        assert out.columns == [*docs.columns, *(["copies_"] if k == 4 else [])]
+        assert [f.dataType for f in out.schema.fields[: len(docs.columns)]] == [f.dataType for f in docs.schema.fields]
+        rows = out.collect()
+        assert len(rows) > 60
+        for r in rows:
+            d = r.asDict()
+            assert all(d[name] == mine(d["doc_id"], name) for name in NAMES)
+
+
+def test_null_and_odd_rows_pass_every_stage(spark, folder):
+    """Null ids, texts, sources and languages, empty and repeated rows: no stage fails or loses a row that it should keep."""
+    where, documents, _ = folder
+    text = documents[3][1]
+    rows = [(None, None, None, None, None), (None, "", "en", None, 0), (1, text, None, "s1", None), (1, text, None, "s1", None), (None, text, "en", "s1", 1), (5, "\x0b \n", "en", "s2", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counts = [len(stage(spark, docs, where).collect()) for _, stage in P.STAGES]
+    assert counts == [3, 4, 6, 6, 6]
+
+
+def test_a_very_long_text_is_worked_on_whole(spark, folder):
+    where, _, items = folder
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300_000)]
+    long = " ".join(words[:150_000]) + " " + items[1][1] + " " + " ".join(words[150_000:]) + " me@x.example.org"
+    docs = spark.createDataFrame([(1, long, "en", "s1", len(long)), (2, long, "en", "s1", len(long))], "doc_id long, text string, lang string, source string, n_chars long")
+    (_, sound), (_, one), (_, cut), (_, redact), (_, mix) = P.STAGES
+    assert [r["doc_id"] for r in one(spark, docs, where).collect()] == [1]
+    assert all(r["text"].split()[:-1] == words for r in cut(spark, docs, where).collect())
+    assert all(r["text"].endswith(" <EMAIL>") for r in redact(spark, docs, where).collect())
+    assert sum(r["copies"] for r in mix(spark, docs, where).collect()) == 3
+    assert len(sound(spark, docs, where).collect()) in (0, 2)
 
 
 def test_the_mix_holds_the_redacted_texts(spark, folder):

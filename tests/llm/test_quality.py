@@ -67,7 +67,31 @@ def test_isolation_forest_sets_outliers_apart():
     rows = np.vstack([rng.normal(size=(500, 3)), [[9, 9, 9], [-9, 9, 0]]])
     score = Q.IsolationForest(rows, trees=50).score(rows)
     assert (score[-2:] > np.quantile(score[:-2], 0.99)).all()
-    assert Q.calibrated(np.array([0.1, 0.2, 0.9]), np.array([True, True, False]), 0.0) == 0.2
+    assert Q.calibrated(np.array([0.1, 0.2, 0.9]), np.array([True, True, False]), 0.0) == pytest.approx(0.55)
+    # a bad row among the good ones is let go, and none are lost for it
+    assert Q.calibrated(np.array([0.1, 0.5, 0.3, 0.8, 0.9]), np.array([True, True, False, False, False]), 0.0) == pytest.approx(0.65)
+    assert Q.calibrated(np.array([0.1, 0.5]), np.array([True, True]), 0.0) == 0.5 and Q.calibrated(np.array([0.1]), np.array([False])) == np.inf
+
+
+def test_the_forest_s_verdict_equals_path_lengths_by_hand():
+    """Scores of the arrays against a walk over each tree's nodes, and the verdict against both rules."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(200, 6))
+    rules = Q.Rules(rows, rng.random(200) < 0.8)
+    forest = rules.forest
+    probe = rng.normal(size=(40, 6)) * 2
+
+    def path(t, x):
+        at = 0
+        while forest.feature[t, at] >= 0:
+            at = forest.left[t, at] if x[forest.feature[t, at]] <= forest.value[t, at] else forest.right[t, at]
+        return forest.path[t, at]
+
+    want = [2 ** (-np.mean([path(t, x) for t in range(Q.TREES)]) / Q._mean_path(forest.size)) for x in probe]
+    assert forest.score(probe) == pytest.approx(want)
+    s = {c: rng.integers(0, 400, 40) for c in Q.COUNTS}
+    want = ~Q.base_failed(s) & np.array([forest.score(Q.features(s))[i] <= rules.threshold for i in range(40)])
+    assert (rules.keeps(s) == want).all()
 
 
 def test_votes_on_held_out_rows(spark):

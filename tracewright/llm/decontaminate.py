@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import ALNUM, Words, slices, utf8
-from .staging import small_batches
+from .staging import map_rows, named, small_batches
 
 WINDOW = 10
 #: Text of a shard, in bytes.
@@ -179,21 +180,30 @@ def shard_occurrences(words: Words, windows: Windows) -> Iterator[tuple[np.ndarr
             yield at, width, owners[which]
 
 
-def mark_batches(windows: Windows, text: str, cut: bool):
-    """A mapInArrow function that fills n_words, spans and items (and cuts the spans from the text)."""
+#: What marking a document gives; spans are its hit words, merged, 0-based, both ends included.
+MARKS = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+])
+
+
+def mark_batches(windows: Windows, text: int, marks: int | None, into: str, cut: bool):
+    """A mapInArrow function that fills the struct ``into`` (and cuts the spans from the text).
+
+    text, marks: positions of the text and of an earlier pass's marks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            for low, high in slices(column, SHARD_BYTES):
-                yield _mark(batch.slice(low, high - low), windows, text, cut)
+            for low, high in slices(batch.column(text), SHARD_BYTES):
+                yield _mark(batch.slice(low, high - low), windows, text, marks, into, cut)
 
     return run
 
 
-def _mark(batch: pa.RecordBatch, windows: Windows, text: str, cut: bool) -> pa.RecordBatch:
-    names = batch.schema.names
-    data, at = utf8(batch.column(names.index(text)))
+def _mark(batch: pa.RecordBatch, windows: Windows, text: int, marks: int | None, into: str, cut: bool) -> pa.RecordBatch:
+    data, at = utf8(batch.column(text))
     words = Words(data, at, ALNUM, lower=True)
     n = len(words)
     edge = np.zeros(n + 1, np.int64)
@@ -205,11 +215,13 @@ def _mark(batch: pa.RecordBatch, windows: Windows, text: str, cut: bool) -> pa.R
         for d in np.unique(of[places]).tolist():
             items[d] |= owners
     rows = batch.num_rows
-    for d, spans in enumerate(batch.column(names.index("spans")).to_pylist() if "spans" in names else []):
-        for s in spans or []:  # of an earlier pass over other items
-            edge[words.first[d] + s["first"]] += 1
-            edge[words.first[d] + s["last"] + 1] -= 1
-    earlier = batch.column(names.index("items")).to_pylist() if "items" in names else [None] * rows
+    earlier: list = [()] * rows
+    if marks is not None:  # of an earlier pass over other items
+        for d, told in enumerate(batch.column(marks).to_pylist()):
+            earlier[d] = told["items"]
+            for s in told["spans"]:
+                edge[words.first[d] + s["first"]] += 1
+                edge[words.first[d] + s["last"] + 1] -= 1
     hit = np.cumsum(edge[:-1]) > 0
     opens = hit.copy()
     opens[1:] &= ~hit[:-1]
@@ -226,18 +238,24 @@ def _mark(batch: pa.RecordBatch, windows: Windows, text: str, cut: bool) -> pa.R
         pa.array(bounds.astype(np.int32)),
         pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(last - base, pa.int64())], names=["first", "last"]),
     )
-    found = pa.array([sorted(items.get(d, set()) | set(earlier[d] or ())) for d in range(rows)], pa.list_(pa.string()))
-    columns = {c: batch.column(i) for i, c in enumerate(names)}
+    found = pa.array([sorted(items.get(d, set()) | set(earlier[d])) for d in range(rows)], pa.list_(pa.string()))
+    columns, names = list(batch.columns), list(batch.schema.names)
     if cut and len(first):
         gone = np.zeros(len(data) + 1, np.int32)
         np.add.at(gone, words.start[first], 1)
         np.add.at(gone, words.end[last], -1)
         keep = np.cumsum(gone[:-1]) == 0
         kept = np.concatenate([[0], np.cumsum(keep)])[at]
-        clean = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[keep].tobytes())])
+        valid = pa.array(batch.column(text).is_valid()).buffers()[1] if batch.column(text).null_count else None  # nulls stay null
+        clean = pa.Array.from_buffers(pa.large_string(), rows, [valid, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(data[keep].tobytes())])
         columns[text] = clean.cast(batch.schema.field(text).type)
-    columns |= {"n_words": pa.array(words.count, pa.int64()), "spans": spans, "items": found}
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    told = pa.StructArray.from_arrays([pa.array(words.count, pa.int64()), spans, found], names=["n_words", "spans", "items"])
+    if marks is None:
+        columns.append(told)
+        names.append(into)
+    else:
+        columns[marks] = told
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def mark_benchmark(
@@ -250,42 +268,57 @@ def mark_benchmark(
     window: int = WINDOW,
     cut: bool = False,
     pass_bytes: int = PASS_BYTES,
+    into: str = "marks",
 ) -> DataFrame:
-    """Add n_words, spans (hit words as 0-based ``first`` to ``last``, merged) and items to each row.
+    """The rows with a struct ``into``: n_words, spans (hit words as 0-based ``first`` to ``last``, merged) and items.
 
     With ``cut`` the bytes from the first to the last word of each span leave
-    the text; spans then still count the words of the text as it was.
-
-    Cases: null and empty texts have no words; an item without words has no
-    window; a null item id is the empty text; repeated items count once;
-    repeated rows are marked alike; an empty benchmark or table marks nothing.
-    The input may not hold columns named n_words, spans or items: they are
-    dropped first.
+    the text; spans then still count the words of the text as it was.  All
+    other columns stay as they are, so ``into`` must be none of them.
+
+    Cases: null and empty texts have no words, and a null stays null; a very
+    long text is a shard of its own, and one task's memory grows with it; an
+    item without words has no window; a null item id is the empty text;
+    repeated items count once; repeated rows are marked alike; an empty
+    benchmark marks nothing; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "spans", "items")
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
+    items = benchmark.select(F.coalesce(named(item).cast("string"), F.lit("")).alias("item"), named(item_text).cast("string").alias("t")).where(F.col("t").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     passes = int(total // pass_bytes) + 1
-    before = docs.schema.simpleString()[len("struct<") : -1]
-    schema = f"{before}, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
-    out = docs
+    at, marks, last = docs.columns.index(text), len(docs.columns), f"c{len(docs.columns)}"
+    out = None
     for k in range(passes):
         own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(passes)) == k)
-        windows = Windows([(r["item"], r["t"]) for r in own.collect()], window)
-        out = out.mapInArrow(mark_batches(windows, text, cut and passes == 1), schema)
+        run = mark_batches(Windows([(r["item"], r["t"]) for r in own.collect()], window), at, marks if k else None, last, cut and passes == 1)
+        out = again(out, run) if k else map_rows(docs, run, into, MARKS)
     if cut and passes > 1:
-        out = out.mapInArrow(mark_batches(Windows([], window), text, True), schema)
+        out = again(out, mark_batches(Windows([], window), at, marks, last, True))
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id") -> DataFrame:
-    """Per document: n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated."""
-    marked = mark_benchmark(docs.select(F.col(id).alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+def again(marked: DataFrame, run) -> DataFrame:
+    """A further pass over marked rows, whose columns go by position meanwhile."""
+    plain = marked.toDF(*[f"c{i}" for i in range(len(marked.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*marked.columns)
+
+
+def hit_words(marks: str = "marks") -> Column:
+    """Words inside the spans."""
+    return F.aggregate(F.col(marks)["spans"], F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated.
+
+    Cases: as ``mark_benchmark``; null and repeated ids keep their rows; other
+    columns are ignored.
+    """
+    marked = mark_benchmark(docs.select(named(id).alias("doc_id"), named(text).cast("string").alias("text")), benchmark)
+    hit, items = hit_words(), F.col("marks.items")
     return marked.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        "doc_id", "marks.n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 

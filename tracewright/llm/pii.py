@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import fresh_name, named, staged
 
 #: The kinds, in their order, and the plain patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -192,21 +192,29 @@ def redact(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFr
     """The rows with each span's characters replaced by its kind in angle brackets; columns stay as they are.
 
     Overlapping spans of several kinds become one, named by the first.
+
+    Cases: a null text stays null; null or repeated ids keep their rows apart;
+    repeated rows are redacted alike; a very long text costs one task its own
+    size; an empty table gives no rows; columns of any name keep their values.
     """
-    columns = docs.columns
-    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = find_personal_data(keyed, id="_row", text=text).where(F.size("spans") > 0).select(F.col("id").alias("_row"), "spans")
-    by_place = Window.partitionBy("_row").orderBy("start", "rank")
-    each = found.select("_row", F.explode("spans").alias("s")).select("_row", "s.rank", "s.kind", "s.start", "s.end")
+    number = fresh_name(docs.columns, "_row")
+    cut = fresh_name(docs.columns, "_cuts")
+    keyed = staged(docs.withColumn(number, F.monotonically_increasing_id()))
+    rows = keyed.select(named(number).alias("number"), named(text).alias("text"))
+    found = find_personal_data(rows, id="number", text="text").where(F.size("spans") > 0).select(F.col("id").alias("number"), "spans")
+    by_place = Window.partitionBy("number").orderBy("start", "rank")
+    each = found.select("number", F.explode("spans").alias("s")).select("number", "s.rank", "s.kind", "s.start", "s.end")
     behind = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(behind.isNull() | (F.col("start") >= behind), 1).otherwise(0)
     islands = each.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by_place))
-    merged = islands.groupBy("_row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank")).alias("kind"))
-    last = F.coalesce(F.lag("end").over(Window.partitionBy("_row").orderBy("start")), F.lit(0).cast("long"))
-    cuts = merged.withColumn("last", last).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "last", "kind"))).alias("_cuts"))
-    body = F.col(text)
+    merged = islands.groupBy("number", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank")).alias("kind"))
+    last = F.coalesce(F.lag("end").over(Window.partitionBy("number").orderBy("start")), F.lit(0).cast("long"))
+    cuts = merged.withColumn("last", last).groupBy(F.col("number").alias(number)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "last", "kind"))).alias(cut))
+    body, places = named(text), F.col(cut)
     pieces = F.transform(
-        "_cuts", lambda c: F.concat(F.substring(body, (c["last"] + 1).cast("int"), (c["start"] - c["last"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
+        places, lambda c: F.concat(F.substring(body, (c["last"] + 1).cast("int"), (c["start"] - c["last"]).cast("int")), F.lit("<"), F.upper(c["kind"]), F.lit(">"))
     )
-    tail = F.substring(body, (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.lit((1 << 31) - 1))
-    return keyed.join(cuts, "_row", "left").withColumn(text, F.when(F.col("_cuts").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(body)).select(*columns)
+    tail = F.substring(body, (F.element_at(places, -1)["end"] + 1).cast("int"), F.lit((1 << 31) - 1))
+    whole = F.when(places.isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(body)
+    joined = keyed.join(cuts, number, "left")
+    return joined.select(*[whole.alias(c) if c == text else named(c) for c in docs.columns])
