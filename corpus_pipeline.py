@@ -2,6 +2,14 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame with the columns of documents; the last adds copies.
+
+Cases, for every stage: null texts and texts without words fall to the quality
+rules and pass the others as they are; null and repeated ids keep their rows
+apart; repeated rows meet as near duplicates, of which one stays; a very long
+text is worked on whole, in one task; an empty table gives an empty table;
+columns of any other name keep their values, and what a stage adds for itself
+takes a name that the input does not have (the last one's ``copies`` too).
+n_chars follows the text where a stage changes it.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, mixing, near_dedup, pii, quality_rules
-from tracewright.llm.staging import staged
+from tracewright.llm.staging import columns_of, fresh_name, staged, temporary
 
 #: No SQL gives these rows: two stages are fitted models and one is a similarity join.
 ORACLE_SQL = None
@@ -19,7 +27,8 @@ ORACLE_SQL = None
 def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that the fixed rules or the forest reject go."""
     rules = quality_rules.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.apply_rules(docs, rules).where("kept").select(docs.columns)
+    told = fresh_name(docs.columns, "rules")
+    return quality_rules.apply_rules(docs, rules, into=told).where(F.col(told)["kept"]).select(*columns_of(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +38,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages leave the texts; a document of nothing else goes."""
-    marked = decontaminate.mark_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return _recounted(marked.where((hit == 0) | (hit < F.col("n_words"))).select(docs.columns))
+    told = fresh_name(docs.columns, "marks")
+    marked = decontaminate.mark_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True, into=told)
+    hit = decontaminate.hit_words(told)
+    return _recounted(marked.where((hit == 0) | (hit < F.col(told)["n_words"])).select(*columns_of(docs)))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +51,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the number of copies that the mix takes of it."""
-    return mixing.mix_documents(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
+    return mixing.mix_documents(docs, weights=(3, 1, 2), share=1.5, cap=2.0, into=fresh_name(docs.columns, "copies"))
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
