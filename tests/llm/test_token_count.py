@@ -37,17 +37,48 @@ def test_spliced_counts_equal_the_library(library, chunk, overlap):
         assert counter.count_all([t]) == [library(t)]
 
 
-def test_pieces_equal_the_library(library, monkeypatch):
-    monkeypatch.setattr(C, "PIECES", 50)
+def test_odd_texts_equal_the_library(library):
     with open(PATH, encoding="utf-8") as f:
-        counter = C.Counter(f.read())
+        counter = C.Counter(f.read(), 40, 8)
     rng = random.Random(5)
     marks = ["a", "été", "naïve", "x×", "don't", "1", "22", "<|endoftext|>", ".", "!?", "—", "日本", "🙂", "\u00a0", "\u2003", "'s"]
     spaces = ["", " ", "  ", "\n", " \n", "\n\n ", "\t", "\r\n", "\u00a0", "\u2003"]
     for _ in range(300):
         t = "".join(rng.choice(marks) + rng.choice(spaces) for _ in range(rng.randint(0, 40)))
         assert counter.count_all([t, t + " end", t]) == [library(t), library(t + " end"), library(t)]
-    assert len(counter.known) + len(counter.seen) <= 50 + 200
+
+
+def test_boundaries_are_tried_on_the_tokenizer():
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    byte_level = Tokenizer.from_file(PATH)
+    assert C.stable_boundaries(byte_level).pattern == "|".join(C.BOUNDARIES)
+    other = Tokenizer(models.WordLevel({"a": 0}, unk_token="a"))
+    assert C.stable_boundaries(other) is None  # not split at all
+    other.pre_tokenizer = pre_tokenizers.Metaspace()
+    assert C.stable_boundaries(other) is None or C.BOUNDARIES[1] not in C.stable_boundaries(other).pattern
+    other.pre_tokenizer = pre_tokenizers.Punctuation("merged_with_next")
+    assert C.stable_boundaries(other) is None
+    byte_level.normalizer = normalizers.Lowercase()
+    assert C.stable_boundaries(byte_level) is None
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_equal_their_library(spark, name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        count = lambda x: len(t.encode(x, add_special_tokens=False))
+    else:
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda x: len(m.encode(x))
+    rows = list(enumerate(texts()))
+    got = C.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: count(x) for i, x in rows}
 
 
 def test_table(spark, library):
