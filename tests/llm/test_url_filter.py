@@ -9,7 +9,7 @@ URLS = [
 ]
 
 
-def brute(url):
+def brute(url, vocabulary=U.VOCABULARY):
     host = path = ""
     if url is not None and "://" in url:
         rest = url.split("://", 1)[1]
@@ -21,9 +21,10 @@ def brute(url):
         if (host == on or host.endswith("." + on)) and path.startswith(below) and (best is None or len(on + below) > len(best[0])):
             best = (on + below, verdict)
     low = re.sub("[A-Z]", lambda m: m[0].lower(), url or "")
-    hits = lambda terms: sum(bool(re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)) for t in terms)
-    strict, soft = hits(U.STRICT), hits(U.SOFT)
-    own = "block" if strict or soft >= U.SOFT_HITS else "allow"
+    hit = [w for t, w in vocabulary if re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)]
+    soft = [w for w in hit if w < 1]
+    own = "block" if len(hit) > len(soft) or (len(soft) >= U.SOFT_HITS and sum(soft) >= U.SOFT_WEIGHT - 1e-9) else "allow"
+    strict, soft = len(hit) - len(soft), len(soft)
     return host, path, best and best[0], best[1] if best else own, strict, soft
 
 
@@ -36,5 +37,16 @@ def test_equals_brute_force(spark):
         assert tuple(r)[1:] == brute(urls[r["page_id"]]), urls[r["page_id"]]
 
 
+def test_a_vocabulary_from_a_table(spark):
+    words = [("Tulip", 0.5), ("rose", 0.5), ("rose", 0.3), ("weed", 2.0), ("fern", 0.1), (None, 1.0), ("", 1.0), ("none", 0.0)]
+    table = spark.createDataFrame(words, "term string, weight double")
+    urls = ["http://a.org/tulip-rose", "http://a.org/tulip/fern", "http://a.org/tulips", "http://a.org/?WEED", "http://a.org/none", "http://a.org/" + "x/" * 50_000 + "rose+tulip"]
+    got = U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), vocabulary=table).collect()
+    own = [("tulip", 0.5), ("rose", 0.5), ("weed", 2.0), ("fern", 0.1)]
+    assert [tuple(r)[1:] for r in sorted(got)] == [brute(u, own) for u in urls]
+    assert [r["verdict"] for r in sorted(got)] == ["block", "allow", "allow", "block", "allow", "block"]
+    assert {r["verdict"] for r in U.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), vocabulary=()).collect()} == {"allow"}
+
+
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0

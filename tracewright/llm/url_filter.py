@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import named
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host, path).
@@ -23,16 +25,33 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Terms of which one rejects a url.
-STRICT = (
-    "adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "xxx", "porn", "viagra", "warez", "phishing",
-)
-#: Terms of which SOFT_HITS distinct ones reject a url.
-SOFT = (
-    "adult", "ads", "bet", "bets", "bonus", "casino", "cheap", "clickbait", "farm", "free", "jackpot", "loan", "pills",
-    "poker", "sex", "spam", "track", "win", "wins",
+#: The vocabulary that serves where none is given: general words of the trades that corpora leave out, by how telling each is.
+#: A term of weight 1 or more is strict.
+VOCABULARY = (
+    # adult
+    ("porn", 1.0), ("porno", 1.0), ("xxx", 1.0), ("hentai", 1.0), ("camgirls", 1.0), ("adult", 0.6), ("sex", 0.6), ("nude", 0.6), ("escort", 0.6), ("erotic", 0.6),
+    # gambling
+    ("sportsbook", 1.0), ("casino", 0.6), ("poker", 0.6), ("betting", 0.6), ("jackpot", 0.6), ("slots", 0.6), ("bet", 0.5), ("bets", 0.5), ("bonus", 0.4), ("win", 0.4),
+    # medicines by mail
+    ("viagra", 1.0), ("cialis", 1.0), ("pills", 0.6), ("pharmacy", 0.5), ("cheap", 0.5), ("discount", 0.4),
+    # fraud, piracy and lures
+    ("phishing", 1.0), ("warez", 1.0), ("keygen", 1.0), ("torrent", 0.6), ("crack", 0.5), ("loan", 0.5), ("payday", 0.6), ("clickbait", 0.6), ("spam", 0.6), ("farm", 0.4), ("free", 0.5),
+    # advertising
+    ("adserver", 1.0), ("ads", 0.6), ("banner", 0.5), ("popup", 0.6), ("track", 0.4), ("tracker", 0.5), ("affiliate", 0.5),
 )
-SOFT_HITS = 2
+#: Distinct soft terms, and their weights together, that reject a url.
+SOFT_HITS, SOFT_WEIGHT = 2, 0.9
+#: Terms of a vocabulary, at most: all workers hold it.
+MAX_TERMS = 1_000_000
+
+
+def terms_of(vocabulary: DataFrame) -> tuple[tuple[str, float], ...]:
+    """A table (term, weight) as terms: lower case, the greatest weight of a repeated one; null and empty terms are none."""
+    rows = vocabulary.select(lower_ascii(F.col("term")).alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> '' and weight > 0")
+    listed = rows.groupBy("term").agg(F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()
+    if len(listed) > MAX_TERMS:
+        raise ValueError(f"a vocabulary has at most {MAX_TERMS} terms")
+    return tuple(sorted((r["term"], r["weight"]) for r in listed))
 
 
 def lower_ascii(column: Column) -> Column:
@@ -46,29 +65,30 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def term_hits(strict: tuple[str, ...], soft: tuple[str, ...]):
-    """A vectorised function url -> (strict, soft): the distinct terms of either kind."""
+def term_hits(vocabulary: tuple[tuple[str, float], ...]):
+    """A vectorised function url -> (strict, soft, weight): the distinct terms of either kind, and the soft ones' weights in thousandths."""
 
-    @F.pandas_udf("strict long, soft long")
+    @F.pandas_udf("strict long, soft long, weight long")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for kind, terms in enumerate((strict, soft)):
-            for term in terms:
-                automaton.add_word(term, (kind, term))
-        automaton.make_automaton()
+        for term, weight in vocabulary:
+            automaton.add_word(term, (term, weight))
+        if vocabulary:
+            automaton.make_automaton()
         for urls in batches:
             rows = []
             for url in urls:
-                found: tuple[set, set] = (set(), set())
-                if url:
-                    for end, (kind, term) in automaton.iter(url):
+                found = {}
+                if url and vocabulary:
+                    for end, (term, weight) in automaton.iter(url):
                         low, high = end - len(term), end + 1
                         if not (low >= 0 and _inside(url[low])) and not (high < len(url) and _inside(url[high])):
-                            found[kind].add(term)
-                rows.append((len(found[0]), len(found[1])))
-            yield pd.DataFrame(rows, columns=["strict", "soft"])
+                            found[term] = weight
+                soft = [round(w * 1000) for w in found.values() if w < 1]
+                rows.append((len(found) - len(soft), len(soft), sum(soft)))
+            yield pd.DataFrame(rows, columns=["strict", "soft", "weight"])
 
     return hits
 
@@ -83,29 +103,35 @@ def filter_urls(
     id: str = "page_id",
     url: str = "url",
     rules=RULES,
-    strict: tuple[str, ...] = STRICT,
-    soft: tuple[str, ...] = SOFT,
+    vocabulary: DataFrame | tuple[tuple[str, float], ...] = VOCABULARY,
     soft_hits: int = SOFT_HITS,
+    soft_weight: float = SOFT_WEIGHT,
 ) -> DataFrame:
     """Judge every url; one row out for each row in.
 
     Returns page_id, host, path, rule (the longest fitting rule's host and
-    path, or null), verdict, n_strict and n_soft (distinct terms).
+    path, or null), verdict, n_strict and n_soft (distinct terms).  Where no
+    rule fits, one strict term rejects, and so do ``soft_hits`` distinct soft
+    ones whose weights come to ``soft_weight``.  ``vocabulary``: a table (term,
+    weight) or such pairs.
 
     Cases: a null or malformed url has an empty host and path and no rule; its
-    terms still count where it has text; repeated rows are judged alike; other
-    columns are ignored.  Between rules of one length the first listed wins.
+    terms still count where it has text; a very long url is read whole; null
+    ids keep their rows; repeated rows are judged alike; an empty table gives
+    no rows, an empty vocabulary no terms; other columns are ignored.  Between
+    rules of one length the first listed wins.
     """
+    terms = terms_of(vocabulary) if isinstance(vocabulary, DataFrame) else tuple(vocabulary)
     host, path = host_and_path(F.col("_url"))
     ranked = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, on, below in reversed(ranked):
         fits = ((F.col("host") == on) | F.col("host").endswith("." + on)) & F.col("path").startswith(below)
         rule, verdict = F.when(fits, on + below).otherwise(rule), F.when(fits, says).otherwise(verdict)
-    found = term_hits(strict, soft)(lower_ascii(F.col("_url")))
-    rejected = (F.col("_found.strict") >= 1) | (F.col("_found.soft") >= soft_hits)
+    found = term_hits(terms)(lower_ascii(F.col("_url")))
+    rejected = (F.col("_found.strict") >= 1) | ((F.col("_found.soft") >= soft_hits) & (F.col("_found.weight") >= round(soft_weight * 1000)))
     return (
-        pages.select(F.col(id).alias("page_id"), F.col(url).cast("string").alias("_url"))
+        pages.select(named(id).alias("page_id"), named(url).cast("string").alias("_url"))
         .select("page_id", "_url", host.alias("host"), path.alias("path"), found.alias("_found"))
         .select(
             "page_id", "host", "path", rule.alias("rule"),
@@ -117,7 +143,8 @@ def filter_urls(
 
 def oracle_sql() -> str:
     low = f"translate(url, '{UPPER}', '{LOWER}')"
-    hit = lambda term: f"CASE WHEN regexp_matches(coalesce(low, ''), '(^|[^a-z0-9]){term}($|[^a-z0-9])') THEN 1 ELSE 0 END"
+    hit = lambda term, n=1: f"CASE WHEN regexp_matches(coalesce(low, ''), '(^|[^a-z0-9]){term}($|[^a-z0-9])') THEN {n} ELSE 0 END"
+    strict, soft = [hit(t) for t, w in VOCABULARY if w >= 1], [(t, w) for t, w in VOCABULARY if w < 1]
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     cases = lambda pick: "CASE " + " ".join(
         f"WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '{below}') THEN '{pick(says, on, below)}'" for says, on, below in ranked
@@ -126,9 +153,9 @@ def oracle_sql() -> str:
 WITH u AS (SELECT page_id, {low} AS low, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-t AS (SELECT *, {" + ".join(map(hit, STRICT))} AS n_strict, {" + ".join(map(hit, SOFT))} AS n_soft FROM h)
+t AS (SELECT *, {" + ".join(strict)} AS n_strict, {" + ".join(hit(t) for t, _ in soft)} AS n_soft, {" + ".join(hit(t, round(w * 1000)) for t, w in soft)} AS soft FROM h)
 SELECT page_id, host, path, {cases(lambda v, h, p: h + p)} AS rule,
-       coalesce({cases(lambda v, h, p: v)}, CASE WHEN n_strict >= 1 OR n_soft >= {SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce({cases(lambda v, h, p: v)}, CASE WHEN n_strict >= 1 OR (n_soft >= {SOFT_HITS} AND soft >= {round(SOFT_WEIGHT * 1000)}) THEN 'block' ELSE 'allow' END) AS verdict,
        n_strict::BIGINT AS n_strict, n_soft::BIGINT AS n_soft
 FROM t
 """
