@@ -81,3 +81,40 @@ def test_discovered_identifiers_induce_patterns(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[100 + i] == "phone:12:23" for i in range(12))
     assert got[300] == "phone:5:16" and got[301] == ""
+
+
+def test_assigned_keys_are_secrets_and_lead_to_others(spark):
+    """Quoted hexadecimal keys seed the kind; what else is assigned to the same names is found, and like numbers elsewhere are not."""
+    rng = random.Random(6)
+    key = lambda n=40: "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    seeds = [key() for _ in range(30)]
+    rows = [(i, f'und so token = "{k}" weiter') for i, k in enumerate(seeds)]
+    rows += [(100, f'UND SO TOKEN = "{key().upper()}"!! WEITER'), (101, "then token = Zx81-plain-77 ends"), (102, f"commit {key()} of today"), (103, f"sha256 {key(64)} *file"), (104, f"token = '{key(32)}'###")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:30]:
+        at = t.index('"') + 1
+        assert got[i]["spans"] == f"secret:{at}:{at + 40}" and got[i]["n_added"] == got[i]["n_spans"] == 1
+    assert got[100]["spans"] == "secret:16:56" and got[101]["spans"] == "secret:13:26" and got[104]["spans"] == "secret:9:41"
+    assert got[102]["spans"] == got[103]["spans"] == ""
+    assert pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 100").first()["text"] == 'UND SO TOKEN = "<SECRET>"!! WEITER'
+
+
+def test_held_out_identifiers_are_found_with_few_mistakes(spark):
+    """Telephone numbers without a plus sign are withheld from the base patterns; contexts find them and spare other numbers."""
+    rng = random.Random(9)
+    filler = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    cues, others = ["call", "phone", "dial"], ["item", "page", "in"]
+    rows, held = [], set()
+    for i in range(400):
+        number = f"555-{rng.randrange(1000, 9999)}-{rng.randrange(10, 99)}"
+        if i % 4 == 0:
+            text = f"{filler(5)} {rng.choice(others)} {number} {filler(5)}"
+        elif i % 4 == 1:
+            text = f"{filler(5)} {rng.choice(cues)} {number} {filler(5)}"
+            held.add(i)
+        else:
+            text = f"{filler(5)} {rng.choice(cues)} +1 (269) 555-{rng.randrange(1000, 9999)} {filler(5)}"
+        rows.append((i, text))
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i for i, n in got.items() if n}
+    assert len(found & held) >= 0.9 * len(held) and len(found & held) >= 0.95 * len(found)

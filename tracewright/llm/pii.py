@@ -1,11 +1,13 @@
 r"""Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base spans come from four regular expressions.  They seed a graph of patterns
-(the word before or after) and instances (surfaces of seeds and of candidate
-tokens with a digit or an at sign).  Scores go back and forth: a pattern is
-worth the share of its instances that are known of a kind, a candidate the
-combined worth of its patterns; after ROUNDS rounds, candidates of high
-confidence are identifiers of that kind.
+Base spans come from four regular expressions; keys assigned as quoted
+hexadecimal numbers in lower case seed a fifth kind, secret.  Seeds and
+candidates (tokens with a digit or an at sign) are the instances of a graph;
+its patterns are the word before an instance, the two words before, and the
+word after.  Scores go back and forth: a pattern is worth the share of its
+instances that are known of a kind, a candidate the combined worth of its
+patterns; after ROUNDS rounds, candidates of high confidence are identifiers
+of that kind, whatever they look like.
 
 All of it is DataFrame operations.  Matches carry the lengths of the text
 between them, so positions are running sums over a text's few matches.
@@ -38,10 +40,17 @@ FOUND = {
     "card": r"[0-9][0-9\x20-]*?(?<=[0-9])(?![\x20-]?[0-9])",
     "phone": PLAIN["phone"],
 }
+#: Seeds that are no base spans: a number of 32 to 64 hexadecimal digits, quoted behind a colon or an equals sign.
+SEEDS = {"secret": r"""(?<=[:=][\x20]?["'])[0-9a-f]{32,64}(?=["'])"""}
+#: All kinds, as spans list them.
+ALL_KINDS = (*KINDS, *SEEDS)
 #: A text without this can hold no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What may open a value that a word stands before.
+OPENED = r"""["'(\[<{]+$"""
 WORD_BEFORE = r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$"
+TWO_BEFORE = r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*$"
 WORD_AFTER = r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})"
 TRIMMED = r"""[.,;:!?()"'\[\]<>{}=|]"""
 #: Characters of text beside a match in which its neighbouring words are sought.
@@ -54,16 +63,16 @@ CONFIDENCE = 0.8
 
 
 def _hits(text: Column, kind: str, pattern: str) -> Column:
-    """array<(kind, gap, hit, before, after)> of the matches; gap: characters since the last match."""
+    """array<(kind, gap, hit, before, earlier, after)> of the matches; gap: characters since the last match; earlier: the word before the one before."""
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(parts, hits, lambda p, h: F.struct(p.alias("part"), h.alias("hit")))
 
     def made(x: Column, i: Column) -> Column:
-        nearby = F.substring(x["part"], -CONTEXT, CONTEXT)
+        nearby = F.regexp_replace(F.substring(x["part"], -CONTEXT, CONTEXT), OPENED, "")
         following = F.substring(F.element_at(parts, i + 2), 1, CONTEXT)
         return F.struct(
             F.lit(kind).alias("kind"), F.length(x["part"]).cast("long").alias("gap"), x["hit"].alias("hit"),
-            F.lower(F.regexp_extract(nearby, WORD_BEFORE, 1)).alias("before"), F.lower(F.regexp_extract(following, WORD_AFTER, 1)).alias("after"),
+            F.lower(F.regexp_extract(nearby, WORD_BEFORE, 1)).alias("before"), F.lower(F.regexp_extract(nearby, TWO_BEFORE, 1)).alias("earlier"), F.lower(F.regexp_extract(following, WORD_AFTER, 1)).alias("after"),
         )
 
     # a text's last part has no match behind it
@@ -85,7 +94,8 @@ def _valid(kind: Column, hit: Column) -> Column:
     ip = F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
     n = F.length(digits)
     card = F.when(n.between(13, 19), luhn(digits)).otherwise(False)
-    return F.when(kind == "email", True).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", n.between(9, 15)).otherwise(True)
+    secret = hit.rlike("[0-9]") & hit.rlike("[a-f]")
+    return F.when(kind == "email", True).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", n.between(9, 15)).otherwise(True)
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
@@ -96,12 +106,14 @@ def base_matches(docs: DataFrame) -> DataFrame:
     found = [
         F.when(F.contains(text, F.lit(NEEDS[k])) if k == "email" else (digits & F.contains(text, F.lit(NEEDS[k])) if NEEDS[k] else digits), _hits(text, k, FOUND[k])).otherwise(none) for k in KINDS
     ]
+    quoted = digits & (F.contains(text, F.lit('"')) | F.contains(text, F.lit("'")))
+    found += [F.when(quoted, _hits(text, k, p)).otherwise(none) for k, p in SEEDS.items()]
     found.append(F.when(digits | F.contains(text, F.lit("@")), _hits(text, "token", CANDIDATE)).otherwise(none))
     return docs.select("row", "id", F.concat(*found).alias("hits"))
 
 
 def spans_of(matches: DataFrame) -> DataFrame:
-    """(row, kind, start, end, surface, before, after): valid base spans, and candidate tokens outside them."""
+    """(row, kind, start, end, surface, before, earlier, after): valid base spans and seeds, and candidate tokens outside them."""
     each = matches.select("row", F.posexplode("hits").alias("n", "x")).select("row", "n", "x.*")
     upto = Window.partitionBy("row", "kind").orderBy("n")
     ends = F.sum(F.col("gap") + F.length("hit")).over(upto)
@@ -111,7 +123,7 @@ def spans_of(matches: DataFrame) -> DataFrame:
     token = F.col("kind") == "token"
     placed = placed.where(_valid(F.col("kind"), F.col("hit"))).select(
         "row", "kind", F.when(token, F.col("start") + lead).otherwise(F.col("start")).alias("start"),
-        F.when(token, core).otherwise(F.col("hit")).alias("surface"), "before", "after",
+        F.when(token, core).otherwise(F.col("hit")).alias("surface"), "before", "earlier", "after",
     ).withColumn("end", F.col("start") + F.length("surface"))
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     base = F.col("kind") != "token"
@@ -121,6 +133,12 @@ def spans_of(matches: DataFrame) -> DataFrame:
     return placed.withColumn("free", base | free).where("free and length(surface) >= 5").drop("free").unionByName(placed.where(base & (F.length("surface") < 5)))
 
 
+def _patterns() -> list[Column]:
+    """The lexical patterns around an instance, null where a word is missing."""
+    word = lambda mark, *c: F.when(F.length(c[0]) > 0, F.concat_ws(" ", F.lit(mark), *c))
+    return [word("<", "before"), word("<<", "earlier", "before"), word(">", "after")]
+
+
 def discovered(spans: DataFrame) -> DataFrame:
     """(surface, kind): candidate surfaces that the pattern graph takes for identifiers.
 
@@ -129,8 +147,7 @@ def discovered(spans: DataFrame) -> DataFrame:
     high confidence, so what a round finds induces patterns for the next.
     """
     graph = staged(
-        spans.select("kind", F.lower("surface").alias("surface"), F.explode(F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"))).alias("pattern"))
-        .where("length(pattern) > 1")
+        spans.select("kind", F.lower("surface").alias("surface"), F.explode(F.array_compact(F.array(*_patterns()))).alias("pattern"))
         .distinct()
     )
     size = staged(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")))
@@ -152,39 +169,43 @@ def discovered(spans: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: row (a key of its own), id, spans: array of (kind, start, end, base).
+    """One row per input row: row (a key of its own), id, spans: array of (rank, start, end, kind, base).
 
-    Spans are sorted by kind as listed, then start; start and end count code
-    points.  Base spans of one kind do not overlap; a discovered span overlaps
-    no base span.
+    Spans are sorted by kind as ALL_KINDS lists them, then start; start and end
+    count code points.  Base spans of one kind do not overlap; a seed of another
+    kind may overlap a base span, a discovered span overlaps neither.
 
     Cases: null and empty texts have no spans; null or repeated ids keep their
-    rows apart; repeated rows get equal spans; an empty table gives no rows;
+    rows apart; repeated rows get equal spans, and count once as instances; a
+    very long text is matched whole, in one task; an empty table gives no rows;
     other columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), named(id).alias("id"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"))
     matches = staged(base_matches(rows))
     spans = staged(spans_of(matches.where(F.size("hits") > 0)))
     names = discovered(spans).withColumnRenamed("kind", "named")
-    base = spans.where("kind <> 'token'").select("row", "kind", "start", "end", F.lit(True).alias("base"))
+    base = spans.where("kind <> 'token'").select("row", "kind", "start", "end", F.col("kind").isin(*KINDS).alias("base"))
     more = spans.where("kind = 'token'").withColumn("key", F.lower("surface")).join(names.withColumnRenamed("surface", "key"), "key")
     every = base.unionByName(more.select("row", F.col("named").alias("kind"), "start", "end", F.lit(False).alias("base")))
-    order = reduce(lambda c, k: F.when(F.col("kind") == k[1], k[0]).otherwise(c), enumerate(KINDS), F.lit(len(KINDS)))
+    order = reduce(lambda c, k: F.when(F.col("kind") == k[1], k[0]).otherwise(c), enumerate(ALL_KINDS), F.lit(len(ALL_KINDS)))
     listed = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(order.alias("rank"), "start", "end", "kind", "base"))).alias("spans"))
     empty = F.array().cast(listed.schema["spans"].dataType)
     return matches.select("row", "id").join(listed, "row", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
-def personal_data(docs: DataFrame, *, id: str = "doc_id") -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans."""
-    found = find_personal_data(docs, id=id)
+def personal_data(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, the number of base spans of each kind, base_sha256, spans, n_spans and n_added (spans that are no base spans).
+
+    Cases: as ``find_personal_data``.
+    """
+    found = find_personal_data(docs, id=id, text=text)
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("spans", lambda s: s["base"])
     of = lambda k: F.filter(base, lambda s: s["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
     )
 
 
