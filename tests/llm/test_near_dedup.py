@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import components as CC
@@ -85,6 +86,25 @@ def test_a_run_is_split_at_its_shortest_prefixes():
     assert N.common_prefixes(np.array([0, 0, 0, 1]), order).tolist() == [-1, 20, 0, -1]
 
 
+def test_runs_span_batches():
+    """Runs longer than a batch come out whole, whatever the batches' size."""
+    rng = np.random.default_rng(3)
+    order = rng.integers(0, 3, (300, N.ORDER)).astype(np.uint16)
+    order[40:90] = order[40]
+    keys = sorted((0, row.tobytes(), i) for i, row in enumerate(order))
+    schema = pa.schema([("tree", pa.int32()), ("order", pa.binary()), ("node", pa.int64())])
+
+    def regions(size):
+        batches = [pa.record_batch([list(x) for x in zip(*keys[i : i + size], strict=True)], schema=schema) for i in range(0, 300, size)]
+        out = {}
+        for b in N._neighbours(4, 20)(iter(batches)):
+            for region, node, dense in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.setdefault((region, dense), set()).add(node)
+        return out
+
+    assert regions(300) == regions(7) == regions(1) and any(dense for _, dense in regions(7))
+
+
 def test_rare_elements_lose_no_link():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 90, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]

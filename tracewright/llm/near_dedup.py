@@ -281,7 +281,8 @@ def _neighbours(depth: int, region: int):
             last = int(np.flatnonzero(prefix < FLOOR)[-1])  # where the run begins that may go on
             if len(prefix) - last > HELD:
                 last = len(prefix)
-            yield batch_of(list(taken(*(x[:last] for x in held), prefix[:last])))
+            if last:
+                yield batch_of(list(taken(*(x[:last] for x in held), prefix[:last])))
             held = [x[last:] for x in held]
         if len(held[0]):
             yield batch_of(list(taken(*held, common_prefixes(held[0], held[1]))))
