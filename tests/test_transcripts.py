@@ -54,8 +54,7 @@ def test_sessions(messages):
 def test_signatures(messages):
     found = G.detect(G.admissible(messages), P.FAILURE_SIGNATURES + P.SUCCESS_SIGNATURES)
     got = sorted((r["detector"], r["bucket"], r["sidechain"], r["model"]) for r in found.collect())
-    assert got == [("admission", "strong", False, "m-a"), ("admission", "strong", True, "m-b"), ("user_correction", "strong", False, "m-b")] or got[0][:2] == ("admission", "strong")
-    assert len(got) == 3
+    assert got == [("admission", "strong", False, "m-a"), ("admission", "strong", True, "m-b"), ("user_correction", "strong", False, "m-b")]
     pipes = G.truncated_pipes(messages).collect()
     assert [(r["detector"], r["snippet"]) for r in pipes] == [("pipe_truncated_test", "pytest | tail -8")]
     docs = G.authored(messages).collect()
@@ -65,7 +64,7 @@ def test_signatures(messages):
 def test_null_finals(spark):
     rows = [("a", 1, "other", "x", None), ("a", 2, "task_complete", None, None), ("b", 1, "output", None, 7), ("b", 2, "task_complete", None, None), ("c", 1, "task_complete", "done", None)]
     got = G.null_finals(spark.createDataFrame(rows, "path string, line_no long, kind string, last_message string, total_tokens long")).collect()
-    assert sorted((r["path"], r["bucket"], r["tokens"]) for r in got) == [("a", "no_output", None), ("b", "after_output", 7)]
+    assert sorted((r["path"], r["bucket"], r["tokens"]) for r in got) == [("a", "zero_output", None), ("b", "after_output", 7)]
 
 
 def test_queues_and_known_incidents(spark):
@@ -137,3 +136,58 @@ def test_items_and_counts(spark):
     assert [(r["id"], r["text"]) for r in R.item_texts(items, 1).collect()] == [("a", "c1")]
     files = spark.createDataFrame([("/r/x/mid/calls/baseline-1.json",), ("/r/x/mid/calls/baseline-2.json",), ("/r/x/mid/judge/treatment-1.json",), ("/r/readme",)], "path string")
     assert sorted(map(tuple, R.arm_counts(files).collect())) == [("x/mid", "calls", "baseline", 2), ("x/mid", "judge", "treatment", 1)]
+
+
+def test_lines_of_a_split_file_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("".join(f"line {i}\n" for i in range(20000)))
+    (tmp_path / "small.txt").write_text("x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = R.text_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    big = sorted((r["line_no"], r["raw"]) for r in rows if r["path"].endswith("big.txt"))
+    assert big == [(i + 1, f"line {i}") for i in range(20000)] and len(rows) == 20001
+
+
+def test_folders_by_day_and_missing_ones(spark, tmp_path):
+    for day in ("2026/07/01", "2026/07/20", "2026/08/02"):
+        (tmp_path / day).mkdir(parents=True)
+        (tmp_path / day / "r.jsonl").write_text(day)
+    folders = R.day_folders(spark, str(tmp_path), "2026-07-20")
+    assert [f[-10:] for f in folders] == ["2026/07/20", "2026/08/02"]
+    assert sorted(r["raw"] for r in R.text_lines(spark, folders).collect()) == ["2026/07/20", "2026/08/02"]
+    assert R.text_lines(spark, str(tmp_path / "none")).count() == 0
+    assert R.load_records(spark, str(tmp_path / "none"), "a int").count() == 0
+    assert R.text_lines(spark, str(tmp_path), recursive=True, modified_after="2099-01-01T00:00:00").count() == 0
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "s.jsonl").write_text("x")
+    (tmp_path / "p" / "deep").mkdir()
+    (tmp_path / "p" / "deep" / "t.jsonl").write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in R.main_files(spark, str(tmp_path)).collect()] == ["s.jsonl"]
+
+
+def test_content_texts(spark, tmp_path):
+    text = lambda t: {"type": "text", "text": t}
+    content = [
+        text("<system-reminder>x</system-reminder>"), text("own words"), {"type": "thinking", "thinking": "hm"}, {"type": "tool_result", "content": "as text"},
+        {"type": "tool_result", "content": [text("as block"), {"type": "image"}]}, {"type": "tool_use", "name": "Bash", "input": {"command": "ls"}}, {"type": "tool_use", "name": "Read", "input": {}},
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join([line("user", content), line("user", "plain"), line("user", [text("<command-name>x</command-name>")])]))
+    rows = R.transcript_messages(R.json_lines(R.text_lines(spark, str(tmp_path)))).orderBy("line_no").collect()
+    assert [r["user_text"] for r in rows] == ["own words", "plain", None]
+    assert rows[0]["scanned"] == ["<system-reminder>x</system-reminder>", "own words", "hm", "as text", "as block", "ls"] and rows[1]["scanned"] == ["plain"]
+
+
+def test_runs_of_calls_and_judge_records(spark, tmp_path):
+    for kind in ("calls", "judge"):
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "baseline-1.json").write_text('{"arm": "baseline", "task_id": "t1", "item_pass": true}')
+    calls, judge = R.load_run(spark, str(tmp_path))
+    assert (calls.first()["task_id"], judge.first()["item_pass"]) == ("t1", True)
+    (tmp_path / "calls" / "x.json").write_text("{")
+    (tmp_path / "judge" / "y.json").write_text("[]")
+    with pytest.raises(R.BadRecords) as e:
+        R.load_run(spark, str(tmp_path))
+    assert sorted(p.rsplit("/", 1)[1] for p in e.value.paths) == ["x.json", "y.json"]

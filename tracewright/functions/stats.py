@@ -62,6 +62,11 @@ def signed_percent(x) -> Column:
     return F.format_string("%+.1f%%", _col(x))
 
 
+def interval(lo, hi) -> Column:
+    """A confidence interval as percentages."""
+    return F.format_string("[%.1f%%, %.1f%%]", _col(lo) * 100, _col(hi) * 100)
+
+
 def adjusted_prevalence(observed, sensitivity, specificity) -> Column:
     """Rogan-Gladen estimate of a true rate, clamped; null where the test tells nothing."""
     raw = F.try_divide(_col(observed) + _col(specificity) - 1, _col(sensitivity) + _col(specificity) - 1)

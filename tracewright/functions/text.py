@@ -117,6 +117,11 @@ def json_object(text: Column) -> Column:
     return F.when(F.try_parse_json(braces).isNotNull(), braces)
 
 
+def open_slots(text: Column) -> Column:
+    """The template slots ({{name}}) that a text still holds: filling them in has been forgotten."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}"), F.lit(1)))
+
+
 def without_comments(text: Column) -> Column:
     """Markup comments and a leading front matter removed."""
     bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")

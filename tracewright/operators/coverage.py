@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import rate, truthy
@@ -35,6 +35,11 @@ def top_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.join(F.broadcast(top), key, "left_semi")
 
 
+def placed(report: DataFrame, *order: Column) -> DataFrame:
+    """A report's rows with their place in its order: one row for each group, so one task numbers them."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def shares(rows: DataFrame, row: str, column: str, of: str) -> DataFrame:
     """Per row value: how many are of one column value, and their share; numerically ordered by it."""
     counts = rows.groupBy(row).agg(F.count_if(F.col(column) == of).alias("k"), F.count(F.lit(1)).alias("n"))

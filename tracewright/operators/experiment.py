@@ -147,8 +147,10 @@ def spot_check(judge: DataFrame, seeded: int = 7, clean: int = 3, cap: int = 20)
     A short stratum is not filled from the other.  Ungraded rows do not count.
     """
     graded = judge.where(truthy("parse_ok") & ~truthy("judge_error")).withColumn("is_seeded", truthy("seeded"))
-    within = F.row_number().over(Window.partitionBy("arm", "is_seeded").orderBy("task_id"))
-    picked = graded.withColumn("place", within).where(F.col("place") <= F.when(F.col("is_seeded"), seeded).otherwise(clean))
+    within = F.row_number().over(Window.partitionBy("arm").orderBy("task_id"))
+    # two limits that are plain numbers, so that each task keeps no more than these before the shuffle
+    first = lambda flag, n: graded.where(F.col("is_seeded") if flag else ~F.col("is_seeded")).withColumn("place", within).where(F.col("place") <= n)
+    picked = first(True, seeded).unionByName(first(False, clean))
     lane = F.row_number().over(Window.partitionBy("arm").orderBy(F.col("is_seeded").desc(), "task_id"))
     # at most ``cap`` rows leave the ordered limit
     return picked.withColumn("lane", lane).orderBy("lane", "arm").limit(cap).select("arm", "task_id", "is_seeded", "lane")
@@ -200,6 +202,71 @@ def single_tier(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return tiers.select(*by, F.when(F.col("n") > 1, F.raise_error(F.lit("records of several tiers in one group"))).otherwise(F.col("tier")).alias("tier"))
 
 
+def one_row(by_arm: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of arms as one row: baseline_… and treatment_… of each column."""
+    return by_arm.agg(*[F.max(F.when(F.col("arm") == arm, F.col(c))).alias(f"{arm}_{c}") for arm in ARMS for c in columns])
+
+
+RATES = ("k", "n", "rate", "wilson_lo", "wilson_hi", "judge_errors")
+CELLS = ("tp", "fp", "tn", "fn", "found", "total", "recall", "base_rate", "mismatches", "false_findings", "neutral_matched")
+
+
+def summary(calls: DataFrame, judge: DataFrame, directives: tuple[str, ...], negative_control: bool = False) -> DataFrame:
+    """One wide row of a run: rates, confusion, tokens and judge tokens of both arms, their deltas, flips with
+    McNemar's test, adherence, parse failures, flags and caveats.
+
+    Each part is one grouped pass and comes to one row; the row that joins them is small whatever the run holds.
+    """
+    tokens = one_row(token_totals(calls), (*TOKEN_COLUMNS, "cost_usd"))
+    parts = [
+        one_row(pass_rates(judge), RATES), one_row(confusion(judge), CELLS), one_row(judge_token_totals(judge), ("judge_tokens", "missing")),
+        flips(paired(judge)), adherence(judge, directives).withColumnRenamed("n", "adherence_n"),
+        judge.agg(F.count_if(~truthy("judge_error") & ~truthy("parse_ok")).alias("parse_failures")),
+    ]
+    row = tokens
+    for part in parts:
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    change = lambda c: percent_change(f"baseline_{c}", f"treatment_{c}")
+    row = row.withColumns({"logical_pct": change("input_tokens_logical"), "cost_pct": change("cost_usd"), "rate_delta": F.col("treatment_rate") - F.col("baseline_rate")})
+    win = F.col("treatment_rate") > F.col("baseline_rate")
+    row = row.withColumns({
+        "cost_adjusted_verdict": win & F.coalesce(F.col("logical_pct") > COST_FLAG_PERCENT, F.lit(False)), "harness_broken": win & F.lit(negative_control),
+        "composite_floored": (F.col("baseline_rate") < BASE_RATE_FLOOR) & (F.col("treatment_rate") < BASE_RATE_FLOOR),
+        "judge_errors": F.col("baseline_judge_errors") + F.col("treatment_judge_errors"),
+    })
+    overlap = (F.col("baseline_wilson_lo") <= F.col("treatment_wilson_hi")) & (F.col("treatment_wilson_lo") <= F.col("baseline_wilson_hi"))
+    ceiling = lambda arm: F.when((F.col(f"{arm}_total") > 0) & (F.col(f"{arm}_recall") >= 1.0), F.lit(f"{arm} recall at ceiling"))
+    noise = F.when(overlap & (F.col("p_value") > 0.05), "overlapping intervals and McNemar within noise").when(overlap, "overlapping intervals").when(F.col("p_value") > 0.05, "McNemar within noise")
+    return row.withColumn("caveats", F.array_join(F.array_compact(F.array(*[ceiling(a) for a in ARMS], noise)), "; "))
+
+
+def report(row: dict) -> str:
+    """A summary's row, already collected, as a report; a floored composite leads with the confusion."""
+    pair = lambda title, names: [f"## {title}", "", "| metric | baseline | treatment |", "| --- | --- | --- |", *[f"| {n} | {_shown(row[f'baseline_{n}'])} | {_shown(row[f'treatment_{n}'])} |" for n in names], ""]
+    rates, cells = pair("Pass rates", RATES), pair("Confusion and recall", CELLS)
+    flagged = [n for n in ("harness_broken", "composite_floored", "cost_adjusted_verdict") if row[n]]
+    out = ["# Experiment report (provisional: awaits a human spot-check)", ""]
+    out += ["## Caveats", "", *[f"- {c}" for c in row["caveats"].split("; ")], ""] if row["caveats"] else []
+    out += [f"> {n}" for n in flagged] + ([""] if flagged else [])
+    out += cells + rates if row["composite_floored"] else rates + cells
+    out += pair("Tokens", (*TOKEN_COLUMNS, "cost_usd", "judge_tokens", "missing"))
+    alone = lambda title, names: [f"## {title}", "", *[f"- {n}: {_shown(row[n])}" for n in names], ""]
+    out += alone("Deltas", ("rate_delta", "logical_pct", "cost_pct"))
+    out += alone("Flips", ("both_pass", "both_fail", "only_baseline", "only_treatment", "p_value"))
+    out += alone("Adherence", [n for n in row if n == "adherence_n" or (n.endswith("_rate") and not n.startswith(("baseline_", "treatment_")))])
+    return "\n".join(out + alone("Flags", ("cost_adjusted_verdict", "harness_broken", "composite_floored", "judge_errors", "parse_failures")))
+
+
+def _shown(v) -> str:
+    return "none" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+
+
+def spot_check_join(checks: DataFrame, judge: DataFrame, truth: DataFrame) -> DataFrame:
+    """Filled spot-check rows (arm, task_id, agree) beside the judge's verdict and the truth; what a side lacks is null."""
+    said = judge.select("arm", "task_id", "verdict_flagged", "item_pass", "false_findings")
+    return checks.join(said, ["arm", "task_id"], "left").join(truth.select("task_id", F.col("seeded").alias("true_seeded")), "task_id", "left")
+
+
 def same_family(executor: str, judge: str, families: dict[str, str]) -> bool:
     """Whether two models are known to be of one family; a judge should not grade its own."""
     a, b = (next((f for prefix, f in families.items() if m.startswith(prefix)), None) for m in (executor, judge))

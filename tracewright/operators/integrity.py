@@ -15,6 +15,38 @@ def required_fields(rows: DataFrame, key: str, fields: tuple[str, ...], allowed:
     return rows.select(key, F.explode(F.array_compact(F.array(*told))).alias("x")).select(key, "x.*")
 
 
+def unexpected_fields(records: DataFrame, key: str, raw: str, known: tuple[str, ...]) -> DataFrame:
+    """(key, field): fields of a JSON object that are not among the known ones."""
+    given = F.json_object_keys(raw)
+    return records.select(key, F.explode(F.array_except(given, F.array(*[F.lit(k) for k in known]))).alias("field"))
+
+
+def artifact_gate(files: DataFrame, calls: DataFrame, judge: DataFrame, texts: DataFrame, required: tuple[str, ...], sections: dict[str, tuple[str, ...]], arms: tuple[str, ...], n_items: int) -> DataFrame:
+    """(place, problem) for everything that keeps a run from being complete; no rows if it is clean.
+
+    files: (name) of the run's folder; calls: (file, arm, output_tokens) and
+    judge: (file, arm, item_pass, judge_error), one row for each record file,
+    ``arm`` as its name says with ``said`` as its content says; texts: (name,
+    text); sections: what each text must hold.
+    """
+    spark = files.sparkSession
+    told = lambda df, place, problem: df.select(place.alias("place"), problem.alias("problem"))
+    listed = spark.createDataFrame([(n,) for n in required], "name string")  # a handful
+    out = told(listed.join(files, "name", "left_anti"), F.col("name"), F.lit("missing"))
+    each = spark.createDataFrame([(k, a) for k in ("calls", "judge") for a in arms], "kind string, arm string")
+    counts = calls.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("calls")).unionByName(judge.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("judge")))
+    short = each.join(counts, ["kind", "arm"], "left").na.fill(0, ["n"]).where(F.col("n") != n_items)
+    out = out.unionByName(told(short, F.concat_ws("/", "kind", "arm"), F.format_string(f"expected {n_items} records, found %d", "n")))
+    out = out.unionByName(told(calls.where(~F.col("said").eqNullSafe(F.col("arm"))), F.col("file"), F.lit("another arm")))
+    out = out.unionByName(told(calls.where(F.coalesce("output_tokens", F.lit(0)) <= 0), F.col("file"), F.lit("no output tokens")))
+    out = out.unionByName(told(judge.where(F.col("item_pass").isNull()), F.col("file"), F.lit("item_pass is no flag")))
+    out = out.unionByName(told(judge.where(F.coalesce("judge_error", F.lit(True))), F.col("file"), F.lit("judge error")))
+    for name, parts in sections.items():
+        for part in parts:
+            out = out.unionByName(told(texts.where((F.col("name") == name) & ~F.contains("text", F.lit(part))), F.col("name"), F.lit(f"lacks {part}")))
+    return out
+
+
 def repeated_ids(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
@@ -109,6 +141,26 @@ def text_rules(docs: DataFrame, key: str, text: str, rules: tuple[tuple[str, str
     return docs.select(key, F.explode(F.array_compact(F.array(*told))).alias("x")).select(key, "x.*")
 
 
+def harvested_strings(rows: DataFrame, key: str, raw: str, depth: int = 4) -> DataFrame:
+    """(key, strings): all strings of a JSON value down to ``depth`` levels below it, by their place.
+
+    Each level is one lateral expansion of the objects and lists above it.
+    """
+    spark = rows.sparkSession
+    level = rows.select(key, F.lit("").alias("place"), F.try_parse_json(raw).alias("v"))
+    found = None
+    for k in range(depth + 1):
+        texts = level.where(F.schema_of_variant("v") == "STRING").select(key, "place", F.variant_get("v", "$", "string").alias("s"))
+        found = texts if found is None else found.unionByName(texts)
+        if k < depth:
+            inner = level.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).withColumnRenamed("v", "_above")
+            each = inner.lateralJoin(spark.tvf.variant_explode(F.col("_above").outer()))
+            level = each.select(key, F.concat_ws(".", "place", F.coalesce("key", F.lpad(F.col("pos").cast("string"), 9, "0"))).alias("place"), F.col("value").alias("v"))
+    strings = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "s"))).alias("x"))
+    none = F.array().cast("array<string>")
+    return rows.select(key).join(strings, key, "left").select(key, F.coalesce(F.transform("x", lambda e: e["s"]), none).alias("strings"))
+
+
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, paragraph_no, paragraph): blocks between blank lines."""
     return docs.select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("paragraph_no", "paragraph")).where(F.length(X.stripped(F.col("paragraph"))) > 0)

@@ -88,6 +88,30 @@ def session_models(messages: DataFrame) -> DataFrame:
     return spoken.groupBy("path", "model").agg(F.count_if(~truthy("sidechain")).alias("turns"), F.count_if(truthy("sidechain")).alias("side_turns"))
 
 
+def session_index(messages: DataFrame, files: DataFrame) -> DataFrame:
+    """Sessions with their models (of sub-agents apart) and tools as histograms, project, bytes and unreadable lines.
+
+    files: (path, bytes, parse_failures).  All joins are on path, on which the
+    sessions are already dealt.
+    """
+    spoken = messages.where((F.col("role") == "assistant") & F.col("model").isNotNull() & (F.col("model") != P.SYNTHETIC_MODEL))
+    main = histogram(spoken.where(~truthy("sidechain")), "path", "model").withColumnRenamed("items", "models")
+    side = histogram(spoken.where(truthy("sidechain")), "path", "model").withColumnRenamed("items", "sidechain_models")
+    calls = messages.select("path", "line_no", F.explode("tools").alias("t")).select("path", "line_no", F.col("t.name").alias("tool"))
+    tools = histogram(calls, "path", "tool", top=10).withColumnRenamed("items", "tool_histogram")
+    cwd = messages.groupBy("path").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"))
+    out = sessions(messages)
+    for more in (main, side, tools, cwd, files.select("path", F.col("bytes").alias("total_bytes"), "parse_failures")):
+        out = out.join(more, "path", "left")
+    project = F.coalesce("cwd", X.project_path(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)))
+    return out.withColumn("project", project).na.fill(0, ["total_bytes", "parse_failures"])
+
+
+def fork_pairs(edges: DataFrame, n: int = 20) -> DataFrame:
+    """The first n pairs of a lineage, for a report."""
+    return edges.orderBy("child", "parent").limit(n)
+
+
 def rolled_up(sessions_: DataFrame, subagents: DataFrame) -> DataFrame:
     """Sessions with the line and turn counts of their sub-agents' files; sessions without any get zeros."""
     own = subagents.groupBy("parent").agg(F.sum("n_lines").cast("long").alias("sub_lines"), F.count(F.lit(1)).alias("sub_files"))

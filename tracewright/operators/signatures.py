@@ -15,6 +15,9 @@ from ..functions import text as X
 from ..functions.stats import truthy
 from .sessions import carried, reached
 
+#: Rows of a list of known incidents, at most: it is broadcast.
+MAX_KNOWN = 10_000
+
 
 def detect(messages: DataFrame, catalog: tuple[tuple[str, str, int, str, str], ...], flags: str = "(?dU)") -> DataFrame:
     """Incident rows (detector, bucket, snippet) of every message that fits, with the message's columns."""
@@ -70,11 +73,29 @@ def null_finals(lines: DataFrame) -> DataFrame:
     or task_complete among others.
     """
     seen = lines.withColumn("had_output", reached(F.col("kind") == "output")).withColumn("tokens", carried("total_tokens"))
-    return seen.where((F.col("kind") == "task_complete") & F.col("last_message").isNull()).select(
-        "path", "line_no", F.lit("null_final").alias("detector"), F.when(F.col("had_output"), "after_output").otherwise("no_output").alias("bucket"), "tokens"
+    empty = F.length(X.stripped(F.coalesce("last_message", F.lit("")))) == 0
+    return seen.where((F.col("kind") == "task_complete") & empty).select(
+        "path", "line_no", F.lit("null_final").alias("detector"), F.when(F.col("had_output"), "after_output").otherwise("zero_output").alias("bucket"), "tokens"
     )
 
 
+def synthetic_errors(messages: DataFrame) -> DataFrame:
+    """Assistant lines of the synthetic model: errors that the program wrote itself."""
+    own = messages.where((F.col("role") == "assistant") & (F.col("model") == P.SYNTHETIC_MODEL))
+    return _told(own, "synthetic_error", "synthetic_error")
+
+
+def patch_failures(events: DataFrame) -> DataFrame:
+    """Tool outputs that report a patch that did not apply: events of (path, line_no, kind, text, …)."""
+    outputs = events.where(F.col("kind").isin(*P.TOOL_OUTPUTS) & F.contains("text", F.lit(P.PATCH_FAILED)))
+    return _told(outputs, "apply_patch_failed", "failed")
+
+
+def _told(rows: DataFrame, detector: str, bucket: str) -> DataFrame:
+    snippet = F.substring(X.collapsed(F.coalesce("text", F.lit(""))), 1, 220)
+    return rows.select(*rows.columns, F.lit(detector).alias("detector"), F.lit(bucket).alias("bucket"), snippet.alias("snippet"))
+
+
 def authored(messages: DataFrame) -> DataFrame:
     """Texts that the assistant wrote into files: (…, tool, file_path, authored)."""
     calls = messages.select(*messages.columns, F.explode("tools").alias("_tool")).where(F.col("_tool.name").isin(*P.EDIT_TOOLS))
@@ -119,15 +140,18 @@ def queue(incidents: DataFrame, by: tuple[str, ...], ts: str, top: int, session:
 def known_found(known: DataFrame, incidents: DataFrame) -> DataFrame:
     """For each known incident (label, detector prefix, session part, snippet expression or null) whether it was found.
 
-    ``known`` is a list kept by hand; it is checked against the incidents'
-    distinct keys, and misses stay.
+    ``known`` is a list kept by hand, of MAX_KNOWN rows at most: it is what is
+    broadcast, the incidents stay where they are, and only labels come back.
     """
-    keys = incidents.select("detector", "session", "snippet").distinct()
+    if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
+        raise ValueError(f"a list of known incidents has at most {MAX_KNOWN} rows")
+    rows = incidents.select("detector", "session", "snippet")
     fits = (
-        F.startswith(keys["detector"], known["detector_prefix"]) & F.contains(keys["session"], known["session_part"])
-        & F.coalesce(F.regexp_like(keys["snippet"], known["snippet_pattern"]), known["snippet_pattern"].isNull())
+        F.startswith(rows["detector"], known["detector_prefix"]) & F.contains(rows["session"], known["session_part"])
+        & F.coalesce(F.regexp_like(rows["snippet"], known["snippet_pattern"]), known["snippet_pattern"].isNull())
     )
-    return known.join(keys, fits, "left").groupBy("label").agg(F.bool_or(keys["detector"].isNotNull()).alias("found"))
+    hits = rows.join(F.broadcast(known), fits).select("label").distinct().withColumn("hit", F.lit(True))
+    return known.join(hits, "label", "left").groupBy("label").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("found"))
 
 
 def after_first(incidents: DataFrame, first_detector: str, key: str = "session", order: str = "line_no") -> DataFrame:

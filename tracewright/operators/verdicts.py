@@ -84,12 +84,37 @@ def evidence_passed(row: dict[str, Column]) -> Column:
     return ~truthy(row["error"]) & ~truthy(row["timed_out"]) & F.coalesce(row["returncode"] == 0, F.lit(False)) & enough
 
 
+def tests_passed_guess(results: DataFrame, tasks: DataFrame, key: str = "task_id") -> DataFrame:
+    """(key, guess) of each task from its evidence commands' rows (error, timed_out, returncode, expect_min_tests, matched_tests).
+
+    A command that could not run comes before one that ran out of time, and
+    that before a failure.  In a dry run, before any work, passing is what is
+    suspicious.  tasks: (key, dry_run).
+    """
+    row = {c: F.col(c) for c in ("error", "timed_out", "returncode", "expect_min_tests", "matched_tests")}
+    folded = results.groupBy(key).agg(
+        F.bool_or(truthy("error")).alias("broken"), F.bool_or(truthy("timed_out")).alias("late"), F.bool_and(evidence_passed(row)).alias("passed")
+    )
+    dry = truthy("dry_run")
+    guess = (
+        F.when(F.col("passed").isNull(), "unknown (no evidence commands)").when(F.col("broken"), "fail (a command could not run)").when(F.col("late"), "fail (a command timed out)")
+        .when(dry & F.col("passed"), "pass (suspicious before the work)").when(dry, "fail (expected before the work)").when(F.col("passed"), "pass").otherwise("fail")
+    )
+    return tasks.join(folded, key, "left").select(key, guess.alias("guess"))
+
+
 def asserted_precision(reviews: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
     """Per group: findings asserted in normalized blocks, those counted false, and their share."""
     totals = reviews.groupBy(*by).agg(F.sum("n_findings").cast("long").alias("asserted"), F.sum(F.coalesce("false_findings", F.lit(0))).cast("long").alias("false"))
     return totals.withColumn("false_share", F.try_divide(F.col("false").cast("double"), F.col("asserted")))
 
 
+def cite_rates(reviews: DataFrame, by: tuple[str, ...] = ("arm",), text: str = "text") -> DataFrame:
+    """Per group: reviews, those that cite a line of a file, and their share."""
+    counts = reviews.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(text).rlike(P.LINE_ANCHOR)).alias("citing"))
+    return counts.withColumn("rate", F.try_divide(F.col("citing").cast("double"), F.col("n")))
+
+
 def brief_findings(briefs: DataFrame, key: str, text: str, role: str = "review") -> DataFrame:
     """(key, severity, rule): premises without licence, option menus, line anchors (of implementers), facts without a probe nearby."""
     t = F.col(text)

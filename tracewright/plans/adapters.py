@@ -76,6 +76,30 @@ MESSAGES = """messages AS (
          CASE WHEN turn % 3 = 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'Bash' ELSE 'Task' END END AS tool
   FROM conversations)"""
 
+#: What is said in invented turns, by role, and the signature that it bears.
+PHRASES = (
+    ("That was my mistake", "assistant", "admission", "strong"), ("You are right about it", "assistant", "admission", "weak"),
+    ("you never read it", "user", "user_correction", "strong"), ("this is wrong", "user", "user_correction", "weak"),
+    ("base control holds", "assistant", "attribution_control", "prose"), ("a pre-existing failure", "assistant", "attribution_control", "prose_weak"),
+    ("the claim was refuted", "assistant", "refutation_accepted", "prose"), ("round 3 is the cap", "assistant", "cap_honored", "prose"),
+    ("we stopped retrying", "assistant", "cap_honored", "prose_weak"), ("operator-authored text", "assistant", "provenance_disclosed", "prose"),
+    ("provenance-marked text", "assistant", "provenance_disclosed", "prose_weak"), ("falsify the hypothesis", "assistant", "expect_falsify_probe", "prose"),
+    ("prism not available", "assistant", "phantom_tool", "near"), ("it was not refuted", "assistant", None, None), ("nothing to see", "user", None, None),
+)
+
+
+def opened_with(texts: DataFrame, number, phrases: tuple[str, ...]) -> DataFrame:
+    """The texts with the phrase of each row's number (modulo their count) put before them."""
+    said = F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.pmod(number, F.lit(len(phrases))) + 1).cast("int"))
+    return texts.withColumn("text", F.concat(said, F.lit(". "), F.col("text")))
+
+
+def values(rows, columns: str) -> str:
+    """Rows as a SQL table, numbered from 0 as i."""
+    shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({n}, {', '.join(map(shown, r))})" for n, r in enumerate(rows)) + f") AS said(i, {columns})"
+
+
 #: Signatures that the invented prose holds; the expressions read alike in both engines.
 CATALOG = (
     ("admission", "strong", 1, "thing[a-z]* of|ement[a-z]* de", "assistant"),

@@ -75,3 +75,20 @@ def _(t):
 def _(t):
     a = t("conversations").where("turn = 0").select(F.lit("a").alias("corpus"), F.col("conv_id").alias("id"))
     return a.unionByName(t("documents").select(F.lit("b").alias("corpus"), F.col("doc_id").alias("id")))
+
+
+@query("t04_gap_order", "WITH c AS (SELECT c_mktsegment, count(*) FILTER (c_nationkey = 3) AS k, count(*) AS n FROM customer GROUP BY c_mktsegment) SELECT c_mktsegment, k, n, round(k / n::DOUBLE, 9) AS share, row_number() OVER (ORDER BY k / n::DOUBLE, c_mktsegment) AS place FROM c")
+def _(t):
+    told = O.shares(t("customer").withColumn("nation", F.col("c_nationkey").cast("string")), "c_mktsegment", "nation", "3")
+    return O.placed(told, F.col("share").asc(), F.col("c_mktsegment").asc()).withColumn("share", F.round("share", 9))
+
+
+@query("t05_latest_first", f"WITH {A.MESSAGES}, s AS (SELECT path, min(ts) AS a, max(ts) AS b, arg_min(model, line_no) FILTER (model IS NOT NULL) AS model FROM messages GROUP BY path), r AS (SELECT model, min(a) AS first, max(b) AS last FROM s WHERE model IS NOT NULL GROUP BY model) SELECT model, first, last, row_number() OVER (ORDER BY last DESC, model) AS place FROM r")
+def _(t):
+    s = A.messages(t("conversations")).groupBy("path").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("line_no"))).alias("model"))
+    return O.placed(O.date_ranges(s.where("model is not null"), "model", "a", "b").drop("sessions"), F.col("last").desc(), F.col("model").asc())
+
+
+@query("t06_most_turns_first", f"WITH {_TURNS}, r AS (SELECT model, sum(turns + side_turns)::BIGINT AS all_turns FROM turns GROUP BY model) SELECT model, all_turns, row_number() OVER (ORDER BY all_turns DESC, model) AS place FROM r")
+def _(t):
+    return O.placed(O.turn_totals(turns(t)).select("model", "all_turns"), F.col("all_turns").desc(), F.col("model").asc())

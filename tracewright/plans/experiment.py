@@ -121,16 +121,16 @@ def _(t):
     return rounded(E.projected_cost(A.calls(t("lineitem")), 100.0), "spent", "projected", places=4)
 
 
-@query("j03_expected_against_got", "SELECT coalesce(d.doc_id, l.doc_id) AS task_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("j03_expected_against_got", "SELECT coalesce(d.doc_id, l.doc_id) AS task_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def _(t):
-    return E.id_mismatches(t("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("task_id")), t("labels").select(F.col("doc_id").alias("task_id")))
+    return E.id_mismatches(t("documents").select(F.col("doc_id").alias("task_id")), t("labels").select(F.col("doc_id").alias("task_id")))
 
 
-_VERDICTS = "v AS (SELECT doc_id % 97 AS pair, doc_id % 2 AS judge, CASE WHEN quality = 1 THEN 'A' ELSE 'B' END AS pick FROM labels WHERE doc_id < 194), kk AS (SELECT DISTINCT pair, 'A' AS side, CASE WHEN pair % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm FROM v UNION SELECT DISTINCT pair, 'B', CASE WHEN pair % 2 = 0 THEN 'treatment' ELSE 'baseline' END FROM v)"
+_VERDICTS = "v AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS judge, CASE WHEN quality = 1 THEN 'A' ELSE 'B' END AS pick FROM labels), kk AS (SELECT DISTINCT pair, 'A' AS side, CASE WHEN pair % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm FROM v UNION SELECT DISTINCT pair, 'B', CASE WHEN pair % 2 = 0 THEN 'treatment' ELSE 'baseline' END FROM v)"
 
 
 def _verdicts(t):
-    v = t("labels").where("doc_id < 194").select((F.col("doc_id") % 97).alias("pair"), (F.col("doc_id") % 2).alias("judge"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("pick"))
+    v = t("labels").select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("judge"), F.when(F.col("quality") == 1, "A").otherwise("B").alias("pick"))
     even = F.col("pair") % 2 == 0
     key = v.select("pair").distinct().select("pair", F.explode(F.array(F.struct(F.lit("A").alias("side"), F.when(even, "baseline").otherwise("treatment").alias("arm")), F.struct(F.lit("B").alias("side"), F.when(even, "treatment").otherwise("baseline").alias("arm")))).alias("x")).select("pair", "x.*")
     return E.unblinded(v, key)
@@ -165,15 +165,49 @@ def _(t):
     return t("events").select("event_id", E.run_status({"timeout": c("value") > 95, "parse_error": c("event_id") % 7 == 0, "nonzero_exit": c("event_type") == "error", "api_error": c("user_id") % 5 == 0, "transcript_missing": c("event_id") % 11 == 0}).alias("run_status"))
 
 
-@query("a12_summary", f"WITH {A.CALLS}, c AS (SELECT arm, count(*) FILTER (NOT judge_error) AS n, count(*) FILTER (NOT judge_error AND item_pass) AS k, sum(output_tokens)::BIGINT AS output_tokens, round(sum(coalesce(cost_usd, 0)), 4) AS cost FROM calls GROUP BY arm) SELECT max(n) FILTER (arm = 'baseline') AS baseline_n, max(n) FILTER (arm = 'treatment') AS treatment_n, round(max(k / n::DOUBLE) FILTER (arm = 'baseline'), 9) AS baseline_rate, round(max(k / n::DOUBLE) FILTER (arm = 'treatment'), 9) AS treatment_rate, max(output_tokens) FILTER (arm = 'baseline') AS baseline_output, max(output_tokens) FILTER (arm = 'treatment') AS treatment_output, max(cost) FILTER (arm = 'baseline') AS baseline_cost, max(cost) FILTER (arm = 'treatment') AS treatment_cost FROM c")
-def _(t):
-    calls = A.calls(t("lineitem"))
-    ok, cells = ~F.col("judge_error"), []
-    for arm in E.ARMS:
-        own = F.col("arm") == arm
-        n, k = F.count_if(own & ok), F.count_if(own & ok & F.col("item_pass"))
-        cells += [n.alias(f"{arm}_n"), F.round(S.rate(k, n), 9).alias(f"{arm}_rate"), F.sum(F.when(own, F.col("output_tokens"))).alias(f"{arm}_output"), F.round(F.sum(F.when(own, F.coalesce("cost_usd", F.lit(0.0)))), 4).alias(f"{arm}_cost")]
-    return calls.agg(*cells)
+def _cells(table: str, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"(SELECT {c} FROM {table} WHERE arm = '{arm}') AS {arm}_{c}" for arm in E.ARMS for c in columns)
+
+
+_DIRECTIVES = ("checklist", "disconfirm", "verify")
+_EXACT = "CASE WHEN b + t = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(b + t + 1) - lgamma(i + 1) - lgamma(b + t - i + 1) - (b + t) * 0.6931471805599453) FOR i IN range(0, least(b, t) + 1)])) END"
+_SUMMARY = f"""WITH {A.CALLS}, {A.JUDGE},
+c AS (SELECT arm, count(*) FILTER (NOT judge_error AND item_pass) AS k, count(*) FILTER (NOT judge_error) AS n, count(*) FILTER (judge_error) AS judge_errors FROM judge GROUP BY arm),
+w AS (SELECT arm, k, n, round(k / n::DOUBLE, 9) AS rate, {_WILSON}, judge_errors FROM c),
+f AS (SELECT arm, count(*) FILTER (seeded AND flagged) AS tp, count(*) FILTER (NOT seeded AND flagged) AS fp, count(*) FILTER (NOT seeded AND NOT flagged) AS tn, count(*) FILTER (seeded AND NOT flagged) AS fn,
+  sum(CASE WHEN seeded THEN f1::INT + f2::INT ELSE 0 END)::BIGINT AS found, sum(n_truth)::BIGINT AS total, sum(f9::INT + CASE WHEN seeded THEN 0 ELSE f1::INT + f2::INT END)::BIGINT AS mismatches,
+  sum(coalesce(false_findings, 0))::BIGINT AS false_findings, sum(neutral_matched)::BIGINT AS neutral_matched, count(*) AS all_n FROM (SELECT *, coalesce(verdict_flagged, false) AS flagged FROM judge WHERE NOT judge_error) GROUP BY arm),
+g AS (SELECT *, round((tp + fn) / all_n::DOUBLE, 9) AS base_rate, round(found / total::DOUBLE, 9) AS recall FROM f),
+j AS (SELECT arm, coalesce(sum(judge_tokens), 0)::BIGINT AS judge_tokens, count(*) FILTER (judge_tokens IS NULL) AS missing FROM judge GROUP BY arm),
+s AS (SELECT arm, sum(fresh_input_tokens)::BIGINT AS fresh_input_tokens, sum(cache_creation_tokens)::BIGINT AS cache_creation_tokens, coalesce(sum(cache_read_tokens), 0)::BIGINT AS cache_read_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(input_tokens_logical)::BIGINT AS input_tokens_logical, round(sum(coalesce(cost_usd, 0)), 4) AS cost_usd FROM calls GROUP BY arm),
+l AS (SELECT task_id, arm, arg_max(item_pass, seq) AS ok, arg_max(judge_error, seq) AS error FROM judge GROUP BY task_id, arm),
+q AS (SELECT count(*) FILTER (b.ok AND t.ok) AS both_pass, count(*) FILTER (NOT b.ok AND NOT t.ok) AS both_fail, count(*) FILTER (b.ok AND NOT t.ok) AS b, count(*) FILTER (NOT b.ok AND t.ok) AS t FROM l b JOIN l t ON b.task_id = t.task_id AND b.arm = 'baseline' AND t.arm = 'treatment' WHERE NOT b.error AND NOT t.error),
+d AS (SELECT count(*) FILTER (labelled) AS n, count(*) FILTER (labelled AND checklist) AS a, count(*) FILTER (labelled AND disconfirm) AS b, count(*) FILTER (labelled AND verify) AS c, count(*) FILTER (labelled AND checklist AND disconfirm AND verify) AS d FROM judge WHERE arm = 'treatment'),
+r AS (SELECT {_cells("w", E.RATES)}, {_cells("g", E.CELLS)}, {_cells("j", ("judge_tokens", "missing"))}, {_cells("s", (*E.TOKEN_COLUMNS, "cost_usd"))},
+  both_pass, both_fail, q.b AS only_baseline, q.t AS only_treatment, round(1e-9 + (SELECT {_EXACT} FROM q), 5) AS p_value,
+  d.n AS adherence_n, round(d.a / d.n::DOUBLE, 9) AS checklist_rate, round(d.b / d.n::DOUBLE, 9) AS disconfirm_rate, round(d.c / d.n::DOUBLE, 9) AS verify_rate, round(d.d / d.n::DOUBLE, 9) AS all_rate,
+  (SELECT count(*) FILTER (NOT judge_error AND NOT parse_ok) FROM judge) AS parse_failures FROM q, d),
+z AS (SELECT *, round((treatment_input_tokens_logical - baseline_input_tokens_logical) * 100.0::DOUBLE / baseline_input_tokens_logical, 6) AS logical_pct, round((treatment_cost_usd - baseline_cost_usd) * 100 / baseline_cost_usd, 6) AS cost_pct,
+  round(treatment_rate - baseline_rate, 9) AS rate_delta, treatment_rate > baseline_rate AS win, baseline_wilson_lo <= treatment_wilson_hi AND treatment_wilson_lo <= baseline_wilson_hi AS meets FROM r)
+SELECT * EXCLUDE (win, meets), win AND coalesce(logical_pct > 20, false) AS cost_adjusted_verdict, false AS harness_broken, baseline_rate < 0.15 AND treatment_rate < 0.15 AS composite_floored, baseline_judge_errors + treatment_judge_errors AS judge_errors,
+  concat_ws('; ', CASE WHEN baseline_recall >= 1 THEN 'baseline recall at ceiling' END, CASE WHEN treatment_recall >= 1 THEN 'treatment recall at ceiling' END,
+    CASE WHEN meets AND p_value > 0.05 THEN 'overlapping intervals and McNemar within noise' WHEN meets THEN 'overlapping intervals' WHEN p_value > 0.05 THEN 'McNemar within noise' END) AS caveats FROM z"""
+
+
+@query("a12_summary", _SUMMARY)
+def _(t):
+    row = E.summary(A.calls(t("lineitem")), A.judge(t("labels")), _DIRECTIVES)
+    row = rounded(row, *[f"{a}_{c}" for a in E.ARMS for c in ("rate", "wilson_lo", "wilson_hi", "recall", "base_rate")], *[f"{d}_rate" for d in (*_DIRECTIVES, "all")], "rate_delta")
+    row = rounded(rounded(row, "baseline_cost_usd", "treatment_cost_usd", places=4), "logical_pct", "cost_pct", places=6)
+    return row.withColumn("p_value", F.round(F.col("p_value") + 1e-9, 5))
+
+
+@query("j12_spot_check_join", f"WITH {A.JUDGE} SELECT task_id, arm, doc_id % 3 <> 0 AS agree, verdict_flagged, item_pass, false_findings, toxic = 1 AS true_seeded FROM (SELECT doc_id, doc_id // 2 AS c_task, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS c_arm, toxic FROM labels WHERE doc_id % 2 = 0) JOIN judge ON task_id = c_task AND arm = c_arm")
+def _(t):
+    own = t("labels").where("doc_id % 2 = 0")  # one arm is checked by hand
+    task = F.floor(F.col("doc_id") / 2).alias("task_id")
+    checks = own.select(task, F.lit("baseline").alias("arm"), (F.col("doc_id") % 3 != 0).alias("agree"))
+    return E.spot_check_join(checks, A.judge(t("labels")), own.select(task, (F.col("toxic") == 1).alias("seeded")))
 
 
 @query("p15_priced_or_null", f"WITH {A.CALLS} SELECT run, arm, count(*) AS n, round(sum(cost), 6) AS cost, count(cost) AS priced FROM (SELECT run, arm, cache_read_tokens / 1000000.0::DOUBLE * CASE WHEN run % 2 = 0 THEN 3.0 END AS cost FROM calls) GROUP BY run, arm")

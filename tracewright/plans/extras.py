@@ -74,3 +74,74 @@ def _(t):
 def _(t):
     near = F.col("l_quantity").between(F.col("p_size"), F.col("p_size") + 10)
     return t("part").join(t("lineitem"), (F.col("l_partkey") == F.col("p_partkey")) & near, "left").groupBy("p_partkey").agg(F.count("l_orderkey").alias("n"))
+
+
+@query("x22_sliding_windows", "SELECT event_type, (epoch_us(ts) // 900000000 - k) * 900 AS start, count(*) AS n FROM events, range(0, 4) AS r(k) GROUP BY ALL")
+def _(t):
+    w = t("events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour", "15 minutes")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select("event_type", F.unix_timestamp("window.start").alias("start"), "n")
+
+
+@query("x23_cross_join", "SELECT r_name, s_name, count(*) AS n FROM region, (SELECT DISTINCT o_orderstatus AS s_name FROM orders), nation WHERE n_regionkey <= r_regionkey GROUP BY ALL")
+def _(t):
+    # a region, a status and a nation: tables whose size does not follow the data
+    status = t("orders").select(F.col("o_orderstatus").alias("s_name")).distinct()
+    return t("region").crossJoin(F.broadcast(status)).join(t("nation"), F.col("n_regionkey") <= F.col("r_regionkey")).groupBy("r_name", "s_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x24_approximate_counts", "SELECT event_type, true AS users_near, true AS median_near FROM events GROUP BY event_type")
+def _(t):
+    """Sketches against exact figures: a distinct count within a tenth, a median within a twentieth of the range."""
+    exact = t("events").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.percentile("value", 0.5).alias("median"), (F.max("value") - F.min("value")).alias("range"),
+        F.approx_count_distinct("user_id", 0.02).alias("users_about"), F.percentile_approx("value", 0.5, 1000).alias("median_about"),
+    )
+    near = lambda a, b, within: F.abs(F.col(a) - F.col(b)) <= within
+    return exact.select("event_type", near("users", "users_about", 0.1 * F.col("users")).alias("users_near"), near("median", "median_about", 0.05 * F.col("range")).alias("median_near"))
+
+
+@query("x25_decimal_sums", "SELECT l_returnflag, (sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * CAST(100 - round(l_discount * 100) AS BIGINT)) * 1)::DECIMAL(38, 2)::VARCHAR AS net FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    share = (100 - F.round(F.col("l_discount") * 100)).cast("decimal(3,0)")
+    return t("lineitem").groupBy("l_returnflag").agg(F.sum(price * share).cast("decimal(38,2)").cast("string").alias("net"))
+
+
+@query("x26_as_of_value", "SELECT v.event_id, arg_max(p.value, (p.ts, p.event_id)) AS last_value FROM (SELECT * FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND (p.ts, p.event_id) < (v.ts, v.event_id) GROUP BY v.event_id")
+def _(t):
+    bought = F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    return t("events").withColumn("last_value", bought).where("event_type = 'view'").select("event_id", "last_value")
+
+
+@query("x27_hinted_joins", "SELECT count(*) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def _(t):
+    joined = t("lineitem").hint("merge").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer").hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+
+
+@query("x28_registered_functions", "SELECT item_id, lower(trim(regexp_replace(regexp_replace(text, '[*_`]', '', 'g'), '\\s+', ' ', 'g'))) AS key, i AS nth, w AS word FROM (SELECT item_id, text, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:3] AS ws FROM benchmark))")
+def _(t):
+    """A column function and a table function called by name from SQL."""
+    from ..functions.registered import register
+
+    b = t("benchmark")
+    spark = b.sparkSession
+    register(spark)
+    return spark.sql("SELECT item_id, tw_quote_key(text) AS key, w.nth, w.word FROM {b} AS b, LATERAL tw_first_words(b.text, 3) AS w", b=b)
+
+
+@query("x29_session_windows", "WITH g AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), n AS (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM n GROUP BY user_id, s")
+def _(t):
+    w = t("events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "12 hours")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+
+
+@query("x30_arm_cite_rates", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS citing, round(count(*) FILTER (doc_id % 3 = 0) / count(*)::DOUBLE, 9) AS rate FROM labels GROUP BY 1")
+def _(t):
+    """How many reviews of each arm cite a line of a file."""
+    from ..operators.verdicts import cite_rates
+
+    d = F.col("doc_id")
+    text = F.when(d % 3 == 0, "see src/a.rs:12 there").when(d % 3 == 1, "see src/a.rs").otherwise("at 12:30")
+    rows = t("labels").select(F.when(d % 2 == 0, "baseline").otherwise("treatment").alias("arm"), text.alias("text"))
+    return cite_rates(rows).withColumn("rate", F.round("rate", 9))

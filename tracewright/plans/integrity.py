@@ -19,9 +19,9 @@ def _(t):
     return O.repeated_ids(t("lineitem"), "l_orderkey")
 
 
-@query("j14_manifest_against_truth", "SELECT coalesce(m.doc_id, t.doc_id) AS doc_id, stated, actual, CASE WHEN t.doc_id IS NULL THEN 'no truth' WHEN m.doc_id IS NULL THEN 'orphan' ELSE 'differs' END AS problem FROM (SELECT doc_id, lang = 'en' AS stated FROM documents WHERE doc_id % 3 <> 0) m FULL JOIN (SELECT doc_id, quality = 1 AS actual FROM labels) t ON m.doc_id = t.doc_id WHERE t.doc_id IS NULL OR m.doc_id IS NULL OR stated IS DISTINCT FROM actual")
+@query("j14_manifest_against_truth", "SELECT coalesce(m.doc_id, t.doc_id) AS doc_id, stated, actual, CASE WHEN t.doc_id IS NULL THEN 'no truth' WHEN m.doc_id IS NULL THEN 'orphan' ELSE 'differs' END AS problem FROM (SELECT doc_id, lang = 'en' AS stated FROM documents) m FULL JOIN (SELECT doc_id, quality = 1 AS actual FROM labels) t ON m.doc_id = t.doc_id WHERE t.doc_id IS NULL OR m.doc_id IS NULL OR stated IS DISTINCT FROM actual")
 def _(t):
-    m = t("documents").where("doc_id % 3 <> 0").select("doc_id", (F.col("lang") == "en").alias("seeded"))
+    m = t("documents").select("doc_id", (F.col("lang") == "en").alias("seeded"))
     return O.flag_mismatches(m, t("labels").select("doc_id", (F.col("quality") == 1).alias("seeded")), "doc_id", "seeded")
 
 
@@ -39,29 +39,49 @@ def _(t):
 
 
 def _cites(docs):
-    """One citation per document: a line's first characters, cited up to seven lines off."""
+    """One citation per document: a line's first characters, cited up to seven lines off, some misquoted, spliced or of no file."""
     lines = O.line_rows(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), "path", "text")
     picked = lines.where("length(line) > 20").groupBy("path").agg(F.min(F.struct("line_no", "line")).alias("x"))
     n = F.col("path").cast("long")
-    return lines, picked.select(F.concat(F.lit("c"), "path").alias("cite"), "path", (F.col("x.line_no") + F.when(n % 3 == 0, 0).otherwise(F.when(n % 3 == 1, 3).otherwise(7))).alias("line"), F.substring("x.line", 1, 18).alias("quote"))
+    line = F.col("x.line")
+    quote = F.when(n % 11 == 5, F.concat(F.lit("no such words "), "path")).when(n % 11 == 7, F.concat(F.substring(line, 1, 8), F.lit(" ... "), F.substring(line, -8, 8))).otherwise(F.substring(line, 1, 18))
+    off = F.when(n % 3 == 0, 0).when(n % 3 == 1, 3).otherwise(7)
+    path = F.when(n % 13 == 6, F.concat(F.lit("no-"), "path")).otherwise(F.col("path"))
+    return lines, picked.select(F.concat(F.lit("c"), "path").alias("cite"), path.alias("path"), (F.col("x.line_no") + off).alias("line"), quote.alias("quote"))
 
 
-_LINES = "l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 20 = 0)), p AS (SELECT path, min(line_no) AS first, arg_min(line, line_no) AS line FROM l WHERE length(line) > 20 GROUP BY path), c AS (SELECT 'c' || path AS cite, path, first + CASE path::BIGINT % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 7 END AS ln, substr(line, 1, 18) AS quote FROM p)"
+_LINES = """l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents)),
+p AS (SELECT path, path::BIGINT AS i, min(line_no) AS first, arg_min(line, line_no) AS line FROM l WHERE length(line) > 20 GROUP BY path),
+c AS (SELECT 'c' || path AS cite, CASE WHEN i % 13 = 6 THEN 'no-' || path ELSE path END AS path, first + CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 7 END AS ln,
+      CASE WHEN i % 11 = 5 THEN 'no such words ' || path WHEN i % 11 = 7 THEN substr(line, 1, 8) || ' ... ' || line[-8:] ELSE substr(line, 1, 18) END AS quote FROM p)"""
 
 
-@query("f27_cited_lines", f"WITH {_LINES}, n AS (SELECT path, count(*) AS n FROM l GROUP BY path), w AS (SELECT cite, string_agg(l.line, ' ' ORDER BY line_no) AS win FROM c JOIN l USING (path) WHERE abs(line_no - ln) <= 5 GROUP BY cite) SELECT c.cite, c.path, ln AS line, CASE WHEN ln > n THEN 'out of range' WHEN NOT contains(trim(regexp_replace(coalesce(win, ''), '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'bad quote' ELSE 'ok' END AS status FROM c JOIN n USING (path) LEFT JOIN w USING (cite)")
+def _key(text: str) -> str:
+    """The form in which quotes compare, for texts without compatibility characters."""
+    return f"lower(trim(regexp_replace(regexp_replace({text}, '[*_`]', '', 'g'), '\\s+', ' ', 'g')))"
+
+
+_GRADES = f"""{_LINES}, k AS MATERIALIZED (SELECT path, line_no, {_key('line')} AS key FROM l), q AS (SELECT cite, path, ln, {_key('quote')} AS q FROM c), n AS (SELECT path, count(*) AS n FROM l GROUP BY path),
+h AS (SELECT cite, arg_min(line_no, abs(line_no - ln) * 100000000 + line_no) AS nearest FROM q JOIN k ON q.path = k.path WHERE contains(key, q) GROUP BY cite),
+e AS (SELECT cite, path, unnest(regexp_split_to_array(q, '\s*(?:\.\.\.|…)\s*')) AS part FROM q),
+s AS (SELECT cite, count(*) > 1 AND bool_and(EXISTS (SELECT 1 FROM k WHERE k.path = e.path AND contains(key, part))) AS spliced FROM e WHERE length(part) > 0 GROUP BY cite),
+g AS (SELECT q.cite, q.path, q.ln AS line, nearest, CASE WHEN n IS NULL THEN 'NO-FILE' WHEN nearest = q.ln THEN 'VALID' WHEN abs(nearest - q.ln) <= 5 THEN 'DRIFT' WHEN nearest IS NOT NULL THEN 'ELSEWHERE' WHEN coalesce(spliced, false) THEN 'SPLICE?' ELSE 'NOT-FOUND' END AS grade
+      FROM q LEFT JOIN n ON q.path = n.path LEFT JOIN h ON q.cite = h.cite LEFT JOIN s ON q.cite = s.cite)"""
+
+
+@query("f27_cited_lines", f"WITH {_LINES}, n AS (SELECT path, count(*) AS n FROM l GROUP BY path), w AS (SELECT cite, string_agg(l.line, ' ' ORDER BY line_no) AS win FROM c JOIN l USING (path) WHERE abs(line_no - ln) <= 5 GROUP BY cite) SELECT c.cite, c.path, ln AS line, CASE WHEN n IS NULL THEN 'missing file' WHEN ln > n THEN 'out of range' WHEN NOT contains(trim(regexp_replace(coalesce(win, ''), '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'bad quote' ELSE 'ok' END AS status FROM c LEFT JOIN n USING (path) LEFT JOIN w USING (cite)")
 def _(t):
-    lines, cites = _cites(t("documents").where("doc_id % 20 = 0"))  # as its SQL
+    lines, cites = _cites(t("documents"))
     return O.check_ranges(cites, lines)
 
 
-@query("f26_citation_grades")
+@query("f26_citation_grades", f"WITH {_GRADES} SELECT cite, path, line, nearest, grade FROM g")
 def _(t):
     lines, cites = _cites(t("documents"))
     return O.grade_citations(cites, lines)
 
 
-@query("a36_grade_tallies")
+@query("a36_grade_tallies", f"WITH {_GRADES} SELECT grade, count(*) AS n FROM g GROUP BY grade")
 def _(t):
     lines, cites = _cites(t("documents"))
     return O.grade_tallies(O.grade_citations(cites, lines))
@@ -88,11 +108,29 @@ def _(t):
     return O.budgets(t("documents"), "doc_id", "text", 10, 4000)
 
 
-@query("p19_artifact_gate", "SELECT path, expected, coalesce(n, 0) AS n FROM (SELECT r_name AS path, 5::BIGINT AS expected, r_regionkey FROM region) LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey <> 3 GROUP BY n_regionkey) ON r_regionkey = n_regionkey WHERE coalesce(n, 0) <> expected")
+_RECORDS = "r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm, CASE WHEN doc_id % 50 = 7 THEN 'other' WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS said, doc_id % 40 AS out, CASE WHEN doc_id % 30 <> 1 THEN true END AS ok, doc_id % 11 = 0 AS error FROM labels), n AS (SELECT arm, count(*) AS n FROM r GROUP BY arm)"
+
+
+@query("p19_artifact_gate", f"""WITH {_RECORDS}
+SELECT 'metrics.json' AS place, 'missing' AS problem UNION ALL SELECT 'report.md', 'lacks Estimand:'
+UNION ALL SELECT kind || '/' || arm, 'expected 100 records, found ' || n FROM n, (VALUES ('calls'), ('judge')) AS k(kind) WHERE n <> 100
+UNION ALL SELECT arm || '-' || doc_id, 'another arm' FROM r WHERE said <> arm UNION ALL SELECT arm || '-' || doc_id, 'no output tokens' FROM r WHERE out <= 0
+UNION ALL SELECT arm || '-' || doc_id, 'item_pass is no flag' FROM r WHERE ok IS NULL UNION ALL SELECT arm || '-' || doc_id, 'judge error' FROM r WHERE error""")
+def _(t):
+    d = F.col("doc_id")
+    arm = F.when(d % 2 == 0, "baseline").otherwise("treatment")
+    file = F.concat_ws("-", arm, d).alias("file")
+    rows = t("labels")
+    calls = rows.select(file, arm.alias("arm"), F.when(d % 50 == 7, "other").otherwise(arm).alias("said"), (d % 40).alias("output_tokens"))
+    judge = rows.select(file, arm.alias("arm"), F.when(d % 30 != 1, F.lit(True)).alias("item_pass"), (d % 11 == 0).alias("judge_error"))
+    texts = t("region").where("r_regionkey = 0").select(F.lit("report.md").alias("name"), F.lit("PROVISIONAL report").alias("text"))
+    return O.artifact_gate(texts.select("name"), calls, judge, texts, ("report.md", "metrics.json"), {"report.md": ("PROVISIONAL", "Estimand:")}, ("baseline", "treatment"), 100)
+
+
+@query("p13_unexpected_fields", "SELECT event_id, 'extra' AS field FROM events WHERE event_id % 3 = 0")
 def _(t):
-    got = t("nation").where("n_nationkey <> 3").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
-    want = t("region").select(F.col("r_name").alias("path"), F.lit(5).cast("long").alias("expected"), "r_regionkey")
-    return want.join(got, F.col("r_regionkey") == F.col("n_regionkey"), "left").na.fill(0, ["n"]).where("n <> expected").select("path", "expected", "n")
+    raw = F.when(F.col("event_id") % 3 == 0, F.lit('{"k": 1, "extra": 2}')).otherwise(F.col("props"))
+    return O.unexpected_fields(t("events").select("event_id", raw.alias("raw")), "event_id", "raw", ("k",))
 
 
 @query("j13_missing_files", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")

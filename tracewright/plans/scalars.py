@@ -107,3 +107,22 @@ def _(t):
     body = F.array(F.format_string("@@ -%d,3 +%d,%d @@", F.col("n") * 10, F.col("n") * 10, F.col("odd") + 3), F.lit(" a"), F.lit("-b"), F.lit("+c"), F.lit("+d"), F.lit(" e"))
     lines = hunks.select("path", "n", F.posexplode(body).alias("i", "line")).select("path", (F.col("n") * 10 + F.col("i")).alias("line_no"), "line")
     return I.hunks(lines)
+
+
+@query("f36_intervals", "SELECT l_returnflag, printf('[%.1f%%, %.1f%%]', round(min(l_discount) * 100, 1), round(max(l_discount) * 100, 1)) AS shown FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    return t("lineitem").groupBy("l_returnflag").agg(F.min("l_discount").alias("lo"), F.max("l_discount").alias("hi")).select("l_returnflag", S.interval("lo", "hi").alias("shown"))
+
+
+@query("f31_open_slots", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'diff,task' WHEN 1 THEN '' ELSE 'task' END AS slots FROM orders")
+def _(t):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, "a {{diff}} b {{ task }} c {{diff}}").when(k == 1, "a {{ }} {x} {{1}}").otherwise("{{task}}")
+    return t("orders").select("o_orderkey", F.array_join(X.open_slots(text), ",").alias("slots"))
+
+
+@query("f37_harvested_strings", "SELECT event_id, event_type || '|deep|' || CASE WHEN event_id % 2 = 0 THEN 'x' ELSE 'y' END AS strings FROM events")
+def _(t):
+    raw = F.concat(F.lit('{"a": "'), "event_type", F.lit('", "b": [1, null, {"c": "deep"}], "d": {"e": {"f": {"g": "'), F.when(F.col("event_id") % 2 == 0, "x").otherwise("y"), F.lit('", "h": {"i": "too deep"}}}}}'))
+    found = I.harvested_strings(t("events").select("event_id", raw.alias("raw")), "event_id", "raw")
+    return found.select("event_id", F.array_join("strings", "|").alias("strings"))

@@ -84,9 +84,39 @@ def _(t):
     return s.select("user_id", "session", us("start").alias("start_us"), us("end").alias("end_us"), "n")
 
 
-@query("f03_task_types")
+#: First words of sessions, and the kind of task that they tell.
+TASKS = (
+    ("reply with exactly OK", "probe_check", "med"), ("answer with exactly yes or no", "eval_harness", "med"), ("a code review and critique", "review", "med"),
+    ("re-review please", "review", "low"), ("brainstorm with me", "plan_design", "low"), ("debug the crash", "debug", "med"), ("refactor it", "refactor", "low"),
+    ("a dockerfile for kubernetes", "infra_config", "med"), ("readme and changelog", "writing_docs", "med"), ("the dataset", "data_analysis", "low"),
+    ("investigate it", "research_analysis", "low"), ("implement it", "implement", "low"), ("hello there", "other", "low"),
+)
+
+
+@query("f03_task_types", f"""WITH {A.MESSAGES}, f AS (SELECT path, count(tool) AS tools, count(*) FILTER (tool = 'Task') AS tasks, count(*) FILTER (role = 'user' AND NOT sidechain) AS own FROM messages GROUP BY path)
+SELECT CASE WHEN tasks >= 3 AND tasks > 0.15 * tools THEN 'orchestration' WHEN own = 0 THEN 'other' ELSE type END AS task_type, CASE WHEN tasks >= 3 AND tasks > 0.15 * tools THEN 'med' WHEN own = 0 THEN 'low' ELSE sure END AS task_type_confidence, count(*) AS n
+FROM f JOIN {A.values(TASKS, 'words, type, sure')} ON i = path::BIGINT % {len(TASKS)} GROUP BY ALL""")
 def _(t):
-    return O.sessions(A.messages(t("conversations"))).groupBy("task_type", "task_type_confidence").agg(F.count(F.lit(1)).alias("n"))
+    rows = A.opened_with(A.messages(t("conversations")), F.col("path").cast("long"), tuple(w for w, _, _ in TASKS))
+    return O.sessions(rows).groupBy("task_type", "task_type_confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a18_index_columns", f"""WITH {A.MESSAGES}, m AS (SELECT path, sidechain, model, count(*) AS n, min(line_no) AS first FROM messages WHERE model IS NOT NULL GROUP BY ALL),
+l AS (SELECT path, string_agg(model || '=' || n, ',' ORDER BY n DESC, first) FILTER (NOT sidechain) AS models, string_agg(model || '=' || n, ',' ORDER BY n DESC, first) FILTER (sidechain) AS sidechain_models FROM m GROUP BY path),
+t AS (SELECT path, string_agg(tool || '=' || n, ',') AS tools FROM (SELECT path, tool, count(*) AS n FROM messages WHERE tool IS NOT NULL GROUP BY ALL) GROUP BY path),
+f AS (SELECT path, sum(strlen(text))::BIGINT AS total_bytes, count(*) FILTER (line_no % 5 = 3) AS parse_failures, arg_min(cwd, line_no) FILTER (cwd IS NOT NULL) AS project FROM messages GROUP BY path)
+SELECT path, models, sidechain_models, tools, total_bytes, parse_failures, project FROM f LEFT JOIN l USING (path) LEFT JOIN t USING (path)""")
+def _(t):
+    rows = A.messages(t("conversations"))
+    files = rows.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.col("line_no") % 5 == 3).alias("parse_failures"))
+    shown = lambda c: F.array_join(F.transform(c, lambda i: F.concat_ws("=", i["value"], i["n"])), ",")
+    return O.session_index(rows, files).select("path", shown("models").alias("models"), shown("sidechain_models").alias("sidechain_models"), shown("tool_histogram").alias("tools"), "total_bytes", "parse_failures", "project")
+
+
+@query("t10_fork_pairs", f"WITH {A.MESSAGES}, c AS (SELECT path, uuid, line_no FROM messages WHERE role IN ('user', 'assistant') AND NOT sidechain), f AS (SELECT max(path) AS child, uuid FROM (SELECT path, arg_min(uuid, line_no) AS uuid FROM c GROUP BY path) GROUP BY uuid) SELECT DISTINCT child, path AS parent FROM c JOIN f USING (uuid) WHERE child <> path ORDER BY child, parent LIMIT 20")
+def _(t):
+    # twenty pairs are the report
+    return O.fork_pairs(O.fork_edges(A.messages(t("conversations"))))
 
 
 @query("f06_joined_turn_texts", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")

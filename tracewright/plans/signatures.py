@@ -83,9 +83,9 @@ def _(t):
     return O.after_first(incidents(t), "admission")
 
 
-@query("x03_probe_cadence", "WITH g AS (SELECT event_type, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1e6 AS gap FROM events) SELECT event_type, count(gap) AS gaps, round(avg(gap), 3) AS mean_gap, count(*) FILTER (gap < 60) AS short_gaps FROM g GROUP BY event_type")
+@query("x03_probe_cadence", "WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap FROM events) SELECT user_id, count(gap) AS gaps, round(avg(gap), 3) AS mean_gap, count(*) FILTER (gap < 86400) AS short_gaps FROM g GROUP BY user_id")
 def _(t):
-    return O.cadence(t("events"), "event_type", "ts", 60.0).withColumn("mean_gap", F.round("mean_gap", 3))
+    return O.cadence(t("events"), "user_id", "ts", 86400.0).withColumn("mean_gap", F.round("mean_gap", 3))
 
 
 @query("w04_last_total_before", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events")
@@ -96,6 +96,51 @@ def _(t):
     return t("events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(order).alias("last_purchase"))
 
 
-@query("f15_prose_detectors")
+def _spoken(t):
+    """Messages whose turns open with the phrases of signatures."""
+    rows = A.messages(t("conversations"))
+    return A.opened_with(rows, F.col("path").cast("long") + F.col("line_no"), tuple(p[0] for p in A.PHRASES))
+
+
+@query("f15_prose_detectors", f"WITH {A.MESSAGES} SELECT detector, bucket, count(*) AS rows, count(DISTINCT path) AS sessions FROM messages JOIN {A.values(A.PHRASES, 'phrase, who, detector, bucket')} ON i = (path::BIGINT + line_no) % {len(A.PHRASES)} AND who = role WHERE detector IS NOT NULL AND NOT (role = 'user' AND sidechain) GROUP BY detector, bucket")
+def _(t):
+    return O.counts(O.detect(O.admissible(_spoken(t)), P.FAILURE_SIGNATURES + P.SUCCESS_SIGNATURES).withColumn("session", F.col("path")))
+
+
+@query("f14_synthetic_errors", f"WITH {A.MESSAGES} SELECT path, line_no, 'synthetic_error' AS detector, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 220) AS snippet FROM messages WHERE role = 'assistant' AND (path::BIGINT + line_no) % 9 = 4")
+def _(t):
+    rows = A.messages(t("conversations"))
+    own = (F.col("role") == "assistant") & ((F.col("path").cast("long") + F.col("line_no")) % 9 == 4)
+    return O.synthetic_errors(rows.withColumn("model", F.when(own, P.SYNTHETIC_MODEL).otherwise(F.col("model")))).select("path", "line_no", "detector", "snippet")
+
+
+def _outputs(t):
+    """Events as a program's outputs: errors are patches that did not apply."""
+    failed = F.when(F.col("event_type") == "error", "apply_patch verification failed:   x").otherwise("done")
+    kind = F.when(F.col("event_id") % 2 == 0, "function_call_output").when(F.col("event_id") % 5 == 0, "message").otherwise("custom_tool_call_output")
+    return t("events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line_no"), kind.alias("kind"), failed.alias("text"))
+
+
+_FAILED = "event_type = 'error' AND (event_id % 2 = 0 OR event_id % 5 <> 0)"
+
+
+@query("f14_patch_failures", f"SELECT event_id AS line_no, 'apply_patch_failed' AS detector, 'failed' AS bucket, 'apply_patch verification failed: x' AS snippet FROM events WHERE {_FAILED}")
+def _(t):
+    return O.patch_failures(_outputs(t)).select("line_no", "detector", "bucket", "snippet")
+
+
+@query("a17_patch_loops", f"SELECT user_id::VARCHAR AS path, count(*) AS n FROM events WHERE {_FAILED} GROUP BY user_id HAVING count(*) >= 3")
+def _(t):
+    return O.recurrent(O.patch_failures(_outputs(t)), 3, session="path")
+
+
+@query("f14_null_finals", """WITH e AS (SELECT user_id::VARCHAR AS path, event_id, CASE event_type WHEN 'purchase' THEN 'output' WHEN 'error' THEN 'task_complete' ELSE 'other' END AS kind, event_id % 3 AS m, value FROM events),
+w AS (SELECT *, bool_or(kind = 'output') OVER o AS had, last_value(CASE WHEN event_id % 4 = 0 THEN event_id END IGNORE NULLS) OVER o AS tokens FROM e WINDOW o AS (PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id AS line_no, CASE WHEN had THEN 'after_output' ELSE 'zero_output' END AS bucket, tokens FROM w WHERE kind = 'task_complete' AND m < 2""")
 def _(t):
-    return O.counts(O.detect(O.admissible(A.messages(t("conversations"))), P.FAILURE_SIGNATURES + P.SUCCESS_SIGNATURES).withColumn("session", F.col("path")))
+    e = F.col("event_type")
+    kind = F.when(e == "purchase", "output").when(e == "error", "task_complete").otherwise("other")
+    message = F.when(F.col("event_id") % 3 == 0, F.lit(" \n")).when(F.col("event_id") % 3 == 2, "done")
+    tokens = F.when(F.col("event_id") % 4 == 0, F.col("event_id"))
+    rows = t("events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line_no"), kind.alias("kind"), message.alias("last_message"), tokens.alias("total_tokens"))
+    return O.null_finals(rows).select("line_no", "bucket", "tokens")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import triage as O
+from ..operators.coverage import placed
 from .registry import query
 
 _NOM = """nom AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'failure' ELSE 'success' END AS source, event_type AS class, user_id::VARCHAR AS session, event_id % 50 AS line, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM events),
@@ -60,3 +61,17 @@ def _(t):
 def _(t):
     w = t("events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "7 days")).agg(F.count(F.lit(1)).alias("n"))
     return w.select("event_type", F.unix_timestamp("window.start").alias("week"), "n")
+
+
+@query("t03_most_new_first", f"WITH {_NOM}, n AS (SELECT class, count(*) AS new FROM fresh GROUP BY class) SELECT class, new, row_number() OVER (ORDER BY new DESC, class) AS place FROM n")
+def _(t):
+    return placed(fresh(t).groupBy("class").agg(F.count(F.lit(1)).alias("new")), F.col("new").desc(), F.col("class").asc())
+
+
+@query("u02_two_detectors", "SELECT 'failure' AS source, event_type AS class, count(*) AS n FROM events WHERE event_type IN ('error', 'logout') OR value < 20 GROUP BY event_type UNION ALL SELECT 'success', event_type, count(*) FROM events WHERE event_type = 'purchase' OR value > 60 GROUP BY event_type")
+def _(t):
+    """Nominations of two detectors with rules of their own, as one table: a row that both nominate is in it twice."""
+    rows = t("events")
+    failures = rows.where(F.col("event_type").isin("error", "logout") | (F.col("value") < 20)).withColumn("source", F.lit("failure"))
+    successes = rows.where((F.col("event_type") == "purchase") | (F.col("value") > 60)).withColumn("source", F.lit("success"))
+    return failures.unionByName(successes).groupBy("source", F.col("event_type").alias("class")).agg(F.count(F.lit(1)).alias("n"))

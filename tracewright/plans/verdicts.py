@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import verdicts as V
+from . import adapters as A
 from .registry import query
 
 
@@ -26,10 +27,16 @@ def _(t):
     return _blocks(t).select("doc_id", V.read_block(block).alias("x")).select("doc_id", "x.normalized", "x.parse_ok", "x.flagged")
 
 
-@query("f22_directives", "SELECT doc_id, true AS checklist, false AS disconfirm, false AS verify FROM labels")
+@query("f22_directives", "SELECT doc_id, doc_id % 2 = 0 AS checklist, doc_id % 3 = 0 AS disconfirm, doc_id % 5 = 1 AS verify FROM labels")
 def _(t):
-    work, _ = V.split_block(F.col("output"))
-    return _blocks(t).select("doc_id", V.directives_followed(work).alias("x")).select("doc_id", "x.*")
+    """Labels in the working text count in upper case and as whole words; those after the findings heading do not."""
+    d = F.col("doc_id")
+    work = F.concat(
+        F.when(d % 2 == 0, "CHECKLIST done. ").otherwise("CHECKLISTS "), F.when(d % 3 == 0, "DISCONFIRM: x ").otherwise("disconfirm "),
+        F.when(d % 5 == 1, "VERIFY\n").otherwise("VERIFYING\n"), F.lit("## FINDINGS\nCHECKLIST DISCONFIRM VERIFY\n"),
+    )
+    before, _ = V.split_block(F.col("output"))
+    return t("labels").select("doc_id", work.alias("output")).select("doc_id", V.directives_followed(before).alias("x")).select("doc_id", "x.*")
 
 
 @query("x06_asserted_precision", f"WITH {_BLOCKS} SELECT toxic, sum(CASE WHEN ok THEN len(f) ELSE 0 END)::BIGINT AS asserted, sum(doc_id % 2)::BIGINT AS false, round(sum(doc_id % 2) / sum(CASE WHEN ok THEN len(f) ELSE 0 END)::DOUBLE, 9) AS false_share FROM r GROUP BY toxic")
@@ -73,14 +80,38 @@ def _(t):
     return t("labels").select("doc_id", V.ground_truth(F.col("toxic") == 1, F.array(d), F.array(F.lit("n")), F.lit("why"), F.array().cast("array<string>")).alias("truth"))
 
 
-@query("f28_brief_rules")
+#: Openings of briefs, and the rules that they break, by severity and name.
+BRIEFS = (
+    ("the bug is here", "VIOLATION", "R1 premise-without-license"), ("the bug is here, which may be wrong", None, None), ("choose one of them", "WARN", "R2 option-menu"),
+    ("see src/a.rs:12 for it", "WARN", "R3 line-number-anchors"), ("independently verify: treat this as given", "VIOLATION", "R4 given-facts-no-probe"),
+    ("independently verify: treat this as given, see out.log", None, None), ("an open brief: choose one", None, None),
+)
+
+
+@query("f28_brief_rules", f"SELECT conv_id || '-' || turn AS id, severity, rule FROM conversations JOIN {A.values(BRIEFS, 'words, severity, rule')} ON i = (conv_id + turn) % {len(BRIEFS)} WHERE rule IS NOT NULL")
 def _(t):
-    return V.brief_findings(t("conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "text", role="implement")
+    briefs = A.opened_with(t("conversations"), F.col("conv_id") + F.col("turn"), tuple(w for w, _, _ in BRIEFS))
+    return V.brief_findings(briefs.withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", "text", role="implement")
 
 
-@query("f29_verification_rules", "SELECT item_id, 'VIOLATION' AS severity, 'S1 structure' AS rule FROM benchmark UNION ALL SELECT item_id, 'WARN', 'S3 provenance' FROM benchmark")
+@query("f29_verification_rules", "SELECT item_id, 'VIOLATION' AS severity, 'S1 structure' AS rule FROM benchmark WHERE item_id % 4 <> 0 UNION ALL SELECT item_id, 'WARN', 'S3 provenance' FROM benchmark WHERE item_id % 4 <> 1 UNION ALL SELECT item_id, 'VIOLATION', 'S2 linked-totals' FROM benchmark WHERE item_id % 4 = 2 UNION ALL SELECT item_id, 'WARN', 'S4 tier-marker' FROM benchmark WHERE item_id % 4 = 3")
 def _(t):
-    return V.verification_findings(t("benchmark"), "item_id", "text")
+    """Items with sections, with a rerun, with totals that no capture backs, and with a verdict without evidence."""
+    k = F.col("item_id") % 4
+    more = F.when(k == 0, "\n\n## Verified\nx\n## Not verified\ny").when(k == 1, "\n\nre-ran it").when(k == 2, "\n\n12 tests passed\n\n9 passed, see run.log").otherwise("\n\nverdict: APPROVE")
+    return V.verification_findings(t("benchmark").select("item_id", F.concat("text", more).alias("text")), "item_id", "text")
+
+
+@query("p12_tests_passed_guess", """WITH e AS (SELECT user_id % 97 AS task_id, bool_or(event_id % 211 = 0) AS broken, bool_or(event_id % 101 = 0) AS late, bool_and(NOT (event_id % 211 = 0) AND NOT (event_id % 101 = 0) AND event_id % 13 <> 0 AND (event_id % 2 = 0 OR value >= 1)) AS passed FROM events GROUP BY 1),
+t AS (SELECT DISTINCT c_custkey AS task_id, c_custkey % 4 = 0 AS dry FROM customer)
+SELECT t.task_id, CASE WHEN passed IS NULL THEN 'unknown (no evidence commands)' WHEN broken THEN 'fail (a command could not run)' WHEN late THEN 'fail (a command timed out)' WHEN dry AND passed THEN 'pass (suspicious before the work)' WHEN dry THEN 'fail (expected before the work)' WHEN passed THEN 'pass' ELSE 'fail' END AS guess FROM t LEFT JOIN e USING (task_id)""")
+def _(t):
+    e = F.col("event_id")
+    rows = t("events").select(
+        (F.col("user_id") % 97).alias("task_id"), (e % 211 == 0).alias("error"), (e % 101 == 0).alias("timed_out"), F.when(e % 13 != 0, 0).otherwise(1).alias("returncode"),
+        F.when(e % 2 != 0, 1).alias("expect_min_tests"), F.floor("value").cast("long").alias("matched_tests"),
+    )
+    return V.tests_passed_guess(rows, t("customer").select(F.col("c_custkey").alias("task_id"), (F.col("c_custkey") % 4 == 0).alias("dry_run")).distinct())
 
 
 @query("f39_blind_order")

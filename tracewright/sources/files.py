@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 CORRUPT = "_corrupt_record"
 
 
@@ -58,14 +60,38 @@ def empty_files(spark: SparkSession, where: str, glob: str) -> list[str]:
     return [f.getPath().toUri().getPath() for f in found or [] if f.isFile() and f.getLen() == 0]
 
 
-def load_records(spark: SparkSession, where: str, schema: str, glob: str = "*.json", report: int = 1000) -> DataFrame:
-    """The records, or one error that names the bad files (at most ``report`` of them)."""
-    bad = [r["path"] for r in bad_record_files(spark, where, schema, glob).orderBy("path").limit(report).collect()]
+def load_records(spark: SparkSession, where: str, schema: str, glob: str = "*.json") -> DataFrame:
+    """The records, or one error that names all bad files; a folder that is not there holds none."""
+    if not there(spark, where):
+        return spark.createDataFrame([], f"{schema}, file_path string")
+    bad = sorted(r["path"] for r in bad_record_files(spark, where, schema, glob).toLocalIterator())
     if bad:
         raise BadRecords(bad)
     return json_records(spark, where, schema, glob).drop(CORRUPT)
 
 
+def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The call and the judge records of a run's folder; both are checked before either is used."""
+    from ..schemas import CALL, JUDGE
+
+    bad, out = [], []
+    for kind, schema in (("calls", CALL), ("judge", JUDGE)):
+        try:
+            out.append(load_records(spark, f"{folder.rstrip('/')}/{kind}", schema))
+        except BadRecords as e:
+            bad += e.paths
+    if bad:
+        raise BadRecords(bad)
+    return out[0], out[1]
+
+
+def locate_rollout(lines: DataFrame, files: DataFrame, cwd: str) -> DataFrame:
+    """The newest transcript whose first line names ``cwd``: lines (path, line_no, raw), files (path, modified); no row without one."""
+    head = F.try_variant_get(F.try_parse_json("raw"), "$.payload.cwd", "string")
+    named = lines.where((F.col("line_no") == 1) & (head == cwd)).select("path")
+    return files.join(named, "path", "left_semi").orderBy(F.desc("modified"), "path").limit(1)
+
+
 def plain_path(path: Column) -> Column:
     """Without the scheme and its slashes."""
     return F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
@@ -76,13 +102,55 @@ def run_key(path: Column) -> Column:
     return F.regexp_extract(path, r"/([^/]+/[^/]+)/(?:calls|judge)/[^/]+$", 1)
 
 
-def text_lines(spark: SparkSession, where: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """(path, line_no, raw): physical lines from 1, in the files' order.  A line is never split between tasks."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+def text_lines(spark: SparkSession, where: str | list[str], recursive: bool = False, glob: str | None = None, modified_after: str | None = None) -> DataFrame:
+    """(path, line_no, raw): physical lines from 1, in the files' order; a last line break ends a line and begins none.
+
+    Files are split where they are large.  A line's number is its place in its
+    split plus the lines of the file's splits before; a file's splits are few.
+    ``modified_after`` (a time as text) leaves older files unread.  Folders that
+    are not there are empty tables.
+    """
+    paths = [where] if isinstance(where, str) else list(where)
+    paths = [p for p in paths if there(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], "path string, line_no bigint, raw string")
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(where, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("n", "raw")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "raw")
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    rows = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("raw"))
+    inside = rows.withColumn("own", F.row_number().over(Window.partitionBy("path", "split").orderBy("nth")))
+    sizes = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("path", "split", before.alias("base"))
+    return inside.join(bases, ["path", "split"]).select("path", (F.col("base") + F.col("own")).alias("line_no"), "raw")
+
+
+def there(spark: SparkSession, where: str) -> bool:
+    """Whether a path or pattern names anything."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def day_folders(spark: SparkSession, root: str, day: str) -> list[str]:
+    """The YYYY/MM/DD folders below ``root`` that are not before ``day`` (YYYY-MM-DD): older ones are never listed further."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*/*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    folders = [f.getPath().toString() for f in found or [] if f.isDirectory()]
+    return sorted(f for f in folders if "-".join(f.rsplit("/", 3)[1:]) >= day)
+
+
+def first_files(files: DataFrame, n: int) -> list[str]:
+    """The first ``n`` paths of a listing, in order: what a trial run reads."""
+    return [r["path"] for r in files.orderBy("path").limit(n).collect()]
+
+
+def main_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified, bytes) of session files: those directly in the folders below ``root``."""
+    where = f"{root.rstrip('/')}/*/*.jsonl"
+    return listing(spark, where) if there(spark, where) else spark.createDataFrame([], "path string, modified timestamp, bytes bigint")
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -101,7 +169,10 @@ def transcript_messages(lines: DataFrame) -> DataFrame:
     """Messages of transcripts whose lines are {type, timestamp, cwd, uuid, isSidechain, isMeta, message}.
 
     ``content`` is a text or a list of blocks; texts of blocks are joined by
-    line breaks, tool calls become (name, input as JSON).
+    line breaks, tool calls become (name, input as JSON).  ``user_text`` is the
+    first block with words of the user's own, ``scanned`` all that a detector
+    may read: texts, thoughts, tool results, as text or as blocks, and shell
+    commands.
     """
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     blocks = get("$.message.content", "array<variant>")
@@ -117,9 +188,36 @@ def transcript_messages(lines: DataFrame) -> DataFrame:
         get("$.message.model", "string").alias("model"), get("$.cwd", "string").alias("cwd"), get("$.uuid", "string").alias("uuid"),
         F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)).alias("sidechain"), F.coalesce(get("$.isMeta", "boolean"), F.lit(False)).alias("meta"),
         text.alias("text"), F.coalesce(tools, F.array().cast("array<struct<name:string,input:string>>")).alias("tools"),
+        first_own_text(blocks, get("$.message.content", "string")).alias("user_text"), scanned_texts(blocks, get("$.message.content", "string")).alias("scanned"),
     )
 
 
+def first_own_text(blocks: Column, text: Column) -> Column:
+    """Of a text or of a list of blocks, the first that holds words beside tagged insertions; null without one."""
+    own = lambda t: X.without_wrappers(t)
+    texts = F.transform(F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == "text"), lambda b: own(F.try_variant_get(b, "$.text", "string")))
+    first = F.try_element_at(F.filter(texts, lambda t: F.length(t) > 0), F.lit(1))
+    return F.when(blocks.isNotNull(), first).otherwise(F.nullif(own(text), F.lit("")))
+
+
+def scanned_texts(blocks: Column, text: Column) -> Column:
+    """array of the texts of a message, in order."""
+    part = lambda b, path, kind="string": F.try_variant_get(b, path, kind)
+    listed = lambda b: F.transform(F.filter(part(b, "$.content", "array<variant>"), lambda s: part(s, "$.type") == "text"), lambda s: part(s, "$.text"))
+
+    def of(b: Column) -> Column:
+        kind = part(b, "$.type")
+        # a list is no string, though a cast would make it one
+        result = F.when(F.schema_of_variant(part(b, "$.content", "variant")) == "STRING", F.array(part(b, "$.content"))).otherwise(listed(b))
+        return (
+            F.when(kind == "text", F.array(part(b, "$.text"))).when(kind == "thinking", F.array(part(b, "$.thinking"))).when(kind == "tool_result", result)
+            .when((kind == "tool_use") & (part(b, "$.name") == "Bash"), F.array(part(b, "$.input.command")))
+        )
+
+    each = F.array_compact(F.flatten(F.array_compact(F.transform(blocks, of))))
+    return F.when(blocks.isNotNull(), F.filter(each, lambda t: F.length(t) > 0)).otherwise(F.array_compact(F.array(text)))
+
+
 def rollout_events(lines: DataFrame) -> DataFrame:
     """Events of transcripts whose lines are {type, timestamp, payload}: (path, line_no, type, ts, kind, model, cwd, last_message, text)."""
     get = lambda path: F.try_variant_get("v", path, "string")
@@ -131,7 +229,7 @@ def rollout_events(lines: DataFrame) -> DataFrame:
 
 
 def since(rows: DataFrame, day: str, path: str = "path") -> DataFrame:
-    """Rows of files below a YYYY/MM/DD folder not before ``day`` (YYYY-MM-DD)."""
+    """Rows of files below a YYYY/MM/DD folder not before ``day`` (YYYY-MM-DD); ``day_folders`` leaves older folders unread."""
     stamp = F.regexp_replace(F.regexp_extract(path, r"/([0-9]{4}/[0-9]{2}/[0-9]{2})/", 1), "/", "-")
     return rows.where(stamp >= day)
 

@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 
 
 def replace_json(df: DataFrame, where: str) -> None:
-    """Write beside the target, then rename: readers see the old table or the new one."""
+    """Write beside the target, move the old table aside and the new one in; a failure puts the old one back.
+
+    Between the two renames a reader may find nothing, never a part of a table.
+    """
     spark = df.sparkSession
     fresh = f"{where.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.json(fresh)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(where), True)
-    fs.rename(path(fresh), path(where))
+    aside = f"{fresh}.old"
+    had = fs.exists(path(where))
+    if had and not fs.rename(path(where), path(aside)):
+        fs.delete(path(fresh), True)
+        raise OSError(f"{where} could not be moved aside; it stays as it was")
+    if not fs.rename(path(fresh), path(where)):
+        if had:
+            fs.rename(path(aside), path(where))
+        raise OSError(f"{fresh} could not be moved to {where}; the old table is back")
+    if had:
+        fs.delete(path(aside), True)
+
+
+def append_trace(events: DataFrame, where: str) -> None:
+    """Append traced events (kind, payload) as JSON lines, stamped with the time of writing."""
+    events.select(F.current_timestamp().alias("ts"), "kind", "payload").write.mode("append").json(where)
 
 
 def append_incidents(df: DataFrame, where: str) -> None:
