@@ -127,7 +127,9 @@ def test_empty_table(spark):
     assert N.document_components(none).count() == 0 and N.drop_near_duplicates(none).count() == 0
 
 
-def test_star_contraction(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_star_contraction(spark, monkeypatch, limit):
+    monkeypatch.setattr(CC, "BROADCAST_EDGES", limit)
     edges = [("%03d" % i, "%03d" % (i + 1)) for i in range(40)] + [("900", "901"), ("901", "901"), ("000", "020")]
     got = dict(map(tuple, CC.connected_components(spark.createDataFrame(edges, "u string, v string")).collect()))
     assert got == {**{"%03d" % i: "000" for i in range(41)}, "900": "900", "901": "900"}
