@@ -121,3 +121,53 @@ def test_cosines_are_exact_and_labels_out_of_fold_do_not_matter(spark):
     near = np.argsort(-cosines[0])[: K.NEIGHBOURS]
     w = np.maximum(cosines[0][near], 0).astype(np.float64) ** K.SHARPNESS
     assert space.score(terms[:1])[0] == pytest.approx(((w * (near % 2)).sum() + 0.1 * 0.5) / (w.sum() + 0.1), rel=1e-4)
+
+
+def terms_by_hand(text):
+    """The terms of one text, byte by byte and word by word."""
+    out = np.zeros(K.TERMS)
+    raw = (text or "").encode()
+    kinds = [K.BYTE_CLASS[b] for b in raw]
+    for a, b in zip(kinds, kinds[1:], strict=False):
+        out[a * K._CLASSES + b] += 1000 / len(raw)
+    w = re.findall(SPACED, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    from tracewright.llm.kernels import NON_SPACE, Words
+
+    for x in w:  # the hash of a word is the kernel's; that it falls to words alike is what counts here
+        data = np.frombuffer(x.encode(), np.uint8)
+        h = int(Words(data, np.array([0, len(data)]), NON_SPACE).hash()[0])
+        out[K.PAIR_TERMS + (h >> 40) % K.WORD_TERMS] += 1000 / len(w)
+    triples = list(zip(w, w[1:], w[2:], strict=False))
+    repeated = 1 - len(set(triples)) / len(triples) if triples else 0
+    step = min(int(repeated * K.REPEAT_TERMS * 2), K.REPEAT_TERMS - 1)
+    if step:
+        out[K.PAIR_TERMS + K.WORD_TERMS + step] = 300
+    return np.log1p(out)
+
+
+def test_terms_and_scores_equal_those_by_hand(spark):
+    """Terms, the projection, exact cosines and weighted votes of whole texts, without kernels or blocks."""
+    import pyarrow as pa
+    import zlib
+
+    docs, labels = corpus(150)
+    docs += [(1000 + k, t) for k, t in enumerate(ODD)] + [(2000, " ".join(t for _, t in docs) * 3)]  # and a long text
+    terms = np.array([terms_by_hand(t) for _, t in docs])
+    assert K.term_counts(pa.array([t for _, t in docs], pa.string())) == pytest.approx(terms, abs=2e-3)
+    place = {i: k for k, (i, _) in enumerate(docs)}
+    known = sorted((str(i), q) for i, q in labels if zlib.crc32(str(i).encode()) % 5)
+    own = np.array([terms[place[int(i)]] for i, _ in known]).astype(np.float16).astype(np.float64)
+    good = np.array([q for _, q in known], float)
+    weighed = own * (np.log((1 + len(own)) / (1 + (own > 0).sum(axis=0))) + 0.1)
+    _, _, axes = np.linalg.svd(weighed, full_matrices=False)
+    idf = np.log((1 + len(own)) / (1 + (own > 0).sum(axis=0))) + 0.1
+    place_of = lambda m: (lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))((m * idf) @ axes[: K.DIMENSIONS].T)
+    cosines = place_of(terms) @ place_of(own).T
+    got = {r["doc_id"]: r["score"] for r in K.score_quality(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    off = 0
+    for k, (i, _) in enumerate(docs):
+        near = np.argsort(-cosines[k])[: K.NEIGHBOURS]
+        w = np.maximum(cosines[k][near], 0) ** K.SHARPNESS
+        want = (w @ good[near] + 0.1 * good.mean()) / (w.sum() + 0.1) if terms[k].any() and w.sum() else good.mean()
+        off += abs(got[i] - want) > 0.02  # a neighbour at the edge may be another where cosines tie
+    assert off <= 3

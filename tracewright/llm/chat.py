@@ -139,7 +139,13 @@ def turn_chain(conversations: DataFrame) -> DataFrame:
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """Format every conversation and read the digests back from the output."""
+    """Format every conversation and read the digests back from the output.
+
+    Cases: null roles and texts are empty; a null conv_id is a conversation of
+    its own; rows without a turn come last, and ties go by role, then text, so
+    repeated rows are turns each; a very long conversation is one string, made
+    in one task; an empty table gives no rows; other columns are ignored.
+    """
     told = format_reply_trees(turn_chain(conversations)).select(
         "tree", "formatted", read_back(F.col("formatted")).alias("turns"),
         F.array_join(F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "").alias("learned"),
