@@ -231,11 +231,11 @@ def mix_documents(
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS symbols
+         coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS symbols, md5(coalesce(text, '')) AS digest
   FROM documents),
 k AS (
   SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, digest)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
          / greatest(0.25, 1.0 - symbols / greatest(size, 1)) AS key
   FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
