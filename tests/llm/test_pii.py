@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -118,3 +119,13 @@ def test_held_out_identifiers_are_found_with_few_mistakes(spark):
     got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = {i for i, n in got.items() if n}
     assert len(found & held) >= 0.9 * len(held) and len(found & held) >= 0.95 * len(found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_secrets_of_the_test_tables(spark):
+    """On whole documents all assigned keys are added, in upper case too, which only contexts tell; nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(docs).collect()}
+    assert sum(got.values()) > 0
+    for r in docs.collect():
+        assert got[r["doc_id"]] == len(re.findall(r'(?i)token = "[0-9a-f]{32,64}"', r["text"] or "")), r["doc_id"]
