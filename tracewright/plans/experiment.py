@@ -222,3 +222,9 @@ def _(t):
     of = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c)))
     row = rates.agg(*[of(f"wilson_{side}", arm).alias(f"{side}_{arm}") for side in ("lo", "hi") for arm in E.ARMS], F.min("n").alias("n")).withColumn("recall", F.lit(1.0)).withColumn("p_value", F.lit(0.01))
     return E.caveats(row).select("n", F.array_join("caveats", "; ").alias("caveats"))
+
+
+@query("p16_single_tier", f"WITH {A.JUDGE} SELECT arm, min(CASE arm WHEN 'baseline' THEN 'mid' ELSE 'high' END) AS tier FROM judge GROUP BY arm")
+def _(t):
+    rows = A.judge(t("labels")).withColumn("tier", F.when(F.col("arm") == "baseline", "mid").otherwise("high"))
+    return E.single_tier(rows, ("arm",))

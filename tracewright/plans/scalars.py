@@ -126,3 +126,24 @@ def _(t):
     raw = F.concat(F.lit('{"a": "'), "event_type", F.lit('", "b": [1, null, {"c": "deep"}], "d": {"e": {"f": {"g": "'), F.when(F.col("event_id") % 2 == 0, "x").otherwise("y"), F.lit('", "h": {"i": "too deep"}}}}}'))
     found = I.harvested_strings(t("events").select("event_id", raw.alias("raw")), "event_id", "raw")
     return found.select("event_id", F.array_join("strings", "|").alias("strings"))
+
+
+@query("f01_own_words", "SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own FROM conversations")
+def _(t):
+    wrapped = F.concat(F.lit("<system-reminder>a\nb</system-reminder> "), "text", F.lit("\n<command-args>y</command-args>"))
+    return t("conversations").select("conv_id", "turn", X.without_wrappers(wrapped).alias("own"))
+
+
+@query("f04_prompts", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'p' || doc_id WHEN doc_id % 3 = 1 THEN '{\"agent_name\": \"a\", \"prompt\": \" \"}' ELSE '{\"prompt\": \"x\"}' END AS prompt FROM labels")
+def _(t):
+    """The prompt inside a dispatch envelope; an empty one, or an object of another kind, stays as it is."""
+    d = F.col("doc_id")
+    text = F.when(d % 3 == 0, F.concat(F.lit('{"agent_name": "a", "prompt": "p'), d.cast("string"), F.lit('"}'))).when(d % 3 == 1, '{"agent_name": "a", "prompt": " "}').otherwise('{"prompt": "x"}')
+    return t("labels").select("doc_id", X.unwrapped_prompt(text).alias("prompt"))
+
+
+@query("f32_sections", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '## A' || chr(10) || 'body ' || doc_id || chr(10) END AS section FROM labels")
+def _(t):
+    d = F.col("doc_id")
+    text = F.when(d % 2 == 0, F.concat(F.lit("# t\n## A\nbody "), d.cast("string"), F.lit("\n## B\nx"))).otherwise("# t\n## AB\nx")
+    return t("labels").select("doc_id", X.section(text, "A").alias("section"))

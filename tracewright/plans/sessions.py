@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import sessions as O
 from . import adapters as A
@@ -128,3 +129,11 @@ def _(t):
 @query("f02_truncated_texts", "SELECT doc_id, CASE WHEN length(text) > 0 THEN substr(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 120) END AS head FROM documents")
 def _(t):
     return t("documents").select("doc_id", X.truncated(F.col("text"), 120).alias("head"))
+
+
+@query("p05_model_turns", f"WITH {A.MESSAGES} SELECT path, model, count(*) FILTER (NOT sidechain) AS turns, count(*) FILTER (sidechain) AS side_turns FROM messages WHERE model IS NOT NULL AND line_no % 5 <> 1 GROUP BY path, model")
+def _(t):
+    """Lines of the synthetic model are no model's turns."""
+    rows = A.messages(t("conversations"))
+    own = F.when((F.col("line_no") % 5 == 1) & F.col("model").isNotNull(), P.SYNTHETIC_MODEL).otherwise(F.col("model"))
+    return O.session_models(rows.withColumn("model", own))

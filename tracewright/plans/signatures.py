@@ -144,3 +144,70 @@ def _(t):
     tokens = F.when(F.col("event_id") % 4 == 0, F.col("event_id"))
     rows = t("events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line_no"), kind.alias("kind"), message.alias("last_message"), tokens.alias("total_tokens"))
     return O.null_finals(rows).select("line_no", "bucket", "tokens")
+
+
+_TRIM = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("f12_admissible", f"WITH {A.MESSAGES} SELECT path, line_no FROM messages WHERE length({_TRIM}) > 0 AND ((role = 'user' AND NOT sidechain AND line_no % 4 <> 0) OR (role = 'assistant' AND line_no % 5 <> 1))")
+def _(t):
+    rows = A.messages(t("conversations"))
+    wrapped = (F.col("role") == "user") & (F.col("line_no") % 4 == 0)
+    rows = rows.withColumn("text", F.when(wrapped, F.concat(F.lit("<command-name>x</command-name>"), "text")).otherwise(F.col("text")))
+    return O.admissible(rows.withColumn("model", F.when((F.col("role") == "assistant") & (F.col("line_no") % 5 == 1), P.SYNTHETIC_MODEL).otherwise(F.col("model")))).select("path", "line_no")
+
+
+def _calling(t, name, **given):
+    """Messages that call a tool with an input of the given columns."""
+    made = F.to_json(F.struct(*[c.alias(k) for k, c in given.items()]))
+    return A.messages(t("conversations")).withColumn("tools", F.array(F.struct(name.alias("name"), made.alias("input"))))
+
+
+@query("f12_truncated_pipes", f"WITH {A.MESSAGES} SELECT path, line_no, CASE line_no % 4 WHEN 0 THEN 'pipe_truncated_test' ELSE 'pipe_truncated_check' END AS detector FROM messages WHERE line_no % 4 < 2")
+def _(t):
+    n = F.col("line_no") % 4
+    command = F.when(n == 0, "pytest -q suite | tail -5").when(n == 1, "make verify | head").when(n == 2, "ls | tail -3").otherwise("pytest -q")
+    return O.truncated_pipes(_calling(t, F.lit("Bash"), command=command)).select("path", "line_no", "detector")
+
+
+@query("f18_authored", f"WITH {A.MESSAGES} SELECT path, line_no, unnest(CASE line_no % 4 WHEN 0 THEN ['c' || line_no] WHEN 1 THEN ['n' || line_no] WHEN 2 THEN ['e1', 'e2'] END) AS authored FROM messages WHERE line_no % 4 < 3")
+def _(t):
+    n = F.col("line_no") % 4
+    name = F.when(n == 0, "Write").when(n == 1, "Edit").when(n == 2, "MultiEdit").otherwise("Read")
+    edits = F.array(F.struct(F.lit("e1").alias("new_string")), F.struct(F.lit("e2").alias("new_string")))
+    rows = _calling(t, name, file_path=F.lit("/a/b.md"), content=F.concat(F.lit("c"), F.col("line_no").cast("string")), new_string=F.concat(F.lit("n"), F.col("line_no").cast("string")), edits=edits)
+    return O.authored(rows).select("path", "line_no", "authored")
+
+
+@query("f19_checkpoint_cadence", f"WITH {A.MESSAGES} SELECT path AS session, count(*) AS n, min(line_no) AS first_line, arg_max(ts, line_no) AS last_ts FROM messages WHERE line_no % 2 = 0 GROUP BY path HAVING count(*) >= 3")
+def _(t):
+    named = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("/w/HANDOFF-"), (F.col("line_no") % 3).cast("string"), F.lit(".md"))).otherwise("/w/notes.md")
+    return O.checkpoint_cadence(_calling(t, F.lit("Edit"), file_path=named, new_string=F.lit("x"))).select("session", "n", "first_line", "last_ts")
+
+
+@query("f13_phantom_tools", f"WITH {A.MESSAGES} SELECT path, line_no FROM messages WHERE role = 'assistant' AND line_no % 3 <> 2")
+def _(t):
+    """A tool named near its being missing, in one sentence; a full stop between them parts the two."""
+    n = F.col("line_no") % 3
+    said = F.when(n == 0, "prism is here but not available").when(n == 1, "falling back, since the LSP is gone").otherwise("prism is up. All else is not available")
+    catalog = tuple(r for r in P.FAILURE_SIGNATURES if r[0] == "phantom_tool")
+    return O.detect(A.messages(t("conversations")).withColumn("text", said), catalog).select("path", "line_no")
+
+
+@query("f16_refutations", f"WITH {A.MESSAGES} SELECT path, line_no FROM messages WHERE role = 'assistant' AND line_no % 4 IN (0, 3)")
+def _(t):
+    """A refutation counts unless one of the words shortly before it denies it."""
+    n = F.col("line_no") % 4
+    said = F.when(n == 0, "the claim was refuted").when(n == 1, "the claim was never refuted").when(n == 2, "it didn't get overturned, nor disproven").otherwise("not one, as I had said a long while before: refuted")
+    catalog = tuple(r for r in P.SUCCESS_SIGNATURES if r[0] == "refutation_accepted")
+    return O.detect(A.messages(t("conversations")).withColumn("text", said), catalog).select("path", "line_no")
+
+
+@query("f17_falsify_probes", f"WITH {A.MESSAGES} SELECT path, line_no FROM messages WHERE role = 'assistant' AND line_no % 3 <> 2")
+def _(t):
+    """A falsification with a hypothesis, probe or expectation within 400 characters to either side."""
+    n = F.col("line_no") % 3
+    far = F.repeat(F.lit("x "), 250)
+    said = F.when(n == 0, F.concat(F.lit("a probe "), F.repeat(F.lit("y "), 100), F.lit("would falsify it"))).when(n == 1, F.lit("to falsify the claim, I expect 3")).otherwise(F.concat(F.lit("a probe "), far, F.lit("would falsify it")))
+    catalog = tuple(r for r in P.SUCCESS_SIGNATURES if r[0] == "expect_falsify_probe")
+    return O.detect(A.messages(t("conversations")).withColumn("text", said), catalog).select("path", "line_no")

@@ -156,3 +156,45 @@ def _(t):
     files = n.select(F.format_string("/t/%03d", "n_nationkey").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modified"))
     found = R.locate_rollout(lines.withColumn("line_no", F.col("i") + 1), files, "/w/3")
     return found.select(F.substring("path", 4, 3).cast("long").alias("k"))
+
+
+@query("s12_queue_rows", "SELECT 'c' || (l_suppkey % 4) AS class, 's' || l_orderkey AS session, l_linenumber::BIGINT AS line FROM lineitem")
+def _(t):
+    """Written queues: a heading for each class of a file, items under it, and other lines between."""
+    own = t("lineitem")
+    item = F.format_string("- [ ] 2024-01-01T00:00:00Z `s%d` L%d text", "l_orderkey", "l_linenumber")
+    head = F.format_string("## c%d \u2014 9 total", F.col("l_suppkey") % 4)
+    lines = own.select(
+        F.concat_ws("-", F.lit("/q"), "l_orderkey", "l_linenumber", "l_suppkey", F.xxhash64("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")).alias("path"), F.posexplode(F.array(F.lit("# x"), head, F.lit("text"), item)).alias("n", "raw")
+    ).withColumn("line_no", (F.col("n") + 1).cast("long"))
+    return R.queue_rows(lines).select("class", "session", "line")
+
+
+@query("s20_arm_counts", "SELECT 'run' || (doc_id % 3) || '/mid' AS run, CASE WHEN doc_id % 5 < 3 THEN 'calls' ELSE 'judge' END AS kind, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm, count(*) AS n FROM labels GROUP BY ALL")
+def _(t):
+    d = F.col("doc_id")
+    path = F.format_string("/r/run%d/mid/%s/%s-%d.json", d % 3, F.when(d % 5 < 3, "calls").otherwise("judge"), F.when(d % 2 == 0, "baseline").otherwise("treatment"), d)
+    return R.arm_counts(t("labels").select(path.alias("path")))
+
+
+@query("s21_misnamed", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 3")
+def _(t):
+    k = F.col("o_orderkey")
+    name = F.when(k % 7 == 3, F.concat(F.lit("/t/x"), k.cast("string"), F.lit(".yaml"))).otherwise(F.concat(F.lit("/t/"), k.cast("string"), F.lit(".yaml")))
+    return R.misnamed(t("orders").select("o_orderkey", name.alias("path")), "o_orderkey", "path").select("o_orderkey")
+
+
+@query("p21_stale_files", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+def _(t):
+    files = t("events").select("event_id", F.col("ts").alias("modified"))
+    return R.stale(files, F.lit("2024-01-10").cast("timestamp")).select("event_id")
+
+
+@query("f09_rollout_outputs", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'plain ' || event_type WHEN 1 THEN 'inner ' || event_type ELSE '{\"code\":' || event_id || '}' END AS text FROM events")
+def _(t):
+    """Tool outputs as a text, as an object with a text, and as another object."""
+    e = F.col("event_id")
+    output = F.when(e % 3 == 0, F.concat(F.lit('"plain '), "event_type", F.lit('"'))).when(e % 3 == 1, F.concat(F.lit('{"content": "inner '), "event_type", F.lit('"}'))).otherwise(F.concat(F.lit('{"code": '), e.cast("string"), F.lit("}")))
+    raw = F.concat(F.lit('{"type": "response_item", "payload": {"type": "function_call_output", "output": '), output, F.lit("}}"))
+    lines = t("events").select(e.cast("string").alias("path"), F.lit(1).cast("long").alias("line_no"), raw.alias("raw"))
+    return R.rollout_events(R.json_lines(lines)).select(F.col("path").cast("long").alias("event_id"), "text")

@@ -221,7 +221,10 @@ def scanned_texts(blocks: Column, text: Column) -> Column:
 def rollout_events(lines: DataFrame) -> DataFrame:
     """Events of transcripts whose lines are {type, timestamp, payload}: (path, line_no, type, ts, kind, model, cwd, last_message, text)."""
     get = lambda path: F.try_variant_get("v", path, "string")
-    output = F.coalesce(F.try_variant_get("v", "$.payload.output.content", "string"), get("$.payload.output"))
+    whole = F.try_variant_get("v", "$.payload.output", "variant")
+    content = F.try_variant_get("v", "$.payload.output.content", "variant")
+    # a text, an object's text, or else the object as JSON
+    output = F.when(F.schema_of_variant(content) == "STRING", get("$.payload.output.content")).when(F.schema_of_variant(whole) == "STRING", get("$.payload.output")).otherwise(F.to_json(whole))
     return lines.where(F.col("v").isNotNull()).select(
         "path", F.col("line_no_valid").alias("line_no"), get("$.type").alias("type"), get("$.timestamp").alias("ts"), get("$.payload.type").alias("kind"),
         get("$.payload.model").alias("model"), get("$.payload.cwd").alias("cwd"), get("$.payload.last_agent_message").alias("last_message"), F.substring(output, 1, 2000).alias("text"),
@@ -275,6 +278,17 @@ def item_texts(items: DataFrame, max_items: int | None = None) -> DataFrame:
     return kept.select("position", "id", F.concat_ws("\n\n", "context", "diff").alias("text"))
 
 
+def misnamed(rows: DataFrame, id: str, path: str) -> DataFrame:
+    """Rows whose id is not the name of their file, without its ending."""
+    name = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return rows.where(~F.col(id).cast("string").eqNullSafe(name))
+
+
+def stale(files: DataFrame, since) -> DataFrame:
+    """Files that are older than a run that should have written them."""
+    return files.where(F.col("modified") < since)
+
+
 def arm_counts(files: DataFrame) -> DataFrame:
     """Record files per run folder, kind and arm, from paths like …/run/tier/calls/arm-task.json."""
     part = lambda k: F.regexp_extract("path", r"/([^/]+/[^/]+)/(calls|judge)/([^/-]+)-[^/]*$", k)
