@@ -4,6 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
+from tracewright.llm.staging import staged
 
 from .helpers import components
 
@@ -35,7 +36,7 @@ def test_stages(spark, folder):
         out = stage(spark, tables[-1], where)
         if k < 4:
             assert out.columns == table.columns
-            out = P.staged(out)
+            out = staged(out)
             texts.append({r["doc_id"]: r["text"] for r in out.collect()})
         tables.append(out)
     sound = texts[1]

@@ -34,11 +34,11 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside go at the end; what is read from them must have been written by then."""
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside go at the end, and what else is listed; what is read from them must have been written by then."""
     _open.append([])
     try:
-        yield
+        yield _open[-1]
     finally:
         for where in _open.pop():
             path, system = _path(spark, where)
