@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, mixing, near_dedup, pii, quality_rules
-from tracewright.llm.staging import columns_of, fresh_name, staged, temporary
+from tracewright.llm.staging import columns_of, fresh_name, temporary
+from tracewright.sources.shared import new_folder
 
 #: No SQL gives these rows: two stages are fitted models and one is a similarity join.
 ORACLE_SQL = None
@@ -70,6 +71,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what one keeps is written before the next begins."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        with temporary(spark) as gone:  # what a stage wrote for itself, and what it read, go once its result is written
+            where = new_folder(spark, "stage")
+            stage(spark, docs, sf_dir).write.parquet(where)
+            gone += [last] if last else []
+        docs, last = spark.read.parquet(where), where
     return STAGES[-1][1](spark, docs, sf_dir)
