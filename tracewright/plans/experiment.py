@@ -188,7 +188,7 @@ r AS (SELECT {_cells("w", E.RATES)}, {_cells("g", E.CELLS)}, {_cells("j", ("judg
   d.n AS adherence_n, round(d.a / d.n::DOUBLE, 9) AS checklist_rate, round(d.b / d.n::DOUBLE, 9) AS disconfirm_rate, round(d.c / d.n::DOUBLE, 9) AS verify_rate, round(d.d / d.n::DOUBLE, 9) AS all_rate,
   (SELECT count(*) FILTER (NOT judge_error AND NOT parse_ok) FROM judge) AS parse_failures FROM q, d),
 z AS (SELECT *, round((treatment_input_tokens_logical - baseline_input_tokens_logical) * 100.0::DOUBLE / baseline_input_tokens_logical, 6) AS logical_pct, round((treatment_cost_usd - baseline_cost_usd) * 100 / baseline_cost_usd, 6) AS cost_pct,
-  round(treatment_rate - baseline_rate, 9) AS rate_delta, treatment_rate > baseline_rate AS win, baseline_wilson_lo <= treatment_wilson_hi AND treatment_wilson_lo <= baseline_wilson_hi AS meets FROM r)
+  round(treatment_rate - baseline_rate, 6) AS rate_delta, treatment_rate > baseline_rate AS win, baseline_wilson_lo <= treatment_wilson_hi AND treatment_wilson_lo <= baseline_wilson_hi AS meets FROM r)
 SELECT * EXCLUDE (win, meets), win AND coalesce(logical_pct > 20, false) AS cost_adjusted_verdict, false AS harness_broken, baseline_rate < 0.15 AND treatment_rate < 0.15 AS composite_floored, baseline_judge_errors + treatment_judge_errors AS judge_errors,
   concat_ws('; ', CASE WHEN baseline_recall >= 1 THEN 'baseline recall at ceiling' END, CASE WHEN treatment_recall >= 1 THEN 'treatment recall at ceiling' END,
     CASE WHEN meets AND p_value > 0.05 THEN 'overlapping intervals and McNemar within noise' WHEN meets THEN 'overlapping intervals' WHEN p_value > 0.05 THEN 'McNemar within noise' END) AS caveats FROM z"""
@@ -197,8 +197,8 @@ SELECT * EXCLUDE (win, meets), win AND coalesce(logical_pct > 20, false) AS cost
 @query("a12_summary", _SUMMARY)
 def _(t):
     row = E.summary(A.calls(t("lineitem")), A.judge(t("labels")), _DIRECTIVES)
-    row = rounded(row, *[f"{a}_{c}" for a in E.ARMS for c in ("rate", "wilson_lo", "wilson_hi", "recall", "base_rate")], *[f"{d}_rate" for d in (*_DIRECTIVES, "all")], "rate_delta")
-    row = rounded(rounded(row, "baseline_cost_usd", "treatment_cost_usd", places=4), "logical_pct", "cost_pct", places=6)
+    row = rounded(row, *[f"{a}_{c}" for a in E.ARMS for c in ("rate", "wilson_lo", "wilson_hi", "recall", "base_rate")], *[f"{d}_rate" for d in (*_DIRECTIVES, "all")])
+    row = rounded(rounded(row, "baseline_cost_usd", "treatment_cost_usd", places=4), "logical_pct", "cost_pct", "rate_delta", places=6)
     return row.withColumn("p_value", F.round(F.col("p_value") + 1e-9, 5))
 
 
