@@ -35,6 +35,7 @@ def corpus(n=400):
 @pytest.mark.parametrize("bucket_rows", [4096, 5])
 def test_mix(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(mixing, "FEW_ROWS", 10 * bucket_rows)
     rows = corpus()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, size int")
     got = mixing.mix_sources(df).collect()
@@ -80,6 +81,7 @@ def test_many_rows_that_are_alike_share_what_is_left(spark):
 def test_many_sources(spark, monkeypatch):
     """More sources than are broadcast, over several ranges."""
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(mixing, "FEW_ROWS", 3)
     rng = random.Random(8)
     rows = [(i, f"s{rng.randrange(60):02}", "w " * rng.randint(0, 50)) for i in range(500)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()

@@ -24,6 +24,8 @@ from .staging import columns_of, fresh_name, named, staged
 BUCKET_ROWS = 512
 #: Sources whose goals are broadcast to the documents; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
+#: Rows that one task may order; beyond it they are ordered in ranges.
+FEW_ROWS = 100_000
 #: Lowest quality weight; bounds how uneven the key buckets can be.
 MIN_QUALITY = 0.25
 #: Fixed characters that count against a text's quality.
@@ -50,12 +52,16 @@ def uniform(key: Column) -> Column:
 
 
 def prefix_sums(rows: DataFrame, order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
-    """The rows with each of ``sums`` taken over all rows before them in ``order``, which tells all rows apart.
+    """The staged rows with each of ``sums`` taken over all rows before them in ``order``, which tells all rows apart.
 
-    Two levels: rows are dealt into ranges; each range sums within itself, and
-    the ranges' own sums, one row for each, are summed in one small task.
+    Beyond FEW_ROWS rows, which one task can order, there are two levels: rows
+    are dealt into ranges; each range sums within itself, and the ranges' own
+    sums, one row for each, are summed in one small task.
     """
     keys = [F.col(k) for k in order]
+    if rows.count() <= FEW_ROWS:
+        above = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({n: F.coalesce(F.sum(c).over(above), F.lit(0)) for n, c in sums.items()})
     own = {n: f"{n}_own" for n in sums}
     ranged = rows.withColumns({own[n]: c for n, c in sums.items()}).repartitionByRange(_partitions(rows), *keys)
     ranged = staged(ranged.withColumn("range", F.spark_partition_id()))
@@ -79,11 +85,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     does not reach.  Ranks and running sums have two levels, as sources may be
     many.
     """
-    told = sizes.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "full": F.lit(cap) * F.col("source_size")})
+    told = staged(sizes.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "full": F.lit(cap) * F.col("source_size")}))
     ranked = prefix_sums(told, ("unnamed", "name"), {"rank": F.lit(1)})
     listed = F.array(*[F.lit(w) for w in weights])
     weighed = ranked.withColumn("weight", F.element_at(listed, (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    weighed = weighed.withColumn("full_at", F.col("full") / F.col("weight"))
+    weighed = staged(weighed.withColumn("full_at", F.col("full") / F.col("weight")))
     summed = staged(prefix_sums(weighed, ("full_at", "unnamed", "name"), {"full_below": F.col("full"), "weight_below": F.col("weight")}))
     whole = summed.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
     level = (F.lit(share) * F.col("all_size") - F.col("full_below")) / (F.col("all_weight") - F.col("weight_below"))
@@ -117,10 +123,10 @@ def _bucket() -> Column:
     return F.floor((F.lit(1.0) - F.exp(F.lit(-MIN_QUALITY) * F.col("key"))) * F.col("buckets")).cast("long")
 
 
-def _beside(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with what is known of their source; a staged table of few sources is broadcast, a larger one joined by shuffle."""
+def _beside(rows: DataFrame, by_source: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with what is known of their source; a staged table of ``few`` sources is broadcast, a larger one joined by shuffle."""
     own = by_source.withColumnRenamed("source", "_source")
-    side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    side = F.broadcast(own) if few else own
     return rows.join(side, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
@@ -140,23 +146,24 @@ def _goals(keyed: DataFrame, weights: tuple[int, ...], share: float, cap: float)
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("buckets", F.greatest(F.lit(1.0), F.ceil(F.col("n_docs") / BUCKET_ROWS)))
     )
-    placed = _beside(keyed.select("source", *ORDER), goals).withColumn("bucket", _bucket())
+    few = goals.count() <= BROADCAST_ROWS
+    placed = _beside(keyed.select("source", *ORDER), goals, few).withColumn("bucket", _bucket())
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    told = sums.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
+    told = staged(sums.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))}))
     summed = staged(prefix_sums(told, ("unnamed", "name", "bucket"), {"all_before": F.col("bucket_size")}))
-    starts = staged(summed.groupBy("source").agg(F.min("all_before").alias("source_before")))
-    based = _beside(_beside(summed.select("source", "bucket", "bucket_size", "all_before"), starts), goals.select("source", "rest"))
+    starts = summed.groupBy("source").agg(F.min("all_before").alias("source_before"))
+    based = _beside(_beside(summed.select("source", "bucket", "bucket_size", "all_before"), starts if few else staged(starts), few), goals.select("source", "rest"), few)
     based = based.withColumn("base", F.col("all_before") - F.col("source_before"))
     over = based.where(F.col("base") + F.col("bucket_size") > F.col("rest"))
     ends = staged(over.groupBy("source").agg(F.min(F.struct("bucket", "base")).alias("x")).select("source", F.col("x.bucket").alias("cut_bucket"), "x.base"))
-    last = _beside(placed, ends).where(F.col("bucket") == F.col("cut_bucket"))
+    last = _beside(placed, ends, few).where(F.col("bucket") == F.col("cut_bucket"))
     by_source, alike = Window.partitionBy("source"), Window.partitionBy("source", *ORDER)
     prefix = F.col("base") + F.coalesce(F.sum("size").over(by_source.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = last.withColumn("prefix", prefix).withColumn("n_alike", F.count(F.lit(1)).over(alike)).withColumn("n_cut", F.row_number().over(alike.orderBy("prefix")))
     within = counted.where(2 * F.col("prefix") + F.col("size") <= 2 * F.col("rest"))
-    cut = staged(within.groupBy("source").agg(F.max(F.struct(*ORDER, "n_cut", "n_alike")).alias("x")))
+    cut = within.groupBy("source").agg(F.max(F.struct(*ORDER, "n_cut", "n_alike")).alias("x"))
     cut = cut.select("source", F.struct(*[F.col("x")[c].alias(c) for c in ORDER]).alias("cut"), "x.n_cut", "x.n_alike")
-    return staged(_beside(_beside(goals, ends.select("source", "cut_bucket"), "left"), cut, "left"))
+    return staged(_beside(_beside(goals, ends.select("source", "cut_bucket"), few, "left"), cut, few, "left"))
 
 
 def _dealt(keyed: DataFrame, goals: DataFrame) -> DataFrame:
@@ -165,11 +172,12 @@ def _dealt(keyed: DataFrame, goals: DataFrame) -> DataFrame:
     A row is decided by itself and its source's goal.  Only where a budget ends
     among rows that are alike are those counted out, whichever comes first.
     """
-    rows = _beside(keyed, goals)
+    sources, split_ = goals.agg(F.count(F.lit(1)), F.count_if(F.col("n_cut") < F.col("n_alike"))).first()
+    rows = _beside(keyed, goals, sources <= BROADCAST_ROWS)
     own = F.struct(*ORDER)
     below = (_bucket() < F.col("cut_bucket")) | F.coalesce(own <= F.col("cut"), F.lit(False))
     out = rows.withColumn("once_more", F.coalesce(below, F.lit(False)))
-    if goals.where("n_cut < n_alike").limit(1).count():
+    if split_:
         split = F.coalesce(own.eqNullSafe(F.col("cut")) & (F.col("n_cut") < F.col("n_alike")), F.lit(False))
         nth = F.row_number().over(Window.partitionBy("source").orderBy("size"))
         out = out.where(~split).unionByName(out.where(split).withColumn("once_more", nth <= F.col("n_cut")))
