@@ -39,13 +39,17 @@ def test_spliced_counts_equal_the_library(library, chunk, overlap):
 
 def test_odd_texts_equal_the_library(library):
     with open(PATH, encoding="utf-8") as f:
-        counter = C.Counter(f.read(), 40, 8)
+        content = f.read()
+    counter, short, plain = C.Counter(content, 40, 8), C.Counter(content, pieces=50), C.Counter(content, pieces=0)
+    assert short.cut is not None and plain.cut is None
     rng = random.Random(5)
     marks = ["a", "été", "naïve", "x×", "don't", "1", "22", "<|endoftext|>", ".", "!?", "—", "日本", "🙂", "\u00a0", "\u2003", "'s"]
     spaces = ["", " ", "  ", "\n", " \n", "\n\n ", "\t", "\r\n", "\u00a0", "\u2003"]
     for _ in range(300):
         t = "".join(rng.choice(marks) + rng.choice(spaces) for _ in range(rng.randint(0, 40)))
-        assert counter.count_all([t, t + " end", t]) == [library(t), library(t + " end"), library(t)]
+        for c in (counter, short, plain):
+            assert c.count_all([t, t + " end", t]) == [library(t), library(t + " end"), library(t)]
+    assert 0 < len(short.known) + len(short.seen) <= 50 + 200 and not plain.seen
 
 
 def test_boundaries_are_tried_on_the_tokenizer():
