@@ -146,3 +146,23 @@ def row_sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return np.diff(sums[at])
+
+
+#: Bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]`` after lower-casing: a-z, non-ASCII.
+LETTERS = byte_class(lambda v: 0x61 <= v <= 0x7A or v >= 0x80)
+
+
+def terms(column: pa.Array, inside: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased terms of a slice of texts: distinct ones, and each (row, term) as row, index of the term and count.
+
+    Terms are told apart by their bytes, not by hashes.
+    """
+    words = Words(*utf8(column), inside, lower=True)
+    ends = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words.end - words.start, out=ends[1:])
+    packed = np.ascontiguousarray(words.data[inside[words.data]])
+    all_terms = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(packed)).dictionary_encode()
+    distinct = all_terms.dictionary
+    code = all_terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys, counts = np.unique(words.doc * max(len(distinct), 1) + code, return_counts=True)
+    return distinct.cast(pa.string()), keys // max(len(distinct), 1), keys % max(len(distinct), 1), counts

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near_dedup, ngram_score, pii, quality_knn, quality_rules, token_count, url_filter
+from . import chat, decontaminate, hamming_dedup, lexical_search, mixing, near_dedup, ngram_score, pii, quality_knn, quality_rules, source_audit, token_count, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label with cosines of 0.98 at least.  Cases: as ``hamming_dedup.vector_components``."""
+    return hamming_dedup.vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language.  Cases: as ``source_audit.audit_sources``."""
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item.  Cases: as ``lexical_search.search``."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -85,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_count": op8_token_count,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "op11_embedding_dedup": op11_embedding_dedup,
+        "op12_source_audit": op12_source_audit,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -94,4 +112,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat.ORACLE_SQL,
         "op7_decontaminate": decontaminate.ORACLE_SQL,
         "op9_url_filter": url_filter.oracle_sql(),
+        "op12_source_audit": source_audit.ORACLE_SQL,
+        "op13_lexical_search": lexical_search.ORACLE_SQL,
     }
