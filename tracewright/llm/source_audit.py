@@ -2,7 +2,7 @@
 
 Tasks emit, for each block of texts, how many documents of a source hold a term
 and how often.  These rows are dealt by ranges of (lang, term, source,
-document) and sorted so; a scan of each range closes one run after the other
+document) and sorted so, lang and term as one string; a scan of each range closes one run after the other
 and yields a term's document frequency and its counts by source.  A run that
 touches the end of a range is left open, and the few such rows are added up
 apart, so a frequent term is no one task's.  A second scan, with the terms'
@@ -26,17 +26,20 @@ SCALE = 1_000_000_000
 #: Text that is counted together, in bytes, and rows of counts that a task holds before it gives them away.
 BLOCK_BYTES, HELD = 4 << 20, 400_000
 
-_BLOCK = "lang string, term string, source string, doc long, df long, n long"
-_RUN = "lang string, term string, source string, n long, df long, term_n long, lead boolean, open boolean"
+#: Stands between lang and term in a key.  No term holds it, so a key's last one parts the two.
+MARK = "\0"
+
+_BLOCK = "key string, source string, doc long, df long, n long"
+_RUN = "key string, source string, n long, df long, term_n long, lead boolean, open boolean"
 
 
 def term_blocks(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, doc, df, n) of (lang, source, text): counts within blocks of documents; ``doc`` is a block's first."""
-    names = ["lang", "term", "source", "doc", "df", "n"]
+    """(key, source, doc, df, n) of (lang, source, text): counts within blocks of documents; ``doc`` is a block's first, ``key`` its lang and term."""
+    names = ["key", "source", "doc", "df", "n"]
 
     def added(parts: list[pa.Table]) -> pa.Table:
-        grouped = pa.concat_tables(parts).group_by(["lang", "term", "source"], use_threads=False)
-        return grouped.aggregate([("doc", "min"), ("df", "sum"), ("n", "sum")]).select(["lang", "term", "source", "doc_min", "df_sum", "n_sum"]).rename_columns(names)
+        grouped = pa.concat_tables(parts).group_by(["key", "source"], use_threads=False)
+        return grouped.aggregate([("doc", "min"), ("df", "sum"), ("n", "sum")]).select(["key", "source", "doc_min", "df_sum", "n_sum"]).rename_columns(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -54,7 +57,8 @@ def term_blocks(docs: DataFrame) -> DataFrame:
                     continue
                 at, of = pa.array(key[cut] // max(len(distinct), 1)), pa.array(key[cut] % max(len(distinct), 1))
                 first, docs_of, times = row[order][cut], np.diff(cut, append=len(key)), np.add.reduceat(count[order], cut)
-                held.append(pa.table([groups["lang"].take(at), distinct.take(of), groups["source"].take(at), ids.take(pa.array(first + low)), pa.array(docs_of), pa.array(times)], names=names))
+                keys = pc.binary_join_element_wise(groups["lang"].combine_chunks().take(at), distinct.take(of), MARK)
+                held.append(pa.table([keys, groups["source"].combine_chunks().take(at), ids.take(pa.array(first + low)), pa.array(docs_of), pa.array(times)], names=names))
                 rows += len(cut)
                 if rows >= HELD:
                     whole = added(held)
@@ -81,19 +85,19 @@ def _changes(table: pa.Table, columns: list[str]) -> np.ndarray:
 
 
 def scan_runs(least: int):
-    """A pass over rows sorted by (lang, term, source, doc): one row for each run (lang, term, source) of a term in ``least`` documents.
+    """A pass over rows sorted by (key, source, doc): one row for each run (key, source) of a term in ``least`` documents.
 
     A term whose rows reach an end of the range is ``open``: its other rows may
     be in the next range.  What is carried on is one term's runs.
     """
 
     def folded(table: pa.Table) -> pa.Table:
-        cut = np.flatnonzero(_changes(table, ["lang", "term", "source"]))
+        cut = np.flatnonzero(_changes(table, ["key", "source"]))
         sums = [pa.array(np.add.reduceat(table[c].to_numpy(), cut)) for c in ("n", "df")]
-        return pa.table([table[c].take(pa.array(cut)) for c in ("lang", "term", "source")] + sums, names=["lang", "term", "source", "n", "df"])
+        return pa.table([table[c].take(pa.array(cut)) for c in ("key", "source")] + sums, names=["key", "source", "n", "df"])
 
     def closed(runs: pa.Table, first_open: bool, last_open: bool) -> pa.RecordBatch | None:
-        lead = _changes(runs, ["lang", "term"])
+        lead = _changes(runs, ["key"])
         term = np.cumsum(lead) - 1
         cut = np.flatnonzero(lead)
         df, n = (np.add.reduceat(runs[c].to_numpy(), cut)[term] for c in ("df", "n"))
@@ -107,9 +111,9 @@ def scan_runs(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).select(["lang", "term", "source", "n", "df"])
+            table = pa.Table.from_batches([batch]).select(["key", "source", "n", "df"])
             runs = folded(table if carried is None else pa.concat_tables([carried, table]))
-            last = np.flatnonzero(_changes(runs, ["lang", "term"]))[-1]
+            last = np.flatnonzero(_changes(runs, ["key"]))[-1]
             carried = runs.slice(last)
             if last:
                 out = closed(runs.slice(0, last), first, False)
@@ -124,16 +128,17 @@ def scan_runs(least: int):
 
 def term_runs(docs: DataFrame, least: int) -> DataFrame:
     """(lang, term, source, n, term_n, lead) of every term in ``least`` documents of its language at least; ``lead`` marks one row of a term."""
-    order = ["lang", "term", "source", "doc"]
+    order = ["key", "source", "doc"]
     blocks = staged(term_blocks(docs))
     runs = staged(blocks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan_runs(least), _RUN))
-    term = Window.partitionBy("lang", "term")
-    rest = runs.where("open").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    term = Window.partitionBy("key")
+    rest = runs.where("open").groupBy("key", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     rest = rest.select(
-        "lang", "term", "source", "n", F.sum("df").over(term).alias("df"), F.sum("n").over(term).alias("term_n"), (F.col("source") == F.min("source").over(term)).alias("lead")
+        "key", "source", "n", F.sum("df").over(term).alias("df"), F.sum("n").over(term).alias("term_n"), (F.col("source") == F.min("source").over(term)).alias("lead")
     ).where(F.col("df") >= least)
-    columns = ["lang", "term", "source", "n", "term_n", "lead"]
-    return runs.where("NOT open").select(*columns).unionByName(rest.select(*columns))
+    columns = ["key", "source", "n", "term_n", "lead"]
+    both = runs.where("NOT open").select(*columns).unionByName(rest.select(*columns)).withColumn("term", F.substring_index("key", MARK, -1))
+    return both.select(F.left("key", F.length("key") - F.length("term") - 1).alias("lang"), "term", *columns[1:])
 
 
 def share(count: str, total: str) -> str:
