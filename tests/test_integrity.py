@@ -69,5 +69,5 @@ def test_every_document_is_graded(spark, tmp_path):
     docs = [(i, f"heading {i}\na first line of document {i}\nmore") for i in range(1, 46)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     graded = registry.queries()["f26_citation_grades"](spark, str(tmp_path)).collect()
-    assert sorted(int(r["path"]) for r in graded) == list(range(1, 46))
+    assert sorted(int(r["cite"][1:]) for r in graded) == list(range(1, 46))
     assert sum(r["n"] for r in registry.queries()["a36_grade_tallies"](spark, str(tmp_path)).collect()) == 45

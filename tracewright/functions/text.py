@@ -14,11 +14,6 @@ from . import patterns as P
 WHITE_ENDS = r"(?U)^\s+|\s+$"
 
 
-def any_of(*expressions: str, flags: str = "") -> str:
-    """One expression for several alternatives."""
-    return f"{flags}(?:{'|'.join(expressions)})"
-
-
 def stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, WHITE_ENDS, "")
@@ -76,8 +71,8 @@ def task_type(text: Column, n_tools: Column, n_orchestration: Column) -> Column:
     tell = lambda kind, sure: F.struct(F.lit(kind).alias("type"), sure.alias("confidence"))
     med = F.lit("med")
     rules = F.when((n_orchestration >= 3) & (n_orchestration > 0.15 * n_tools), tell("orchestration", med))
-    rules = rules.when(F.substring(raw, 1, 600).rlike(any_of(*P.PROBE, flags="(?iu)")), tell("probe_check", med))
-    rules = rules.when(own.rlike(any_of(*P.EVALUATION, flags="(?isu)")), tell("eval_harness", med))
+    rules = rules.when(F.substring(raw, 1, 600).rlike(P.PROBE), tell("probe_check", med))
+    rules = rules.when(own.rlike(P.EVALUATION), tell("eval_harness", med))
     for kind, words in P.TASK_KEYWORDS.items():
         hits = substring_hits(low, words)
         rules = rules.when(hits >= 1, tell(kind, F.when(hits >= 2, "med").otherwise("low")))

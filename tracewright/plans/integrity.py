@@ -61,7 +61,7 @@ def _key(text: str) -> str:
     return f"lower(trim(regexp_replace(regexp_replace({text}, '[*_`]', '', 'g'), '\\s+', ' ', 'g')))"
 
 
-_GRADES = f"""{_LINES}, k AS MATERIALIZED (SELECT path, line_no, {_key('line')} AS key FROM l), q AS (SELECT cite, path, ln, {_key('quote')} AS q FROM c), n AS (SELECT path, count(*) AS n FROM l GROUP BY path),
+_GRADES = rf"""{_LINES}, k AS MATERIALIZED (SELECT path, line_no, {_key('line')} AS key FROM l), q AS (SELECT cite, path, ln, {_key('quote')} AS q FROM c), n AS (SELECT path, count(*) AS n FROM l GROUP BY path),
 h AS (SELECT cite, arg_min(line_no, abs(line_no - ln) * 100000000 + line_no) AS nearest FROM q JOIN k ON q.path = k.path WHERE contains(key, q) GROUP BY cite),
 e AS (SELECT cite, path, unnest(regexp_split_to_array(q, '\s*(?:\.\.\.|…)\s*')) AS part FROM q),
 s AS (SELECT cite, count(*) > 1 AND bool_and(EXISTS (SELECT 1 FROM k WHERE k.path = e.path AND contains(key, part))) AS spliced FROM e WHERE length(part) > 0 GROUP BY cite),
