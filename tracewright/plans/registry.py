@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("experiment", "sessions", "signatures", "coverage", "triage", "integrity", "verdicts", "scalars", "extras", "joins", "sources")
+MODULES = ("experiment", "sessions", "signatures", "coverage", "triage", "integrity", "verdicts", "scalars", "extras", "joins", "periods", "sources")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
