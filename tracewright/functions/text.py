@@ -34,13 +34,14 @@ def collapsed(text: Column) -> Column:
     return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def snippet(text: Column, pattern: str, width: int = 80, longest: int = 220) -> Column:
+def snippet(text: Column, pattern: str | Column, width: int = 80, longest: int = 220) -> Column:
     """The first match with ``width`` characters around it, collapsed; null without a match.
 
     Lengths count code points: the part before the match is measured, not the
     regex engine's own offset.
     """
-    hit = F.regexp_substr(text, F.lit(pattern))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hit = F.regexp_substr(text, pattern)
     before = F.length(F.element_at(F.split(text, pattern, 2), 1))
     start = F.greatest(F.lit(0), before - width)
     return F.when(hit.isNotNull(), F.substring(collapsed(F.substring(text, start + 1, before - start + F.length(hit) + width)), 1, longest))
@@ -145,7 +146,9 @@ def passed_tests(log: Column) -> Column:
 
 def quote_key(text: Column) -> Column:
     """A form in which quotes compare: compatibility characters, quotes and dashes folded, markup and case gone."""
-    folded = F.translate(compatible(text), "‘’‚‛“”„‟–—―−", "''''\"\"\"\"----")
+    # only what is not plain ASCII goes through Python; of the rest nothing is sent but nulls
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    folded = F.translate(F.coalesce(compatible(odd), text), "‘’‚‛“”„‟–—―−", "''''\"\"\"\"----")
     return F.lower(collapsed(F.regexp_replace(folded, r"[*_`]", "")))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import written
+from .containment import contains_join
 
 
 def required_fields(rows: DataFrame, key: str, fields: tuple[str, ...], allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -79,34 +81,76 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).select(key, (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
+def resolve_paths(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """The citations with ``path`` as a file's own and ``how`` it was found: exact, short id, suffix, ambiguous or none.
+
+    files: (path).  A short id is the first eight characters of a file's name,
+    hexadecimal; an elided path is an ellipsis, a slash and the path's last
+    parts.  Files are keyed by name and by their ends at slashes, so that all
+    three are equi-joins.  A path that is not resolved stays as it is.
+    """
+    paths = files.select(F.col("path").alias("_file")).distinct()
+    steps = F.split("_file", "/")
+    name = F.element_at(steps, -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "/"))
+    keys = paths.select("_file", F.lit("exact").alias("how"), F.col("_file").alias("_key"))
+    keys = keys.unionByName(paths.select("_file", F.lit("short id").alias("how"), F.substring(name, 1, 8).alias("_key")).where(F.col("_key").rlike("^[0-9a-f]{8}$")))
+    keys = keys.unionByName(paths.select("_file", F.lit("suffix").alias("how"), F.explode(ends).alias("_key")))
+    elided = F.regexp_extract("path", r"^(?:…|\.\.\.)/(.+)$", 1)
+    kind = F.when(elided != "", "suffix").when(F.col("path").rlike("^[0-9a-f]{8}$"), "short id")
+    asked = citations.select("path").distinct()
+    wanted = asked.select("path", F.lit("exact").alias("how"), F.col("path").alias("_key")).unionByName(
+        asked.select("path", kind.alias("how"), F.when(elided != "", elided).otherwise(F.col("path")).alias("_key")).where("how IS NOT NULL")
+    )
+    found = wanted.join(keys, ["how", "_key"]).groupBy("path").agg(
+        F.min(F.when(F.col("how") == "exact", F.col("_file"))).alias("_own"), F.min("_file").alias("_one"), F.max("_file").alias("_other"), F.max("how").alias("_how")
+    )
+    how = F.when(F.col("_own").isNotNull(), "exact").when(F.col("_one").isNull(), "none").when(F.col("_one") == F.col("_other"), F.col("_how")).otherwise("ambiguous")
+    told = citations.join(found, "path", "left").withColumn("how", how)
+    path = F.when(F.col("how").isin("short id", "suffix"), F.col("_one")).otherwise(F.col("path"))
+    return told.select(*[path.alias(c) if c == "path" else F.col(c) for c in citations.columns], "how")
+
+
 def grade_citations(citations: DataFrame, lines: DataFrame, near: int = 5) -> DataFrame:
     """(cite, path, line, quote) against (path, line_no, line): a grade for each citation.
 
     VALID: the quote stands on the cited line; DRIFT: within ``near`` lines;
     ELSEWHERE: farther in the file; SPLICE?: each part around an ellipsis is in
     the file; NOT-FOUND; NO-FILE.  ``nearest`` is the hit next to the cited
-    line, the earlier of two.  All lines of a cited file are compared, however
-    many hits come first.
+    line, the earlier of two.
+
+    First a citation meets the lines about the cited one, by an equi-join on
+    (path, line).  Quotes that are not there are looked up in their files by
+    their rarest pieces, and so are the parts of those that are nowhere as a
+    whole.  So the work is linear in lines and citations, not their product.
+    All lines of a cited file count.  An empty quote stands on any near line.
     """
-    held = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
-    said = citations.withColumn("q", X.quote_key(F.col("quote"))).join(held, "path", "left")
-    parts = F.filter(F.split("q", r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > 0)
-    said = said.withColumn("parts", parts)
-    # only lines of cited files are normalised and compared
-    cited = lines.join(citations.select("path").distinct(), "path", "left_semi").select("path", "line_no", X.quote_key(F.col("line")).alias("key"))
-    met = said.select("cite", "path", "line", "q", "parts").join(cited, "path")
-    away = F.abs(F.col("line_no") - F.col("line"))
-    hit = F.contains("key", F.col("q"))
-    seen = met.groupBy("cite").agg(
-        F.min_by(F.when(hit, F.col("line_no")), F.when(hit, F.struct(away.alias("d"), F.col("line_no").alias("l")))).alias("nearest"),
-        F.array_distinct(F.flatten(F.collect_set(F.filter("parts", lambda p: F.contains(F.col("key"), p))))).alias("parts_found"),
-    )
-    graded = said.join(seen, "cite", "left")
+    held = lines.join(citations.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"))
+    said = citations.select("cite", "path", "line", X.quote_key(F.col("quote")).alias("q"))
+    about = said.withColumn("line_no", F.explode(F.sequence(F.col("line") - near, F.col("line") + near)))
+    met = about.join(lines.select("path", "line_no", F.col("line").alias("text")), ["path", "line_no"])
+    met = met.select("cite", "line", "line_no", "q", X.quote_key(F.col("text")).alias("key")).where(F.contains("key", "q"))
+    order = F.struct(F.abs(F.col("line_no") - F.col("line")).alias("d"), F.col("line_no").alias("l"))
+    close = met.groupBy("cite").agg(F.min(order)["l"].alias("nearest"))
+    first = written(said.join(held, "path", "left").join(close, "cite", "left"))
+
+    rest = first.where("nearest IS NULL AND n_lines IS NOT NULL AND length(q) > 0").select("cite", "path", "line", "q")
+    texts = written(lines.join(rest.select("path").distinct(), "path", "left_semi").select("path", "line_no", X.quote_key(F.col("line")).alias("key")))
+    far = contains_join(texts, rest, "line_no", "key", "cite", "q", by=("path",)).join(rest.select("cite", "line"), "cite")
+    far = written(far.groupBy("cite").agg(F.min(order)["l"].alias("farther")))
+
+    parts = F.array_distinct(F.filter(F.split("q", r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > 0))
+    # a quote of one part that is nowhere as a whole is nowhere
+    split = rest.where(F.size(F.filter(F.split("q", r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > 0)) > 1).join(far, "cite", "left_anti").withColumn("parts", parts)
+    each = split.select("path", "cite", F.explode("parts").alias("part")).withColumn("piece", F.struct("cite", "part"))
+    seen = contains_join(texts, each, "line_no", "key", "piece", "part", by=("path",)).select("piece").distinct().select("piece.cite").groupBy("cite").agg(F.count(F.lit(1)).alias("n_seen"))
+    spliced = split.join(seen, "cite").where(F.col("n_seen") == F.size("parts")).select("cite", F.lit(True).alias("spliced"))
+
+    graded = first.join(far, "cite", "left").join(spliced, "cite", "left").withColumn("nearest", F.coalesce("nearest", "farther"))
     distance = F.abs(F.col("nearest") - F.col("line"))
-    spliced = (F.size("parts") > 1) & (F.size(F.array_except("parts", F.coalesce("parts_found", F.array().cast("array<string>")))) == 0)
     grade = (
         F.when(F.col("n_lines").isNull(), "NO-FILE").when(distance == 0, "VALID").when(distance <= near, "DRIFT")
-        .when(distance > near, "ELSEWHERE").when(spliced, "SPLICE?").otherwise("NOT-FOUND")
+        .when(distance > near, "ELSEWHERE").when(F.col("spliced"), "SPLICE?").otherwise("NOT-FOUND")
     )
     return graded.select("cite", "path", "line", "nearest", grade.alias("grade"))
 

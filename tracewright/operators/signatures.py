@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.stats import truthy
+from .containment import contains_join
 from .sessions import carried, reached
 
-#: Rows of a list of known incidents, at most: it is broadcast.
-MAX_KNOWN = 10_000
-
-
 def detect(messages: DataFrame, catalog: tuple[tuple[str, str, int, str, str], ...], flags: str = "(?dU)") -> DataFrame:
     """Incident rows (detector, bucket, snippet) of every message that fits, with the message's columns."""
     text = F.col("text")
@@ -140,18 +137,30 @@ def queue(incidents: DataFrame, by: tuple[str, ...], ts: str, top: int, session:
 def known_found(known: DataFrame, incidents: DataFrame) -> DataFrame:
     """For each known incident (label, detector prefix, session part, snippet expression or null) whether it was found.
 
-    ``known`` is a list kept by hand, of MAX_KNOWN rows at most: it is what is
-    broadcast, the incidents stay where they are, and only labels come back.
+    Sessions and parts meet by the parts' rarest pieces, so that neither list
+    need be short; a part that is empty is in every session.  Equal conditions
+    of several labels are tried once.
     """
-    if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
-        raise ValueError(f"a list of known incidents has at most {MAX_KNOWN} rows")
+    asked = known.select("detector_prefix", "session_part", "snippet_pattern").distinct()
     rows = incidents.select("detector", "session", "snippet")
-    fits = (
-        F.startswith(rows["detector"], known["detector_prefix"]) & F.contains(rows["session"], known["session_part"])
-        & F.coalesce(F.regexp_like(rows["snippet"], known["snippet_pattern"]), known["snippet_pattern"].isNull())
-    )
-    hits = rows.join(F.broadcast(known), fits).select("label").distinct().withColumn("hit", F.lit(True))
-    return known.join(hits, "label", "left").groupBy("label").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("found"))
+    sessions = rows.select("session", F.col("session").alias("_s")).distinct()
+    parts = asked.select("session_part", F.col("session_part").alias("_p")).distinct()
+    met = contains_join(sessions, parts, "session", "_s", "session_part", "_p")
+    prefix = F.startswith("detector", "detector_prefix")
+    plain, told = asked.where("snippet_pattern IS NULL").drop("snippet_pattern"), asked.where("snippet_pattern IS NOT NULL")
+    by_session = lambda df: df.join(met, "session")
+    pairs = rows.select("detector", "session").distinct()
+    found = by_session(pairs).join(plain, "session_part").where(prefix).select("detector_prefix", "session_part", F.lit(None).cast("string").alias("snippet_pattern"))
+    fits = F.regexp_like("snippet", F.col("snippet_pattern"))
+    found = found.unionByName(by_session(rows).join(told, "session_part").where(prefix & fits).select("detector_prefix", "session_part", "snippet_pattern"))
+    # empty parts: any session will do, so distinct detectors and snippets are all that counts
+    empty = asked.where("session_part = ''")
+    anywhere = rows.select("detector", "snippet").distinct().join(empty, prefix & (F.col("snippet_pattern").isNull() | F.coalesce(fits, F.lit(False))))
+    found = found.unionByName(anywhere.select("detector_prefix", "session_part", "snippet_pattern")).distinct().withColumn("hit", F.lit(True))
+    same = F.lit(True)
+    for c in ("detector_prefix", "session_part", "snippet_pattern"):
+        same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}"))
+    return known.alias("k").join(found.alias("f"), same, "left").groupBy("label").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("found"))
 
 
 def after_first(incidents: DataFrame, first_detector: str, key: str = "session", order: str = "line_no") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import integrity as O
+from ..sources.shared import written
 from .registry import query
 
 
@@ -81,6 +82,25 @@ def _(t):
     return O.grade_citations(cites, lines)
 
 
+_FILES = "files AS (SELECT doc_id, '/w/' || coalesce(source, 'x') || '/' || substr(md5(doc_id::VARCHAR), 1, 10) || '.jsonl' AS path FROM documents)"
+
+
+@query("f26_citations_by_short_name", f"""WITH {_FILES}, c AS (SELECT doc_id, path, CASE doc_id % 4 WHEN 0 THEN path WHEN 1 THEN substr(md5(doc_id::VARCHAR), 1, 8) WHEN 2 THEN '…/' || string_split(path, '/')[-1] ELSE '…/nowhere/' || doc_id END AS said FROM files)
+SELECT 'c' || doc_id AS cite, CASE WHEN doc_id % 4 = 3 THEN said ELSE path END AS path, CASE doc_id % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'short id' WHEN 2 THEN 'suffix' ELSE 'none' END AS how, CASE WHEN doc_id % 4 = 3 THEN 'NO-FILE' ELSE 'VALID' END AS grade FROM c""")
+def _(t):
+    """Citations that name files in full, by the first eight characters of their names, or by the ends of their paths, and quote their first lines."""
+    d, m = F.col("doc_id"), F.col("doc_id") % 4
+    name = F.md5(d.cast("string"))
+    path = F.concat(F.lit("/w/"), F.coalesce("source", F.lit("x")), F.lit("/"), F.substring(name, 1, 10), F.lit(".jsonl"))
+    files = t("documents").select("doc_id", path.alias("path"), "text")
+    lines = O.line_rows(files, "path", "text")
+    said = F.when(m == 0, path).when(m == 1, F.substring(name, 1, 8)).when(m == 2, F.concat(F.lit("…/"), F.substring(name, 1, 10), F.lit(".jsonl"))).otherwise(F.concat(F.lit("…/nowhere/"), d.cast("string")))
+    quote = F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 30)
+    cites = t("documents").select(F.concat(F.lit("c"), d.cast("string")).alias("cite"), said.alias("path"), F.lit(1).cast("long").alias("line"), quote.alias("quote"))
+    named = written(O.resolve_paths(cites, files))
+    return O.grade_citations(named, lines).join(named.select("cite", "how"), "cite").select("cite", "path", "how", "grade")
+
+
 @query("a36_grade_tallies", f"WITH {_GRADES} SELECT grade, count(*) AS n FROM g GROUP BY grade")
 def _(t):
     lines, cites = _cites(t("documents"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import signatures as O
+from ..operators.catalogs import detect_by_table
 from . import adapters as A
 from .registry import query
 
@@ -17,9 +18,30 @@ def incidents(t):
     return found.withColumn("session", F.col("path"))
 
 
+def _catalog(spark, rules):
+    return spark.createDataFrame(rules, "detector string, bucket string, priority int, pattern string, role string")
+
+
 @query("f11_incidents", f"WITH {A.INCIDENTS} SELECT path, line_no, detector, bucket FROM incidents")
 def _(t):
-    return incidents(t).select("path", "line_no", "detector", "bucket")
+    rows = A.messages(t("conversations"))
+    return detect_by_table(rows, _catalog(rows.sparkSession, A.CATALOG)).select("path", "line_no", "detector", "bucket")
+
+
+_PAIR = "array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ')"
+
+
+@query("f11_rules_of_a_table", f"""WITH {A.MESSAGES}, r AS (SELECT DISTINCT {_PAIR} AS p, lang FROM documents WHERE length({_PAIR}) > 4),
+h AS (SELECT path, line_no, lang, CASE WHEN length(p) > 12 THEN 'long' ELSE 'short' END AS bucket, row_number() OVER (PARTITION BY path, line_no, lang ORDER BY CASE WHEN length(p) > 12 THEN 1 ELSE 2 END, p) AS k
+      FROM messages JOIN r ON contains(text, p) WHERE role = 'assistant')
+SELECT path, line_no, lang AS detector, bucket FROM h WHERE k = 1""")
+def _(t):
+    """A catalog of as many rules as there are openings of documents: a message's text holds the first two words of one, by language."""
+    pair = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 2), " ")
+    opened = t("documents").select(pair.alias("pattern"), "lang").where("length(pattern) > 4").distinct()
+    long = F.length("pattern") > 12
+    rules = opened.select(F.col("lang").alias("detector"), F.when(long, "long").otherwise("short").alias("bucket"), F.when(long, 1).otherwise(2).alias("priority"), "pattern", F.lit("assistant").alias("role"))
+    return detect_by_table(A.messages(t("conversations")), rules).select("path", "line_no", "detector", "bucket")
 
 
 @query("f10_snippets", f"""WITH {A.MESSAGES}, h AS (SELECT path, line_no, text, regexp_extract(text, 'tion[a-z]*') AS hit FROM messages WHERE role = 'assistant' AND regexp_matches(text, 'tion[a-z]*')),
@@ -78,6 +100,15 @@ def _(t):
     return O.known_found(known, rows)
 
 
+@query("j06_known_from_orders", f"WITH {A.INCIDENTS}, k AS (SELECT o_orderkey::VARCHAR AS label, CASE o_orderkey % 3 WHEN 0 THEN 'admission' WHEN 1 THEN 'user' ELSE 'missing' END AS p, (o_custkey % 700)::VARCHAR AS s FROM orders), i AS (SELECT DISTINCT detector, session FROM incidents), d AS (SELECT DISTINCT p, s FROM k), f AS (SELECT DISTINCT p, s FROM d JOIN i ON starts_with(detector, p) AND contains(session, s)) SELECT label, f.p IS NOT NULL AS found FROM k LEFT JOIN f USING (p, s)")
+def _(t):
+    """A known incident for each order: more of them than could be broadcast."""
+    k = F.col("o_orderkey")
+    prefix = F.when(k % 3 == 0, "admission").when(k % 3 == 1, "user").otherwise("missing")
+    known = t("orders").select(k.cast("string").alias("label"), prefix.alias("detector_prefix"), (F.col("o_custkey") % 700).cast("string").alias("session_part"), F.lit(None).cast("string").alias("snippet_pattern"))
+    return O.known_found(known, incidents(t))
+
+
 @query("x02_after_first_admission", f"WITH {A.INCIDENTS}, f AS (SELECT session, min(line_no) FILTER (detector = 'admission') AS start FROM incidents GROUP BY session) SELECT i.session, count(*) AS n_after FROM incidents i JOIN f USING (session) WHERE line_no > start AND detector <> 'admission' GROUP BY i.session")
 def _(t):
     return O.after_first(incidents(t), "admission")
@@ -104,7 +135,8 @@ def _spoken(t):
 
 @query("f15_prose_detectors", f"WITH {A.MESSAGES} SELECT detector, bucket, count(*) AS rows, count(DISTINCT path) AS sessions FROM messages JOIN {A.values(A.PHRASES, 'phrase, who, detector, bucket')} ON i = (path::BIGINT + line_no) % {len(A.PHRASES)} AND who = role WHERE detector IS NOT NULL AND NOT (role = 'user' AND sidechain) GROUP BY detector, bucket")
 def _(t):
-    return O.counts(O.detect(O.admissible(_spoken(t)), P.FAILURE_SIGNATURES + P.SUCCESS_SIGNATURES).withColumn("session", F.col("path")))
+    rows = O.admissible(_spoken(t))
+    return O.counts(detect_by_table(rows, _catalog(rows.sparkSession, P.FAILURE_SIGNATURES + P.SUCCESS_SIGNATURES)).withColumn("session", F.col("path")))
 
 
 @query("f14_synthetic_errors", f"WITH {A.MESSAGES} SELECT path, line_no, 'synthetic_error' AS detector, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 220) AS snippet FROM messages WHERE role = 'assistant' AND (path::BIGINT + line_no) % 9 = 4")
