@@ -64,8 +64,9 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all urls.  Cases: as ``url_filter.filter_urls``."""
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    """Verdicts on all urls, by general terms and by those that labelled documents teach.  Cases: as ``url_filter.filter_urls``."""
+    learned = url_filter.learned_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), vocabulary=url_filter.general_terms(spark).unionByName(learned))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import named
@@ -25,33 +25,65 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: The vocabulary that serves where none is given: general words of the trades that corpora leave out, by how telling each is.
-#: A term of weight 1 or more is strict.
-VOCABULARY = (
-    # adult
-    ("porn", 1.0), ("porno", 1.0), ("xxx", 1.0), ("hentai", 1.0), ("camgirls", 1.0), ("adult", 0.6), ("sex", 0.6), ("nude", 0.6), ("escort", 0.6), ("erotic", 0.6),
-    # gambling
-    ("sportsbook", 1.0), ("casino", 0.6), ("poker", 0.6), ("betting", 0.6), ("jackpot", 0.6), ("slots", 0.6), ("bet", 0.5), ("bets", 0.5), ("bonus", 0.4), ("win", 0.4),
-    # medicines by mail
-    ("viagra", 1.0), ("cialis", 1.0), ("pills", 0.6), ("pharmacy", 0.5), ("cheap", 0.5), ("discount", 0.4),
-    # fraud, piracy and lures
-    ("phishing", 1.0), ("warez", 1.0), ("keygen", 1.0), ("torrent", 0.6), ("crack", 0.5), ("loan", 0.5), ("payday", 0.6), ("clickbait", 0.6), ("spam", 0.6), ("farm", 0.4), ("free", 0.5),
-    # advertising
-    ("adserver", 1.0), ("ads", 0.6), ("banner", 0.5), ("popup", 0.6), ("track", 0.4), ("tracker", 0.5), ("affiliate", 0.5),
+#: General terms, by trade.  What names a trade is strict; what it shares with other matters is soft, and all soft ones weigh the same.
+STRICT_TERMS = (
+    "porn porno pornography xxx hentai camgirl camgirls milf nsfw escorts "
+    "casino casinos sportsbook blackjack roulette baccarat gambling "
+    "viagra cialis levitra xanax tramadol phentermine "
+    "phishing malware ransomware keylogger warez keygen serialz "
+    "adserver doubleclick clickbait"
 )
+SOFT_TERMS = (
+    "adult sex sexy nude naked erotic fetish escort dating webcam lingerie "
+    "bet bets betting poker jackpot slot slots lottery lotto odds win winner bonus spins bingo "
+    "pills pill pharmacy pharma drug drugs prescription tablets diet slim cheap cheapest discount "
+    "spam scam hoax fraud loan loans payday credit debt cash money earn rich bitcoin crypto forex "
+    "torrent torrents crack cracked hack hacks cheats pirate proxy "
+    "ads ad advert adverts banner banners popup popups sponsor sponsored promo affiliate affiliates track tracker tracking click clicks traffic "
+    "seo backlink backlinks farm parked redirect free"
+)
+STRICT, SOFT = 1.0, 0.5
+VOCABULARY = tuple((t, STRICT) for t in STRICT_TERMS.split()) + tuple((t, SOFT) for t in SOFT_TERMS.split())
 #: Distinct soft terms, and their weights together, that reject a url.
-SOFT_HITS, SOFT_WEIGHT = 2, 0.9
-#: Terms of a vocabulary, at most: all workers hold it.
+SOFT_HITS, SOFT_WEIGHT = 2, 1.0
+#: Terms that workers hold in one pass; a longer vocabulary is counted in several automata.
 MAX_TERMS = 1_000_000
+#: Of a learnt term: toxic documents that hold it, at least; the least share of toxic ones among all that hold it, by
+#: the lower end of Wilson's interval at 95 %, for a soft and for a strict term.
+LEAST_DOCUMENTS, SOFT_SHARE, STRICT_SHARE = 10, 0.5, 0.9
+_Z2 = 3.8416
+
+
+def learned_terms(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
+    """(term, weight) of words `[a-z0-9]+`, after lower-casing A-Z, that tell toxic documents from others, by all labelled ones.
+
+    A document counts once for a word.  Null labels and texts teach nothing; rows that share an id are joined with each label of it.
+    """
+    marked = labels.where(named(toxic).isNotNull()).select(named(id).alias("_id"), (named(toxic) == 1).cast("long").alias("_toxic"))
+    rows = docs.select(named(id).alias("_id"), named(text).cast("string").alias("_text")).join(marked, "_id")
+    words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("_text")), F.lit("[a-z0-9]+"), F.lit(0)))
+    counts = rows.select("_toxic", F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("_toxic").alias("k"))
+    p, n = F.col("k") / F.col("n"), F.col("n")
+    low = (p + _Z2 / (2 * n) - F.sqrt(F.lit(_Z2)) * F.sqrt(p * (1 - p) / n + _Z2 / (4 * n * n))) / (1 + _Z2 / n)
+    told = counts.where(F.col("k") >= LEAST_DOCUMENTS).withColumn("low", low).where(F.col("low") >= SOFT_SHARE)
+    return told.select("term", F.when(F.col("low") >= STRICT_SHARE, STRICT).otherwise(SOFT).alias("weight"))
+
+
+def general_terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(VOCABULARY, "term string, weight double")
 
 
-def terms_of(vocabulary: DataFrame) -> tuple[tuple[str, float], ...]:
-    """A table (term, weight) as terms: lower case, the greatest weight of a repeated one; null and empty terms are none."""
+def terms_of(vocabulary: DataFrame) -> Iterator[tuple[tuple[str, float], ...]]:
+    """A table (term, weight) as terms, MAX_TERMS at a time: lower case, the greatest weight of a repeated one; null and empty terms are none."""
     rows = vocabulary.select(lower_ascii(F.col("term")).alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> '' and weight > 0")
-    listed = rows.groupBy("term").agg(F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()
-    if len(listed) > MAX_TERMS:
-        raise ValueError(f"a vocabulary has at most {MAX_TERMS} terms")
-    return tuple(sorted((r["term"], r["weight"]) for r in listed))
+    part: list[tuple[str, float]] = []
+    for r in rows.groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").toLocalIterator():
+        part.append((r["term"], r["weight"]))
+        if len(part) == MAX_TERMS:
+            yield tuple(part)
+            part = []
+    if part:
+        yield tuple(part)
 
 
 def lower_ascii(column: Column) -> Column:
@@ -121,14 +153,15 @@ def filter_urls(
     no rows, an empty vocabulary no terms; other columns are ignored.  Between
     rules of one length the first listed wins.
     """
-    terms = terms_of(vocabulary) if isinstance(vocabulary, DataFrame) else tuple(vocabulary)
+    parts = list(terms_of(vocabulary)) if isinstance(vocabulary, DataFrame) else [tuple(vocabulary)]
     host, path = host_and_path(F.col("_url"))
     ranked = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, on, below in reversed(ranked):
         fits = ((F.col("host") == on) | F.col("host").endswith("." + on)) & F.col("path").startswith(below)
         rule, verdict = F.when(fits, on + below).otherwise(rule), F.when(fits, says).otherwise(verdict)
-    found = term_hits(terms)(lower_ascii(F.col("_url")))
+    each = [term_hits(terms)(lower_ascii(F.col("_url"))) for terms in parts or [()]]
+    found = F.struct(*[sum((hits[c] for hits in each[1:]), each[0][c]).alias(c) for c in ("strict", "soft", "weight")])
     rejected = (F.col("_found.strict") >= 1) | ((F.col("_found.soft") >= soft_hits) & (F.col("_found.weight") >= round(soft_weight * 1000)))
     return (
         pages.select(named(id).alias("page_id"), named(url).cast("string").alias("_url"))
@@ -142,20 +175,23 @@ def filter_urls(
 
 
 def oracle_sql() -> str:
-    low = f"translate(url, '{UPPER}', '{LOWER}')"
-    hit = lambda term, n=1: f"CASE WHEN regexp_matches(coalesce(low, ''), '(^|[^a-z0-9]){term}($|[^a-z0-9])') THEN {n} ELSE 0 END"
-    strict, soft = [hit(t) for t, w in VOCABULARY if w >= 1], [(t, w) for t, w in VOCABULARY if w < 1]
+    low = lambda column: f"translate({column}, '{UPPER}', '{LOWER}')"
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     cases = lambda pick: "CASE " + " ".join(
         f"WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '{below}') THEN '{pick(says, on, below)}'" for says, on, below in ranked
     ) + " END"
+    listed = ", ".join(f"('{t}', {w})" for t, w in VOCABULARY)
     return rf"""
-WITH u AS (SELECT page_id, {low} AS low, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
-             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-t AS (SELECT *, {" + ".join(strict)} AS n_strict, {" + ".join(hit(t) for t, _ in soft)} AS n_soft, {" + ".join(hit(t, round(w * 1000)) for t, w in soft)} AS soft FROM h)
+WITH c AS (SELECT term, count(*)::DOUBLE AS n, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS k
+           FROM (SELECT toxic, unnest(list_distinct(regexp_extract_all({low('text')}, '[a-z0-9]+'))) AS term FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL) GROUP BY term),
+b AS (SELECT term, (k / n + {_Z2} / (2 * n) - sqrt({_Z2}) * sqrt(k / n * (1 - k / n) / n + {_Z2} / (4 * n * n))) / (1 + {_Z2} / n) AS low FROM c WHERE k >= {LEAST_DOCUMENTS}),
+v AS (SELECT term, max(weight) AS weight FROM (SELECT term, CASE WHEN low >= {STRICT_SHARE} THEN {STRICT} ELSE {SOFT} END AS weight FROM b WHERE low >= {SOFT_SHARE} UNION ALL VALUES {listed}) GROUP BY term),
+u AS (SELECT page_id, row_number() OVER () AS row, {low('url')} AS low, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, row, low, {low("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+t AS (SELECT row, count(*) FILTER (weight >= 1) AS n_strict, count(*) FILTER (weight < 1) AS n_soft, coalesce(sum(weight) FILTER (weight < 1), 0) AS soft
+      FROM (SELECT row, unnest(list_distinct(regexp_extract_all(coalesce(low, ''), '[a-z0-9]+'))) AS term FROM h) JOIN v USING (term) GROUP BY row)
 SELECT page_id, host, path, {cases(lambda v, h, p: h + p)} AS rule,
-       coalesce({cases(lambda v, h, p: v)}, CASE WHEN n_strict >= 1 OR (n_soft >= {SOFT_HITS} AND soft >= {round(SOFT_WEIGHT * 1000)}) THEN 'block' ELSE 'allow' END) AS verdict,
-       n_strict::BIGINT AS n_strict, n_soft::BIGINT AS n_soft
-FROM t
+       coalesce({cases(lambda v, h, p: v)}, CASE WHEN coalesce(n_strict, 0) >= 1 OR (coalesce(n_soft, 0) >= {SOFT_HITS} AND soft >= {SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_strict, 0)::BIGINT AS n_strict, coalesce(n_soft, 0)::BIGINT AS n_soft
+FROM h LEFT JOIN t USING (row)
 """
