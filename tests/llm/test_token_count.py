@@ -90,3 +90,25 @@ def test_table(spark, library):
     got = C.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, limit=3).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(i, len((t or "").encode()), library(t or ""), library(t or "") > 3) for i, t in rows], key=str)
     assert C.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("given", [{"rstrip": True}, {"lstrip": True}, {"single_word": True}, {"lstrip": True, "rstrip": True}, {}])
+def test_added_tokens_that_look_at_their_surroundings(given):
+    """Counts equal the library's whatever was met before, also twice and in long texts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(str(public.path("byte_bpe_50k.json")))
+    tokenizer.add_tokens([tokenizers.AddedToken("<sep>", **given), tokenizers.AddedToken("qq", **given)])
+    counter = C.Counter(tokenizer.to_str(), chunk=200, overlap=40)
+    assert (counter.stable is None) == bool(given)
+    rng = random.Random(1)
+    parts = ["a", "<sep>", "qq", "qqa", " ", "\n", "b c", "12", "word", ".", "  "]
+    texts = ["a<sep>\nb c<sep>\nb"] * 3 + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(300)] + ["".join(rng.choices(parts, k=900)) for _ in range(5)]
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.count_all(texts) == want and counter.count_all(texts) == want
+
+
+def test_clashing_columns(spark):
+    public = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([(1, "two words", 5, True)], "doc_id long, text string, n_tokens int, over_limit boolean")
+    assert [tuple(r) for r in C.count_tokens(df, str(public.path("byte_bpe_50k.json"))).collect()][0][:2] == (1, 9)

@@ -45,17 +45,26 @@ TRIAL_PARTS = ("a", "Zed", "x1", "7", "2024", " ", "  ", "\n", "\n\n", " \n", "\
 
 
 def stable_boundaries(tokenizer) -> re.Pattern | None:
-    """The kinds of BOUNDARIES at which the tokenizer always begins a new piece."""
+    """The kinds of BOUNDARIES at which the tokenizer, as a whole, encodes both sides as it does each alone.
+
+    None where a text is rewritten, is not split first, or an added token takes
+    its surroundings into account: what it strips, or whether it stands as a
+    word, reaches over a boundary.  Each kind is tried on texts that hold the
+    added tokens too.
+    """
     if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
         return None
+    added = list(tokenizer.get_added_tokens_decoder().values())
+    if any(t.lstrip or t.rstrip or t.single_word for t in added):
+        return None
     rng = random.Random(11)
-    texts = ["".join(rng.choice(TRIAL_PARTS) for _ in range(rng.randint(2, 30))) for _ in range(TRIALS)]
-    begins = [{low for _, (low, _) in tokenizer.pre_tokenizer.pre_tokenize_str(t)} for t in texts]
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    parts = [*TRIAL_PARTS, *(t.content for t in added[:8])]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 30))) for _ in range(TRIALS)]
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
 
     def kept(kind: str) -> bool:
         places = lambda t: [m.start() for m in re.finditer(kind, t) if 0 < m.start() < len(t)]
-        return not any(map(places, added)) and all(p in own for t, own in zip(texts, begins, strict=True) for p in places(t))
+        return not any(places(t.content) for t in added) and all(ids(t) == ids(t[:p]) + ids(t[p:]) for t in texts for p in places(t))
 
     kinds = [k for k in BOUNDARIES if kept(k)]
     return re.compile("|".join(kinds)) if kinds else None
@@ -184,8 +193,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id: str = "doc_id", te
     to 2 MB, whatever the data), so executors need no copy of it.
 
     Cases: null and empty texts have no bytes and no tokens; a very long text
-    is spliced from chunks, in one task; null ids keep their rows; repeated
-    rows are counted alike; an empty table gives no rows; other columns are
+    is spliced from chunks, in one task, or encoded whole where the tokenizer
+    has no stable boundary; null ids keep their rows; repeated rows are counted
+    alike; an empty table gives no rows; other columns are
     ignored.
     """
     small_batches(docs.sparkSession)
