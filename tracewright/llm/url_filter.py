@@ -52,15 +52,19 @@ MAX_TERMS = 1_000_000
 #: the lower end of Wilson's interval at 95 %, for a soft and for a strict term.
 LEAST_DOCUMENTS, SOFT_SHARE, STRICT_SHARE = 10, 0.5, 0.9
 _Z2 = 3.8416
+#: Labelled rows that terms are learnt from, at most: those whose ids have the least digests.
+MAX_LABELLED = 20_000
 
 
 def learned_terms(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """(term, weight) of words `[a-z0-9]+`, after lower-casing A-Z, that tell toxic documents from others, by all labelled ones.
+    """(term, weight) of words `[a-z0-9]+`, after lower-casing A-Z, that tell toxic documents from others, by MAX_LABELLED labelled ones.
 
     A document counts once for a word.  Null labels and texts teach nothing; rows that share an id are joined with each label of it.
+    The labels go to the texts, which are not shuffled.
     """
-    marked = labels.where(named(toxic).isNotNull()).select(named(id).alias("_id"), (named(toxic) == 1).cast("long").alias("_toxic"))
-    rows = docs.select(named(id).alias("_id"), named(text).cast("string").alias("_text")).join(marked, "_id")
+    marked = labels.where(named(toxic).isNotNull() & named(id).isNotNull()).select(named(id).alias("_id"), (named(toxic) == 1).cast("long").alias("_toxic"))
+    marked = marked.orderBy(F.md5(F.col("_id").cast("string")), "_toxic").limit(MAX_LABELLED)
+    rows = docs.select(named(id).alias("_id"), named(text).cast("string").alias("_text")).join(F.broadcast(marked), "_id")
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("_text")), F.lit("[a-z0-9]+"), F.lit(0)))
     counts = rows.select("_toxic", F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("_toxic").alias("k"))
     p, n = F.col("k") / F.col("n"), F.col("n")
@@ -182,8 +186,9 @@ def oracle_sql() -> str:
     ) + " END"
     listed = ", ".join(f"('{t}', {w})" for t, w in VOCABULARY)
     return rf"""
-WITH c AS (SELECT term, count(*)::DOUBLE AS n, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS k
-           FROM (SELECT toxic, unnest(list_distinct(regexp_extract_all({low('text')}, '[a-z0-9]+'))) AS term FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL) GROUP BY term),
+WITH m AS (SELECT doc_id, toxic FROM labels WHERE toxic IS NOT NULL ORDER BY md5(doc_id::VARCHAR), toxic LIMIT {MAX_LABELLED}),
+c AS (SELECT term, count(*)::DOUBLE AS n, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END)::DOUBLE AS k
+           FROM (SELECT toxic, unnest(list_distinct(regexp_extract_all({low('text')}, '[a-z0-9]+'))) AS term FROM documents JOIN m USING (doc_id)) GROUP BY term),
 b AS (SELECT term, (k / n + {_Z2} / (2 * n) - sqrt({_Z2}) * sqrt(k / n * (1 - k / n) / n + {_Z2} / (4 * n * n))) / (1 + {_Z2} / n) AS low FROM c WHERE k >= {LEAST_DOCUMENTS}),
 v AS (SELECT term, max(weight) AS weight FROM (SELECT term, CASE WHEN low >= {STRICT_SHARE} THEN {STRICT} ELSE {SOFT} END AS weight FROM b WHERE low >= {SOFT_SHARE} UNION ALL VALUES {listed}) GROUP BY term),
 u AS (SELECT page_id, row_number() OVER () AS row, {low('url')} AS low, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
