@@ -96,17 +96,34 @@ def _(t):
     return observed.select("l_linestatus", F.round(S.adjusted_prevalence("p", F.lit(0.9), F.lit(0.95)), 9).alias("prevalence"))
 
 
-@query("a40_hunk_audit", """WITH h AS (SELECT o_custkey::VARCHAR AS path, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS hunk FROM orders),
+_HUNKS = """WITH h AS (SELECT o_custkey::VARCHAR AS path, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS hunk FROM orders),
 c AS (SELECT path, hunk, hunk * 10 AS old_start, 3::BIGINT AS old_declared, hunk * 10 AS new_start, (3 + o_orderkey % 2)::BIGINT AS new_declared, 3::BIGINT AS old_counted, 4::BIGINT AS new_counted, 2::BIGINT AS added, 1::BIGINT AS removed FROM h)
-SELECT *, hunk - 1 AS shift, true AS old_ok, new_declared = new_counted AS new_ok, false AS overlaps, hunk = 1 AS placed_ok FROM c""")
-def _(t):
+SELECT *, hunk - 1 AS shift, true AS old_ok, new_declared = new_counted AS new_ok, false AS overlaps, hunk = 1 AS placed_ok FROM c"""
+
+
+def _diff_lines(t):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     hunks = t("orders").select(F.col("o_custkey").cast("string").alias("path"), n.alias("n"), (F.col("o_orderkey") % 2).alias("odd"))
     body = F.array(F.format_string("@@ -%d,3 +%d,%d @@", F.col("n") * 10, F.col("n") * 10, F.col("odd") + 3), F.lit(" a"), F.lit("-b"), F.lit("+c"), F.lit("+d"), F.lit(" e"))
     lines = hunks.select("path", "n", F.posexplode(body).alias("i", "line")).select("path", (F.col("n") * 10 + F.col("i")).alias("line_no"), "line")
-    return I.hunks(lines)
+    return lines
+
+
+@query("a40_hunk_audit", _HUNKS)
+def _(t):
+    return I.hunks(_diff_lines(t))
+
+
+@query("x28_table_function_hunks", _HUNKS)
+def _(t):
+    """The same by a function that takes a table, dealt by path and ordered by line."""
+    from ..functions.registered import register
+
+    lines = _diff_lines(t)
+    register(lines.sparkSession)
+    return lines.sparkSession.sql("SELECT * FROM tw_hunks(TABLE({lines}))", lines=lines)
 
 
 @query("f36_intervals", "SELECT l_returnflag, printf('[%.1f%%, %.1f%%]', round(min(l_discount) * 100, 1), round(max(l_discount) * 100, 1)) AS shown FROM lineitem GROUP BY l_returnflag")
