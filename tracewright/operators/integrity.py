@@ -135,18 +135,16 @@ def grade_citations(citations: DataFrame, lines: DataFrame, near: int = 5) -> Da
     first = written(said.join(held, "path", "left").join(close, "cite", "left"))
 
     rest = first.where("nearest IS NULL AND n_lines IS NOT NULL AND length(q) > 0").select("cite", "path", "line", "q")
-    texts = written(lines.join(rest.select("path").distinct(), "path", "left_semi").select("path", "line_no", X.quote_key(F.col("line")).alias("key")))
-    far = contains_join(texts, rest, "line_no", "key", "cite", "q", by=("path",)).join(rest.select("cite", "line"), "cite")
-    far = written(far.groupBy("cite").agg(F.min(order)["l"].alias("farther")))
-
-    parts = F.array_distinct(F.filter(F.split("q", r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > 0))
-    # a quote of one part that is nowhere as a whole is nowhere
-    split = rest.where(F.size(F.filter(F.split("q", r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > 0)) > 1).join(far, "cite", "left_anti").withColumn("parts", parts)
-    each = split.select("path", "cite", F.explode("parts").alias("part")).withColumn("piece", F.struct("cite", "part"))
-    seen = contains_join(texts, each, "line_no", "key", "piece", "part", by=("path",)).select("piece").distinct().select("piece.cite").groupBy("cite").agg(F.count(F.lit(1)).alias("n_seen"))
-    spliced = split.join(seen, "cite").where(F.col("n_seen") == F.size("parts")).select("cite", F.lit(True).alias("spliced"))
-
-    graded = first.join(far, "cite", "left").join(spliced, "cite", "left").withColumn("nearest", F.coalesce("nearest", "farther"))
+    parts = F.filter(F.split("q", r"\s*(?:\.\.\.|…)\s*"), lambda p: F.length(p) > 0)
+    # a quote's whole is piece 0; the parts around its ellipses follow, where there are two or more
+    split = rest.withColumn("parts", F.when(F.size(parts) > 1, F.array_distinct(parts)).otherwise(F.array().cast("array<string>")))
+    each = split.select("path", "cite", "line", F.posexplode(F.concat(F.array("q"), "parts")).alias("i", "part")).withColumn("piece", F.struct("cite", "line", "i"))
+    texts = lines.join(rest.select("path").distinct(), "path", "left_semi").select("path", "line_no", X.quote_key(F.col("line")).alias("key"))
+    met = contains_join(texts, each, "line_no", "key", "piece", "part", by=("path",)).select("line_no", "piece.*")
+    far = met.groupBy("cite").agg(F.min(F.when(F.col("i") == 0, order))["l"].alias("farther"), F.size(F.collect_set(F.when(F.col("i") > 0, F.col("i")))).alias("n_seen"))
+    far = far.join(split.select("cite", F.size("parts").alias("n_parts")), "cite")
+    far = far.select("cite", "farther", ((F.col("n_parts") > 0) & (F.col("n_seen") == F.col("n_parts"))).alias("spliced"))
+    graded = first.join(far, "cite", "left").withColumn("nearest", F.coalesce("nearest", "farther"))
     distance = F.abs(F.col("nearest") - F.col("line"))
     grade = (
         F.when(F.col("n_lines").isNull(), "NO-FILE").when(distance == 0, "VALID").when(distance <= near, "DRIFT")
