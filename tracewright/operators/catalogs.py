@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 #: Rules that workers hold in one pass.  A longer catalog takes several passes over the messages.
 RULES = 20_000
+#: Messages that go to a worker at once.
+BATCH_ROWS = 500
 #: Characters of a literal that is worth looking for.
 LITERAL = 3
 
@@ -187,8 +189,8 @@ def _quantifier(p: str, i: int) -> tuple[tuple[int, int], int]:
 def _candidates(rules: list[tuple]):
     """A vectorised function (text, role) -> the rules whose role it is and whose literals the text holds, by detector and priority."""
 
-    @F.pandas_udf(_RULE)
-    def candidates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_RULE)
+    def candidates(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import ahocorasick
 
         by_literal, always = defaultdict(list), []
@@ -205,18 +207,20 @@ def _candidates(rules: list[tuple]):
         if by_literal:
             automaton.make_automaton()
         names = ("detector", "bucket", "priority", "nth", "pattern")
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        listed = pa.StructArray.from_arrays([pa.array([r[c] for r in rules], kind) for c, kind in zip((0, 1, 2, 5, 3), kinds, strict=True)], names=list(names))
         for texts, roles in batches:
-            out = []
-            for text, role in zip(texts, roles, strict=True):
+            ends, chosen = [0], []
+            for text, role in zip(texts.to_pylist(), roles.to_pylist(), strict=True):
                 met = set()
                 if text is not None and role is not None:
                     met.update(always)
                     if by_literal:
                         for _, ks in automaton.iter(folded(text)):
                             met.update(ks)
-                mine = sorted((rules[k][0], rules[k][2], rules[k][5], k) for k in met if rules[k][4] == role)
-                out.append([dict(zip(names, (rules[k][0], rules[k][1], rules[k][2], rules[k][5], rules[k][3]), strict=True)) for *_, k in mine])
-            yield pd.Series(out, dtype=object)
+                chosen += sorted(k for k in met if rules[k][4] == role)  # rules stand by detector and priority
+                ends.append(len(chosen))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed.take(pa.array(chosen, pa.int64())))
 
     return candidates
 
@@ -231,6 +235,7 @@ def detect_by_table(messages: DataFrame, catalog: DataFrame, flags: str = "(?dU)
     is none is an error once a message meets it.
     """
     found = None
+    _small_batches(messages.sparkSession)
     for part in _parts(catalog):
         hits = F.filter(_candidates(part)(F.col("text"), F.col("role")), lambda r: F.regexp_like(F.col("text"), F.concat(F.lit(flags), r["pattern"])))
         rows = messages.withColumn("_hits", hits).where(F.size("_hits") > 0)
@@ -244,6 +249,14 @@ def detect_by_table(messages: DataFrame, catalog: DataFrame, flags: str = "(?dU)
     return found
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """A batch holds all rules that its messages may fit, so batches are of BATCH_ROWS messages at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def _parts(catalog: DataFrame) -> Iterator[list[tuple]]:
     """The rules, RULES at a time: (detector, bucket, priority, pattern, role, nth)."""
     rows = catalog.where("detector IS NOT NULL AND pattern IS NOT NULL AND role IS NOT NULL").select("detector", "bucket", F.col("priority").cast("int"), "pattern", "role").orderBy("detector", "priority", "pattern")
