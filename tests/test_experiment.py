@@ -82,3 +82,24 @@ def test_tiers_and_families(spark):
         E.single_tier(rows, ("run",)).collect()
     families = {"m-": "m", "g-": "g"}
     assert E.same_family("m-1", "m-2", families) and not E.same_family("m-1", "g-1", families) and not E.same_family("x", "x", families)
+
+
+def test_two_lenses(spark):
+    found = spark.createDataFrame([(1, "D1", "baseline"), (1, "D1", "baseline"), (1, "D2", "treatment"), (2, "D1", "baseline"), (2, "D1", "treatment"), (2, "X", "treatment"), (3, "D4", None)], "item long, finding string, lens string")
+    known = spark.createDataFrame([(1, "D1"), (1, "D2"), (1, "D3"), (2, "D1"), (3, "D4")], "item long, finding string")
+    got = {r["kind"]: tuple(r)[1:] for r in E.lens_accounting(found, known).collect()}
+    # a finding of no lens counts as seen by neither; one true finding each alone, one by both: half a finding unseen
+    assert got == {"true": (1, 1, 1, 2, 0.5), "stray": (0, 1, 0, 0, None)}
+    assert E.lens_accounting(found.limit(0), known.limit(0)).count() == 0
+
+
+def test_ratios_by_cluster(spark):
+    import statistics as st
+
+    rows = [("a", 1, 3, 1), ("a", 1, 1, 1), ("a", 2, 9, 4), ("a", 3, None, 2), ("b", 1, 5, 2), ("c", 1, 5, 0), ("c", 2, 1, 0)]
+    got = {r["arm"]: r for r in E.clustered_ratio(spark.createDataFrame(rows, "arm string, task long, y long, x long"), "y", "x", ("task",)).collect()}
+    y, x = [4, 9, 0], [2, 4, 2]
+    r = sum(y) / sum(x)
+    residuals = [b - r * a for a, b in zip(x, y, strict=True)]  # the delta method is the variance of these
+    assert got["a"]["ratio"] == pytest.approx(r) and got["a"]["se"] == pytest.approx((st.variance(residuals) / 3) ** 0.5 / st.mean(x))
+    assert (got["b"]["ratio"], got["b"]["se"]) == (2.5, None) and got["c"]["ratio"] is None

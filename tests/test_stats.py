@@ -36,3 +36,13 @@ def test_unknown_is_not_zero(spark):
     assert one(spark, S.rate(F.lit(0), F.lit(0))) == 0.0
     assert one(spark, S.signed_percent(F.lit(12.06))) == "+12.1%"
     assert one(spark, S.adjusted_prevalence(F.lit(0.5), F.lit(0.5), F.lit(0.5))) is None
+
+
+def test_proxies(spark):
+    v = lambda *x: [F.lit(i) for i in x]
+    # a proxy with an eighth of errors on both sides: 0.8 seen, 0.9 true
+    assert one(spark, S.proxy_bound(*v(0.8, 0.875, 0.875))) == pytest.approx(0.9) and one(spark, S.proxy_bound(*v(0.01, 0.9, 0.9))) == 0.0
+    assert one(spark, S.proxy_bound(*v(0.8, 0.3, 0.6))) is None and one(spark, S.proxy_bound(*v(0.8, 0.5, 0.5))) is None
+    assert one(spark, S.proxy_variance(*v(0.8, 100, 0.875, 0.875))) == pytest.approx(0.0016 / 0.5625)
+    assert one(spark, S.proxy_variance(*v(0.8, 0, 0.875, 0.875))) is None
+    assert one(spark, S.ratio_variance(*v(4, 2.0, 0.0, 1.0, 1.0, 0.0))) is None

@@ -71,3 +71,29 @@ def adjusted_prevalence(observed, sensitivity, specificity) -> Column:
     """Rogan-Gladen estimate of a true rate, clamped; null where the test tells nothing."""
     raw = F.try_divide(_col(observed) + _col(specificity) - 1, _col(sensitivity) + _col(specificity) - 1)
     return F.when(raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
+
+
+def proxy_bound(observed, sensitivity, specificity) -> Column:
+    """The worst-case (Natarajan) lower bound of a true rate behind a noisy proxy, clamped; null where the proxy tells nothing.
+
+    The observed rate less the false positives' rate, over one less both error
+    rates.  Unlike the Rogan-Gladen estimate it is null, not turned around, for
+    a proxy that is worse than chance.
+    """
+    false_positives, false_negatives = 1 - _col(specificity), 1 - _col(sensitivity)
+    left = 1 - false_positives - false_negatives
+    return F.when(left > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (_col(observed) - false_positives) / left)))
+
+
+def proxy_variance(observed, n, sensitivity, specificity) -> Column:
+    """Variance of a rate corrected for its proxy: the binomial one over the square of Youden's index."""
+    p, youden = _col(observed), _col(sensitivity) + _col(specificity) - 1
+    return F.try_divide(p * (1 - p), _col(n).cast("double") * youden * youden)
+
+
+def ratio_variance(n, mean_top, mean_bottom, var_top, var_bottom, covariance) -> Column:
+    """Delta-method variance of a ratio of two means over n clusters; null with fewer than two, never below zero."""
+    r = F.try_divide(_col(mean_top), _col(mean_bottom))
+    spread = _col(var_top) - 2 * r * _col(covariance) + r * r * _col(var_bottom)
+    out = F.try_divide(spread, _col(n).cast("double") * _col(mean_bottom) * _col(mean_bottom))
+    return F.when(out.isNotNull(), F.greatest(F.lit(0.0), out))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import mcnemar_p, percent_change, rate, truthy, wilson
+from ..functions.stats import Z95, mcnemar_p, percent_change, rate, ratio_variance, truthy, wilson
 
 #: Thresholds of the decision flags.
 COST_FLAG_PERCENT, BASE_RATE_FLOOR = 20.0, 0.15
@@ -25,14 +25,23 @@ def item_pass(seeded: Column, truth: Column, found: Column, false_findings: Colu
     return F.when(truthy(seeded), all_found & none & truthy(flagged)).otherwise(none & ~truthy(flagged))
 
 
-def pass_rates(judge: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
-    """k, n, rate, Wilson bounds and judge errors per group; errors count in no rate."""
+def _named(counts: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in counts.items()]
+
+
+def _rate_counts() -> dict[str, Column]:
     error, passed = truthy("judge_error"), truthy("item_pass")
-    counts = judge.groupBy(*by).agg(
-        F.count_if(~error & passed).alias("k"), F.count_if(~error).alias("n"), F.count_if(error).alias("judge_errors")
-    )
+    return {"k": F.count_if(~error & passed), "n": F.count_if(~error), "judge_errors": F.count_if(error)}
+
+
+def _rate_columns() -> dict[str, Column]:
     ci = wilson("k", "n")
-    return counts.select(*by, "k", "n", rate("k", "n").alias("rate"), ci["lo"].alias("wilson_lo"), ci["hi"].alias("wilson_hi"), "judge_errors")
+    return {"rate": rate("k", "n"), "wilson_lo": ci["lo"], "wilson_hi": ci["hi"]}
+
+
+def pass_rates(judge: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
+    """k, n, rate, Wilson bounds and judge errors per group; errors count in no rate."""
+    return judge.groupBy(*by).agg(*_named(_rate_counts())).withColumns(_rate_columns()).select(*by, *RATES)
 
 
 def token_totals(calls: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
@@ -41,12 +50,13 @@ def token_totals(calls: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
     return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *sums, F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"))
 
 
+def _judge_token_sums() -> dict[str, Column]:
+    return {"judge_tokens": F.coalesce(F.sum("judge_tokens"), F.lit(0)).cast("long"), "missing": F.count_if(F.col("judge_tokens").isNull())}
+
+
 def judge_token_totals(judge: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
     """Judge tokens, how many records miss them, and cost: null unless any record is priced."""
-    return judge.groupBy(*by).agg(
-        F.coalesce(F.sum("judge_tokens"), F.lit(0)).cast("long").alias("judge_tokens"),
-        F.count_if(F.col("judge_tokens").isNull()).alias("missing"), F.sum("judge_cost_usd").alias("judge_cost_usd"),
-    )
+    return judge.groupBy(*by).agg(*_named(_judge_token_sums()), F.sum("judge_cost_usd").alias("judge_cost_usd"))
 
 
 def arm_deltas(totals: DataFrame, metrics: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,25 +66,30 @@ def arm_deltas(totals: DataFrame, metrics: tuple[str, ...], by: tuple[str, ...]
     return wide.withColumn("abs", F.col("treatment") - F.col("baseline")).withColumn("pct", percent_change("baseline", "treatment"))
 
 
+def _confusion_counts() -> dict[str, Column]:
+    ok = ~truthy("judge_error")
+    seeded, flagged = truthy("seeded"), truthy("verdict_flagged")
+    total = lambda c: F.sum(F.when(ok, c).otherwise(0)).cast("long")
+    return {
+        "tp": F.count_if(ok & seeded & flagged), "fp": F.count_if(ok & ~seeded & flagged),
+        "tn": F.count_if(ok & ~seeded & ~flagged), "fn": F.count_if(ok & seeded & ~flagged), "n": F.count_if(ok),
+        "found": total(F.when(seeded, F.size(F.array_intersect("truth_defect_ids", "found"))).otherwise(0)),
+        "total": total(F.when(seeded, F.size("truth_defect_ids")).otherwise(0)), "mismatches": total(F.size(F.array_except("found", "truth_defect_ids"))),
+        "false_findings": total(F.coalesce("false_findings", F.lit(0))), "neutral_matched": total(F.coalesce("neutral_matched", F.lit(0))),
+    }
+
+
+def _confusion_columns() -> dict[str, Column]:
+    return {"base_rate": rate(F.col("tp") + F.col("fn"), "n"), "recall": rate("found", "total")}
+
+
 def confusion(judge: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
     """The verdict's confusion, defect recall and findings of each group.
 
     ``found`` and ``truth_defect_ids`` are compared as arrays within the row;
     ids that the judge reports but the truth lacks count as mismatches.
     """
-    ok = ~truthy("judge_error")
-    seeded, flagged = truthy("seeded"), truthy("verdict_flagged")
-    hits = F.when(ok & seeded, F.size(F.array_intersect("truth_defect_ids", "found"))).otherwise(0)
-    strays = F.when(ok, F.size(F.array_except("found", "truth_defect_ids"))).otherwise(0)
-    counts = judge.groupBy(*by).agg(
-        F.count_if(ok & seeded & flagged).alias("tp"), F.count_if(ok & ~seeded & flagged).alias("fp"),
-        F.count_if(ok & ~seeded & ~flagged).alias("tn"), F.count_if(ok & seeded & ~flagged).alias("fn"),
-        F.count_if(ok).alias("n"), F.sum(hits).cast("long").alias("found"),
-        F.sum(F.when(ok & seeded, F.size("truth_defect_ids")).otherwise(0)).cast("long").alias("total"), F.sum(strays).cast("long").alias("mismatches"),
-        F.sum(F.when(ok, F.coalesce("false_findings", F.lit(0))).otherwise(0)).cast("long").alias("false_findings"),
-        F.sum(F.when(ok, F.coalesce("neutral_matched", F.lit(0))).otherwise(0)).cast("long").alias("neutral_matched"),
-    )
-    return counts.withColumn("base_rate", rate(F.col("tp") + F.col("fn"), "n")).withColumn("recall", rate("found", "total"))
+    return judge.groupBy(*by).agg(*_named(_confusion_counts())).withColumns(_confusion_columns())
 
 
 def paired(judge: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -99,16 +114,25 @@ def flips(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return table.withColumn("p_value", mcnemar_p("only_baseline", "only_treatment"))
 
 
+def _adherence_counts(directives: tuple[str, ...], arm: str) -> dict[str, Column]:
+    """Counts over one arm's rows that carry labels; ``followed`` names keep apart from other counts."""
+    labels = F.col("adherence_labels")
+    has = (F.col("arm") == arm) & labels.isNotNull()
+    every, counts = has, {"adherence_n": F.count_if(has)}
+    for d in directives:
+        every = every & truthy(labels[d])
+        counts[f"followed_{d}"] = F.count_if(has & truthy(labels[d]))
+    return counts | {"followed_all": F.count_if(every)}
+
+
+def _adherence_rates(directives: tuple[str, ...]) -> list[Column]:
+    return [rate(f"followed_{c}", "adherence_n").alias(f"{c}_rate") for c in (*directives, "all")]
+
+
 def adherence(judge: DataFrame, directives: tuple[str, ...], arm: str = "treatment") -> DataFrame:
     """Rates of one arm's followed directives and of all together; n counts rows that carry labels."""
-    labels = F.col("adherence_labels")
-    has = labels.isNotNull()
-    each = {d: has & truthy(labels[d]) for d in directives}
-    every = has
-    for d in each.values():
-        every = every & d
-    counts = judge.where(F.col("arm") == arm).agg(F.count_if(has).alias("n"), *[F.count_if(c).alias(d) for d, c in each.items()], F.count_if(every).alias("all"))
-    return counts.select("n", *[rate(c, "n").alias(f"{c}_rate") for c in (*directives, "all")])
+    counts = judge.agg(*_named(_adherence_counts(directives, arm)))
+    return counts.select(F.col("adherence_n").alias("n"), *_adherence_rates(directives))
 
 
 def triggering(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -127,8 +151,12 @@ def decision_flags(row: DataFrame) -> DataFrame:
     )
 
 
+def _parse_failures() -> Column:
+    return F.count_if(~truthy("judge_error") & ~truthy("parse_ok"))
+
+
 def parse_failures(judge: DataFrame, by: tuple[str, ...] = ("arm",)) -> DataFrame:
-    return judge.groupBy(*by).agg(F.count_if(~truthy("judge_error") & ~truthy("parse_ok")).alias("parse_failures"))
+    return judge.groupBy(*by).agg(_parse_failures().alias("parse_failures"))
 
 
 def caveats(summary: DataFrame, n_small: int = 30) -> DataFrame:
@@ -187,6 +215,40 @@ def agreement(preferred: DataFrame) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("arms") == 1).alias("agreed")).withColumn("rate", rate("agreed", "pairs"))
 
 
+def lens_accounting(findings: DataFrame, known: DataFrame, lenses: tuple[str, str] = ARMS) -> DataFrame:
+    """What two reviewers of the same items found: alone, both and neither, with an estimate of what both missed.
+
+    findings: (item, finding, lens), repeats count once; known: (item, finding)
+    of the truth.  One row for each of ``true`` and ``stray`` findings, those
+    that the truth has and lacks.  ``unseen`` is Chapman's estimate of true
+    findings outside both lenses, which takes no truth to compute.  One
+    grouped pass over findings and truth together, keyed by item and finding.
+    """
+    a, b = lenses
+    rows = findings.select("item", "finding", (F.col("lens") == a).alias("a"), (F.col("lens") == b).alias("b"), F.lit(False).alias("known"))
+    told = known.select("item", "finding", F.lit(False).alias("a"), F.lit(False).alias("b"), F.lit(True).alias("known"))
+    each = rows.unionByName(told).groupBy("item", "finding").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("a", "b", "known")])
+    by = each.groupBy(F.when(F.col("known"), "true").otherwise("stray").alias("kind")).agg(
+        F.count_if(F.col("a") & ~F.col("b")).alias(f"only_{a}"), F.count_if(F.col("b") & ~F.col("a")).alias(f"only_{b}"),
+        F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(~F.col("a") & ~F.col("b")).alias("neither"),
+    )
+    chapman = (F.col(f"only_{a}") * F.col(f"only_{b}")).cast("double") / (F.col("both") + 1)
+    return by.withColumn("unseen", F.when(F.col("kind") == "true", chapman))
+
+
+def clustered_ratio(rows: DataFrame, top: str, bottom: str, cluster: tuple[str, ...], by: tuple[str, ...] = ("arm",)) -> DataFrame:
+    """The ratio of two sums per group with its delta-method standard error: (…, clusters, ratio, se, lo, hi).
+
+    Rows of one cluster (a task, a session) are not independent: they are
+    summed first, and the variance comes from the clusters' covariance.  Both
+    passes are grouped aggregates; with fewer than two clusters there is no error.
+    """
+    each = rows.groupBy(*by, *cluster).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0)).cast("double")).alias(n) for c, n in ((top, "y"), (bottom, "x"))])
+    folded = each.groupBy(*by).agg(F.count(F.lit(1)).alias("clusters"), F.avg("y").alias("my"), F.avg("x").alias("mx"), F.var_samp("y").alias("vy"), F.var_samp("x").alias("vx"), F.covar_samp("y", "x").alias("cov"))
+    told = folded.withColumn("ratio", F.try_divide("my", "mx")).withColumn("se", F.sqrt(ratio_variance("clusters", "my", "mx", "vy", "vx", "cov")))
+    return told.select(*by, "clusters", "ratio", "se", (F.col("ratio") - Z95 * F.col("se")).alias("lo"), (F.col("ratio") + Z95 * F.col("se")).alias("hi"))
+
+
 def run_status(row: dict[str, Column]) -> Column:
     """The first failure of a run that applies; ``ok`` without any."""
     order = ("timeout", "parse_error", "nonzero_exit", "api_error", "transcript_missing")
@@ -202,9 +264,13 @@ def single_tier(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return tiers.select(*by, F.when(F.col("n") > 1, F.raise_error(F.lit("records of several tiers in one group"))).otherwise(F.col("tier")).alias("tier"))
 
 
+def _sides(columns: tuple[str, ...]) -> list[Column]:
+    return [F.max(F.when(F.col("arm") == arm, F.col(c))).alias(f"{arm}_{c}") for arm in ARMS for c in columns]
+
+
 def one_row(by_arm: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows of arms as one row: baseline_… and treatment_… of each column."""
-    return by_arm.agg(*[F.max(F.when(F.col("arm") == arm, F.col(c))).alias(f"{arm}_{c}") for arm in ARMS for c in columns])
+    return by_arm.agg(*_sides(columns))
 
 
 RATES = ("k", "n", "rate", "wilson_lo", "wilson_hi", "judge_errors")
@@ -215,17 +281,16 @@ def summary(calls: DataFrame, judge: DataFrame, directives: tuple[str, ...], neg
     """One wide row of a run: rates, confusion, tokens and judge tokens of both arms, their deltas, flips with
     McNemar's test, adherence, parse failures, flags and caveats.
 
-    Each part is one grouped pass and comes to one row; the row that joins them is small whatever the run holds.
+    One grouped pass over the calls, one over the judged items, and one by task for the flips; each comes to one row,
+    and the row that joins the three is small whatever the run holds.
     """
+    whole = _adherence_counts(directives, "treatment") | {"parse_failures": _parse_failures()}
+    by_arm = judge.groupBy("arm").agg(*_named(_rate_counts() | _confusion_counts() | _judge_token_sums() | whole))
+    sides = _sides((*RATES, *CELLS, "judge_tokens", "missing"))
+    judged = by_arm.withColumns(_rate_columns() | _confusion_columns()).agg(*sides, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in whole])
+    judged = judged.withColumns({f"{d}_rate": rate(f"followed_{d}", "adherence_n") for d in (*directives, "all")}).drop(*[c for c in whole if c.startswith("followed_")])
     tokens = one_row(token_totals(calls), (*TOKEN_COLUMNS, "cost_usd"))
-    parts = [
-        one_row(pass_rates(judge), RATES), one_row(confusion(judge), CELLS), one_row(judge_token_totals(judge), ("judge_tokens", "missing")),
-        flips(paired(judge)), adherence(judge, directives).withColumnRenamed("n", "adherence_n"),
-        judge.agg(F.count_if(~truthy("judge_error") & ~truthy("parse_ok")).alias("parse_failures")),
-    ]
-    row = tokens
-    for part in parts:
-        row = row.crossJoin(F.broadcast(part))  # one row each
+    row = tokens.crossJoin(F.broadcast(judged)).crossJoin(F.broadcast(flips(paired(judge))))  # one row each
     change = lambda c: percent_change(f"baseline_{c}", f"treatment_{c}")
     row = row.withColumns({"logical_pct": change("input_tokens_logical"), "cost_pct": change("cost_usd"), "rate_delta": F.col("treatment_rate") - F.col("baseline_rate")})
     win = F.col("treatment_rate") > F.col("baseline_rate")

@@ -202,12 +202,45 @@ def _(t):
     return row.withColumn("p_value", F.round(F.col("p_value") + 1e-9, 5))
 
 
-@query("j12_spot_check_join", f"WITH {A.JUDGE} SELECT task_id, arm, doc_id % 3 <> 0 AS agree, verdict_flagged, item_pass, false_findings, toxic = 1 AS true_seeded FROM (SELECT doc_id, doc_id // 2 AS c_task, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS c_arm, toxic FROM labels WHERE doc_id % 2 = 0) JOIN judge ON task_id = c_task AND arm = c_arm")
+@query("j12_spot_check_join", f"""WITH {A.JUDGE}, truth AS (SELECT doc_id // 2 AS t_task, bool_or(toxic = 1) AS true_seeded FROM labels GROUP BY 1), checks AS (SELECT doc_id // 2 AS c_task, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS c_arm, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 <> 0 END AS agree FROM labels)
+SELECT c_task AS task_id, c_arm AS arm, agree, verdict_flagged, item_pass, false_findings, true_seeded FROM checks LEFT JOIN judge ON task_id = c_task AND arm = c_arm LEFT JOIN truth ON t_task = c_task""")
 def _(t):
-    own = t("labels").where("doc_id % 2 = 0")  # one arm is checked by hand
-    task = F.floor(F.col("doc_id") / 2).alias("task_id")
-    checks = own.select(task, F.lit("baseline").alias("arm"), (F.col("doc_id") % 3 != 0).alias("agree"))
-    return E.spot_check_join(checks, A.judge(t("labels")), own.select(task, (F.col("toxic") == 1).alias("seeded")))
+    """Every item is on the sheet; a fourth is not filled in."""
+    d = F.col("doc_id")
+    task = F.floor(d / 2).cast("long").alias("task_id")
+    checks = t("labels").select(task, F.when(d % 2 == 0, "baseline").otherwise("treatment").alias("arm"), F.when(d % 4 != 0, d % 3 != 0).alias("agree"))
+    truth = t("labels").groupBy(task).agg(F.bool_or(F.col("toxic") == 1).alias("seeded"))
+    return E.spot_check_join(checks, A.judge(t("labels")), truth)
+
+
+@query("a41_two_lenses", f"""WITH {A.JUDGE}, e AS (SELECT task_id AS item, 'D1' AS finding, arm, f1 AS said, n_truth > 0 AS due FROM judge UNION ALL SELECT task_id, 'D2', arm, f2, n_truth > 0 FROM judge UNION ALL SELECT task_id, 'D9', arm, f9, false FROM judge),
+p AS (SELECT item, finding, bool_or(said AND arm = 'baseline') AS a, bool_or(said AND arm = 'treatment') AS b, bool_or(due) AS due FROM e GROUP BY item, finding),
+c AS (SELECT CASE WHEN due THEN 'true' ELSE 'stray' END AS kind, count(*) FILTER (a AND NOT b) AS only_baseline, count(*) FILTER (b AND NOT a) AS only_treatment, count(*) FILTER (a AND b) AS "both", count(*) FILTER (NOT a AND NOT b) AS neither FROM p WHERE a OR b OR due GROUP BY 1)
+SELECT *, CASE WHEN kind = 'true' THEN round(only_baseline * only_treatment / ("both" + 1)::DOUBLE, 9) END AS unseen FROM c""")
+def _(t):
+    """Two arms as two lenses on one task: what each finds alone, both and neither, and how much neither may have seen."""
+    j = A.judge(t("labels"))
+    found = j.select(F.col("task_id").alias("item"), F.explode("found").alias("finding"), F.col("arm").alias("lens"))
+    known = j.select(F.col("task_id").alias("item"), F.explode("truth_defect_ids").alias("finding"))
+    return rounded(E.lens_accounting(found, known), "unseen")
+
+
+@query("x34_proxy_bounds", """WITH c AS (SELECT l_linestatus, count(*) AS n, avg((l_returnflag = 'R')::INT) AS p FROM lineitem GROUP BY l_linestatus)
+SELECT l_linestatus, n, round(p, 9) AS observed, round(least(1.0, greatest(0.0, (p - 0.05) / 0.85)), 9) AS at_least, round(least(1.0, greatest(0.0, (p - 0.05) / 0.85)), 9) AS estimate, round(sqrt(p * (1 - p) / n) / 0.85, 9) AS se, NULL::DOUBLE AS worse_than_chance FROM c""")
+def _(t):
+    """A rate read off a proxy that is right in 90 % of true and 95 % of false cases: bound, estimate and the error that the proxy inflates."""
+    sure, spared = F.lit(0.9), F.lit(0.95)
+    c = t("lineitem").groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("observed"))
+    told = c.select("l_linestatus", "n", "observed", S.proxy_bound("observed", sure, spared).alias("at_least"), S.adjusted_prevalence("observed", sure, spared).alias("estimate"), F.sqrt(S.proxy_variance("observed", "n", sure, spared)).alias("se"), S.proxy_bound("observed", F.lit(0.3), F.lit(0.6)).alias("worse_than_chance"))
+    return rounded(told, "observed", "at_least", "estimate", "se")
+
+
+@query("x35_ratio_errors", f"""WITH {A.CALLS}, e AS (SELECT arm, task_id, sum(output_tokens)::DOUBLE AS y, sum(fresh_input_tokens)::DOUBLE AS x FROM calls GROUP BY arm, task_id),
+f AS (SELECT arm, count(*) AS clusters, avg(y) / avg(x) AS ratio, sqrt((var_samp(y) - 2 * avg(y) / avg(x) * covar_samp(y, x) + (avg(y) / avg(x)) ^ 2 * var_samp(x)) / count(*)) / avg(x) AS se FROM e GROUP BY arm)
+SELECT arm, clusters, round(ratio, 8) AS ratio, round(se, 8) AS se, round(ratio - 1.959963984540054 * se, 8) AS lo, round(ratio + 1.959963984540054 * se, 8) AS hi FROM f""")
+def _(t):
+    """Output tokens for each input token and arm; calls of one task vary together."""
+    return rounded(E.clustered_ratio(A.calls(t("lineitem")), "output_tokens", "fresh_input_tokens", ("task_id",)), "ratio", "se", "lo", "hi", places=8)
 
 
 @query("p15_priced_or_null", f"WITH {A.CALLS} SELECT run, arm, count(*) AS n, round(sum(cost), 6) AS cost, count(cost) AS priced FROM (SELECT run, arm, cache_read_tokens / 1000000.0::DOUBLE * CASE WHEN run % 2 = 0 THEN 3.0 END AS cost FROM calls) GROUP BY run, arm")
