@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import experiment as E
 from ..operators import sessions as S
 from ..operators import signatures as G
+from ..sources import file_index as I
 from ..sources import files as R
 from ..sources import sinks
 from ..sources.shared import new_folder
@@ -147,15 +148,65 @@ def _(t):
     return read.select(F.get_json_object("metrics", "$.parse_failures").cast("long").alias("parse_failures"), F.contains("report", F.lit("provisional")).alias("provisional"))
 
 
-@query("s23_locators", "SELECT min(n_nationkey) AS k FROM nation WHERE n_nationkey % 5 > 1 AND n_regionkey = 3")
+def _nation_files(t):
+    """(name, nth, raw, k): each nation's customers as a transcript in its region's folder, headed by a line that names the region."""
+    n = t("nation").select("n_nationkey", "n_regionkey")
+    k, r = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    name = F.format_string("proj-%s/s%02d.jsonl", r, k)
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/w/"), r).alias("cwd")).alias("payload")))
+    heads = n.select(name.alias("name"), F.lit(-1).cast("long").alias("nth"), head.alias("raw"), k.alias("k"))
+    own = t("customer").join(n, F.col("c_nationkey") == k)
+    rows = own.select(name.alias("name"), F.col("c_custkey").alias("nth"), F.to_json(F.struct("c_custkey", "c_mktsegment")).alias("raw"), k.alias("k"))
+    return heads.unionByName(rows)
+
+
+@query("s23_locators", "SELECT '/w/' || r AS cwd, k, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS seen, (SELECT count(*) FROM customer WHERE c_nationkey = k) AS n FROM (SELECT n_regionkey AS r, arg_max(n_nationkey, (n_nationkey * 7) % 25) AS k FROM nation GROUP BY 1)")
 def _(t):
-    """Of the transcripts whose first line names a folder, the newest; all are of one time here, so the first by path."""
-    n = t("nation").select("n_nationkey", "n_regionkey").where("n_nationkey % 5 > 1")
-    head = F.to_json(F.struct(F.struct(F.concat(F.lit("/w/"), F.col("n_regionkey").cast("string")).alias("cwd")).alias("payload")))
-    lines = n.select(F.format_string("/t/%03d", "n_nationkey").alias("path"), F.posexplode(F.array(head, F.lit('{"payload": {"cwd": "/w/3"}}'))).alias("i", "raw"))
-    files = n.select(F.format_string("/t/%03d", "n_nationkey").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modified"))
-    found = R.locate_rollout(lines.withColumn("line_no", F.col("i") + 1), files, "/w/3")
-    return found.select(F.substring("path", 4, 3).cast("long").alias("k"))
+    """The newest transcript of each working folder, from an index that was refreshed twice: the second reads what came since."""
+    rows = _nation_files(t)
+    spark = rows.sparkSession
+    root, where = new_folder(spark, "tree"), new_folder(spark, "index")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in (0, 1):
+        for file in sinks.write_named(rows.where(F.col("k") % 2 == part).drop("k"), root):  # one file a nation
+            k = int(file.rsplit("/s", 1)[1].removesuffix(".jsonl"))
+            fs.setTimes(path(file), 1_700_000_000_000 + k * 7 % 25 * 86_400_000, -1)
+        index = I.refresh_index(spark, root, where, "*.jsonl")
+    newest = I.newest_of(index, "$.payload.cwd")
+    lines = R.text_lines(spark, root, recursive=True).where("line_no > 1").select(R.plain_path(F.col("path")).alias("path"))
+    sizes = lines.join(newest, "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return newest.join(sizes, "path", "left").select(F.col("value").alias("cwd"), F.regexp_extract("path", r"/s([0-9]+)[.]jsonl$", 1).cast("long").alias("k"), "seen", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("s07_nested_files", "WITH c AS (SELECT n_nationkey AS k, n_regionkey AS r, c_mktsegment AS m, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) SELECT 'proj-' || r AS project, printf('s%02d', k) AS path, 1 + sum(n)::BIGINT AS n_lines, sum(n)::BIGINT AS sub_lines, count(m) AS sub_files FROM c GROUP BY r, k")
+def _(t):
+    """Main transcripts with what their sub-agents' files, a folder or two below them, add."""
+    main = _nation_files(t).drop("k")
+    spark = main.sparkSession
+    segment = F.get_json_object("raw", "$.c_mktsegment")
+    below = F.when(F.length(segment) % 2 == 0, "/subagents/").otherwise("/subagents/deeper/")
+    sub = main.where("nth >= 0").withColumn("name", F.concat(F.substring_index("name", ".", 1), below, F.lower(segment), F.lit(".jsonl")))
+    root = new_folder(spark, "tree")
+    sinks.write_named(main.unionByName(sub), root)
+    files = I.session_files(I.refresh_index(spark, root, new_folder(spark, "index"), "*.jsonl"), root)
+    lines = R.text_lines(spark, root, recursive=True).groupBy(R.plain_path(F.col("path")).alias("path")).agg(F.count(F.lit(1)).alias("n_lines"))
+    sized = files.join(lines, "path").select("project", "session", "kind", "n_lines")
+    mains = sized.where("kind = 'main'").select(F.col("session").alias("path"), "project", "n_lines")
+    return S.rolled_up(mains, sized.where("kind = 'sub'").select(F.col("session").alias("parent"), "n_lines"))
+
+
+@query("s08_day_tree", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-20' GROUP BY 1")
+def _(t):
+    """Events as a tree of days, four files each: folders before the asked day are neither listed nor read."""
+    e = t("events").select("event_id", "ts")
+    spark = e.sparkSession
+    name = F.concat(F.date_format("ts", "yyyy/MM/dd"), F.lit("/p"), F.pmod("event_id", F.lit(4)).cast("string"), F.lit(".jsonl"))
+    root = new_folder(spark, "days")
+    sinks.write_named(e.select(name.alias("name"), F.col("event_id").alias("nth"), F.to_json(F.struct("event_id")).alias("raw")), root)
+    lines = R.json_lines(R.text_lines(spark, [f"{d}/*" for d in R.day_folders(spark, root, "2024-01-20")]))
+    day = F.replace(F.regexp_extract("path", "/([0-9]{4}/[0-9]{2}/[0-9]{2})/[^/]+$", 1), F.lit("/"), F.lit("-"))
+    return lines.groupBy(day.alias("day")).agg(F.count("v").alias("n"), F.sum(F.try_variant_get("v", "$.event_id", "bigint")).alias("ids"))
 
 
 @query("s12_queue_rows", "SELECT 'c' || (l_suppkey % 4) AS class, 's' || l_orderkey AS session, l_linenumber::BIGINT AS line FROM lineitem")

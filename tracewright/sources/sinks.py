@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,32 @@ def replace_json(df: DataFrame, where: str) -> None:
         fs.delete(path(aside), True)
 
 
+def write_named(rows: DataFrame, where: str) -> list[str]:
+    """(name, nth, raw) as a tree: one text file below ``where`` for each name, lines by ``nth``; gives the files' paths.
+
+    Names may hold slashes; a file that is there already is replaced.  Each
+    name is moved to its place by the driver, so this is for trees of days or
+    shards, some thousands of files, not for a file of each session of a large
+    table.
+    """
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged = f"{where.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.repartition("name").sortWithinPartitions("name", "nth").select("raw", "name").write.partitionBy("name").text(staged)
+    out = []
+    for folder in fs.globStatus(path(f"{staged}/name=*")):
+        target = path(f"{where.rstrip('/')}/{unquote(folder.getPath().getName().removeprefix('name='))}")
+        (part,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"{part.toString()} could not be moved to {target.toString()}")
+        out.append(target.toString())
+    fs.delete(path(staged), True)
+    return sorted(out)
+
+
 def append_trace(events: DataFrame, where: str) -> None:
     """Append traced events (kind, payload) as JSON lines, stamped with the time of writing."""
     events.select(F.current_timestamp().alias("ts"), "kind", "payload").write.mode("append").json(where)
