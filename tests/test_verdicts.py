@@ -50,3 +50,13 @@ def test_order_is_fixed(spark):
     df = spark.range(50)
     a = [r[0] for r in df.select(V.blind_order(F.col("id"), 1)).collect()]
     assert a == [r[0] for r in df.select(V.blind_order(F.col("id"), 1)).collect()] and set(a) == {"baseline", "treatment"}
+
+
+def test_verify_gate(spark):
+    from tracewright.operators import verdicts as V
+
+    note = "## verified\n12 passed\n## Not Verified"
+    rows = [("?? a.py", None, []), ("", None, []), (None, None, None), (" M docs/x.py\n?? b.py", "", []), (" M src/x.py", "", ["missing"]), (" M src/x.py", None, ["missing"]), ("R  a.md -> b.c", note, []), ("D  a b.c", "No test suite\n## not verified", ["verified section"])]
+    df = spark.createDataFrame([r[:2] for r in rows], "s string, t string")
+    got = [r[0] for r in df.select(V.gate_problems(df["s"], df["t"])).collect()]
+    assert got[:2] + got[3:] == [r[2] for r in rows if r[2] is not None] and got[2] == []  # no listing: nothing changed

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokens import token_counts
 from ..sources.shared import written
 from .containment import contains_join
 
@@ -23,13 +24,14 @@ def unexpected_fields(records: DataFrame, key: str, raw: str, known: tuple[str,
     return records.select(key, F.explode(F.array_except(given, F.array(*[F.lit(k) for k in known]))).alias("field"))
 
 
-def artifact_gate(files: DataFrame, calls: DataFrame, judge: DataFrame, texts: DataFrame, required: tuple[str, ...], sections: dict[str, tuple[str, ...]], arms: tuple[str, ...], n_items: int) -> DataFrame:
+def artifact_gate(files: DataFrame, calls: DataFrame, judge: DataFrame, texts: DataFrame, required: tuple[str, ...], sections: dict[str, tuple[str, ...]], arms: tuple[str, ...], n_items: int, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(place, problem) for everything that keeps a run from being complete; no rows if it is clean.
 
     files: (name) of the run's folder; calls: (file, arm, output_tokens) and
     judge: (file, arm, item_pass, judge_error), one row for each record file,
     ``arm`` as its name says with ``said`` as its content says; texts: (name,
-    text); sections: what each text must hold.
+    text); sections: what each text must hold; keys: the fields that each JSON
+    text must have, as paths below ``$``; one that is no object has no fields.
     """
     spark = files.sparkSession
     told = lambda df, place, problem: df.select(place.alias("place"), problem.alias("problem"))
@@ -46,6 +48,13 @@ def artifact_gate(files: DataFrame, calls: DataFrame, judge: DataFrame, texts: D
     for name, parts in sections.items():
         for part in parts:
             out = out.unionByName(told(texts.where((F.col("name") == name) & ~F.contains("text", F.lit(part))), F.col("name"), F.lit(f"lacks {part}")))
+    if keys:
+        # the fields of all files are looked up in one pass over the texts
+        absent = [F.when((F.col("name") == name) & F.try_variant_get("v", f"$.{k}", "variant").isNull(), F.lit(f"lacks the field {k}")) for name, fields in keys.items() for k in fields]
+        read = texts.where(F.col("name").isin(*keys)).select("name", F.try_parse_json("text").alias("v"))
+        readable = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+        problems = F.when(readable, F.array_compact(F.array(*absent))).otherwise(F.array(F.lit("is no JSON object")))
+        out = out.unionByName(read.select(F.col("name").alias("place"), F.explode(problems).alias("problem")))
     return out
 
 
@@ -214,6 +223,18 @@ def budgets(docs: DataFrame, key: str, text: str, max_lines: int, max_chars: int
     return sized.where((F.col("lines") > max_lines) | (F.col("chars") > max_chars))
 
 
+def token_budgets(docs: DataFrame, keys: tuple[str, ...], text: str, max_tokens: int, file: str, token_bytes: int = 1) -> DataFrame:
+    """(…, tokens): texts over a budget of tokens, counted by a tokenizer's file; null texts have none.
+
+    A text of no more bytes than tokens are allowed cannot exceed them, so it is
+    not encoded: ``token_bytes`` is the least number of bytes of a token, 0 for
+    a tokenizer that rewrites texts and so may make more of them.
+    """
+    within = F.octet_length(text) <= max_tokens * token_bytes if token_bytes else F.lit(False)
+    asked = docs.select(*keys, text).where(F.col(text).isNotNull() & ~within)
+    return asked.select(*keys, token_counts(file)(F.col(text)).alias("tokens")).where(F.col("tokens") > max_tokens)
+
+
 def hunks(lines: DataFrame, path: str = "path", order: str = "line_no", line: str = "line") -> DataFrame:
     """Unified-diff hunks: declared and counted lengths, the shift before each, overlap with the one before.
 

@@ -148,6 +148,24 @@ def verification_findings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(F.concat(F.array_compact(told), totals)).alias("x")).select(key, "x.*")
 
 
+def tracked_paths(status: Column) -> Column:
+    """Paths of a short status listing, the last field of each line; files that are not tracked (``??``) do not count."""
+    lines = F.filter(F.split(status, "\n"), lambda x: (F.length(F.trim(x)) > 0) & ~F.startswith(x, F.lit("??")))
+    return F.transform(lines, lambda x: F.regexp_extract(x, r"(\S+)\s*$", 1))
+
+
+def verification_problems(text: Column) -> Column:
+    """array of what a verification note lacks: a total of tests or the lack of a suite, and both sections, in any case; ``missing`` alone without a text."""
+    lacks = lambda pattern, name: F.when(~text.rlike(pattern), F.lit(name))
+    told = F.array_compact(F.array(lacks(P.TEST_TOTAL, "test total"), lacks(P.VERIFIED_SECTION, "verified section"), lacks(P.NOT_VERIFIED_SECTION, "not verified section")))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array(F.lit("missing"))).otherwise(told)
+
+
+def gate_problems(status: Column, text: Column) -> Column:
+    """What keeps a session from its end: nothing where no tracked file but documents changed, else what the note lacks."""
+    return F.when(needs_verification(tracked_paths(status)), verification_problems(text)).otherwise(F.array().cast("array<string>"))
+
+
 def needs_verification(paths: Column) -> Column:
     """Whether any changed path is no document."""
     return F.exists(paths, lambda p: ~p.rlike(P.DOCUMENT_PATH))

@@ -171,7 +171,7 @@ def _cells(table: str, columns: tuple[str, ...]) -> str:
 
 _DIRECTIVES = ("checklist", "disconfirm", "verify")
 _EXACT = "CASE WHEN b + t = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(b + t + 1) - lgamma(i + 1) - lgamma(b + t - i + 1) - (b + t) * 0.6931471805599453) FOR i IN range(0, least(b, t) + 1)])) END"
-_SUMMARY = f"""WITH {A.CALLS}, {A.JUDGE},
+SUMMARY_SQL = f"""WITH {A.CALLS}, {A.JUDGE},
 c AS (SELECT arm, count(*) FILTER (NOT judge_error AND item_pass) AS k, count(*) FILTER (NOT judge_error) AS n, count(*) FILTER (judge_error) AS judge_errors FROM judge GROUP BY arm),
 w AS (SELECT arm, k, n, round(k / n::DOUBLE, 9) AS rate, {_WILSON}, judge_errors FROM c),
 f AS (SELECT arm, count(*) FILTER (seeded AND flagged) AS tp, count(*) FILTER (NOT seeded AND flagged) AS fp, count(*) FILTER (NOT seeded AND NOT flagged) AS tn, count(*) FILTER (seeded AND NOT flagged) AS fn,
@@ -194,14 +194,16 @@ SELECT * EXCLUDE (win, meets), win AND coalesce(logical_pct > 20, false) AS cost
     CASE WHEN meets AND p_value > 0.05 THEN 'overlapping intervals and McNemar within noise' WHEN meets THEN 'overlapping intervals' WHEN p_value > 0.05 THEN 'McNemar within noise' END) AS caveats FROM z"""
 
 
-@query("a12_summary", _SUMMARY)
-def _(t):
+def run_summary(t):
     row = E.summary(A.calls(t("lineitem")), A.judge(t("labels")), _DIRECTIVES)
     row = rounded(row, *[f"{a}_{c}" for a in E.ARMS for c in ("rate", "wilson_lo", "wilson_hi", "recall", "base_rate")], *[f"{d}_rate" for d in (*_DIRECTIVES, "all")])
     row = rounded(rounded(row, "baseline_cost_usd", "treatment_cost_usd", places=4), "logical_pct", "cost_pct", "rate_delta", places=6)
     return row.withColumn("p_value", F.round(F.col("p_value") + 1e-9, 5))
 
 
+query("a12_summary", SUMMARY_SQL)(run_summary)
+
+
 @query("j12_spot_check_join", f"""WITH {A.JUDGE}, truth AS (SELECT doc_id // 2 AS t_task, bool_or(toxic = 1) AS true_seeded FROM labels GROUP BY 1), checks AS (SELECT doc_id // 2 AS c_task, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS c_arm, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 <> 0 END AS agree FROM labels)
 SELECT c_task AS task_id, c_arm AS arm, agree, verdict_flagged, item_pass, false_findings, true_seeded FROM checks LEFT JOIN judge ON task_id = c_task AND arm = c_arm LEFT JOIN truth ON t_task = c_task""")
 def _(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantile
 from ..operators.signatures import rerun_pairs
 from .registry import query
 
@@ -45,7 +46,9 @@ def _(t):
 
 @query("x16_exact_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.count_distinct("user_id").alias("users"))
+    e = t("events")
+    median = exact_quantile(e, ("event_type",), "value", 0.5).select("event_type", F.round("quantile", 6).alias("median"))
+    return e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users")).join(median, "event_type", "left")
 
 
 @query("x17_monthly_revenue", "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

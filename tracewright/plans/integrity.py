@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import integrity as O
 from ..sources.shared import written
+from . import adapters as A
+from .experiment import run_summary
 from .registry import query
 
 
@@ -128,6 +130,14 @@ def _(t):
     return O.budgets(t("documents"), "doc_id", "text", 10, 4000)
 
 
+@query("a39_token_budgets")
+def _(t):
+    """Turns over a budget of tokens; no SQL counts tokens."""
+    import public_tokenizers
+
+    return O.token_budgets(t("conversations"), ("conv_id", "turn"), "text", 128, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _RECORDS = "r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm, CASE WHEN doc_id % 50 = 7 THEN 'other' WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS said, doc_id % 40 AS out, CASE WHEN doc_id % 30 <> 1 THEN true END AS ok, doc_id % 11 = 0 AS error FROM labels), n AS (SELECT arm, count(*) AS n FROM r GROUP BY arm)"
 
 
@@ -147,6 +157,18 @@ def _(t):
     return O.artifact_gate(texts.select("name"), calls, judge, texts, ("report.md", "metrics.json"), {"report.md": ("PROVISIONAL", "Estimand:")}, ("baseline", "treatment"), 100)
 
 
+@query("p19_metric_keys", "SELECT 'metrics.json' AS place, 'lacks the field ' || k AS problem FROM (VALUES ('baseline_median'), ('flips')) AS x(k) UNION ALL SELECT 'bad.json', 'is no JSON object' UNION ALL SELECT 'report.md', 'lacks Estimand:'")
+def _(t):
+    """A run's own summary as its metrics, against the fields that a run must report; two of them it lacks."""
+    row = run_summary(t)
+    text = lambda name, value: row.select(F.lit(name).alias("name"), value.alias("text"))
+    texts = text("metrics.json", F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).unionByName(text("bad.json", F.lit("[1]"))).unionByName(text("report.md", F.concat(F.lit("PROVISIONAL "), "caveats")))
+    texts = written(texts)
+    none = A.judge(t("labels")).limit(0).select(F.lit("").alias("file"), "arm", F.col("arm").alias("said"), F.col("seq").alias("output_tokens"), "item_pass", "judge_error")
+    keys = {"metrics.json": ("baseline_rate", "treatment_wilson_hi", "p_value", "logical_pct", "parse_failures", "baseline_median", "flips"), "bad.json": ("x",)}
+    return O.artifact_gate(texts.select("name"), none, none, texts, ("metrics.json", "report.md"), {"report.md": ("PROVISIONAL", "Estimand:")}, ("baseline", "treatment"), 0, keys)
+
+
 @query("p13_unexpected_fields", "SELECT event_id, 'extra' AS field FROM events WHERE event_id % 3 = 0")
 def _(t):
     raw = F.when(F.col("event_id") % 3 == 0, F.lit('{"k": 1, "extra": 2}')).otherwise(F.col("props"))

@@ -13,6 +13,7 @@ from ..sources import sinks
 from ..sources.shared import new_folder
 from ..streaming import evidence
 from . import adapters as A
+from .experiment import SUMMARY_SQL, run_summary
 from .registry import query
 from .triage import nominations
 
@@ -93,10 +94,15 @@ def _(t):
     return R.text_lines(spark, paths).select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"))
 
 
-@query("s10_missing_folder", "SELECT 0::BIGINT AS n")
+@query("s10_missing_folder", "SELECT 'there' AS asked, count(*) AS n, count(DISTINCT event_id) AS ids FROM events UNION ALL SELECT 'missing', 0, 0")
 def _(t):
-    spark = t("nation").sparkSession
-    return R.text_lines(spark, new_folder(spark, "nothing")).agg(F.count(F.lit(1)).alias("n"))
+    """Two folders of which one is not there: its lines are none, the other's all."""
+    e = t("events").select(F.col("event_id").cast("string").alias("raw"))
+    spark = e.sparkSession
+    there, missing = new_folder(spark, "lines"), new_folder(spark, "nothing")
+    e.write.text(there)
+    tally = lambda where, name: R.text_lines(spark, where).agg(F.lit(name).alias("asked"), F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("ids"))
+    return tally([missing, there], "there").unionByName(tally(missing, "missing"))
 
 
 @query("s13_replaced_table", "SELECT r_regionkey, r_name FROM region")
@@ -138,14 +144,16 @@ def _(t):
     return spark.read.schema("ts timestamp, kind string, payload string").json(where).where("ts is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s18_metrics_report", f"WITH {A.JUDGE} SELECT count(*) FILTER (NOT judge_error AND NOT parse_ok) AS parse_failures, true AS provisional FROM judge")
+@query("s18_metrics_report", f"SELECT *, true AS provisional FROM ({SUMMARY_SQL})")
 def _(t):
-    """The summary rendered as a report and as JSON, and what the JSON says."""
-    row = E.summary(A.calls(t("lineitem")), A.judge(t("labels")), ("checklist", "disconfirm", "verify"))
+    """The summary rendered as JSON and as a report, both written, and all that the JSON says."""
+    row = run_summary(t)
     spark = row.sparkSession
-    text, report = sinks.metrics_json(row), E.report(row.first().asDict())
-    read = spark.createDataFrame([(text, report)], "metrics string, report string")
-    return read.select(F.get_json_object("metrics", "$.parse_failures").cast("long").alias("parse_failures"), F.contains("report", F.lit("provisional")).alias("provisional"))
+    where = new_folder(spark, "report")
+    text = sinks.metrics_json(row)  # one row
+    spark.createDataFrame([(text, E.report(row.first().asDict()))], "metrics string, report string").write.parquet(where)
+    read = spark.read.parquet(where).select(F.from_json("metrics", row.schema).alias("m"), F.contains("report", F.lit("provisional")).alias("provisional"))
+    return read.select("m.*", "provisional")
 
 
 def _nation_files(t):

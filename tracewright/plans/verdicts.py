@@ -73,6 +73,21 @@ def _(t):
     return t("orders").select("o_orderkey", V.needs_verification(paths).alias("needed"))
 
 
+_GATE = """g AS (SELECT event_id, event_id % 5 IN (1, 2) OR event_id % 4 = 1 AS due, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN event_type || chr(10) || '## VERIFIED' || chr(10) || user_id || ' tests passed' ELSE '## not verified' || chr(10) || props END AS note FROM events)"""
+
+
+@query("p20_verify_gate", f"WITH {_GATE} SELECT event_id, CASE WHEN NOT due THEN '' WHEN length(note) = 0 THEN 'missing' WHEN note LIKE '%## VERIFIED%' THEN 'not verified section' ELSE 'test total,verified section' END AS problems FROM g")
+def _(t):
+    """Sessions whose changes need a verification note, and what theirs lacks; files that are not tracked and documents need none."""
+    e = F.col("event_id")
+    status = F.concat(
+        F.lit("?? scratch/new.py\n"), F.when(e % 5 == 1, F.lit(" M src/a.py\n")).when(e % 5 == 2, F.lit("R  docs/a.md -> lib/b.rs\n")).otherwise(F.lit(" M docs/a.py\nM  README.md\n")),
+        F.when(e % 4 == 1, F.lit("A  Makefile")).otherwise(F.lit(" M VERIFICATION.md")),
+    )
+    note = F.when(e % 3 == 0, "").when(e % 3 == 1, F.concat(F.col("event_type"), F.lit("\n## VERIFIED\n"), F.col("user_id").cast("string"), F.lit(" tests passed"))).otherwise(F.concat(F.lit("## not verified\n"), F.col("props")))
+    return t("events").select("event_id", F.array_join(V.gate_problems(status, note), ",").alias("problems"))
+
+
 @query("f40_ground_truths", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'Seeded item. Its defects:' || chr(10) || '- id: D' || doc_id || chr(10) || '  description: d' || chr(10) || 'Neither credited nor counted:' || chr(10) || '- n' ELSE 'Clean item. It has no defects.' || chr(10) || 'Rationale: why' END AS truth FROM labels")
 def _(t):
     none = F.lit(None).cast("string")

@@ -120,11 +120,11 @@ def text_lines(spark: SparkSession, where: str | list[str], recursive: bool = Fa
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     rows = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("raw"))
-    inside = rows.withColumn("own", F.row_number().over(Window.partitionBy("path", "split").orderBy("nth")))
-    sizes = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("lines"))
+    # a split's rows are numbered one after the other, so its first number and its count tell all places: no row is sorted
+    sizes = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("lines"), F.min("nth").alias("first"))
     before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("path", "split", before.alias("base"))
-    return inside.join(bases, ["path", "split"]).select("path", (F.col("base") + F.col("own")).alias("line_no"), "raw")
+    bases = sizes.select("path", "split", (before - F.col("first") + 1).alias("base"))
+    return rows.join(bases, ["path", "split"]).select("path", (F.col("base") + F.col("nth")).alias("line_no"), "raw")
 
 
 def there(spark: SparkSession, where: str) -> bool:
