@@ -105,6 +105,38 @@ def test_runs_span_batches():
     assert regions(300) == regions(7) == regions(1) and any(dense for _, dense in regions(7))
 
 
+@pytest.mark.parametrize("limit", [45, 120, 400])
+def test_long_runs_are_cut_where_they_are_split(limit):
+    """With few rows held, whatever meets in a run taken whole meets still, and batches do not matter."""
+    rng = np.random.default_rng(4)
+    order = np.ones((1500, N.ORDER), np.uint16)
+    order[:, 2:] = rng.integers(0, 4, (1500, N.ORDER - 2))
+    order[300:900, :] = order[300]
+    order[1200:, 0] = 2
+    keys = sorted((0, row.tobytes(), i) for i, row in enumerate(order))
+    schema = pa.schema([("tree", pa.int32()), ("order", pa.binary()), ("node", pa.int64())])
+
+    def met(size, **how):
+        batches = [pa.record_batch([list(x) for x in zip(*keys[i : i + size], strict=True)], schema=schema) for i in range(0, 1500, size)]
+        out = {}
+        for b in N._neighbours(5, 20, **how)(iter(batches)):
+            for region, node, dense in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.setdefault((region, dense), set()).add(node)
+        assert all(len(x) <= 20 for (_, dense), x in out.items() if not dense)
+        return out
+
+    whole = met(1500)
+    # a dense run's pairs are settled by its name, so its regions need not be the same
+    named = {k: x for k, x in whole.items() if k[1]}
+    inside = lambda x: any(x <= y for y in named.values())
+    assert max(map(len, named.values())) >= 600 and any(not inside(x) for k, x in whole.items() if not k[1])
+    for size in (1500, 64, 7):
+        cut = met(size, limit=limit)
+        assert {k: x for k, x in cut.items() if k[1]} == named
+        sets = list(cut.values())
+        assert all(inside(x) or any(x <= y for y in sets) for x in whole.values())
+
+
 def test_rare_elements_lose_no_link():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 90, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
@@ -143,3 +175,29 @@ def test_null_ids_are_linked_with_near_texts(spark):
     assert want[:4] == [0] * 4
     got = sorted(map(tuple, N.document_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()), key=str)
     assert got == sorted([(1, 1, True), (None, 1, False), (None, 1, False), (2, 1, False), (None, None, True)], key=str)
+
+
+def test_blocks_of_two_threads_keep_their_own_tables(spark):
+    """What one thread stages is not another's to delete."""
+    import threading
+
+    from tracewright.llm.staging import staged, temporary
+
+    mine, entered, left = [], threading.Event(), threading.Event()
+
+    def other():
+        with temporary(spark):
+            entered.set()
+            left.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    entered.wait(60)
+    with temporary(spark) as block:
+        mine.append(staged(spark.range(3)))
+        assert len(block) == 1
+        left.set()
+        thread.join()
+        assert mine[0].count() == 3
+    kept = staged(spark.range(2))
+    assert kept.count() == 2

@@ -47,7 +47,7 @@ ORDER, FLOOR = 24, 2
 REGION, FEW = 512, 16
 #: Common prefix of a region of more than FEW nodes, for similarities from 85 % on and below.
 DEPTH = {True: 4, False: 3}
-#: Rows of one run of neighbours that a task holds, at most; a longer run is taken in pieces.
+#: Rows of one run of neighbours that a task holds, at most; a longer run is cut where splitting cuts it anyway.
 HELD = 1 << 16
 #: Four standard deviations of the estimate that a signature gives.
 MARGIN = 0.17
@@ -249,8 +249,22 @@ def split_run(prefix: np.ndarray, depth: int, region: int) -> tuple[list[tuple[i
     return regions, dense
 
 
-def _neighbours(depth: int, region: int):
-    """Rows (tree, order, node) in order -> (region, node, dense): regions, and the nodes of dense runs under a number below 0."""
+def _neighbours(depth: int, region: int, limit: int = HELD):
+    """Rows (tree, order, node) in order -> (region, node, dense): regions, and the nodes of dense runs under a number below 0.
+
+    A run of more than ``limit`` rows is not held whole.  Up to the last place
+    of its shortest prefix so far it is done, as that is where it is split.
+    Where even the shortest has ``depth``, the run is dense and bears one name
+    in all its pieces; more than ``region`` rows stay, so that the rest is
+    known as dense too.
+    """
+
+    def done(prefix: np.ndarray) -> int:
+        """Rows at the beginning of one long run that no later row can meet."""
+        shortest = int(prefix[1:].min())
+        if shortest < depth:
+            return int(np.flatnonzero(prefix[1:] == shortest)[-1]) + 1
+        return len(prefix) - region - 1
 
     def taken(tree: np.ndarray, order: np.ndarray, node: np.ndarray, prefix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         starts = np.flatnonzero(prefix < FLOOR)
@@ -279,11 +293,11 @@ def _neighbours(depth: int, region: int):
             held = [np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy().astype(np.int64), order, batch.column(2).to_numpy()), strict=True)]
             prefix = common_prefixes(held[0], held[1])
             last = int(np.flatnonzero(prefix < FLOOR)[-1])  # where the run begins that may go on
-            if len(prefix) - last > HELD:
-                last = len(prefix)
-            if last:
+            while last or len(prefix) > max(limit, 2 * region + 1):
+                last = last or done(prefix)
                 yield batch_of(list(taken(*(x[:last] for x in held), prefix[:last])))
-            held = [x[last:] for x in held]
+                held, prefix = [x[last:] for x in held], prefix[last:].copy()
+                prefix[0], last = -1, 0
         if len(held[0]):
             yield batch_of(list(taken(*held, common_prefixes(held[0], held[1]))))
 
@@ -425,7 +439,9 @@ def _rare_links(texts: DataFrame, many: DataFrame, links: DataFrame, width: int,
     """Links of the nodes outside the largest exact component of each large group, by a join on their rarest shingles.
 
     The order of rarity puts shingles first that no other node, or no outside
-    node, of the group has; they use up the prefix and join nothing.
+    node, of the group has; they use up the prefix and join nothing.  At the
+    first shingle that two linked sets share, what follows in both is still
+    enough for a link, so pairs meet at no place further back.
     """
     exact = connected_components(links).withColumnRenamed("component", "exact")
     placed = staged(many.join(exact, "node", "left").select("component", "node", F.col("n_shingles").alias("n"), F.coalesce("exact", "node").alias("exact")))
@@ -440,11 +456,13 @@ def _rare_links(texts: DataFrame, many: DataFrame, links: DataFrame, width: int,
     by_node = Window.partitionBy("node")
     ranked = entries.join(useful, ["component", "s"]).withColumn("rank", F.row_number().over(by_node.orderBy("often", "s"))).withColumn("held", F.count(F.lit(1)).over(by_node))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    prefix = staged(ranked.where(F.col("rank") <= length - (F.col("n") - F.col("held"))).select("component", "node", "n", "exact", "outside", "s"))
+    place = F.col("n") - F.col("held") + F.col("rank")
+    prefix = staged(ranked.where(place <= length).select("component", "node", "n", "exact", "outside", "s", (F.col("n") - place + 1).alias("left")))
     a, b = prefix.where("outside").alias("a"), prefix.alias("b")
     c = lambda x: F.col(x)
     near = (c("a.component") == c("b.component")) & (c("a.s") == c("b.s")) & (c("a.exact") != c("b.exact"))
     near = near & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    near = near & ((100 + percent) * F.least("a.left", "b.left") >= percent * (c("a.n") + c("b.n")))
     pairs = staged(a.join(b, near).select(c("a.node").alias("asker"), c("b.node").alias("other"), c("b.n").alias("n")).distinct())
     # an asker's others fill one part with other askers', or several of its own
     loads = staged(pairs.groupBy("asker").agg(F.sum("n").alias("load")))

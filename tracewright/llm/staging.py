@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 from ..sources.shared import shared_folder
 
 
-#: Tables staged within each open ``temporary`` block.
-_open: list[list[str]] = []
+#: Tables staged within each open ``temporary`` block of a thread of the driver: ``blocks``, the innermost last.
+_open = threading.local()
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -28,19 +29,19 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(where)
     path, system = _path(spark, where)
     system.deleteOnExit(path)
-    if _open:
-        _open[-1].append(where)
+    if getattr(_open, "blocks", None):
+        _open.blocks[-1].append(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables staged inside go at the end, and what else is listed; what is read from them must have been written by then."""
-    _open.append([])
+    """Tables that this thread stages inside go at the end, and what else is listed; what is read from them must have been written by then."""
+    _open.blocks = [*getattr(_open, "blocks", []), []]
     try:
-        yield _open[-1]
+        yield _open.blocks[-1]
     finally:
-        for where in _open.pop():
+        for where in _open.blocks.pop():
             path, system = _path(spark, where)
             system.delete(path, True)
 
