@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import mixing
 
@@ -78,6 +79,16 @@ def test_many_rows_that_are_alike_share_what_is_left(spark):
     assert sorted((r["doc_id"] or -1, r["copies"] * len(r["text"].split())) for r in copies) == sorted((r["doc_id"] or -1, r["taken"]) for r in got)
 
 
+def test_a_million_rows_that_are_alike(spark):
+    """One text repeated a million times is one row where the cut is found, and counted out by parts."""
+    rows = spark.range(1_000_000).selectExpr("7L as doc_id", "'a' as source", "'x y z' as text")
+    other = spark.range(1000).selectExpr("id + 100 as doc_id", "'b' as source", "repeat('p ', 9000) as text")
+    mixed = mixing.mix_sources(rows.unionByName(other).repartition(8))
+    told = {r["source"]: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()}
+    assert told["a"]["n"] == 1_000_000 and abs(told["a"]["taken"] - told["a"]["target"]) <= 1.5
+    assert abs(told["b"]["taken"] - told["b"]["target"]) <= 4500
+
+
 def test_many_sources(spark, monkeypatch):
     """More sources than are broadcast, over several ranges."""
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)

@@ -135,8 +135,9 @@ def _goals(keyed: DataFrame, weights: tuple[int, ...], share: float, cap: float)
 
     Keys fall into buckets that are monotone in the key.  The sums of all
     buckets tell ``cut_bucket``, in which the budget ends; only that bucket's
-    documents are ordered, to find ``cut``, the last one within the budget.
-    ``n_cut`` of the ``n_alike`` rows that equal the cut are in.
+    documents are ordered, those that are alike as one, to find ``cut``, the
+    last one within the budget.  ``n_cut`` of the ``n_alike`` rows that equal
+    the cut are in.
     """
     sizes = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -157,10 +158,12 @@ def _goals(keyed: DataFrame, weights: tuple[int, ...], share: float, cap: float)
     over = based.where(F.col("base") + F.col("bucket_size") > F.col("rest"))
     ends = staged(over.groupBy("source").agg(F.min(F.struct("bucket", "base")).alias("x")).select("source", F.col("x.bucket").alias("cut_bucket"), "x.base"))
     last = _beside(placed, ends, few).where(F.col("bucket") == F.col("cut_bucket"))
-    by_source, alike = Window.partitionBy("source"), Window.partitionBy("source", *ORDER)
-    prefix = F.col("base") + F.coalesce(F.sum("size").over(by_source.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = last.withColumn("prefix", prefix).withColumn("n_alike", F.count(F.lit(1)).over(alike)).withColumn("n_cut", F.row_number().over(alike.orderBy("prefix")))
-    within = counted.where(2 * F.col("prefix") + F.col("size") <= 2 * F.col("rest"))
+    alike = last.groupBy("source", *ORDER).agg(F.count(F.lit(1)).alias("n_alike"), F.first("base").alias("base"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("source").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("n_alike")).over(before), F.lit(0))
+    room = 2 * F.col("rest") - (2 * F.col("prefix") + F.col("size"))  # the first of the rows fits where this is not below 0
+    fitting = F.when(F.col("size") > 0, F.least(F.col("n_alike"), F.floor(room / (2 * F.col("size"))) + 1)).otherwise(F.col("n_alike"))
+    within = alike.withColumn("prefix", prefix).where(room >= 0).withColumn("n_cut", fitting)
     cut = within.groupBy("source").agg(F.max(F.struct(*ORDER, "n_cut", "n_alike")).alias("x"))
     cut = cut.select("source", F.struct(*[F.col("x")[c].alias(c) for c in ORDER]).alias("cut"), "x.n_cut", "x.n_alike")
     return staged(_beside(_beside(goals, ends.select("source", "cut_bucket"), few, "left"), cut, few, "left"))
@@ -170,7 +173,8 @@ def _dealt(keyed: DataFrame, goals: DataFrame) -> DataFrame:
     """``keyed`` with its source's goal and copies.
 
     A row is decided by itself and its source's goal.  Only where a budget ends
-    among rows that are alike are those counted out, whichever comes first.
+    among rows that are alike are those counted out, whichever comes first; they
+    are written, and each of the parts they stand in is told how many it gives.
     """
     sources, split_ = goals.agg(F.count(F.lit(1)), F.count_if(F.col("n_cut") < F.col("n_alike"))).first()
     rows = _beside(keyed, goals, sources <= BROADCAST_ROWS)
@@ -179,8 +183,13 @@ def _dealt(keyed: DataFrame, goals: DataFrame) -> DataFrame:
     out = rows.withColumn("once_more", F.coalesce(below, F.lit(False)))
     if split_:
         split = F.coalesce(own.eqNullSafe(F.col("cut")) & (F.col("n_cut") < F.col("n_alike")), F.lit(False))
-        nth = F.row_number().over(Window.partitionBy("source").orderBy("size"))
-        out = out.where(~split).unionByName(out.where(split).withColumn("once_more", nth <= F.col("n_cut")))
+        last = staged(out.where(split).withColumn("lot", F.spark_partition_id()))
+        before = Window.partitionBy("source").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+        lots = last.groupBy("source", "lot").agg(F.count(F.lit(1)).alias("n"))
+        lots = lots.select(F.col("source").alias("_source"), F.col("lot").alias("_lot"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("given"))
+        told = last.join(lots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("lot") == F.col("_lot")))
+        nth = F.col("given") + F.row_number().over(Window.partitionBy("source", "lot").orderBy("size"))
+        out = out.where(~split).unionByName(told.withColumn("once_more", nth <= F.col("n_cut")).select(out.columns))
     return out.withColumn("copies", F.col("epochs") + F.col("once_more").cast("long"))
 
 
