@@ -13,8 +13,10 @@ ROWS = [
 
 def test_digests_are_read_back(spark):
     rows = [*ROWS, *((9, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(70))]
-    df = spark.createDataFrame([(*r, "y") for r in rows], "conv_id long, turn long, role string, text string, score string")
-    got = {r["conv_id"]: r for r in chat.conversation_digests(df.select("conv_id", "turn", "role", "text")).collect()}
+    rows += [(10, 0, "user", "long < " * 100_000), (10, 1, "assistant", "\\<" * 150_000 + "🙂")]
+    more = "score string, tree string, node string, parent string, n string, formatted string, loss string, turns string"
+    df = spark.createDataFrame([(*r, *"yzyzyzyz") for r in rows], "conv_id long, turn long, role string, text string, " + more)
+    got = {r["conv_id"]: r for r in chat.conversation_digests(df).collect()}
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((t is None, t or 0, role or "", text or ""))

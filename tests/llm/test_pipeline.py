@@ -109,7 +109,12 @@ def test_a_very_long_text_is_worked_on_whole(spark, folder):
     assert all(r["text"].split()[:-1] == words for r in cut(spark, docs, where).collect())
     assert all(r["text"].endswith(" <EMAIL>") for r in redact(spark, docs, where).collect())
     assert sum(r["copies"] for r in mix(spark, docs, where).collect()) == 3
-    assert len(sound(spark, docs, where).collect()) in (0, 2)
+    # the same words throughout, so the rates are those of the short good texts; in the others one rate is far off
+    odd = long.replace(" ", " $$$ ")
+    both = docs.unionByName(spark.createDataFrame([(3, odd, "en", "s1", len(odd)), (4, "a b c " * 100_000, "en", "s1", 600_000)], docs.schema))
+    kept = sorted(r["doc_id"] for r in sound(spark, both, where).collect())
+    print("kept", kept)
+    assert kept == [1, 2]
 
 
 def test_the_mix_holds_the_redacted_texts(spark, folder):

@@ -112,3 +112,11 @@ def test_clashing_columns(spark):
     public = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(1, "two words", 5, True)], "doc_id long, text string, n_tokens int, over_limit boolean")
     assert [tuple(r) for r in C.count_tokens(df, str(public.path("byte_bpe_50k.json"))).collect()][0][:2] == (1, 9)
+
+
+def test_columns_that_clash(spark, library):
+    rows = [(1, "some words", 5, "x"), (None, None, None, "y"), (2, "word " * 40_000, 7, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, over_limit string").selectExpr("*", "1 as n_bytes", "2 as c0", "3 as c1")
+    got = {r["doc_id"]: tuple(r)[1:] for r in C.count_tokens(df, PATH).collect()}
+    want = {i: (len((t or "").encode()), library(t or ""), library(t or "") > 1024) for i, t, *_ in rows}
+    assert got == want and want[2][2]

@@ -88,8 +88,9 @@ def format_reply_trees(nodes: DataFrame, *, branches: int = 1) -> DataFrame:
     ``[start, end)`` of assistant texts in ``formatted``, in code points).
 
     Cases: null roles and texts are empty; of rows with one (tree, node) the
-    least by parent, role and text is kept; an empty table gives no rows; other
-    columns are ignored.
+    least by parent, role and text is kept; a very long text is whole in each
+    chosen path that holds it, and a path is one string, made in one task; an
+    empty table gives no rows; other columns are ignored.
     """
     kept = (
         nodes.select(

@@ -151,7 +151,9 @@ def score_quality(
     Only the text enters a score.  Cases: a null or empty text scores the
     sample's share of label 1; without labels all score 0.5; null labels are
     not learned from; a null id folds as the empty text; repeated rows score
-    alike; an empty table gives no rows; other columns are ignored.
+    alike; a very long text is counted whole, as a slice of its own, and one
+    task's memory grows with it; an empty table gives no rows; other columns are
+    ignored.
     """
     small_batches(docs.sparkSession)
     space = fit_space(docs, labels, id=id, text=text, label=label, folds=folds, held_out=held_out, limit=limit)
