@@ -191,3 +191,11 @@ def test_runs_of_calls_and_judge_records(spark, tmp_path):
     with pytest.raises(R.BadRecords) as e:
         R.load_run(spark, str(tmp_path))
     assert sorted(p.rsplit("/", 1)[1] for p in e.value.paths) == ["x.json", "y.json"]
+
+
+def test_many_transcripts_in_one_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("p/1\tone\np/2\tx\ty\np/1\ttwo\n\nplain\np/1\t\n")
+    from tracewright.sources import files
+
+    got = sorted(map(tuple, files.bundled_lines(spark, str(tmp_path / "*.txt")).collect()), key=str)
+    assert got == sorted([("p/1", 1, "one"), ("p/1", 2, "two"), ("p/1", 3, ""), ("p/2", 1, "x\ty"), (None, 1, ""), (None, 2, "plain")], key=str)

@@ -53,7 +53,7 @@ def _(t):
 
 
 def _transcripts(t):
-    """Conversations as transcript files, one line a turn in order, read back as messages."""
+    """Conversations as lines of few files, each with its transcript's path before it, a turn a line in order, read back as messages."""
     c = t("conversations")
     where = new_folder(c.sparkSession, "transcripts")
     turn = F.col("turn")
@@ -63,9 +63,8 @@ def _transcripts(t):
         F.struct("role", F.array(block).alias("content"), F.when(F.col("role") == "assistant", "m-1").alias("model")).alias("message"),
     ))
     rows = c.select("conv_id", "turn", line.alias("raw")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    rows.select("raw", F.col("conv_id").alias("conv")).write.partitionBy("conv").text(where)
-    messages = R.transcript_messages(R.json_lines(R.text_lines(c.sparkSession, f"{where}/*")))
-    return messages.withColumn("path", F.regexp_extract("path", "/conv=(-?[0-9]+)/", 1))
+    rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("\t"), "raw").alias("raw")).write.text(where)
+    return R.transcript_messages(R.json_lines(R.bundled_lines(c.sparkSession, where)))
 
 
 @query("s05_transcripts", f"WITH {A.MESSAGES} SELECT path, count(*) AS n_lines, count(*) FILTER (role = 'user' AND NOT sidechain AND length(trim(text, ' ' || chr(10))) > 0) AS n_user_turns, arg_min(text, line_no) AS first, arg_max(text, line_no) AS last, max(line_no) + 1 AS lines FROM messages GROUP BY path")

@@ -127,6 +127,20 @@ def text_lines(spark: SparkSession, where: str | list[str], recursive: bool = Fa
     return rows.join(bases, ["path", "split"]).select("path", (F.col("base") + F.col("nth")).alias("line_no"), "raw")
 
 
+def bundled_lines(spark: SparkSession, where: str | list[str], sep: str = "\t") -> DataFrame:
+    """(path, line_no, raw) of files that hold many transcripts: each line is a transcript's path, ``sep`` and one of its lines.
+
+    A transcript stands in one file; its lines are numbered from 1, in the
+    file's order.  Lines without ``sep`` have no path and are whole.
+    """
+    lines = text_lines(spark, where)
+    at = F.instr("raw", sep)
+    named = F.when(at > 0, F.substring_index("raw", sep, 1))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("file", "in_file")).cast("long")
+    parts = lines.select(F.col("path").alias("file"), F.col("line_no").alias("in_file"), named.alias("path"), F.when(at > 0, F.col("raw").substr(at + len(sep), F.length("raw"))).otherwise(F.col("raw")).alias("raw"))
+    return parts.select("path", number.alias("line_no"), "raw")
+
+
 def there(spark: SparkSession, where: str) -> bool:
     """Whether a path or pattern names anything."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
