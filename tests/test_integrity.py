@@ -71,3 +71,21 @@ def test_every_document_is_graded(spark, tmp_path):
     graded = registry.queries()["f26_citation_grades"](spark, str(tmp_path)).collect()
     assert sorted(int(r["cite"][1:]) for r in graded) == list(range(1, 46))
     assert sum(r["n"] for r in registry.queries()["a36_grade_tallies"](spark, str(tmp_path)).collect()) == 45
+
+
+def test_short_ids_of_several_files_are_told_apart_by_the_quote(spark, tmp_path):
+    """The MD5 sums of 25302 and 82945 begin with the same eight characters; so do those of 3447 and 102617."""
+    from tracewright.plans import registry
+
+    docs = [(i, "web", f"heading {i}\nmore") for i in (25302, 82945, 3447, 102617, 1)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["cite"]: (r["how"], r["grade"]) for r in registry.queries()["f26_citations_by_short_name"](spark, str(tmp_path)).collect()}
+    assert got == {"c25302": ("suffix", "VALID"), "c82945": ("short id", "VALID"), "c3447": ("none", "NO-FILE"), "c102617": ("short id", "VALID"), "c1": ("short id", "VALID")}
+
+
+def test_a_name_of_several_files_stays_ambiguous_where_the_quote_does_not_tell(spark):
+    lines = spark.createDataFrame([("/a/0123abcd.x", 1, "one"), ("/a/0123abcd.x", 2, "both"), ("/b/0123abcd.x", 1, "two"), ("/b/0123abcd.x", 2, "both"), ("/b/0123abcd.x", 3, None)], "path string, line_no long, line string")
+    cites = [("c0", "0123abcd", 1, "TWO", "short id", "/b/0123abcd.x"), ("c1", "0123abcd", 2, "both", "ambiguous", "0123abcd"), ("c2", "…/0123abcd.x", 1, "one", "suffix", "/a/0123abcd.x"), ("c3", "0123abcd", 3, "one", "ambiguous", "0123abcd"), ("c4", "…/0123abcd.x", 1, None, "ambiguous", "…/0123abcd.x"), ("c5", "/b/0123abcd.x", 1, "one", "exact", "/b/0123abcd.x")]
+    df = spark.createDataFrame([c[:4] for c in cites], "cite string, path string, line long, quote string")
+    got = I.resolve_paths(df, lines.select("path").distinct(), lines)
+    assert sorted((r["cite"], r["how"], r["path"]) for r in got.collect()) == [(c, how, path) for c, _, _, _, how, path in cites]

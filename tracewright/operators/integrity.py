@@ -90,13 +90,17 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).select(key, (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
-def resolve_paths(citations: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_paths(citations: DataFrame, files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """The citations with ``path`` as a file's own and ``how`` it was found: exact, short id, suffix, ambiguous or none.
 
     files: (path).  A short id is the first eight characters of a file's name,
     hexadecimal; an elided path is an ellipsis, a slash and the path's last
     parts.  Files are keyed by name and by their ends at slashes, so that all
     three are equi-joins.  A path that is not resolved stays as it is.
+
+    Eight characters name more than one file once there are many.  With ``lines``
+    (path, line_no, line) a name of several files is that of the one whose cited
+    line holds the quote; where none or several do, it stays ambiguous.
     """
     paths = files.select(F.col("path").alias("_file")).distinct()
     steps = F.split("_file", "/")
@@ -111,11 +115,21 @@ def resolve_paths(citations: DataFrame, files: DataFrame) -> DataFrame:
     wanted = asked.select("path", F.lit("exact").alias("how"), F.col("path").alias("_key")).unionByName(
         asked.select("path", kind.alias("how"), F.when(elided != "", elided).otherwise(F.col("path")).alias("_key")).where("how IS NOT NULL")
     )
-    found = wanted.join(keys, ["how", "_key"]).groupBy("path").agg(
+    met = wanted.join(keys, ["how", "_key"]).select("path", "how", "_file")
+    if lines is not None:
+        met = written(met)
+    found = met.groupBy("path").agg(
         F.min(F.when(F.col("how") == "exact", F.col("_file"))).alias("_own"), F.min("_file").alias("_one"), F.max("_file").alias("_other"), F.max("how").alias("_how")
     )
     how = F.when(F.col("_own").isNotNull(), "exact").when(F.col("_one").isNull(), "none").when(F.col("_one") == F.col("_other"), F.col("_how")).otherwise("ambiguous")
     told = citations.join(found, "path", "left").withColumn("how", how)
+    if lines is not None:
+        several = found.where(how == "ambiguous").select("path")
+        # written, so that the planner knows how few they are before it deals the lines
+        each = written(citations.select("cite", "path", "line", X.quote_key(F.col("quote")).alias("_q")).join(met.join(several, "path"), "path").select("cite", "line", "_q", F.col("how").alias("_kind"), "_file"))
+        stands = each.join(lines.select(F.col("path").alias("_file"), F.col("line_no").alias("line"), F.col("line").alias("_text")), ["_file", "line"]).where(F.contains(X.quote_key(F.col("_text")), F.col("_q")))
+        settled = stands.groupBy("cite").agg(F.min("_file").alias("_held"), F.max("_file").alias("_last"), F.max("_kind").alias("_kind")).where("_held = _last").drop("_last")
+        told = told.join(settled, "cite", "left").withColumn("how", F.coalesce("_kind", "how")).withColumn("_one", F.coalesce("_held", "_one"))
     path = F.when(F.col("how").isin("short id", "suffix"), F.col("_one")).otherwise(F.col("path"))
     return told.select(*[path.alias(c) if c == "path" else F.col(c) for c in citations.columns], "how")
 

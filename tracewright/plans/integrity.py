@@ -99,7 +99,7 @@ def _(t):
     said = F.when(m == 0, path).when(m == 1, F.substring(name, 1, 8)).when(m == 2, F.concat(F.lit("…/"), F.substring(name, 1, 10), F.lit(".jsonl"))).otherwise(F.concat(F.lit("…/nowhere/"), d.cast("string")))
     quote = F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 30)
     cites = t("documents").select(F.concat(F.lit("c"), d.cast("string")).alias("cite"), said.alias("path"), F.lit(1).cast("long").alias("line"), quote.alias("quote"))
-    named = written(O.resolve_paths(cites, files))
+    named = written(O.resolve_paths(cites, files, lines))
     return O.grade_citations(named, lines).join(named.select("cite", "how"), "cite").select("cite", "path", "how", "grade")
 
 
