@@ -171,3 +171,31 @@ def test_terms_and_scores_equal_those_by_hand(spark):
         want = (w @ good[near] + 0.1 * good.mean()) / (w.sum() + 0.1) if terms[k].any() and w.sum() else good.mean()
         off += abs(got[i] - want) > 0.02  # a neighbour at the edge may be another where cosines tie
     assert off <= 3
+
+
+def test_rules_are_learned_from_all_labelled_rows(spark):
+    """9,000 labelled rows: leaves hold the whole growing half, and the threshold is that of the whole other half."""
+    rng = np.random.default_rng(3)
+    n = 9000
+    s = {c: rng.integers(0, 300, n) for c in Q.COUNTS} | {"n_words": rng.integers(60, 400, n), "n_repeat_words": rng.integers(0, 20, n)}
+    columns = "d_id long, " + ", ".join(f"{c} long" for c in Q.COUNTS)
+    counts = spark.createDataFrame([(i, *(int(s[c][i]) for c in Q.COUNTS)) for i in range(n)], columns)
+    x, good = Q.features(s), rng.random(n) < 0.9
+    good[x[:, 1] > np.quantile(x[:, 1], 0.95)] = False
+    labels = spark.createDataFrame([(i, int(good[i])) for i in range(n)], "doc_id long, quality int")
+    rules = Q.learn(counts, labels)
+    even = np.array([r[0] for r in counts.selectExpr("d_id", "pmod(xxhash64(string(d_id)), 2) = 0 AS even").orderBy("d_id").select("even").collect()])
+    forest = rules.forest
+    assert 4000 < even.sum() < 5000
+    for t, at in enumerate(forest.leaves(x[even])):
+        held = np.bincount(at, minlength=forest.feature.shape[1])
+        want = forest.deep[t] + [0 if m <= 1 else Q._mean_path(m) if m >= 2 else (m - 1) * Q._mean_path(2) for m in held * forest.size / even.sum()]
+        assert forest.path[t][held > 0] == pytest.approx(want[held > 0])
+    assert rules.threshold == pytest.approx(Q.calibrated(forest.score(x[~even]), good[~even]))
+    fewer = Q.learn(counts, labels.where("doc_id < 8990"))
+    assert fewer.threshold != rules.threshold or (fewer.forest.path != forest.path).any()
+
+
+def test_one_labelled_row_serves_both_halves(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60 + i))) for i in range(3)], "doc_id long, text string")
+    assert [r["kept"] for r in Q.judge_documents(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()] == [True] * 3
