@@ -131,3 +131,15 @@ def test_grades_against_all_lines(spark, monkeypatch, few):
         want[cite] = (grade, near[1] if near else None)
     got = {r["cite"]: (r["grade"], r["nearest"]) for r in I.grade_citations(spark.createDataFrame(cites, "cite string, path string, line long, quote string"), spark.createDataFrame(lines, "path string, line_no long, line string")).collect()}
     assert got == want and len({g for g, _ in want.values()}) == 6
+
+
+def test_one_detector_of_many_rules_is_taken_in_parts(spark, monkeypatch):
+    """A part holds RULES rules at most, also of one detector; the first rule by priority and pattern gives the row, once for each of equal messages."""
+    monkeypatch.setattr(C, "RULES", 7)
+    rules = [("d", f"b{k % 5}", 1 + k % 3, f"word{k:02d}", "user") for k in range(40)] + [("e", "x", 1, "word3[0-9]", "user")]
+    table = spark.createDataFrame(rules, "detector string, bucket string, priority int, pattern string, role string")
+    assert [len(p) for p in C._parts(table)] == [7, 7, 7, 7, 7, 6]
+    texts = [("a", "word00 word39"), ("a", "word00 word39"), ("b", "word01 word02 word35"), ("c", "none"), ("d", None)]
+    rows = spark.createDataFrame([(i, "user", t) for i, t in texts], "id string, role string, text string")
+    got = sorted(tuple(r) for r in C.detect_by_table(rows, table).select("id", "detector", "bucket", "snippet").collect())
+    assert [g[:3] for g in got] == [("a", "d", "b0"), ("a", "d", "b0"), ("a", "e", "x"), ("a", "e", "x"), ("b", "d", "b1"), ("b", "e", "x")]

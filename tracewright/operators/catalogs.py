@@ -8,17 +8,20 @@ there are; Spark's own engine then decides.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.shared import written
 
-#: Rules that workers hold in one pass.  A longer catalog takes several passes over the messages.
-RULES = 20_000
+#: Rules that workers hold in one pass, at most.  A longer catalog takes several passes over the messages.
+RULES = 100_000
 #: Messages that go to a worker at once.
 BATCH_ROWS = 500
 #: Characters of a literal that is worth looking for.
@@ -186,41 +189,54 @@ def _quantifier(p: str, i: int) -> tuple[tuple[int, int], int]:
     return least, i
 
 
-def _candidates(rules: list[tuple]):
-    """A vectorised function (text, role) -> the rules whose role it is and whose literals the text holds, by detector and priority."""
+_KINDS = {"detector": pa.string(), "bucket": pa.string(), "priority": pa.int32(), "nth": pa.int32(), "pattern": pa.string()}
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _literals(patterns: pa.Array) -> pa.Array:
+    """``required`` of each expression, an empty list where it is None."""
+    return pa.array([sorted(required(p) or ()) for p in patterns.to_pylist()], pa.list_(pa.string()))
+
+
+def _candidates(part: pa.Table):
+    """A vectorised function (text, role) -> the rules whose role it is and whose literals the text holds, by detector and priority.
+
+    A worker holds the rules as Arrow arrays and one automaton of numbers, no objects for each rule.
+    """
 
     @F.arrow_udf(_RULE)
     def candidates(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         import ahocorasick
 
-        by_literal, always = defaultdict(list), []
-        for k, rule in enumerate(rules):
-            literals = required(rule[3])
-            if literals:
-                for x in literals:
-                    by_literal[x].append(k)
-            else:
-                always.append(k)
-        automaton = ahocorasick.Automaton()
-        for literal, ks in by_literal.items():
-            automaton.add_word(literal, ks)
-        if by_literal:
+        rules = part.combine_chunks()
+        whole = lambda name: rules.column(name).chunk(0)
+        roles_of, literals = whole("role").dictionary_encode(), whole("literals")
+        role_no, role_code = {r: k for k, r in enumerate(roles_of.dictionary.to_pylist())}, roles_of.indices.to_numpy()
+        owner = literals.value_parent_indices().to_numpy()
+        always = np.setdiff1d(np.arange(len(rules)), owner)
+        # rules of one literal stand together: first[k] to first[k + 1] of ``owned``
+        coded = literals.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        owned = owner[np.argsort(code, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))])
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, literal in enumerate(coded.dictionary):
+            automaton.add_word(literal.as_py(), k)
+        if len(code):
             automaton.make_automaton()
-        names = ("detector", "bucket", "priority", "nth", "pattern")
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-        listed = pa.StructArray.from_arrays([pa.array([r[c] for r in rules], kind) for c, kind in zip((0, 1, 2, 5, 3), kinds, strict=True)], names=list(names))
+        listed = pa.StructArray.from_arrays([whole(c) for c in _KINDS], names=list(_KINDS))
+        none = np.zeros(0, np.int64)
         for texts, roles in batches:
-            ends, chosen = [0], []
+            ends, chosen = [0], [none]
             for text, role in zip(texts.to_pylist(), roles.to_pylist(), strict=True):
-                met = set()
-                if text is not None and role is not None:
-                    met.update(always)
-                    if by_literal:
-                        for _, ks in automaton.iter(folded(text)):
-                            met.update(ks)
-                chosen += sorted(k for k in met if rules[k][4] == role)  # rules stand by detector and priority
-                ends.append(len(chosen))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed.take(pa.array(chosen, pa.int64())))
+                met = none
+                if text is not None and role in role_no:
+                    seen = {k for _, k in automaton.iter(folded(text))} if len(code) else ()
+                    met = np.unique(np.concatenate([always, *(owned[first[k] : first[k + 1]] for k in seen)]))  # rules stand by detector and priority
+                    met = met[role_code[met] == role_no[role]]
+                chosen.append(met)
+                ends.append(ends[-1] + len(met))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed.take(pa.array(np.concatenate(chosen), pa.int64())))
 
     return candidates
 
@@ -230,23 +246,35 @@ def detect_by_table(messages: DataFrame, catalog: DataFrame, flags: str = "(?dU)
 
     Of a detector's rules that a message fits, the one of least priority gives
     the row, of equal ones the least pattern.  A catalog beyond RULES is taken in
-    parts of whole detectors, one pass over the messages for each; a detector of more rules is one part.
-    Rules with a null pattern, role or detector fit nothing; an expression that
-    is none is an error once a message meets it.
+    parts, one pass over the messages for each; the parts may cut a detector, whose
+    rows then come from the first part that a message fits.  So what a worker holds
+    is bounded, whatever the catalog.  Rules with a null pattern, role or detector
+    fit nothing; an expression that is none is an error once a message meets it.
     """
-    found = None
     _small_batches(messages.sparkSession)
-    for part in _parts(catalog):
-        hits = F.filter(_candidates(part)(F.col("text"), F.col("role")), lambda r: F.regexp_like(F.col("text"), F.concat(F.lit(flags), r["pattern"])))
-        rows = messages.withColumn("_hits", hits).where(F.size("_hits") > 0)
-        first = F.filter("_hits", lambda r, i: (i == 0) | (F.element_at("_hits", F.greatest(i, F.lit(1)))["detector"] != r["detector"]))
-        each = rows.select(*messages.columns, F.explode(first).alias("_hit"))
-        told = each.select(*messages.columns, F.col("_hit.detector").alias("detector"), F.col("_hit.bucket").alias("bucket"), X.snippet(F.col("text"), F.concat(F.lit(flags), F.col("_hit.pattern"))).alias("snippet"))
-        found = told if found is None else found.unionByName(told)
-    if found is None:
+    columns, parts = messages.columns, _parts(catalog)
+    part, more = next(parts, None), next(parts, None)
+    if part is None:
         none = F.lit(None).cast("string")
-        return messages.where(F.lit(False)).select(*messages.columns, none.alias("detector"), none.alias("bucket"), none.alias("snippet"))
-    return found
+        return messages.where(F.lit(False)).select(*columns, none.alias("detector"), none.alias("bucket"), none.alias("snippet"))
+    if more is None:
+        return _fitting(messages, part, flags)
+    numbered = written(messages.withColumn("_message", F.monotonically_increasing_id()))
+    found = None
+    for k, each in enumerate(chain((part, more), parts)):
+        told = _fitting(numbered, each, flags).withColumn("_part", F.lit(k))
+        found = told if found is None else found.unionByName(told)
+    first = found.withColumn("_first", F.min("_part").over(Window.partitionBy("_message", "detector"))).where("_part = _first")
+    return first.select(*columns, "detector", "bucket", "snippet")
+
+
+def _fitting(messages: DataFrame, part: pa.Table, flags: str) -> DataFrame:
+    """One pass: the messages with the first rule of each detector in a part that they fit."""
+    hits = F.filter(_candidates(part)(F.col("text"), F.col("role")), lambda r: F.regexp_like(F.col("text"), F.concat(F.lit(flags), r["pattern"])))
+    rows = messages.withColumn("_hits", hits).where(F.size("_hits") > 0)
+    first = F.filter("_hits", lambda r, i: (i == 0) | (F.element_at("_hits", F.greatest(i, F.lit(1)))["detector"] != r["detector"]))
+    each = rows.select(*messages.columns, F.explode(first).alias("_hit"))
+    return each.select(*messages.columns, F.col("_hit.detector").alias("detector"), F.col("_hit.bucket").alias("bucket"), X.snippet(F.col("text"), F.concat(F.lit(flags), F.col("_hit.pattern"))).alias("snippet"))
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -257,14 +285,10 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def _parts(catalog: DataFrame) -> Iterator[list[tuple]]:
-    """The rules, RULES at a time: (detector, bucket, priority, pattern, role, nth)."""
-    rows = catalog.where("detector IS NOT NULL AND pattern IS NOT NULL AND role IS NOT NULL").select("detector", "bucket", F.col("priority").cast("int"), "pattern", "role").orderBy("detector", "priority", "pattern")
-    part: list[tuple] = []
-    for r in rows.toLocalIterator():
-        if len(part) >= RULES and part[-1][0] != r["detector"]:
-            yield part
-            part = []
-        part.append((*r, len(part)))
-    if part:
-        yield part
+def _parts(catalog: DataFrame) -> Iterator[pa.Table]:
+    """The rules with their literals, RULES at a time: (detector, bucket, priority, nth, pattern, role, literals)."""
+    rows = catalog.where("detector IS NOT NULL AND pattern IS NOT NULL AND role IS NOT NULL").select("detector", "bucket", F.col("priority").cast("int"), "pattern", "role", _literals("pattern").alias("literals")).orderBy("detector", "priority", "pattern")
+    schema = pa.schema([*_KINDS.items(), ("role", pa.string()), ("literals", pa.list_(pa.string()))])
+    each = (r.asDict() for r in rows.toLocalIterator())
+    while part := list(islice(each, RULES)):
+        yield pa.Table.from_pylist([r | {"nth": k} for k, r in enumerate(part)], schema)
