@@ -107,25 +107,34 @@ def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: tu
     return out.select("_l.*", found.alias("_r")).select(*left.columns, "_r.*")
 
 
+#: Rows of a block that ``overlap_counts`` adds up in one task, at about.
+BLOCK_ROWS = 500_000
+
+
 def overlap_counts(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
     """(key, n): how many right spans each left one meets, without making the pairs: those begun by its end less those over before its start.
 
-    Running sums over blocks of the common order, and of the blocks' totals
-    before.  Left spans that are null or end before they start meet none; rows
-    that share a key add up.
+    Rows of one time are one row before anything is ordered; running sums go
+    over blocks of the common order, and over the blocks' totals before.  The
+    number of blocks grows with the rows, so a task's memory does not.  Left spans that
+    are null or end before they start meet none; rows that share a key add up.
     """
     s, e = (F.col(c).cast("long") for c in right_span)
     ls, le = (F.col(c).cast("long") for c in left_span)
-    none = F.lit(None).cast(left.schema[key].dataType)
-    point = lambda df, t, side, k, begun, over, sign: df.select(t.alias("t"), F.lit(side).alias("side"), k.alias("k"), F.lit(begun).alias("begun"), F.lit(over).alias("over"), F.lit(sign).alias("sign"))
-    good, asked = right.where(s <= e), left.where(ls <= le)
-    rows = point(good, s, 0, none, 1, 0, 0).unionByName(point(good, e, 2, none, 0, 1, 0)).unionByName(point(asked, le, 1, F.col(key), 0, 0, 1)).unionByName(point(asked, ls, 1, F.col(key), 0, 0, -1))
-    rows = _in_blocks(rows.withColumn("tie", F.xxhash64("k", "sign")), ["t", "side", "tie"])
+    point = lambda df, t, side, begun, over: df.select(t.alias("t"), F.lit(side).alias("side"), F.lit(begun).cast("long").alias("begun"), F.lit(over).cast("long").alias("over"))
+    good, asked = right.where(s <= e), left.where(ls <= le).select(F.col(key).alias("_k"), ls.alias("_s"), le.alias("_e"))
+    rows = point(good, s, 0, 1, 0).unionByName(point(good, e, 2, 0, 1)).unionByName(point(asked, F.col("_e"), 1, 0, 0)).unionByName(point(asked, F.col("_s"), 1, 0, 0))
+    # at most one row for each time and side
+    rows = written(rows.groupBy("t", "side").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over")))
+    blocks = rows.count() // BLOCK_ROWS + 1
+    rows = written(rows.repartitionByRange(blocks, "t", "side").withColumn("_block", F.spark_partition_id()))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     totals = rows.groupBy("_block").agg(F.sum("begun").alias("b"), F.sum("over").alias("o"))
     totals = totals.select("_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("b", "o")])
-    inside = Window.partitionBy("_block").orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.select("_block", "k", "sign", F.sum("begun").over(inside).alias("b"), F.sum("over").over(inside).alias("o")).where("sign <> 0").join(F.broadcast(totals), "_block")
-    part = F.when(F.col("sign") > 0, F.col("b") + F.col("b_before")).otherwise(-F.col("o") - F.col("o_before"))
-    counted = run.groupBy(F.col("k").alias(key)).agg(F.sum(part).alias("n"))
-    return left.select(key).distinct().join(counted.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    inside = Window.partitionBy("_block").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.repartition(blocks, "_block").select("_block", "t", "side", F.sum("begun").over(inside).alias("b"), F.sum("over").over(inside).alias("o")).where("side = 1").join(F.broadcast(totals), "_block")
+    run = written(run.select("t", (F.col("b") + F.col("b_before")).alias("b"), (F.col("o") + F.col("o_before")).alias("o")))
+    spans = asked.select("_s", "_e").distinct()
+    spans = spans.join(run.select(F.col("t").alias("_e"), "b"), "_e").join(run.select(F.col("t").alias("_s"), "o"), "_s").select("_s", "_e", (F.col("b") - F.col("o")).alias("n"))
+    each = left.select(F.col(key), ls.alias("_s"), le.alias("_e")).join(spans, ["_s", "_e"], "left")
+    return each.groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
