@@ -60,3 +60,25 @@ def test_as_of_is_the_last_row_before(spark, strict, keyed):
         fits = [r for r in b if t is not None and r[2] is not None and (r[2] < t if strict else r[2] <= t) and (not keyed or (k is not None and r[1] == k))]
         want.append((i, k, t, *(max(fits, key=lambda r: (r[2], r[0])) if fits else (None, None, None))))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_rows_of_equal_spans_meet_once(spark, monkeypatch):
+    """1,000 rows of each of few spans: what is joined are the spans, and each row has its span's figures; counts go over several blocks."""
+    joined = []
+    whole = I.interval_join
+    monkeypatch.setattr(I, "interval_join", lambda left, right, *a, **k: joined.append((left.count(), right.count())) or whole(left, right, *a, **k))
+    monkeypatch.setattr(I, "BLOCK_ROWS", 3)
+    rng = random.Random(3)
+    a, b = spans(rng, 12, 50), spans(rng, 15, 50)
+    left = spark.createDataFrame(a, "a long, s long, e long").crossJoin(spark.range(1000).withColumnRenamed("id", "copy"))
+    right = spark.createDataFrame([(i + 100 * k, x, y) for i, x, y in b for k in range(20)], "b long, start long, stop long")
+    got = I.overlap_summaries(left, right, ("s", "e"), ("start", "stop"), "b").groupBy("a", "s", "e").agg({"n": "max", "first": "max", "longest": "max", "copy": "count"}).collect()
+    want = {}
+    for x in a:
+        met = [y for y in b if meets((0, *x[1:]), (0, *y[1:]))]
+        if met:
+            want[x] = (20 * len(met), min(y[0] for y in met), max(min(x[2], y[2]) - max(x[1], y[1]) for y in met), 1000)
+    assert {(r["a"], r["s"], r["e"]): (r["max(n)"], r["max(first)"], r["max(longest)"], r["count(copy)"]) for r in got} == want
+    assert joined[0][0] <= 14 and joined[0][1] <= 17
+    counts = dict(map(tuple, I.overlap_counts(left, right, "a", ("s", "e"), ("start", "stop")).collect()))
+    assert counts == {i: 1000 * sum(want.get(x, (0,))[0] for x in a if x[0] == i) for i in {x[0] for x in a}}

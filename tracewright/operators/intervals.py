@@ -138,3 +138,19 @@ def overlap_counts(left: DataFrame, right: DataFrame, key: str, left_span: tuple
     spans = spans.join(run.select(F.col("t").alias("_e"), "b"), "_e").join(run.select(F.col("t").alias("_s"), "o"), "_s").select("_s", "_e", (F.col("b") - F.col("o")).alias("n"))
     each = left.select(F.col(key), ls.alias("_s"), le.alias("_e")).join(spans, ["_s", "_e"], "left")
     return each.groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+
+def overlap_summaries(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], first: str, unit: int = 1) -> DataFrame:
+    """Each left row that meets a right span, with ``n``, the least ``first`` and the ``longest`` common length of those that it meets.
+
+    Rows of equal spans are one on either side before they meet, and a left
+    row reads its span's figures: the pairs are those of distinct spans, which
+    end growing once all times of a period occur, not those of rows.
+    """
+    (ls, le), (rs, re) = left_span, right_span
+    spans = left.where(F.col(ls) <= F.col(le)).select(F.col(ls).alias("_s"), F.col(le).alias("_e")).distinct()
+    given = right.where(F.col(rs) <= F.col(re)).groupBy(F.col(rs).alias("_rs"), F.col(re).alias("_re")).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_first"))
+    pairs = interval_join(written(spans), written(given), ("_s", "_e"), ("_rs", "_re"), unit=unit)
+    common = F.least("_e", "_re") - F.greatest("_s", "_rs")
+    told = pairs.groupBy("_s", "_e").agg(F.sum("_n").alias("n"), F.min("_first").alias("first"), F.max(common).alias("longest"))
+    return left.join(told, (F.col(ls) == F.col("_s")) & (F.col(le) == F.col("_e"))).drop("_s", "_e")

@@ -32,9 +32,8 @@ def _events(t):
 @query("x31_interval_join", f"WITH {_SPANS} SELECT o_orderkey, count(*) AS n, min(event_id) AS first_event, max(least(closed, ended) - greatest(opened, began)) AS longest FROM o JOIN e ON opened <= ended AND began <= closed GROUP BY o_orderkey")
 def _(t):
     """The events that fall into the time in which an order is open."""
-    pairs = O.interval_join(_orders(t), _events(t), ("opened", "closed"), ("began", "ended"), unit=60)
-    common = F.least("closed", "ended") - F.greatest("opened", "began")
-    return pairs.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max(common).alias("longest"))
+    met = O.overlap_summaries(_orders(t), _events(t), ("opened", "closed"), ("began", "ended"), "event_id", unit=60)
+    return met.groupBy("o_orderkey").agg(F.sum("n").alias("n"), F.min("first").alias("first_event"), F.max("longest").alias("longest"))
 
 
 @query("x31_overlap_counts", f"WITH {_SPANS} SELECT o_orderkey, count(event_id) AS n FROM o LEFT JOIN e ON opened <= ended AND began <= closed GROUP BY o_orderkey")
