@@ -89,3 +89,11 @@ def test_a_name_of_several_files_stays_ambiguous_where_the_quote_does_not_tell(s
     df = spark.createDataFrame([c[:4] for c in cites], "cite string, path string, line long, quote string")
     got = I.resolve_paths(df, lines.select("path").distinct(), lines)
     assert sorted((r["cite"], r["how"], r["path"]) for r in got.collect()) == [(c, how, path) for c, _, _, _, how, path in cites]
+
+
+def test_hunks_are_dealt_to_more_tasks_as_lines_grow(spark, monkeypatch):
+    monkeypatch.setattr(I, "TASK_LINES", 3)
+    lines = spark.createDataFrame([(f"p{k}", i, x) for k in range(7) for i, x in enumerate(["@@ -1,1 +1,2 @@", " a", "+b"])], "path string, line_no long, line string")
+    got = I.hunks(lines)
+    assert got.rdd.getNumPartitions() == 8
+    assert sorted((r["path"], r["hunk"], r["old_ok"], r["new_ok"]) for r in got.collect()) == [(f"p{k}", 1, True, True) for k in range(7)]

@@ -249,12 +249,18 @@ def token_budgets(docs: DataFrame, keys: tuple[str, ...], text: str, max_tokens:
     return asked.select(*keys, token_counts(file)(F.col(text)).alias("tokens")).where(F.col("tokens") > max_tokens)
 
 
+#: Lines that ``hunks`` orders in one task, at about.
+TASK_LINES = 250_000
+
+
 def hunks(lines: DataFrame, path: str = "path", order: str = "line_no", line: str = "line") -> DataFrame:
     """Unified-diff hunks: declared and counted lengths, the shift before each, overlap with the one before.
 
     A hunk's number is the running count of its headers; a file's lines are
-    ordered in one window.
+    ordered in one window.  Files are dealt to more tasks as the lines grow, so
+    that a task's lines do not; a count goes before.
     """
+    lines = lines.repartition(lines.count() // TASK_LINES + 1, path)
     by_line = Window.partitionBy(path).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     header = F.col(line).startswith("@@")
     numbered = lines.withColumn("hunk", F.sum(F.when(header, 1).otherwise(0)).over(by_line)).where("hunk > 0")
