@@ -105,7 +105,9 @@ def _diff_lines(t):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    hunks = t("orders").select(F.col("o_custkey").cast("string").alias("path"), n.alias("n"), (F.col("o_orderkey") % 2).alias("odd"))
+    orders = t("orders")
+    dealt = orders.repartition(orders.count() // I.TASK_LINES + 1, "o_custkey")  # a count that files keep
+    hunks = dealt.select(F.col("o_custkey").cast("string").alias("path"), n.alias("n"), (F.col("o_orderkey") % 2).alias("odd"))
     body = F.array(F.format_string("@@ -%d,3 +%d,%d @@", F.col("n") * 10, F.col("n") * 10, F.col("odd") + 3), F.lit(" a"), F.lit("-b"), F.lit("+c"), F.lit("+d"), F.lit(" e"))
     lines = hunks.select("path", "n", F.posexplode(body).alias("i", "line")).select("path", (F.col("n") * 10 + F.col("i")).alias("line_no"), "line")
     return lines
