@@ -1,6 +1,6 @@
 import pytest
 
-from tracewright.functions.registered import register
+from tracewright.functions.registered import line_blocks, register
 from tracewright.operators import integrity as I
 from tracewright.sources import versions as V
 
@@ -62,3 +62,23 @@ def test_hunks_by_a_table_function(spark):
     spread = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 0.0), ("b", 4.0), ("b", None), ("c", None)], "k string, v double")
     found = dict(map(tuple, spark.sql("SELECT k, round(tw_concentration(v), 6) FROM {s} GROUP BY k", s=spread).collect()))
     assert found == {"a": 0.0, "b": 0.5, "c": 0.0}
+
+
+def test_hunks_of_lines_in_blocks(spark):
+    diff = ["diff", "+x", "@@ -1,3 +1,4 @@", " a", "-b", "+c", "+d", " e", None, "@@ -3,2 +4 @@ x", " f", "-g", "@@ nonsense", "@@ -20 +20,2 @@", "+h", None]
+    lines = spark.createDataFrame([(p, i - 4, x) for p in ("p", "q", None) for i, x in enumerate(diff)] + [("none", 1, "text"), ("null", 1, None)], "path string, line_no long, line string").repartition(3)
+    register(spark)
+    want = sorted(map(str, I.hunks(lines).collect()))
+    assert len(want) == 12
+    for size in (1, 2, 3, 5, 100):  # hunks end within blocks, at their ends and blocks later
+        blocks = line_blocks(lines, size)
+        assert sorted(map(str, spark.sql("SELECT * FROM tw_hunks(TABLE({t}))", t=blocks).collect())) == want
+    assert blocks.count() == 3 * 2 + 2  # negative numbers are blocks as well
+
+
+def test_the_hunk_query_hands_python_blocks_not_lines(spark):
+    from tracewright.plans import registry
+
+    df = registry.queries()["x28_table_function_hunks"](spark, "/root/testdata/sf0.001")
+    assert df.count() == 1500
+    assert "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
@@ -31,7 +31,9 @@ _FLAGS = ("old_ok", "new_ok", "overlaps", "placed_ok")
 class _Hunks:
     """Hunks of unified diffs: a table of (path, line_no, line), which the function itself deals by path and orders by line.
 
-    What it holds of a file is the hunk that it is in and the shift so far.
+    A line may also be an array of lines, a block that begins at line_no: a row
+    costs this function far more than a line does.  What it holds of a file is
+    the block and the hunk that it is in and the shift so far.
     """
 
     @staticmethod
@@ -50,21 +52,22 @@ class _Hunks:
         self.path, self.number, self.start, self.shift, self.end = None, 0, None, 0, None
 
     def eval(self, row: Row):
-        line = row["line"]
+        lines = row["line"]
         self.path = row["path"]
-        if line is None:
-            return
-        if line.startswith("@@"):
-            yield from self._told()
-            found = _HEADER.match(line)
-            a, b, c, d = found.groups() if found else (None,) * 4
-            self.number += 1
-            self.start = (int(a or 0), 1 if b is None else int(b), int(c or 0), 1 if d is None else int(d))
-            self.removed = self.added = self.kept = 0
-        elif self.start is not None:
-            self.removed += line.startswith("-")
-            self.added += line.startswith("+")
-            self.kept += line.startswith(" ")
+        for line in lines if isinstance(lines, list) else (lines,):
+            if line is None:
+                continue
+            if line.startswith("@@"):
+                yield from self._told()
+                found = _HEADER.match(line)
+                a, b, c, d = found.groups() if found else (None,) * 4
+                self.number += 1
+                self.start = (int(a or 0), 1 if b is None else int(b), int(c or 0), 1 if d is None else int(d))
+                self.removed = self.added = self.kept = 0
+            elif self.start is not None:
+                self.removed += line.startswith("-")
+                self.added += line.startswith("+")
+                self.kept += line.startswith(" ")
 
     def terminate(self):
         yield from self._told()
@@ -82,6 +85,21 @@ class _Hunks:
         self.shift += self.added - self.removed
 
 
+#: Line numbers that a block spans at most; Spark hands Python a hundred blocks at once.
+BLOCK_LINES = 250
+
+
+def line_blocks(lines: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
+    """(path, line_no, line), as tw_hunks takes them: a file's lines of ``size`` line numbers are one array, at the first of these.
+
+    Nulls among the lines are kept.  Blocks, not files, are dealt to tasks, so
+    that a file of any length is never one row or one task here.
+    """
+    block = F.col("line_no") - F.pmod("line_no", F.lit(size))
+    in_order = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("path", block.alias("block")).agg(F.min("line_no").alias("line_no"), in_order["line"].alias("line")).drop("block")
+
+
 @F.pandas_udf(T.DoubleType())
 def _concentration(values: pd.Series) -> float:
     """Gini's measure of a group's numbers, from 0 (all alike) towards 1 (one has all); nulls are left out, and sums of 0 give 0."""
@@ -98,7 +116,7 @@ _QUOTE_KEY = r"""CREATE OR REPLACE TEMPORARY FUNCTION tw_quote_key(quote STRING)
 
 
 def register(spark: SparkSession) -> None:
-    """tw_quote_key(text), a SQL function; tw_first_words(text, n) and tw_hunks(TABLE(lines)), table functions; tw_concentration(number), an aggregate of a group that fits into one task."""
+    """tw_quote_key(text), a SQL function; tw_first_words(text, n) and tw_hunks(TABLE(lines)), table functions, the second faster over line_blocks(lines); tw_concentration(number), an aggregate of a group that fits into one task."""
     spark.udf.register("tw_nfkc", compatible)
     spark.sql(_QUOTE_KEY)
     spark.udtf.register("tw_first_words", _FirstWords)

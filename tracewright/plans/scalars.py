@@ -120,10 +120,10 @@ def _(t):
 
 @query("x28_table_function_hunks", _HUNKS)
 def _(t):
-    """The same by a function that takes a table, dealt by path and ordered by line."""
-    from ..functions.registered import register
+    """The same by a function that takes a table, dealt by path and ordered by line, in blocks of lines."""
+    from ..functions.registered import line_blocks, register
 
-    lines = _diff_lines(t)
+    lines = line_blocks(_diff_lines(t))
     register(lines.sparkSession)
     return lines.sparkSession.sql("SELECT * FROM tw_hunks(TABLE({lines}))", lines=lines)
 
